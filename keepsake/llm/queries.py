@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import chat, fingerprints, licenses, mixing, packing, topk
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_exact_top_k": topk.op6_exact_top_k,
+    "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_top_k": topk.OP6_SQL, "op10_license_scan": licenses.sql()}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, mixing, packing, topk
+from . import chat, fingerprints, licenses, mixing, packing, simhash, topk
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_exact_top_k": topk.op6_exact_top_k,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, mixing, packing, simhash, topk
+from . import chat, fingerprints, licenses, mixing, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_license_scan": licenses.op10_license_scan,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, mixing, packing, quality, simhash, topk, toxicity
+from . import chat, fingerprints, licenses, mixing, packing, quality, simhash, suffix, topk, toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix.op1_suffix_array_dedup,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_best_fit_packing": packing.op4_best_fit_packing,

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keepsake import attach
-from keepsake.llm import mixing, packing
+from keepsake.llm import mixing, packing, simhash, suffix, toxicity
 from keepsake.llm.common import read, written
 
 STAGES = [
+    ("toxicity", toxicity.toxicity_stage),
+    ("simhash near-dedup", simhash.simhash_stage),
+    ("suffix-array dedup", suffix.suffix_stage),
     ("mixing", mixing.mixed_stage),
     ("packing", packing.packed_stage),
 ]

@@ -12,6 +12,7 @@ occur; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -30,7 +31,8 @@ SEPARATOR = 0
 DOCS_PER_GROUP = 50_000
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of a task's memory of words already encoded.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 600_000
+WORDS_A_CALL = 2000
 #: Texts with white space other than single spaces and line ends, or with marks of special tokens, are encoded whole.
 ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]|  |\n\n| \n|\n |\A[ \n]|[ \n]\Z|<\|")
 UNITS = re.compile(r" ?[^ \n]+|\n")
@@ -46,35 +48,59 @@ class WordEncoder:
     """Token ids of texts as packed unsigned 32-bit little-endian bytes.
 
     The tokenizer splits at white space before it merges, so a word with the space before it always has the same ids:
-    words met before are looked up, new ones are encoded by the tokenizer in one call a batch."""
+    words met before are looked up, new ones are laid end to end and encoded in a few calls, and the bytes that each id
+    stands for tell where a word's ids end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # a byte-level token has a character for each byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, units: list[str]) -> None:
+        """Words at the start of a line follow a line end, as they do in texts."""
+        line = self.ids("\n").tobytes()
+        ids = self.ids("".join(u if u[0] in " \n" else "\n" + u for u in units))
+        over = np.cumsum(self.size[ids])
+        bytes_of = np.cumsum([len(u.encode()) + (u[0] not in " \n") for u in units])
+        end = np.searchsorted(over, bytes_of) + 1
+        if len(over) and not np.array_equal(over[end - 1], bytes_of):
+            raise ValueError("a token runs across a word's end")
+        packed, start = ids.tobytes(), 0
+        for u, stop in zip(units, (4 * end).tolist(), strict=True):
+            self.known[u] = packed[start:stop] if u[0] in " \n" else packed[start + len(line) : stop]
+            start = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         odd = [i for i, t in enumerate(texts) if t and ODD.search(t)]
         for i in odd:
-            out[i] = self.ids([texts[i]])[0]
+            out[i] = self.ids(texts[i]).tobytes()
         skip, known = set(odd), self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
         units = [[] if i in skip else UNITS.findall(t) for i, t in enumerate(texts)]
         new = list({u for us in units for u in us if u not in known})
-        for i in range(0, len(new), 10_000):
-            known.update(zip(new[i : i + 10_000], self.ids(new[i : i + 10_000]), strict=True))
+        for i in range(0, len(new), WORDS_A_CALL):
+            self.learn(new[i : i + WORDS_A_CALL])
         for i, us in enumerate(units):
             if us:
                 out[i] = b"".join(map(known.__getitem__, us))
         return out
 
 
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """One for each Python worker, which goes on from task to task."""
+    return WordEncoder(path)
+
+
 class TightestFit:
     """Open sequences by remaining capacity: a segment tree over the capacities 0..top of how many sequences have each."""
 
@@ -134,7 +160,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, separator: int
     """A row per piece; full: a sequence number of its own where the piece fills one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([separator], dtype="<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([separator], dtype="<u4").tobytes()
         task, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, texts_a_call):

@@ -12,6 +12,7 @@ occur; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import functools
 import os
 import re
@@ -30,12 +31,11 @@ SEQUENCE = 2048
 SEPARATOR = 0
 DOCS_PER_GROUP = 50_000
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries of a task's memory of words already encoded.
-KNOWN_WORDS = 600_000
-WORDS_A_CALL = 2000
-#: Texts with white space other than single spaces and line ends, or with marks of special tokens, are encoded whole.
-ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]|  |\n\n| \n|\n |\A[ \n]|[ \n]\Z|<\|")
-UNITS = re.compile(r" ?[^ \n]+|\n")
+#: The same vocabulary as ranks, for a library that merges faster; None: everything by the tokenizer.
+RANKS = "byte_bpe_50k.tiktoken"
+#: Texts with anything but these characters, or with marks of special tokens, are encoded by the tokenizer: the two
+#: libraries' character classes are the same for these ranges and may differ elsewhere.
+ODD = re.compile("[^\\n\\t\\r\\x20-\\x7e\u00a1-\u024f\u0370-\u03ff\u0400-\u04ff\u2010-\u2027\u2030-\u205e]|<\\|")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -44,61 +44,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Token ids of texts as packed unsigned 32-bit little-endian bytes.
+class Encoder:
+    """Token ids of texts as packed unsigned 32-bit little-endian bytes."""
 
-    The tokenizer splits at white space before it merges, so a word with the space before it always has the same ids:
-    words met before are looked up, new ones are laid end to end and encoded in a few calls, and the bytes that each id
-    stands for tell where a word's ids end."""
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.size = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # a byte-level token has a character for each byte
-        for token, i in self.tokenizer.get_vocab().items():
-            self.size[i] = len(token)
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def learn(self, units: list[str]) -> None:
-        """Words at the start of a line follow a line end, as they do in texts."""
-        line = self.ids("\n").tobytes()
-        ids = self.ids("".join(u if u[0] in " \n" else "\n" + u for u in units))
-        over = np.cumsum(self.size[ids])
-        bytes_of = np.cumsum([len(u.encode()) + (u[0] not in " \n") for u in units])
-        end = np.searchsorted(over, bytes_of) + 1
-        if len(over) and not np.array_equal(over[end - 1], bytes_of):
-            raise ValueError("a token runs across a word's end")
-        packed, start = ids.tobytes(), 0
-        for u, stop in zip(units, (4 * end).tolist(), strict=True):
-            self.known[u] = packed[start:stop] if u[0] in " \n" else packed[start + len(line) : stop]
-            start = stop
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if t and ODD.search(t)]
-        for i in odd:
-            out[i] = self.ids(texts[i]).tobytes()
-        skip, known = set(odd), self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        units = [[] if i in skip else UNITS.findall(t) for i, t in enumerate(texts)]
-        new = list({u for us in units for u in us if u not in known})
-        for i in range(0, len(new), WORDS_A_CALL):
-            self.learn(new[i : i + WORDS_A_CALL])
-        for i, us in enumerate(units):
-            if us:
-                out[i] = b"".join(map(known.__getitem__, us))
-        return out
+        self.tokenizer, self.merger = Tokenizer.from_file(path), None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.merger = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.merger is None or ODD.search(text):
+            return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return np.asarray(self.merger.encode_to_numpy(text, disallowed_special=()), dtype="<u4").tobytes()
 
 
 @functools.cache
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str, ranks: str | None) -> Encoder:
     """One for each Python worker, which goes on from task to task."""
-    return WordEncoder(path)
+    return Encoder(path, ranks)
 
 
 class TightestFit:
@@ -156,17 +127,17 @@ def best_fit_decreasing(lengths: np.ndarray, top: int = SEQUENCE) -> tuple[np.nd
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, full long"
 
 
-def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, separator: int = SEPARATOR, texts_a_call: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, path: str, ranks: str | None, sequence: int = SEQUENCE, separator: int = SEPARATOR, texts_a_call: int = 256) -> DataFrame:
     """A row per piece; full: a sequence number of its own where the piece fills one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path), np.array([separator], dtype="<u4").tobytes()
+        encoder, end = encoder_of(path, ranks), np.array([separator], dtype="<u4").tobytes()
         task, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, texts_a_call):
                 part = batch.slice(at, texts_a_call)
                 out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), map(encoder.encode, part.column(1).to_pylist()), strict=True):
                     ids += end
                     n = len(ids) // 4
                     first = n % sequence or sequence
@@ -181,8 +152,8 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, separator: int
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, PIECES)
 
 
-def packed(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, separator: int = SEPARATOR, docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def packed(docs: DataFrame, path: str | None = None, ranks: str | None = None, sequence: int = SEQUENCE, separator: int = SEPARATOR, docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. path: a tokenizer; ranks: the same vocabulary as ranks, if there is one."""
     groups = max(1, -(-docs.count() // docs_per_group))  # of a Parquet table, from its footers
 
     def pack(group: pa.Table) -> pa.Table:
@@ -192,7 +163,9 @@ def packed(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, s
         back = np.argsort(order)
         return group.drop_columns(["full", "__group"]).append_column("sequence_id", pa.array((number << 40) + into[back])).append_column("offset", pa.array(offset[back]))
 
-    every = pieces(docs, path or tokenizer_path(), sequence, separator)
+    if path is None:
+        path, ranks = tokenizer_path(), tokenizer_path(RANKS) if RANKS else None
+    every = pieces(docs, path, ranks, sequence, separator)
     own = every.withColumn("__group", F.when(F.col("full").isNull(), F.pmod(F.xxhash64("doc_id", "length"), F.lit(groups))).otherwise(-1))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 

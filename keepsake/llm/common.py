@@ -25,12 +25,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: By application: the folder that stands in for one that drivers and executors share.
+OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session, or a temporary one where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="keepsake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = OWN_FOLDERS.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="keepsake-")
+        OWN_FOLDERS[context.applicationId] = folder
     return folder.rstrip("/")
 
 
@@ -40,7 +45,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/keepsake-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(dropped, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._keepsake_path = path
+    return table
+
+
+def discarded(table: DataFrame) -> None:
+    """Deletes the files of a written table that nothing will read again."""
+    dropped(table.sparkSession, table._keepsake_path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -8,9 +8,9 @@ text can hold a repeat. What they cover goes on:
 * each shard sorts its suffixes (Larsson-Sadakane: first by 8 bytes, then only groups still equal, by the rank of what
   follows, doubling each time), and takes common prefixes with the suffix before by Kasai's walk, many stretches of the
   text at a time. Neighbours of LENGTH common bytes form a group of equal strings, which knows its smallest document;
-* one string of each group goes to the bucket of its name, sorted by a digest. In a bucket, shards' lists are merged two
-  by two by binary search, equal digests being compared byte by byte; then each shard's strings are sought in the merged
-  list and those that start in a smaller document are sent back to their shard.
+* one string of each group goes to the bucket of its name. In a bucket, each shard's strings are sorted by a digest, the
+  lists are merged, and each is sought in the merged one by binary search, strings being compared byte by byte; those
+  that start in a smaller document are sent back to their shard.
 
 A shard sends each distinct string once, so however many copies a text or passage has, a bucket gets one for each shard.
 Text is shuffled twice, to meet the answers of its shard; tables of the shared folder cut the lineage between the steps.
@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, shuffle_partitions, text_of, written
+from .common import DOCUMENT_COLUMNS, discarded, shuffle_partitions, text_of, written
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 2 << 20
@@ -105,7 +106,10 @@ def runs_of_names(data: np.ndarray, ends: np.ndarray, powers: Powers, length: in
     over = inside.copy()
     over[:-1] &= new[1:] | ~inside[1:]
     first = np.flatnonzero(new)
-    return first, np.flatnonzero(over) + 1, names[first]
+    names = names[first] * np.uint64(0x9E3779B97F4A7C15)  # minima are small numbers: spread again
+    names ^= names >> np.uint64(32)
+    names *= np.uint64(0xD6E8FEB86659FD93)
+    return first, np.flatnonzero(over) + 1, names ^ (names >> np.uint64(32))
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -200,6 +204,15 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH, wor
     return out
 
 
+def packed(data: bytes) -> bytes:
+    """Compressed here, since it is shuffled more than once."""
+    return zstandard.compress(data, 3)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
 class Shard:
     """Texts end to end; ``ids`` orders their documents."""
 
@@ -285,7 +298,7 @@ def from_five_bytes(data: bytes) -> np.ndarray:
 
 
 def shard_of(row: dict) -> Shard:
-    return Shard(row["blob"], np.asarray(row["ends"], dtype=np.int64), np.array([LAST if i is None else i for i in row["ids"]], dtype=np.int64))
+    return Shard(unpacked(row["blob"]), np.asarray(row["ends"], dtype=np.int64), np.array([LAST if i is None else i for i in row["ids"]], dtype=np.int64))
 
 
 def names_of(table: DataFrame, buckets: int) -> DataFrame:
@@ -363,7 +376,7 @@ def strings_of(table: DataFrame, name_buckets: int, string_buckets: int) -> Data
                     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(bucket)]
                     for a, b in zip(cuts, cuts[1:], strict=False):
                         text = shard.data[places_of(start[a:b], start[a:b] + count[a:b] + LENGTH - 1)]
-                        out.append((int(bucket[a]), row["shard"], np.stack([start[a:b], count[a:b]], axis=1).astype(np.uint32).tobytes(), ids[a:b].tobytes(), text.tobytes()))
+                        out.append((int(bucket[a]), row["shard"], np.stack([start[a:b], count[a:b]], axis=1).astype(np.uint32).tobytes(), ids[a:b].tobytes(), packed(text.tobytes())))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "runs", "ids", "bytes"])
 
@@ -379,35 +392,34 @@ def equal_strings(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int =
 
 
 def smallest_documents(lists: list[tuple[np.ndarray, np.ndarray]], data: np.ndarray, seed: int = SEED, length: int = LENGTH) -> list[np.ndarray]:
-    """lists: places in ``data`` of one shard's strings, and their documents. The smallest document of each string over all lists."""
+    """lists: places in ``data`` of one shard's distinct strings, and their documents. The smallest document of each string over all lists.
+
+    Each list is sorted by digest; the lists are merged into one of distinct digests, and each list is sought in it by
+    binary search. Every string found is compared with the one it is taken for; if two strings share a digest, all is
+    done again with another."""
     words = words8(data)
-    while True:  # again with another digest if two different strings have the same one
+    while lists:
         digest = Powers(seed).rolling(data, length)
-        runs = []
-        for place, ids in lists:
-            by = np.argsort(digest[place], kind="stable")
-            runs.append((digest[place][by], place[by], ids[by]))
-        clash, level = any((d[1:] == d[:-1]).any() for d, _, _ in runs), runs
-        while len(level) > 1 and not clash:
-            merged = []
-            for i in range(0, len(level) - 1, 2):
-                (da, pa_, ia), (db, pb, ib) = sorted(level[i : i + 2], key=lambda x: -len(x[0]))
-                at = np.searchsorted(da, db)
-                near = np.minimum(at, len(da) - 1)
-                found = da[near] == db if len(da) else np.zeros(len(db), dtype=bool)
-                clash |= not equal_strings(words, pa_[near[found]], pb[found]).all()
-                ia = ia.copy()
-                ia[near[found]] = np.minimum(ia[near[found]], ib[found])
-                new = ~found
-                merged.append(tuple(np.insert(x, at[new], y[new]) for x, y in ((da, db), (pa_, pb), (ia, ib))))
-            level = merged + level[len(level) - len(level) % 2 :]
-        if not clash:
-            break
-        seed += 1
-    if not level:
-        return []
-    all_digests, _, all_ids = level[0]
-    return [all_ids[np.searchsorted(all_digests, digest[place])] for place, _ in lists]
+        by = [np.argsort(digest[place]) for place, _ in lists]
+        own = [digest[place[b]] for (place, _), b in zip(lists, by, strict=True)]
+        place = np.concatenate([p[b] for (p, _), b in zip(lists, by, strict=True)])
+        every = np.concatenate(own)
+        order = np.argsort(every)
+        first = np.flatnonzero(np.concatenate([[True], every[order[1:]] != every[order[:-1]]]))
+        merged, standing = every[order[first]], place[order[first]]
+        least = np.minimum.reduceat(np.concatenate([i[b] for (_, i), b in zip(lists, by, strict=True)])[order], first)
+        at = np.concatenate([np.searchsorted(merged, d) for d in own])
+        if not equal_strings(words, standing[at], place).all():
+            seed += 1
+            continue
+        out, start = [], 0
+        for b in by:
+            found = np.empty(len(b), dtype=np.int64)
+            found[b] = least[at[start : start + len(b)]]
+            out.append(found)
+            start += len(b)
+        return out
+    return []
 
 
 def answers(strings: DataFrame) -> DataFrame:
@@ -415,7 +427,7 @@ def answers(strings: DataFrame) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         shards, lists, back, offset = [], [], [], 0
-        for row in rows.to_pylist():
+        for row in rows.select(["shard", "runs", "ids"]).to_pylist():
             pairs = np.frombuffer(row["runs"], dtype=np.uint32).reshape(-1, 2).astype(np.int64)
             count = pairs[:, 1]
             size = count + LENGTH - 1
@@ -424,7 +436,7 @@ def answers(strings: DataFrame) -> DataFrame:
             lists.append((places_of(begin, begin + count), np.repeat(np.frombuffer(row["ids"], dtype=np.int64), count)))
             back.append(places_of(pairs[:, 0], pairs[:, 0] + count))
             shards.append(row["shard"])
-        data = np.frombuffer(b"".join(rows["bytes"].to_pylist()), dtype=np.uint8)
+        data = np.frombuffer(b"".join(map(unpacked, rows["bytes"].to_pylist())), dtype=np.uint8)
         least = smallest_documents(lists, data)
         found = [(s, intervals(np.sort(place[small < ids])).tobytes()) for s, place, small, (_, ids) in zip(shards, back, least, lists, strict=True)]
         found = [x for x in found if x[1]]
@@ -446,7 +458,7 @@ def shards_of(docs: DataFrame, carried: list[str], shard_bytes: int = SHARD_BYTE
 
         def whole() -> pa.RecordBatch:
             ends = np.cumsum([len(t) for t in texts])
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary()), pa.array([size], pa.int64()), pa.array([rows], pa.list_(row_type))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([packed(b"".join(texts))], pa.binary()), pa.array([size], pa.int64()), pa.array([rows], pa.list_(row_type))], names=schema.names)
 
         row_type = None
         for batch in batches:
@@ -489,9 +501,10 @@ def repeated_spans(docs: DataFrame, carried: list[str] | None = None) -> DataFra
     found = written(strings_of(asked, name_buckets, buckets(STRING_BUCKET)), "strings")
     released()
     told = written(answers(found.filter("bucket >= 0")), "answers")
+    inside = written(found.filter("bucket < 0").select("shard", F.col("runs").alias("repeats"), F.col("ids").alias("pairs")), "inside")
+    discarded(found)
     released()
     of_shard = told.groupBy("shard").agg(F.collect_list("found").alias("found"))
-    inside = found.filter("bucket < 0").select("shard", F.col("runs").alias("repeats"), F.col("ids").alias("pairs"))
     joined = table.select("shard", "ends", "blob", "rows").join(inside, "shard", "left").join(of_shard, "shard", "left")
     row_type = table.schema["rows"].dataType.elementType
     schema = T.StructType([T.StructField("row", row_type), T.StructField("bytes", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
@@ -500,7 +513,7 @@ def repeated_spans(docs: DataFrame, carried: list[str] | None = None) -> DataFra
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k] for name in ("ends", "blob", "repeats", "pairs", "found")}
-                blob, ends = row["blob"].as_py(), np.asarray(row["ends"].as_py(), dtype=np.int64)
+                blob, ends = unpacked(row["blob"].as_py()), np.asarray(row["ends"].as_py(), dtype=np.int64)
                 marked = np.zeros(len(blob) + 1, dtype=bool)
                 for packed in [row["repeats"].as_py() or b"", *(row["found"].as_py() or [])]:
                     marked[from_intervals(packed)] = True

@@ -83,8 +83,9 @@ class Network:
         counts = np.maximum(1, (grams < CHAR_ROWS).sum(axis=1))[:, None].astype(np.float32)
         return np.concatenate([self.p["word"][own], self.p["char"][grams].sum(axis=1) / counts], axis=1), counts
 
-    def projected(self, own: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        return self.inputs(own, grams)[0] @ self.p["w"] + self.p["b"]
+    def projected(self, own: np.ndarray, grams: np.ndarray, step: int = 8192) -> np.ndarray:
+        """Of all words, some at a time: the trigrams' embeddings of many words are large."""
+        return np.concatenate([self.inputs(own[i : i + step], grams[i : i + step])[0] @ self.p["w"] + self.p["b"] for i in range(0, max(1, len(own)), step)])
 
     def logits(self, table: np.ndarray, rows: np.ndarray, mask: np.ndarray | None, keep: list | None = None) -> np.ndarray:
         """Of windows: rows (n x window) into table (words x 6 h); mask: 1 where there is a word. keep: gets what training needs."""
@@ -193,7 +194,8 @@ def trained(docs: list[str], labels: list[int], epochs: int = 10, batch: int = 1
         net.p["v"][:] = 0
         net.shift = -12.0 if not len(y) or y[0] == 0 else 12.0
         return net
-    words = [tokens(docs[i]) for i in order]
+    same: dict[str, str] = {}  # one object for each word, however often it occurs
+    words = [[same.setdefault(w, w) for w in tokens(docs[i])] for i in order]
     tune = np.zeros(len(y), dtype=bool)
     for label in (0, 1):
         tune[np.flatnonzero(y == label)[3::4]] = True

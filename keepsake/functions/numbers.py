@@ -11,6 +11,11 @@ def r4(x: Column) -> Column:
     return F.floor(x * 10000.0 + 0.5).cast("double") / 10000.0
 
 
+def settled(x: Column) -> Column:
+    """For figures that two engines add up in different orders: what ends in 5 but for the last bits goes up in both."""
+    return F.floor(x * 10000.0 + 0.500001).cast("double") / 10000.0
+
+
 def unit(x: Column) -> Column:
     """Into [0, 1]; null and non-finite values are 0."""
     x = x.cast("double")

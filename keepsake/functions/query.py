@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import unit
-from .text import literals, trimmed, words_of
+from .text import let, literals, trimmed, words_of
 
 #: Words that are no terms.
 STOPWORDS = tuple(
@@ -116,9 +116,13 @@ def is_chitchat(text: Column) -> Column:
 
 def key_terms(text: Column, most: int = 10) -> Column:
     """Distinct words of three letters and more that are no stopwords, then distinct pairs of neighbours among them."""
-    words = F.filter(words_of(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", "")), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(F.array_distinct(words), F.array_distinct(pairs)), 1, most)
+    usable = F.filter(words_of(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", "")), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
+
+    def terms(words: Column) -> Column:
+        pairs = F.slice(F.zip_with(words, F.slice(words, 2, 1_000_000), lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(F.lit(0), F.size(words) - 1))
+        return F.slice(F.concat(F.array_distinct(words), F.array_distinct(pairs)), 1, most)
+
+    return let(usable, terms)
 
 
 def phrase_terms(text: Column) -> Column:

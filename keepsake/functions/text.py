@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\n\r\f\x0B]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once a row: inside a lambda an expression is computed anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def each(text: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text)
 
@@ -238,20 +243,34 @@ def without_watermarks(text: Column) -> Column:
 
 
 def without_repeated_lines(text: Column, share: float = 0.2, longest: int = 120) -> Column:
-    """Drops lines of 3 to ``longest`` characters that occur three times and in that share of all lines at least."""
-    lines = lines_of(text)
-    trimmed_lines = F.transform(lines, trimmed)
-    least = F.greatest(F.lit(3), F.floor(F.size(lines) * share).cast("int"))
-    counted = F.transform(F.array_distinct(F.filter(trimmed_lines, lambda x: F.length(x).between(3, longest))), lambda x: F.struct(x.alias("line"), F.size(F.filter(trimmed_lines, lambda y: y == x)).alias("n")))
-    often = F.transform(F.filter(counted, lambda c: c["n"] >= least), lambda c: c["line"])
-    return F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, trimmed(x))), "\n")
+    """Drops lines of 3 to ``longest`` characters that occur three times and in that share of all lines at least.
+
+    Equal lines are neighbours once sorted, so one fold over them finds the frequent ones."""
+
+    def frequent(lines: Column) -> Column:
+        usable = F.array_sort(F.filter(F.transform(lines, trimmed), lambda x: F.length(x).between(3, longest)))
+        least = F.greatest(F.lit(3), F.floor(F.size(lines) * share).cast("int"))
+        start = F.struct(F.lit("").alias("line"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("often"))
+
+        def step(s: Column, x: Column) -> Column:
+            n = F.when(s["line"] == x, s["n"] + 1).otherwise(1)
+            return F.struct(x.alias("line"), n.alias("n"), F.when(n == s["least"], F.concat(s["often"], F.array(x))).otherwise(s["often"]).alias("often"), s["least"].alias("least"))
+
+        return F.aggregate(usable, F.struct(start["line"].alias("line"), start["n"].alias("n"), start["often"].alias("often"), least.alias("least")), step)["often"]
+
+    return let(lines_of(text), lambda lines: let(frequent(lines), lambda often: F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, trimmed(x))), "\n")))
 
 
 def without_back_matter(text: Column) -> Column:
     """Cut before the last line of the second half that is a heading of references or an index."""
-    lines = F.transform(F.sequence(F.lit(0), F.size(lines_of(text)) - 1), lambda i: F.struct(i.alias("i"), lines_of(text)[i].alias("line")))
-    heads = F.filter(lines, lambda x: (x["i"] >= F.size(lines_of(text)) / 2) & trimmed(x["line"]).rlike(r"(?i)^(?:[0-9]+\.?\s*)?(?:references|bibliography|works cited|index)$"))
-    return F.when(F.size(heads) > 0, F.array_join(F.slice(lines_of(text), F.lit(1), F.element_at(heads, -1)["i"]), "\n")).otherwise(text)
+
+    def cut(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line")))
+        late = F.slice(numbered, F.floor(F.size(lines) / 2).cast("int") + 1, F.size(lines))
+        heads = F.filter(late, lambda x: trimmed(x["line"]).rlike(r"(?i)^(?:[0-9]+\.?\s*)?(?:references|bibliography|works cited|index)$"))
+        return let(heads, lambda h: F.when(F.size(h) > 0, F.array_join(F.slice(lines, F.lit(1), F.element_at(h, -1)["i"]), "\n")).otherwise(F.array_join(lines, "\n")))
+
+    return let(lines_of(text), cut)
 
 
 def clean_text(text: Column) -> Column:
@@ -312,11 +331,15 @@ def letters(word: Column) -> Column:
 def is_fragment(label: Column) -> Column:
     """A label that is a piece of a sentence rather than a name."""
     t = trimmed(label)
-    words = words_of(t)
-    bare = F.transform(words, letters)
-    n = F.size(words)
-    verb = F.arrays_overlap(bare, literals(FRAGMENT_VERBS))
-    return (F.length(t) < 3) | (F.length(t) > 80) | (n > 6) | t.rlike(r"[!?;]|,\s|\.\s") | F.coalesce(F.try_element_at(bare, F.lit(-1)).isin(*CONNECTORS), F.lit(False)) | (t.rlike(r"(?i)^(it|this|that|these|those|there|here|they|we|you|he|she)\s+") & (n >= 3)) | (verb & (n >= 3)) | ((n == 1) & bare[0].isin(*GENERIC_WORDS))
+
+    def of_words(bare: Column) -> Column:
+        n = F.size(bare)
+        ends = F.coalesce(F.try_element_at(bare, F.lit(-1)).isin(*CONNECTORS), F.lit(False))
+        verb = F.arrays_overlap(bare, literals(FRAGMENT_VERBS)) & (n >= 3)
+        leads = t.rlike(r"(?i)^(it|this|that|these|those|there|here|they|we|you|he|she)\s+") & (n >= 3)
+        return (n > 6) | ends | leads | verb | ((n == 1) & bare[0].isin(*GENERIC_WORDS))
+
+    return (F.length(t) < 3) | (F.length(t) > 80) | t.rlike(r"[!?;]|,\s|\.\s") | let(F.transform(words_of(t), letters), of_words)
 
 
 def content_words(text: Column) -> Column:
@@ -329,16 +352,19 @@ def stem(word: Column) -> Column:
 
 def restates(label: Column, definition: Column) -> Column:
     """A definition that says little beyond its label."""
-    lab, words = content_words(label), content_words(definition)
-    fresh = F.size(F.filter(words, lambda w: ~F.array_contains(lab, w)))
-    shared = F.size(F.filter(lab, lambda w: F.array_contains(words, w)))
-    overlap = F.when(F.size(lab) > 0, shared / F.size(lab)).otherwise(0.0)
-    wrapped = F.regexp_extract(trimmed(definition), r"(?i)^(?:the\s+)?(?:process|act|practice|concept|idea|system|method|notion)\s+of\s+([a-z]+)", 1)
-    root = stem(wrapped)
-    same = F.contains(F.array_join(lab, ""), root) | F.exists(lab, lambda w: F.startswith(w, root) | F.startswith(root, F.substring(w, 1, 4)) | (stem(w) == root))
+    root = stem(F.regexp_extract(trimmed(definition), r"(?i)^(?:the\s+)?(?:process|act|practice|concept|idea|system|method|notion)\s+of\s+([a-z]+)", 1))
     low, whole = trimmed(F.lower(label)), F.lower(definition)
     copied = (F.length(low) >= 4) & ((whole == low) | (F.contains(whole, low) & (F.length(whole) < 4 * F.length(low))))
-    return (F.size(words) == 0) | (fresh < 3) | ((overlap >= 0.5) & (fresh < 4)) | ((F.length(root) >= 3) & same) | copied
+
+    def compared(both: Column) -> Column:
+        lab, words, r = both["label"], both["words"], both["root"]
+        fresh = F.size(F.filter(words, lambda w: ~F.array_contains(lab, w)))
+        shared = F.size(F.filter(lab, lambda w: F.array_contains(words, w)))
+        overlap = F.when(F.size(lab) > 0, shared / F.size(lab)).otherwise(0.0)
+        same = F.contains(F.array_join(lab, ""), r) | F.exists(lab, lambda w: F.startswith(w, r) | F.startswith(r, F.substring(w, 1, 4)) | (stem(w) == r))
+        return (F.size(words) == 0) | (fresh < 3) | ((overlap >= 0.5) & (fresh < 4)) | ((F.length(r) >= 3) & same)
+
+    return let(F.struct(content_words(label).alias("label"), content_words(definition).alias("words"), root.alias("root")), compared) | copied
 
 
 def is_low_quality(label: Column, definition: Column) -> Column:

@@ -19,14 +19,14 @@ TEXTS = T.ArrayType(T.StringType())
 SECTIONS = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
-def cut_with(cutter: Callable[[str], list], kind: T.DataType, *columns: Column, apart: bool = False) -> Column:
-    """The cutter's result for each text; null is empty. apart: not to be merged with expressions over the result."""
+def cut_with(cutter: Callable[[str], list], kind: T.DataType, *columns: Column) -> Column:
+    """The cutter's result for each text; null is empty."""
 
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(cutter)
 
-    return (run.asNondeterministic() if apart else run)(*columns)
+    return run(*columns)
 
 
 def tokens(text: str, light: bool = False) -> int:
@@ -222,5 +222,11 @@ def joined_lines(text: str) -> str:
     return "\n".join(out)
 
 
-def with_joined_lines(text: Column) -> Column:
-    return cut_with(joined_lines, T.StringType(), text, apart=True)
+def with_joined_lines(df: DataFrame, column: str) -> DataFrame:
+    """The rows with the lines of a column joined."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(**{column: rows[column].fillna("").map(joined_lines)})
+
+    return df.mapInPandas(run, df.schema)

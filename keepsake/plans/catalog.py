@@ -32,6 +32,10 @@ def r4(x: str) -> str:
     return f"(floor(({x}) * 10000.0 + 0.5) / 10000.0)"
 
 
+def settled(x: str) -> str:
+    return f"(floor(({x}) * 10000.0 + 0.500001) / 10000.0)"
+
+
 def unit(x: str) -> str:
     return f"least(greatest(CAST({x} AS DOUBLE), 0.0), 1.0)"
 

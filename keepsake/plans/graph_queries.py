@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import r4
+from ..functions.numbers import settled as r4
 from ..functions.text import normalize_key, normalize_label
 from ..operators import correlate, cortex, graph, merge, scan
 from ..schema import AS_OF
 from .catalog import CURRENT, HALVES, cosine, query, tier, unit
-from .catalog import r4 as sql_r4
+from .catalog import settled as sql_r4
 
 
 def rounded(df, *names):

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import r4
+from ..functions.numbers import settled as r4
 from ..functions.text import normalize_key, preview
 from ..operators import cortex, knn, merge, scan, search
 from ..schema import AS_OF
 from .catalog import cosine, query
-from .catalog import r4 as sql_r4
+from .catalog import settled as sql_r4
 
 
 @query("bucket_list_filtered", "SELECT bucket_id, canonical, concept_type, strength FROM m_buckets WHERE user_id = 1 AND concept_type = 'fact' AND strength >= 0.3 AND strength <= 0.9 ORDER BY last_accessed DESC, bucket_id LIMIT 20 OFFSET 2")

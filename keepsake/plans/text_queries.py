@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import query as ask
 from ..functions import text, vector
-from ..functions.numbers import r4
+from ..functions.numbers import settled as r4
 from ..operators import scoring, segment
 from ..schema import AS_OF
 from ..sources import conversations, formats, store
 from . import ingest, retrieve
 from .catalog import AS_OF_SQL, query
-from .catalog import r4 as sql_r4
+from .catalog import settled as sql_r4
 
 TEXT = F.col("content")
 WORDS = r"list_filter(regexp_split_to_array(content, '[ \t\n\r\f\v]+'), lambda w: w <> '')"
@@ -111,9 +111,8 @@ def _(t):
 
 @query("pdf_text_clean")
 def _(t):
-    lines = t.documents.withColumn("lines", text.dehyphenated(text.without_noise(text.without_repeated_lines(text.plain_characters(TEXT)))))
-    joined = lines.withColumn("joined", segment.with_joined_lines(F.col("lines")))
-    return joined.select("document_id", F.sha2(text.tidy_white_space(F.col("joined")).cast("binary"), 256).alias("digest"), F.sha2(text.without_back_matter(TEXT).cast("binary"), 256).alias("front"))
+    lines = of_documents(t, front=F.sha2(text.without_back_matter(TEXT).cast("binary"), 256), lines=text.dehyphenated(text.without_noise(text.without_repeated_lines(text.plain_characters(TEXT)))))
+    return segment.with_joined_lines(lines, "lines").select("document_id", F.sha2(text.tidy_white_space(F.col("lines")).cast("binary"), 256).alias("digest"), "front")
 
 
 @query("fixed_window_chunks", "WITH s AS (SELECT document_id, unnest(range(0, length(content), 1300)) AS pos, content FROM m_documents WHERE length(content) > 0), c AS (SELECT document_id, pos, trim(substr(content, CAST(pos + 1 AS BIGINT), 1500), ' ') AS chunk FROM s) SELECT document_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM c WHERE length(chunk) > 30 GROUP BY 1")

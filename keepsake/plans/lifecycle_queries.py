@@ -12,8 +12,6 @@ from ..streaming import reinforce, reminders, sessions
 from .catalog import AS_OF_SQL, CURRENT, DAYS, query, tier, unit
 from .catalog import r4 as sql_r4
 
-AT = F.lit(AS_OF)
-
 
 @query("current_strength", f"SELECT bucket_id, CAST({CURRENT} AS DOUBLE) AS strength, {tier(CURRENT)} AS tier FROM m_buckets")
 def _(t):
@@ -100,7 +98,7 @@ def _(t):
 
 @query("reminders_due", f"WITH c AS ({CRITICAL}), g AS (SELECT user_id, list(canonical ORDER BY n) AS names, string_agg(CAST(bucket_id AS VARCHAR), ',' ORDER BY n) AS memories FROM c GROUP BY 1) SELECT user_id, memories, 'You haven''t discussed ' || CASE WHEN len(names) > 1 THEN array_to_string(names[1:-2], ', ') || ' and ' || names[-1] ELSE names[1] END || ' recently. ' || len(names) || CASE WHEN len(names) = 1 THEN ' key memory is' ELSE ' key memories are' END || ' fading. Should I keep them active?' AS message FROM g WHERE user_id <> 0")
 def _(t):
-    sent = t.users.filter("user_id = 0").select("user_id", (AT - F.expr("INTERVAL 3 HOURS")).alias("created_at"))
+    sent = t.users.filter("user_id = 0").select("user_id", (F.lit(AS_OF) - F.expr("INTERVAL 3 HOURS")).alias("created_at"))
     return lifecycle.reminders(t.buckets, sent, AS_OF).select("user_id", F.array_join(F.transform("memories", lambda x: x.cast("string")), ",").alias("memories"), "message")
 
 

@@ -14,7 +14,12 @@ from . import ingest, retrieve
 from .catalog import AS_OF_SQL, query
 from .catalog import settled as sql_r4
 
-TEXT = F.col("content")
+
+def body():
+    """The text of a document or message."""
+    return F.col("content")
+
+
 WORDS = r"list_filter(regexp_split_to_array(content, '[ \t\n\r\f\v]+'), lambda w: w <> '')"
 
 
@@ -24,12 +29,12 @@ def of_documents(t, **columns):
 
 @query("word_counts", rf"SELECT document_id, CAST(len({WORDS}) AS BIGINT) AS words, CAST(len(list_filter(regexp_split_to_array(content, '\n[ \t\n\r\f\v]*\n'), lambda p: regexp_matches(p, '[^ \t\n\r\f\v]'))) AS BIGINT) AS paragraphs FROM m_documents")
 def _(t):
-    return of_documents(t, words=text.word_count(TEXT), paragraphs=text.paragraph_count(TEXT))
+    return of_documents(t, words=text.word_count(body()), paragraphs=text.paragraph_count(body()))
 
 
 @query("token_estimate", f"SELECT document_id, CAST(coalesce(list_sum(list_transform({WORDS}, lambda w: 1 + CASE WHEN length(w) > 6 THEN length(w) // 4 ELSE 0 END + CASE WHEN length(w) > 12 THEN 1 ELSE 0 END)), 0) AS BIGINT) AS tokens, CAST(coalesce(list_sum(list_transform({WORDS}, lambda w: 1 + CASE WHEN length(w) > 6 THEN length(w) // 4 - 1 ELSE 0 END)), 0) AS BIGINT) AS light FROM m_documents")
 def _(t):
-    return of_documents(t, tokens=text.token_estimate(TEXT), light=text.token_estimate_light(TEXT))
+    return of_documents(t, tokens=text.token_estimate(body()), light=text.token_estimate_light(body()))
 
 
 def of_language(words: str) -> str:
@@ -38,17 +43,17 @@ def of_language(words: str) -> str:
 
 @query("language_detect", r"WITH w AS (SELECT document_id, regexp_split_to_array(lower(substr(content, 1, 2000)), '[ \t\n\r\f\v]+') AS ws FROM m_documents), s AS (SELECT document_id, " + ", ".join(f"{of_language(ws)} AS {k}" for k, ws in text.LANGUAGE_WORDS.items()) + " FROM w) SELECT document_id, CASE greatest(en, es, fr, de) WHEN en THEN 'en' WHEN es THEN 'es' WHEN fr THEN 'fr' ELSE 'de' END AS language FROM s")
 def _(t):
-    return of_documents(t, language=text.detect_language(TEXT))
+    return of_documents(t, language=text.detect_language(body()))
 
 
 @query("structure_flags")
 def _(t):
-    return of_documents(t, **text.structure_flags(TEXT), citations=text.citation_count(TEXT))
+    return of_documents(t, **text.structure_flags(body()), citations=text.citation_count(body()))
 
 
 @query("concept_counts_asked", f"SELECT document_id, CAST(CASE WHEN n < 500 THEN 1 WHEN n < 3000 THEN 3 ELSE 10 END AS INT) AS required, CAST(least(greatest(floor(n / 350.0 + 0.5), 3), 12) AS INT) AS target FROM (SELECT document_id, len({WORDS}) AS n FROM m_documents)")
 def _(t):
-    return of_documents(t, required=text.required_concepts(text.word_count(TEXT)), target=text.target_concepts(text.word_count(TEXT)))
+    return of_documents(t, required=text.required_concepts(text.word_count(body())), target=text.target_concepts(text.word_count(body())))
 
 
 def duck(step: tuple[str, str], inner: str) -> str:
@@ -66,12 +71,12 @@ def cleaned_sql() -> str:
 
 @query("markdown_clean", f"SELECT message_id, sha256({cleaned_sql()}) AS digest FROM m_messages")
 def _(t):
-    return t.messages.select("message_id", F.sha2(text.clean_message(TEXT).cast("binary"), 256).alias("digest"))
+    return t.messages.select("message_id", F.sha2(text.clean_message(body()).cast("binary"), 256).alias("digest"))
 
 
 @query("document_clean")
 def _(t):
-    return of_documents(t, digest=F.sha2(text.clean_document(TEXT, True).cast("binary"), 256), plain=F.sha2(text.clean_text(TEXT).cast("binary"), 256))
+    return of_documents(t, digest=F.sha2(text.clean_document(body(), True).cast("binary"), 256), plain=F.sha2(text.clean_text(body()).cast("binary"), 256))
 
 
 HTML = [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"(?i)</(div|li|tr)>", "\n"), (r"(?i)</td>", " | "), (r"<[^>]+>", ""), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), (r"\n{3,}", "\n\n")]
@@ -101,23 +106,23 @@ t AS (SELECT *, regexp_replace(line, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')
 c AS (SELECT *, count(*) OVER (PARTITION BY document_id, bare) AS k FROM t)
 SELECT d.document_id, sha256(coalesce(k.rest, '')) AS digest FROM m_documents d LEFT JOIN (SELECT document_id, string_agg(line, chr(10) ORDER BY i) AS rest FROM c WHERE NOT (length(bare) BETWEEN 3 AND 120 AND k >= greatest(3, CAST(floor(n * 0.2) AS INT))) GROUP BY 1) k ON k.document_id = d.document_id""")
 def _(t):
-    return of_documents(t, digest=F.sha2(text.without_repeated_lines(TEXT).cast("binary"), 256))
+    return of_documents(t, digest=F.sha2(text.without_repeated_lines(body()).cast("binary"), 256))
 
 
 @query("noise_line_filter")
 def _(t):
-    return of_documents(t, kept=F.size(text.lines_of(text.without_noise(TEXT))), unmarked=F.size(text.lines_of(text.without_watermarks(text.without_page_numbers(TEXT)))))
+    return of_documents(t, kept=F.size(text.lines_of(text.without_noise(body()))), unmarked=F.size(text.lines_of(text.without_watermarks(text.without_page_numbers(body())))))
 
 
 @query("pdf_text_clean")
 def _(t):
-    lines = of_documents(t, front=F.sha2(text.without_back_matter(TEXT).cast("binary"), 256), lines=text.dehyphenated(text.without_noise(text.without_repeated_lines(text.plain_characters(TEXT)))))
+    lines = of_documents(t, front=F.sha2(text.without_back_matter(body()).cast("binary"), 256), lines=text.dehyphenated(text.without_noise(text.without_repeated_lines(text.plain_characters(body())))))
     return segment.with_joined_lines(lines, "lines").select("document_id", F.sha2(text.tidy_white_space(F.col("lines")).cast("binary"), 256).alias("digest"), "front")
 
 
 @query("fixed_window_chunks", "WITH s AS (SELECT document_id, unnest(range(0, length(content), 1300)) AS pos, content FROM m_documents WHERE length(content) > 0), c AS (SELECT document_id, pos, trim(substr(content, CAST(pos + 1 AS BIGINT), 1500), ' ') AS chunk FROM s) SELECT document_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM c WHERE length(chunk) > 30 GROUP BY 1")
 def _(t):
-    rows = t.documents.select("document_id", F.explode(text.window_chunks(TEXT)).alias("chunk"))
+    rows = t.documents.select("document_id", F.explode(text.window_chunks(body())).alias("chunk"))
     return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).cast("long").alias("characters"))
 
 
@@ -148,17 +153,17 @@ def _(t):
 
 @query("domain_classify")
 def _(t):
-    return of_documents(t, domain=text.content_domain(TEXT, F.col("filename")), field=text.field_type(TEXT, F.col("filename")))
+    return of_documents(t, domain=text.content_domain(body(), F.col("filename")), field=text.field_type(body(), F.col("filename")))
 
 
 @query("embedding_text_cut", "SELECT document_id, length(content) <= 200 AS whole FROM m_documents")
 def _(t):
-    return of_documents(t, whole=F.length(text.cut_at_boundary(TEXT, 200)) == F.length(TEXT))
+    return of_documents(t, whole=F.length(text.cut_at_boundary(body(), 200)) == F.length(body()))
 
 
 @query("content_digest", "SELECT document_id, sha256(content) AS digest FROM m_documents")
 def _(t):
-    return of_documents(t, digest=F.sha2(TEXT.cast("binary"), 256))
+    return of_documents(t, digest=F.sha2(body().cast("binary"), 256))
 
 
 @query("concept_quality_filter")
@@ -202,22 +207,22 @@ def _(t):
 
 @query("query_key_terms")
 def _(t):
-    return t.messages.select("message_id", F.array_join(ask.key_terms(TEXT), "|").alias("terms"), F.array_join(ask.search_terms(ask.key_terms(TEXT)), "|").alias("search_terms"), F.array_join(ask.target_terms(TEXT), "|").alias("targets"))
+    return t.messages.select("message_id", F.array_join(ask.key_terms(body()), "|").alias("terms"), F.array_join(ask.search_terms(ask.key_terms(body())), "|").alias("search_terms"), F.array_join(ask.target_terms(body()), "|").alias("targets"))
 
 
 @query("query_intent", "SELECT message_id, CASE " + " ".join(f"WHEN " + " OR ".join(f"starts_with(low, '{w}') OR contains(low, ' {w} ')" for w in ws) + f" THEN '{k}'" for k, ws in ask.INTENTS.items()) + r" WHEN ends_with(low, '?') THEN 'explore' ELSE 'recall' END AS intent FROM (SELECT message_id, regexp_replace(lower(content), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS low FROM m_messages WHERE length(content) > 60)")
 def _(t):
-    return t.messages.filter(F.length("content") > 60).select("message_id", ask.intent(TEXT).alias("intent"))
+    return t.messages.filter(F.length("content") > 60).select("message_id", ask.intent(body()).alias("intent"))
 
 
 @query("query_specificity")
 def _(t):
-    return t.messages.select("message_id", r4(ask.specificity(TEXT)).alias("specificity"), ask.query_domain(TEXT).alias("domain"), ask.is_follow_up(TEXT).alias("follow_up"))
+    return t.messages.select("message_id", r4(ask.specificity(body())).alias("specificity"), ask.query_domain(body()).alias("domain"), ask.is_follow_up(body()).alias("follow_up"))
 
 
 @query("reply_signs")
 def _(t):
-    signs = ask.reply_signs(TEXT)
+    signs = ask.reply_signs(body())
     return t.messages.filter("role = 'assistant'").select("message_id", *(F.array_join(c, "|").alias(k) if k in ("hints", "topics") else c.alias(k) for k, c in signs.items()))
 
 
@@ -348,7 +353,7 @@ def _(t):
 @query("sealed_round_trip", "SELECT document_id, true AS same FROM m_documents")
 def _(t):
     key = F.lit(b"0123456789abcdef0123456789abcdef")
-    return of_documents(t, same=store.opened(store.sealed(TEXT, key), key) == TEXT)
+    return of_documents(t, same=store.opened(store.sealed(body(), key), key) == body())
 
 
 @query("vector_math", f"WITH p AS (SELECT a.bucket_id, a.embedding AS a, b.embedding AS b FROM m_embeddings a JOIN m_embeddings b ON b.bucket_id = a.bucket_id + 1), z AS (SELECT bucket_id, list_zip(a, b) AS z FROM p) SELECT bucket_id, CAST({sql_r4('sqrt(list_sum(list_transform(z, lambda p: (p[1] - p[2]) * (p[1] - p[2]))))')} AS DOUBLE) AS euclidean, CAST({sql_r4('list_sum(list_transform(z, lambda p: abs(p[1] - p[2])))')} AS DOUBLE) AS manhattan, CAST({sql_r4('list_sum(list_transform(z, lambda p: p[1] * p[2]))')} AS DOUBLE) AS dot FROM z")

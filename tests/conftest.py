@@ -14,5 +14,8 @@ def spark():
 
     session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    import keepsake
+
+    keepsake.attach(session)
     yield session
     session.stop()

@@ -236,3 +236,37 @@ def reply_signs(text: Column) -> dict[str, Column]:
 
 def is_follow_up(text: Column) -> Column:
     return text.rlike(r"(?i)\b(it|this|that|these|the document|the paper|the file|the book|again|more|overview|summary|summarize|read)\b")
+
+
+#: Pleasantries of up to 48 and questions about the assistant of up to 60 characters.
+PLEASANTRY = r"(?i)^\s*(hi|hello|hey|howdy|yo|sup|hiya|hola|hey\s+there|hello\s+there|good\s+(morning|afternoon|evening|night)|how\s+are\s+(you|ya|things|u)|how('?s| is)\s+it\s+going|what'?s\s+up|what'?s\s+good|thanks|thank\s+you|thanku|thx|ty|cheers|appreciate\s+it|bye|goodbye|see\s+(ya|you)|later|ciao|take\s+care|ok|okay|k|cool|got\s+it|gotcha|understood|nice|great|awesome|sweet|perfect|sure|yep|yeah|nope|no)\b[^a-z0-9]{0,8}$"
+ABOUT_ASSISTANT = r"(?i)^\s*(who\s+are\s+you|what\s+are\s+you|what\s+can\s+you\s+do|what\s+do\s+you\s+do|what\s+are\s+you\s+good\s+at|how\s+do\s+i\s+(start|begin|use\s+this)|help\s+me\s+get\s+started|help)\b[^a-z0-9]{0,10}$"
+
+
+def is_small_talk(text: Column) -> Column:
+    t = trimmed(text)
+    return (F.length(t).between(1, 48) & t.rlike(PLEASANTRY)) | (F.length(t).between(1, 60) & t.rlike(ABOUT_ASSISTANT))
+
+
+REPLY = "keyTerms array<string>, expandedTerms array<string>, preferredTypes array<string>, intent string, domain string, specificity double, isAbstractQuery boolean, documentScoped boolean"
+
+
+def overlaid(analysis, reply: str = "reply"):
+    """An analysis with a model's reply (JSON text) laid over it: terms of both, and its other answers where they are valid; a reply that isn't JSON changes nothing."""
+    m = F.from_json(reply, REPLY)
+    none = F.array().cast("array<string>")
+    usable = lambda own, old, most: F.slice(F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(own, none), old), lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^a-z0-9\s-]", ""), r"\s+", " "))), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS))), 1, most)
+    either = lambda new, old: F.when(F.size(new) > 0, new).otherwise(old)
+    types = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(m["preferredTypes"], none), lambda x: F.trim(F.lower(x))), lambda x: x.isin(*TYPE_WORDS))), 1, 4)
+    abstract = F.col("is_abstract") | F.coalesce(m["isAbstractQuery"], F.lit(False))
+    specific = F.when(m["specificity"].isNotNull(), unit(m["specificity"])).otherwise(F.col("specificity"))
+    return analysis.withColumns({
+        "key_terms": either(usable(m["keyTerms"], F.col("key_terms"), 12), F.col("key_terms")),
+        "expanded_terms": either(usable(m["expandedTerms"], F.col("expanded_terms"), 8), F.col("expanded_terms")),
+        "intent": F.when(m["intent"].isin(*INTENTS), m["intent"]).otherwise(F.col("intent")),
+        "domain": F.when(F.length(F.trim(m["domain"])) > 0, m["domain"]).otherwise(F.col("domain")),
+        "preferred_types": either(types, F.col("preferred_types")),
+        "specificity": F.when(abstract, F.least(specific, F.lit(0.45))).otherwise(specific),
+        "is_abstract": abstract,
+        "document_scoped": F.col("document_scoped") | F.coalesce(m["documentScoped"], F.lit(False)),
+    })

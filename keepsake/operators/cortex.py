@@ -124,3 +124,37 @@ def rates(results: DataFrame) -> DataFrame:
     """Ingestion results added up, with their rates."""
     total = results.agg(*(F.sum(c).cast("long").alias(c) for c in ("chunks", "concepts", "created", "merged", "failed")))
     return total.withColumn("concepts_per_chunk", ratio(F.col("concepts"), F.col("chunks"))).withColumn("created_rate", ratio(F.col("created"), F.col("concepts"))).withColumn("success_rate", ratio(F.col("chunks") - F.col("failed"), F.col("chunks")))
+
+
+def view(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, show: str = "all", cross_domain: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What a view of the map shows: concepts of some types, all or only linked ones or islands, and edges between them; nodes have bucket_id, concept_type, degree and domain."""
+    kept = nodes.filter(F.col("concept_type").isin(types)) if types else nodes
+    kept = kept.filter({"all": F.lit(True), "linked": F.col("degree") > 0, "islands": F.col("degree") == 0}[show])
+    end = lambda side: kept.select(F.col("bucket_id").alias(f"{side}_bucket_id"), F.col("domain").alias(f"{side}_domain"))
+    shown = edges.join(end("source"), "source_bucket_id").join(end("target"), "target_bucket_id")
+    return kept, shown if cross_domain else shown.filter(F.col("source_domain").eqNullSafe(F.col("target_domain")))
+
+
+def most_frequent_document(selected: DataFrame) -> DataFrame:
+    """For each question the document most of its selection comes from; the one that came first at a tie."""
+    grouped = selected.filter(F.col("document_id").isNotNull()).groupBy("question_id", "document_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+    return grouped.groupBy("question_id").agg(F.max_by("document_id", F.struct("n", -F.col("first"))).alias("document_id"))
+
+
+def node_importance(concepts):
+    """Size class of a domain or document node."""
+    return F.least(F.greatest(F.floor(concepts / 6 + 0.5) + 3, F.lit(3)), F.lit(10)).cast("int")
+
+
+def node_radius(importance):
+    return 18 + 3.5 * importance
+
+
+def detail(buckets: DataFrame, items: DataFrame, edges: DataFrame, bucket_id: int, as_of: datetime, days: int = 30) -> DataFrame:
+    """One memory with its evidence, neighbours, connectivity, foreign documents and the course of its strength."""
+    own = lifecycle.with_current(buckets.filter(F.col("bucket_id") == bucket_id), as_of)
+    evidence = items.filter(F.col("bucket_id") == bucket_id).groupBy("bucket_id").agg(F.sort_array(F.collect_list(F.struct("item_ts", "item_id", "label", "definition"))).alias("items"))
+    touching = edges.filter((F.col("source_bucket_id") == bucket_id) | (F.col("target_bucket_id") == bucket_id))
+    near = graph.neighbours(touching, buckets, bucket_id).groupBy().agg(F.sort_array(F.collect_list(F.struct("other_id", "canonical", "relation_type", "confidence", "direction"))).alias("neighbours")).withColumn("bucket_id", F.lit(bucket_id).cast("long"))
+    linked = graph.memory_connectivity(touching, buckets).filter(F.col("bucket_id") == bucket_id).select("bucket_id", F.col("score").alias("connectivity"), F.col("documents").alias("foreign_documents"))
+    return own.withColumn("curve", decay.curve(F.col("strength"), F.col("decay_rate"), days)).join(evidence, "bucket_id", "left").join(near, "bucket_id", "left").join(linked, "bucket_id", "left")

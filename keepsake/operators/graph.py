@@ -182,3 +182,24 @@ def labels_to_ids(labels: DataFrame, buckets: DataFrame) -> DataFrame:
 def extraction_edges(concepts: DataFrame, confidence: float = 0.65) -> DataFrame:
     """Edges from concepts (bucket_id, related ids) to what they name."""
     return concepts.select(F.col("bucket_id").alias("source_bucket_id"), F.explode("related_ids").alias("target_bucket_id")).filter("source_bucket_id <> target_bucket_id").distinct().select("source_bucket_id", "target_bucket_id", F.lit("related_to").alias("relation_type"), F.lit(confidence).alias("confidence"), F.lit("extraction").alias("method"))
+
+
+def resolved(edges_by_name: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Exported edges (source, target as text) with the memories they mean: by id, else by name without regard to case; both ends are needed.
+
+    Names are reduced to their smallest id before they are joined."""
+    ids = buckets.select(F.col("bucket_id").cast("string").alias("k"), F.col("bucket_id").alias("v"))
+    names = buckets.groupBy(F.lower("canonical").alias("k")).agg(F.min("bucket_id").alias("v"))
+    out = edges_by_name
+    for side in ("source", "target"):
+        out = out.join(ids.select(F.col("k").alias(side), F.col("v").alias(f"{side}_by_id")), side, "left").withColumn("__low", F.lower(side)).join(names.select(F.col("k").alias("__low"), F.col("v").alias(f"{side}_by_name")), "__low", "left").drop("__low")
+        out = out.withColumn(f"{side}_bucket_id", F.coalesce(f"{side}_by_id", f"{side}_by_name")).drop(f"{side}_by_id", f"{side}_by_name")
+    return out.filter(F.col("source_bucket_id").isNotNull() & F.col("target_bucket_id").isNotNull())
+
+
+def clean_metadata(metadata: Column) -> Column:
+    """Of JSON text: method, similarity in [0, 1], documents and evidence of at most 1,000 characters; empty ones left out."""
+    m = F.from_json(metadata, "method string, similarity double, sourceDocumentId string, targetDocumentId string, evidence string")
+    given = lambda x: F.nullif(x, F.lit(""))
+    similar = F.when(m["similarity"].isNotNull() & ~F.isnan(m["similarity"]), unit(m["similarity"]))
+    return F.struct(given(m["method"]).alias("method"), similar.alias("similarity"), given(m["sourceDocumentId"]).alias("source_document_id"), given(m["targetDocumentId"]).alias("target_document_id"), F.substring(given(m["evidence"]), 1, 1000).alias("evidence"))

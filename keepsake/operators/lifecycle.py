@@ -151,3 +151,25 @@ def latest_state(changes: DataFrame) -> DataFrame:
     progress = F.create_map(*(F.lit(x) for pair in PROGRESS.items() for x in pair))
     status = F.when(F.col("stage").isin("queued", "complete", "failed"), F.col("stage")).otherwise("processing")
     return newest.select("job_id", "stage", status.alias("status"), progress[F.col("stage")].alias("progress"), "at")
+
+
+def active_reminders(reminders_: DataFrame, user_id: int, every: bool = False) -> DataFrame:
+    """A tenant's reminders, newest first; only active ones unless every one is asked for."""
+    own = reminders_.filter(F.col("user_id") == user_id)
+    return (own if every else own.filter("active")).orderBy(F.desc("created_at"), F.desc("reminder_id"))
+
+
+def open_contradictions(found: DataFrame, user_id: int) -> DataFrame:
+    return found.filter((F.col("user_id") == user_id) & ~F.coalesce(F.col("resolved"), F.lit(False)))
+
+
+PAYLOAD = "connections struct<exactMerges:double,semanticConnections:double,crossDocumentConnections:double,strongConnections:double,connectionScore:double>, warnings array<string>"
+
+
+def job_payload(result: Column) -> Column:
+    """A job's result (JSON text) with counts of 0 or more, a score in [0, 1] and no null warnings."""
+    from ..functions.numbers import non_negative, unit
+
+    c = F.from_json(result, PAYLOAD)
+    counts = [non_negative(c["connections"][name]).alias(name) for name in ("exactMerges", "semanticConnections", "crossDocumentConnections", "strongConnections")]
+    return F.struct(*counts, unit(c["connections"]["connectionScore"]).alias("connectionScore"), F.filter(F.coalesce(c["warnings"], F.array().cast("array<string>")), lambda w: w.isNotNull()).alias("warnings"))

@@ -165,3 +165,15 @@ def title_match(documents: DataFrame, question: str) -> DataFrame:
     best = documents.withColumn("score", score).filter(F.col("score") >= 2.5).orderBy(F.desc("score"), F.length("filename"), "document_id").limit(2)
     second = F.lead("score").over(Window.orderBy(F.desc("score"), F.length("filename"), "document_id"))  # over two rows
     return best.withColumn("second", second).withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), F.length("filename"), "document_id"))).filter((F.col("n") == 1) & (F.col("second").isNull() | (F.col("second") < F.col("score") - 1))).select("document_id", "filename", "score")
+
+
+def available(ranked: DataFrame, chosen: DataFrame, most: int = 8) -> DataFrame:
+    """What was found for a question but not chosen, the best first."""
+    rest = ranked.join(chosen.select("question_id", "bucket_id"), ["question_id", "bucket_id"], "left_anti")
+    return rest.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))).filter(F.col("n") <= most)
+
+
+def serverless_selection(ranked: DataFrame, budget: int) -> DataFrame:
+    """Sources held to their share, then by type and relevance."""
+    kept = source_capped(ranked, budget)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(type_order(F.col("concept_type")), "rank")))

@@ -278,3 +278,34 @@ def _(t):
 @query("key_collisions")
 def _(t):
     return t.buckets.groupBy(normalize_key(F.col("canonical")).alias("normalized")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query("export_edge_resolution", "WITH x AS (SELECT CASE WHEN e.source_bucket_id % 2 = 0 THEN CAST(e.source_bucket_id AS VARCHAR) ELSE upper(a.canonical) END AS source, CAST(e.target_bucket_id AS VARCHAR) AS target, e.relation_type FROM m_edges e JOIN m_buckets a ON a.bucket_id = e.source_bucket_id), n AS (SELECT lower(canonical) AS k, min(bucket_id) AS v FROM m_buckets GROUP BY 1) SELECT x.*, coalesce(i.bucket_id, n.v) AS source_bucket_id, j.bucket_id AS target_bucket_id FROM x LEFT JOIN m_buckets i ON CAST(i.bucket_id AS VARCHAR) = x.source LEFT JOIN n ON n.k = lower(x.source) JOIN m_buckets j ON CAST(j.bucket_id AS VARCHAR) = x.target WHERE coalesce(i.bucket_id, n.v) IS NOT NULL")
+def _(t):
+    rows = scan.scoped_edges(t.edges, t.buckets).select(F.when(F.col("source_bucket_id") % 2 == 0, F.col("source_bucket_id").cast("string")).otherwise(F.upper("source_name")).alias("source"), F.col("target_bucket_id").cast("string").alias("target"), "relation_type")
+    return graph.resolved(rows, t.buckets)
+
+
+@query("graph_view", "WITH d AS (SELECT b.bucket_id, b.concept_type, count(h.a) AS degree FROM m_buckets b LEFT JOIN (SELECT source_bucket_id AS a FROM m_edges UNION ALL SELECT target_bucket_id FROM m_edges) h ON h.a = b.bucket_id GROUP BY 1, 2), k AS (SELECT *, bucket_id % 4 AS domain FROM d WHERE concept_type IN ('fact', 'code', 'entity') AND degree > 0) SELECT e.source_bucket_id, e.target_bucket_id, e.relation_type FROM m_edges e JOIN k a ON a.bucket_id = e.source_bucket_id JOIN k b ON b.bucket_id = e.target_bucket_id WHERE a.domain = b.domain")
+def _(t):
+    nodes = t.buckets.join(graph.degrees(t.edges, t.buckets), "bucket_id").withColumn("domain", F.col("bucket_id") % 4)
+    return cortex.view(nodes, t.edges, ["fact", "code", "entity"], "linked", cross_domain=False)[1].select("source_bucket_id", "target_bucket_id", "relation_type")
+
+
+@query("edge_metadata_clean", "SELECT bucket_id, CASE bucket_id % 3 WHEN 0 THEN 'vector' END AS method, CASE bucket_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 END::DOUBLE AS similarity FROM m_buckets")
+def _(t):
+    k = F.col("bucket_id") % 3
+    raw = F.when(k == 0, '{"method": "vector", "similarity": 3.5}').when(k == 1, '{"method": "", "similarity": 0.25, "evidence": ""}').otherwise("no json")
+    return t.buckets.select("bucket_id", graph.clean_metadata(raw).alias("m")).select("bucket_id", "m.method", "m.similarity")
+
+
+@query("memory_detail", f"WITH {HALVES} SELECT b.bucket_id, {d(CURRENT)} AS strength, (SELECT count(*) FROM m_items i WHERE i.bucket_id = b.bucket_id) AS items, (SELECT count(*) FROM near n WHERE n.bucket_id = b.bucket_id) AS neighbours, 31 AS points FROM m_buckets b WHERE b.bucket_id = 9")
+def _(t):
+    row = cortex.detail(t.buckets, t.items, t.edges, 9, AS_OF)
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(c)
+    return row.select("bucket_id", r4(F.col("current")).alias("strength"), size("items"), size("neighbours"), F.size("curve").alias("points"))
+
+
+@query("node_sizes", "SELECT bucket_id AS concepts, CAST(least(greatest(floor(bucket_id / 6.0 + 0.5) + 3, 3), 10) AS INT) AS importance FROM m_buckets")
+def _(t):
+    return t.buckets.select(F.col("bucket_id").alias("concepts"), cortex.node_importance(F.col("bucket_id")).alias("importance"))

@@ -201,3 +201,22 @@ def _(t):
 def _(t):
     raw = t.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     return sessions.deduplicated(raw.unionByName(raw)).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("relative_times", f"WITH s AS (SELECT bucket_id, (epoch_us({AS_OF_SQL}) - epoch_us(last_accessed)) / 1000000.0 AS s, last_accessed AS ts FROM m_buckets) SELECT bucket_id, CASE WHEN s < 45 THEN 'just now' WHEN s < 604800 THEN CAST(floor(s / 86400 + 0.5) AS BIGINT) || 'd ago' WHEN s < 3024000 THEN CAST(floor(s / 604800 + 0.5) AS BIGINT) || 'w ago' ELSE strftime(ts, '%b %-d') END AS seen FROM s")
+def _(t):
+    from ..functions.times import relative
+
+    return t.buckets.select("bucket_id", relative(F.col("last_accessed"), AS_OF).alias("seen"))
+
+
+@query("job_payloads", "SELECT bucket_id, CASE WHEN bucket_id % 2 = 0 THEN 3 ELSE 0 END::BIGINT AS exact, CASE WHEN bucket_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN bucket_id % 2 = 0 THEN 1 ELSE 0 END::INT AS warnings FROM m_buckets")
+def _(t):
+    raw = F.when(F.col("bucket_id") % 2 == 0, '{"connections": {"exactMerges": 3.7, "semanticConnections": -2, "connectionScore": 7}, "warnings": ["slow", null]}').otherwise("{}")
+    return t.buckets.select("bucket_id", lifecycle.job_payload(raw).alias("p")).select("bucket_id", F.col("p.exactMerges").alias("exact"), F.col("p.connectionScore").alias("score"), F.size("p.warnings").alias("warnings"))
+
+
+@query("active_reminders", "SELECT bucket_id AS reminder_id FROM m_buckets WHERE user_id = 1 AND bucket_id % 3 = 0 ORDER BY created_at DESC, bucket_id DESC")
+def _(t):
+    rows = t.buckets.select(F.col("bucket_id").alias("reminder_id"), "user_id", (F.col("bucket_id") % 3 == 0).alias("active"), "created_at")
+    return lifecycle.active_reminders(rows, 1).select("reminder_id")

@@ -368,3 +368,55 @@ def _(t):
 def _(t):
     back = vector.from_text(vector.to_text(F.col("embedding")))
     return t.embeddings.select("bucket_id", F.size(back).alias("size"), (back == F.col("embedding")).alias("same"))
+
+
+@query("small_talk")
+def _(t):
+    return questions(t).select("question_id", ask.is_small_talk(F.col("text")).alias("small_talk"), ask.is_chitchat(F.col("text")).alias("chitchat"))
+
+
+@query("query_analysis_overlay")
+def _(t):
+    reply = F.when(F.col("question_id") % 2 == 0, '{"intent": "verify", "specificity": 0.9, "keyTerms": ["Alpha beta"], "preferredTypes": ["Code", "none"]}').otherwise("not json")
+    return ask.overlaid(ask.analysed(questions(t)).withColumn("reply", reply)).select("question_id", "intent", F.array_join("key_terms", "|").alias("key_terms"), r4(F.col("specificity")).alias("specificity"), F.array_join("preferred_types", "|").alias("preferred_types"))
+
+
+@query("available_memories", f"{SCORED} SELECT question_id, bucket_id, CAST(rank - 6 AS INT) AS n FROM y WHERE rank BETWEEN 7 AND 14")
+def _(t):
+    ranked = scoring.softmax_ranked(scoring.raw_relevance(candidates(t), AS_OF))
+    return scoring.available(ranked, ranked.filter("rank <= 6")).select("question_id", "bucket_id", "n")
+
+
+@query("serverless_selection", f"{SCORED}, z AS (SELECT *, row_number() OVER (PARTITION BY question_id, coalesce(source, 'unknown') ORDER BY rank) AS nth FROM y WHERE rank <= 20), f AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN nth > 3 THEN 1 ELSE 0 END, rank) AS position FROM z) SELECT question_id, bucket_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY CASE concept_type WHEN 'decision' THEN 0 WHEN 'problem' THEN 1 WHEN 'fact' THEN 2 WHEN 'code' THEN 3 WHEN 'entity' THEN 4 WHEN 'event' THEN 5 ELSE 6 END, rank) AS INT) AS place FROM f WHERE position <= 6")
+def _(t):
+    ranked = scoring.softmax_ranked(scoring.raw_relevance(candidates(t), AS_OF))
+    return scoring.serverless_selection(ranked, 6).select("question_id", "bucket_id", "place")
+
+
+@query("source_documents", f"{SCORED}, g AS (SELECT question_id, document_id, count(*) AS n FROM y WHERE rank <= 20 AND document_id IS NOT NULL GROUP BY 1, 2) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY n DESC, document_id) AS INT) AS place FROM g) WHERE place <= 5")
+def _(t):
+    from ..operators import cortex
+
+    return cortex.source_documents(scoring.softmax_ranked(scoring.raw_relevance(candidates(t), AS_OF)))
+
+
+@query("most_frequent_document", f"{SCORED}, g AS (SELECT question_id, document_id, count(*) AS n, min(rank) AS f FROM y WHERE rank <= 20 AND document_id IS NOT NULL GROUP BY 1, 2) SELECT question_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, f) AS k FROM g) WHERE k = 1")
+def _(t):
+    from ..operators import cortex
+
+    return cortex.most_frequent_document(scoring.softmax_ranked(scoring.raw_relevance(candidates(t), AS_OF)))
+
+
+@query("connection_confidence", f"{SCORED} SELECT question_id, CAST({sql_r4('coalesce(avg(CASE WHEN k > 0 THEN k END), 0)')} AS DOUBLE) AS mean, CAST(coalesce(max(CASE WHEN k > 0 THEN k END), 0) AS DOUBLE) AS largest, count(CASE WHEN k > 0 THEN 1 END) AS connected FROM y WHERE rank <= 20 GROUP BY 1")
+def _(t):
+    from ..operators import cortex
+
+    return cortex.connection_confidence(scoring.softmax_ranked(scoring.raw_relevance(candidates(t), AS_OF))).withColumn("mean", r4(F.col("mean")))
+
+
+@query("ingestion_rates", "WITH s AS (SELECT CAST(sum(access_count) AS BIGINT) AS chunks, CAST(sum(importance) AS BIGINT) AS concepts, CAST(sum(importance // 2) AS BIGINT) AS created, CAST(sum(importance // 3) AS BIGINT) AS merged, count(*) FILTER (bucket_id % 10 = 0) AS failed FROM m_buckets) SELECT *, floor(concepts / chunks * 100.0 + 0.5) / 100.0 AS concepts_per_chunk, floor(created / concepts * 100.0 + 0.5) / 100.0 AS created_rate, floor((chunks - failed) / chunks * 100.0 + 0.5) / 100.0 AS success_rate FROM s")
+def _(t):
+    from ..operators import cortex
+
+    rows = t.buckets.select(F.col("access_count").alias("chunks"), F.col("importance").alias("concepts"), F.floor(F.col("importance") / 2).alias("created"), F.floor(F.col("importance") / 3).alias("merged"), (F.col("bucket_id") % 10 == 0).cast("int").alias("failed"))
+    return cortex.rates(rows)

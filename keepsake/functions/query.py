@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import unit
-from .text import let, literals, trimmed, words_of
+from .text import is_one_of, let, literals, trimmed, words_of
 
 #: Words that are no terms.
 STOPWORDS = tuple(
@@ -106,7 +106,7 @@ def any_of(text: Column, patterns) -> Column:
 
 
 def contains_any(text: Column, parts) -> Column:
-    return reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in parts))
+    return text.rlike("|".join(parts))
 
 
 def is_chitchat(text: Column) -> Column:
@@ -116,7 +116,7 @@ def is_chitchat(text: Column) -> Column:
 
 def key_terms(text: Column, most: int = 10) -> Column:
     """Distinct words of three letters and more that are no stopwords, then distinct pairs of neighbours among them."""
-    usable = F.filter(words_of(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", "")), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
+    usable = F.filter(words_of(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", "")), lambda w: (F.length(w) > 2) & ~is_one_of(w, STOPWORDS))
 
     def terms(words: Column) -> Column:
         pairs = F.slice(F.zip_with(words, F.slice(words, 2, 1_000_000), lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(F.lit(0), F.size(words) - 1))
@@ -136,7 +136,7 @@ def expanded_terms(text: Column, terms: Column, most: int = 8) -> Column:
     single = F.filter(terms, lambda t: ~F.contains(t, F.lit(" ")) & (F.length(t) >= 4))
     shorter = lambda t, n: F.substring(t, F.lit(1), F.length(t) - n)
     forms = F.flatten(F.transform(single, lambda t: F.array_compact(F.array(F.when(F.endswith(t, F.lit("s")), shorter(t, 1)).otherwise(F.concat(t, F.lit("s"))), F.when(F.endswith(t, F.lit("ing")), shorter(t, 3)), F.when(F.endswith(t, F.lit("ed")), shorter(t, 2))))))
-    usable = F.filter(F.concat(phrase_terms(text), forms), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS))
+    usable = F.filter(F.concat(phrase_terms(text), forms), lambda t: (F.length(t) >= 3) & ~is_one_of(t, STOPWORDS))
     return F.slice(F.array_distinct(usable), 1, most)
 
 
@@ -145,7 +145,8 @@ def intent(text: Column) -> Column:
     low = trimmed(F.lower(text))
     out = F.when(is_chitchat(text), "chitchat")
     for name, words in INTENTS.items():
-        out = out.when(reduce(Column.__or__, (F.startswith(low, F.lit(w)) | F.contains(low, F.lit(f" {w} ")) for w in words)), name)
+        either = "|".join(words)
+        out = out.when(low.rlike(f"^(?:{either})| (?:{either}) "), name)
     return out.when(F.endswith(low, F.lit("?")), "explore").otherwise("recall")
 
 
@@ -165,7 +166,7 @@ def is_archive_question(text: Column) -> Column:
 def specificity(text: Column) -> Column:
     """Share of words with meaning, more for names, quotes and numbers, less for broad questions."""
     words = words_of(F.lower(text))
-    share = F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: ~w.isin(*STOPWORDS))) / F.size(words)).otherwise(0.0)
+    share = F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: ~is_one_of(w, STOPWORDS))) / F.size(words)).otherwise(0.0)
     names = F.regexp_count(text, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")) * 0.1
     raw = unit(share + names + F.when(text.rlike("\"[^\"]+\"|'[^']+'"), 0.15).otherwise(0.0) + F.when(text.rlike(r"\b[0-9]+(?:\.[0-9]+)?%?\b"), 0.1).otherwise(0.0) - F.when(any_of(text, BROAD), 0.2).otherwise(0.0))
     return F.when(is_chitchat(text), 0.0).when(is_abstract(text) | is_scoped(text), F.least(raw, F.lit(0.45))).otherwise(raw)
@@ -181,8 +182,8 @@ def preferred_types(text: Column, of_intent: Column, most: int = 4) -> Column:
 def query_domain(text: Column) -> Column:
     """The domain most of whose words occur, two at least; the earlier one at a tie."""
     low = F.lower(text)
-    scores = F.array(*(reduce(Column.__add__, (F.contains(low, F.lit(w)).cast("int") for w in ws)) for ws in DOMAIN_WORDS.values()))
-    return F.when(F.array_max(scores) >= 2, F.element_at(literals(DOMAIN_WORDS), F.array_position(scores, F.array_max(scores)).cast("int"))).otherwise("general")
+    scores = F.array(*(F.size(F.filter(literals(ws), lambda w: F.contains(low, w))) for ws in DOMAIN_WORDS.values()))
+    return let(scores, lambda s: F.when(F.array_max(s) >= 2, F.element_at(literals(DOMAIN_WORDS), F.array_position(s, F.array_max(s)).cast("int"))).otherwise("general"))
 
 
 def target_terms(text: Column, most: int = 12) -> Column:
@@ -255,7 +256,7 @@ def overlaid(analysis, reply: str = "reply"):
     """An analysis with a model's reply (JSON text) laid over it: terms of both, and its other answers where they are valid; a reply that isn't JSON changes nothing."""
     m = F.from_json(reply, REPLY)
     none = F.array().cast("array<string>")
-    usable = lambda own, old, most: F.slice(F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(own, none), old), lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^a-z0-9\s-]", ""), r"\s+", " "))), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS))), 1, most)
+    usable = lambda own, old, most: F.slice(F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(own, none), old), lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^a-z0-9\s-]", ""), r"\s+", " "))), lambda t: (F.length(t) >= 3) & ~is_one_of(t, STOPWORDS))), 1, most)
     either = lambda new, old: F.when(F.size(new) > 0, new).otherwise(old)
     types = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(m["preferredTypes"], none), lambda x: F.trim(F.lower(x))), lambda x: x.isin(*TYPE_WORDS))), 1, 4)
     abstract = F.col("is_abstract") | F.coalesce(m["isAbstractQuery"], F.lit(False))

@@ -317,7 +317,13 @@ CONNECTORS = tuple("for of the a an in on to with by that which from into about
 
 
 def literals(values) -> Column:
-    return F.array(*map(F.lit, values))
+    """A constant array of texts; one literal, so that long lists are built quickly."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
+def is_one_of(word: Column, values) -> Column:
+    """Like isin for plain words, as one literal."""
+    return word.rlike("^(?:" + "|".join(values) + ")$")
 
 
 def is_structural(label: Column) -> Column:
@@ -337,13 +343,13 @@ def is_fragment(label: Column) -> Column:
         ends = F.coalesce(F.try_element_at(bare, F.lit(-1)).isin(*CONNECTORS), F.lit(False))
         verb = F.arrays_overlap(bare, literals(FRAGMENT_VERBS)) & (n >= 3)
         leads = t.rlike(r"(?i)^(it|this|that|these|those|there|here|they|we|you|he|she)\s+") & (n >= 3)
-        return (n > 6) | ends | leads | verb | ((n == 1) & bare[0].isin(*GENERIC_WORDS))
+        return (n > 6) | ends | leads | verb | ((n == 1) & is_one_of(bare[0], GENERIC_WORDS))
 
     return (F.length(t) < 3) | (F.length(t) > 80) | t.rlike(r"[!?;]|,\s|\.\s") | let(F.transform(words_of(t), letters), of_words)
 
 
 def content_words(text: Column) -> Column:
-    return F.filter(F.split(normalize_label(text), " "), lambda w: (F.length(w) > 3) & ~w.isin(*GENERIC_WORDS))
+    return F.filter(F.split(normalize_label(text), " "), lambda w: (F.length(w) > 3) & ~is_one_of(w, GENERIC_WORDS))
 
 
 def stem(word: Column) -> Column:

@@ -23,12 +23,12 @@ from ..schema import CANDIDATES, HIGH_IMPORTANCE, MAX_MEMORIES, NEIGHBOURS, SEED
 QUESTIONS = 1000
 
 
-def held(questions: DataFrame, most: int = QUESTIONS) -> DataFrame:
-    """Analysed questions as a small local table, whose number is checked: what is broadcast below is no larger."""
-    rows = questions.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} questions in one call")
-    return questions.sparkSession.createDataFrame(rows, questions.schema)
+def held(rows: DataFrame, most: int = QUESTIONS) -> DataFrame:
+    """Questions, or the few candidates that each has, as a small local table whose size is checked: what is broadcast below is no larger, and nothing above it is computed twice."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} questions or candidates in one call")
+    return rows.sparkSession.createDataFrame(found, rows.schema)
 
 
 asked = F.broadcast
@@ -69,13 +69,13 @@ def fallback_hits(t: Tables, questions: DataFrame, most: int = HIGH_IMPORTANCE)
 
 def candidates(t: Tables, questions: DataFrame, as_of: datetime) -> DataFrame:
     """The best 80 of each question with all that scoring asks for."""
-    direct = direct_hits(t, questions)
+    direct = held(direct_hits(t, questions), 2 * CANDIDATES * QUESTIONS)
     zero = F.lit(0.0)
     found = direct.select("question_id", "bucket_id", "vector_score", "text_score", F.lit(0).cast("long").alias("hits"))
     found = found.unionByName(graph_hits(t.edges, direct).select("question_id", "bucket_id", zero.alias("vector_score"), zero.alias("text_score"), "hits"))
     found = found.unionByName(fallback_hits(t, questions).select("question_id", "bucket_id", zero.alias("vector_score"), zero.alias("text_score"), F.lit(0).cast("long").alias("hits")))
     merged = found.groupBy("question_id", "bucket_id").agg(F.max("vector_score").alias("vector_score"), F.max("text_score").alias("text_score"), F.sum("hits").alias("hits"))
-    first = best(merged.withColumn("__p", F.col("vector_score") + 0.25 * F.col("text_score") + 0.05 * F.col("hits")), "__p", CANDIDATES).drop("__p")
+    first = held(best(merged.withColumn("__p", F.col("vector_score") + 0.25 * F.col("text_score") + 0.05 * F.col("hits")), "__p", CANDIDATES).drop("__p"), CANDIDATES * QUESTIONS)
     ids = first.select("bucket_id").distinct()
     named = t.buckets.join(ids, "bucket_id", "left_semi").join(scan.longest_definition(t.items.join(ids, "bucket_id", "left_semi")), "bucket_id", "left")
     days = F.coalesce(decay.days_between(F.col("last_accessed"), F.lit(as_of)), F.lit(999.0))

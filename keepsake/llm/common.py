@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -64,5 +66,29 @@ def dropped(spark: SparkSession, path: str) -> None:
         pass
 
 
+def give_back() -> None:
+    """Returns this worker's free memory to the system; workers go on from task to task and would keep it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def in_slices(run, rows: int = 1024):
+    """``run`` over Arrow batches of at most so many rows, so that few texts are Python objects at a time; gives memory back at the end."""
+
+    def over(batches):
+        try:
+            yield from run(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+        finally:
+            give_back()
+
+    return over
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

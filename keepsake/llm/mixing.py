@@ -2,12 +2,12 @@
 
 Every source's documents are dealt into shards by a seeded hash. A shard lays its documents end to end in seeded order
 and cuts the row of words into blocks of equal length. Sainte-Lague (highest quotients v / (2 s + 1)) first gives each
-source a whole number of blocks, then divides a source's blocks among its shards by their words. A shard takes all its
+source a whole number of blocks, then divides a source's blocks among groups of shards and a group's among its shards by their words. A shard takes all its
 blocks as often as its quota allows and picks the rest by a seeded hash, so that no block, and thus no document, is
 taken more than ``max_repeats`` times.
 
-Only one row per source (its name and word count) reaches the driver; shards of a source, about one for each
-``docs_per_shard`` documents, are apportioned in one task per source from (shard, words) pairs.
+Only one row per source (its name and word count) reaches the driver. A task apportions at most ``shards_per_group``
+shards, or a source's groups of them, one for each four million documents.
 
 Defined results: null or blank texts have size 0 and are taken 0 times; a null source is a source of its own and sorts
 last; repeated rows are rows of their own; an empty table gives an empty result; further columns are ignored.
@@ -31,6 +31,7 @@ SHARE = 1.5
 MAX_REPEATS = 2
 BLOCK_WORDS = 16
 DOCS_PER_SHARD = 1024
+SHARDS_PER_GROUP = 4096
 SEED = 42
 
 
@@ -112,11 +113,12 @@ def chosen_words(sizes: np.ndarray, quota: int, blocks: int, seed: int):
     return copies, up_to(ends) - up_to(ends - sizes), bounds[edges].reshape(-1, 2), ends
 
 
-def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED, with_text: bool = False) -> DataFrame:
+def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, docs_per_shard: int = DOCS_PER_SHARD, shards_per_group: int = SHARDS_PER_GROUP, seed: int = SEED, finish=None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies and ranges (word ranges taken beyond whole copies, in the document's own words).
 
-    with_text: the documents' other columns follow, for a caller that cuts the texts."""
+    finish: makes rows of the documents' own columns of these and the texts, shard by shard."""
     spark = docs.sparkSession
+    with_text = finish is not None
     kept = docs.columns if with_text else ["doc_id", "source"]
     rows = docs.select(*kept, size_of().alias("__size"))
     sizes = rows.select("doc_id", "source", "__size") if with_text else (rows := written(rows, "mix"))
@@ -131,16 +133,23 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     dealt = lambda df: df.join(sources, df["source"].eqNullSafe(sources["__key"])).drop("__key").withColumn("__shard", shard(docs_per_shard)).drop("__docs")
 
     shards = dealt(sizes).groupBy("__nth", "__shard", "__source_size", "__target").agg(F.sum("__size").alias("__words"))
+    blocks = F.when(F.col("__words") > 0, F.greatest(F.lit(1.0), F.rint(F.col("__words") / block_words))).otherwise(0.0).cast("long")
+    shards = shards.withColumn("__blocks", blocks).withColumn("__group", F.floor(F.col("__shard") / shards_per_group))
+    groups = shards.groupBy("__nth", "__group", "__source_size", "__target").agg(F.sum("__words").alias("__words"), F.sum("__blocks").alias("__blocks"))
 
-    def apportion(of_source: pd.DataFrame) -> pd.DataFrame:
-        of_source = of_source.sort_values("__shard", ignore_index=True)
-        words = of_source["__words"].to_numpy()
-        blocks = np.where(words > 0, np.maximum(1, np.rint(words / block_words)), 0).astype(np.int64)
-        every = int(blocks.sum())
+    def among_groups(of_source: pd.DataFrame) -> pd.DataFrame:
+        of_source = of_source.sort_values("__group", ignore_index=True)
+        every = int(of_source["__blocks"].sum())
         seats = round(of_source["__target"][0] / (of_source["__source_size"][0] / every)) if every else 0
-        return pd.DataFrame({"__nth": of_source["__nth"], "__shard": of_source["__shard"], "__blocks": blocks, "__quota": sainte_lague(words, seats, most * blocks)})
+        return pd.DataFrame({"__n": of_source["__nth"], "__g": of_source["__group"], "__seats": sainte_lague(of_source["__words"], seats, most * of_source["__blocks"])})
 
-    quotas = shards.groupBy("__nth").applyInPandas(apportion, "__nth int, __shard int, __blocks long, __quota long")
+    def among_shards(of_group: pd.DataFrame) -> pd.DataFrame:
+        of_group = of_group.sort_values("__shard", ignore_index=True)
+        return pd.DataFrame({"__nth": of_group["__nth"], "__shard": of_group["__shard"], "__blocks": of_group["__blocks"], "__quota": sainte_lague(of_group["__words"], of_group["__seats"][0], most * of_group["__blocks"])})
+
+    seats = groups.groupBy("__nth").applyInPandas(among_groups, "__n int, __g long, __seats long")
+    seated = shards.join(seats, (F.col("__nth") == F.col("__n")) & (F.col("__group") == F.col("__g")))
+    quotas = seated.groupBy("__nth", "__group").applyInPandas(among_shards, "__nth int, __shard int, __blocks long, __quota long")
     every = dealt(rows).join(quotas.withColumnsRenamed({"__nth": "__n", "__shard": "__s"}), (F.col("__nth") == F.col("__n")) & (F.col("__shard") == F.col("__s"))).drop("__n", "__s")
     out = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in (("size", T.LongType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("taken", T.LongType()), ("copies", T.LongType()), ("ranges", T.ArrayType(T.ArrayType(T.LongType()))))])
 
@@ -153,9 +162,10 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
         starts = ends - sizes_
         first, last = np.searchsorted(ranges[:, 1], starts, "right"), np.searchsorted(ranges[:, 0], ends, "left")
         cut = [[[int(max(a, s) - s), int(min(b, e) - s)] for a, b in ranges[i:j] if max(a, s) < min(b, e)] for s, e, i, j in zip(starts.tolist(), ends.tolist(), first, last, strict=True)]
-        return of_shard[kept].assign(size=sizes_, source_size=of_shard["__source_size"], target=of_shard["__target"], taken=copies * sizes_ + extra, copies=copies, ranges=cut)
+        made = of_shard[kept].assign(size=sizes_, source_size=of_shard["__source_size"], target=of_shard["__target"], taken=copies * sizes_ + extra, copies=copies, ranges=cut)
+        return finish(made) if finish else made
 
-    return every.groupBy("__nth", "__shard").applyInPandas(take, out)
+    return every.groupBy("__nth", "__shard").applyInPandas(take, docs.schema if finish else out)
 
 
 def op9_mix_sources(spark, sf_dir):
@@ -168,17 +178,16 @@ def mixed_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = [c for c in DOCUMENT_COLUMNS if c in docs.columns]
     docs = docs.select(*columns)
 
-    def cut(batches):
-        for batch in batches:
-            out = {c: [] for c in columns}
-            for row in batch.to_dict("records"):
-                text, parts = row["text"] or "", []
-                if len(row["ranges"]):
-                    spans = [m.span() for m in re.finditer(WORD, text)]
-                    parts = ["\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in row["ranges"])]
-                for text in [row["text"]] * int(row["copies"]) + parts:
-                    for c in columns:
-                        out[c].append(text if c == "text" else len(text or "") if c == "n_chars" else row[c])
-            yield pd.DataFrame(out)
-
-    return mixture(docs, with_text=True).select(*columns, "copies", "ranges").mapInPandas(cut, docs.schema)
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [] for c in columns}
+        for row in rows.to_dict("records"):
+            text, parts = row["text"] or "", []
+            if len(row["ranges"]):
+                spans = [m.span() for m in re.finditer(WORD, text)]
+                parts = ["\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in row["ranges"])]
+            for text in [row["text"]] * int(row["copies"]) + parts:
+                for c in columns:
+                    out[c].append(text if c == "text" else len(text or "") if c == "n_chars" else row[c])
+        return pd.DataFrame(out, columns=columns).astype({c: rows[c].dtype for c in columns})
+
+    return mixture(docs, finish=cut)

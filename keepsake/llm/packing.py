@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_slices, text_of
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -48,10 +48,7 @@ class Encoder:
     """Token ids of texts as packed unsigned 32-bit little-endian bytes."""
 
     def __init__(self, path: str, ranks: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.merger = Tokenizer.from_file(path), None
+        self.path, self.merger = path, None
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -60,6 +57,14 @@ class Encoder:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.merger = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when a text first asks for it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if self.merger is None or ODD.search(text):
             return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -133,23 +138,21 @@ def pieces(docs: DataFrame, path: str, ranks: str | None, sequence: int = SEQUEN
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(path, ranks), np.array([separator], dtype="<u4").tobytes()
         task, done = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, texts_a_call):
-                part = batch.slice(at, texts_a_call)
-                out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), map(encoder.encode, part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % sequence or sequence
-                    for k, start in enumerate([0, *range(first, n, sequence)]):
-                        stop = start + (sequence if k else first)
-                        full = stop - start == sequence
-                        done += full
-                        out.append((doc, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), -(task << 40) - done if full else None))
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, PIECES)
+        for part in batches:
+            out: list[tuple] = []
+            for doc, ids in zip(part.column(0).to_pylist(), map(encoder.encode, part.column(1).to_pylist()), strict=True):
+                ids += end
+                n = len(ids) // 4
+                first = n % sequence or sequence
+                for k, start in enumerate([0, *range(first, n, sequence)]):
+                    stop = start + (sequence if k else first)
+                    full = stop - start == sequence
+                    done += full
+                    out.append((doc, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), -(task << 40) - done if full else None))
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(in_slices(cut, texts_a_call), PIECES)
 
 
 def packed(docs: DataFrame, path: str | None = None, ranks: str | None = None, sequence: int = SEQUENCE, separator: int = SEPARATOR, docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:

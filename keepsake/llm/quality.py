@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import in_slices, read, text_of
 from .labelled import held_out, sample
 
 #: Labelled rows of each label that trees are fitted on, at most.
@@ -125,7 +125,7 @@ def trained(docs: DataFrame, labels: DataFrame, most_of_each: dict[int, int] = S
             values = matrix(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.tolist(), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    found = sorted(rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<double>").collect())
+    found = sorted(rows.select("doc_id", "label", "text").mapInArrow(in_slices(run), "doc_id long, label int, x array<double>").collect())
     return fit(np.array([r["x"] for r in found], dtype=float).reshape(len(found), len(FEATURES)), np.array([r["label"] for r in found], dtype=float))
 
 
@@ -137,7 +137,7 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
             score = model.score(matrix(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text")).mapInArrow(in_slices(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op3_quality_classifier(spark, sf_dir):

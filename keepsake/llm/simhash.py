@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, DOCUMENT_COLUMNS, text_of, written
+from .common import ASCII_LOWER, ASCII_UPPER, DOCUMENT_COLUMNS, in_slices, text_of, written
 from .graph import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
             values = np.array([majority(shingle_hashes(t, words, seed)) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(in_slices(run), "doc_id long, fp long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -172,7 +172,7 @@ def links(distinct: DataFrame, bits: int = BITS, blocks=BLOCKS, equal: int = EQU
         if rest is not None and rest.shape[1]:
             yield cut(rest, True)[0]
 
-    return dealt.select("key", "x", "y", "own", "fp").mapInArrow(forests, "a long, b long")
+    return dealt.select("key", "x", "y", "own", "fp").mapInArrow(in_slices(forests, 1 << 20), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, discarded, shuffle_partitions, text_of, written
+from .common import DOCUMENT_COLUMNS, discarded, in_slices, shuffle_partitions, text_of, written
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Text bytes for each bucket of names and of strings.
-NAME_BUCKET, STRING_BUCKET = 16 << 20, 8 << 20
+NAME_BUCKET, STRING_BUCKET = 16 << 20, 4 << 20
 LAST = 2**63 - 1
 SEED = 42
 
@@ -74,9 +74,12 @@ class Powers:
         if n < size:
             return np.zeros(0, dtype=np.uint64)
         self.reach(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.codes[data] * self.up[:n], out=sums[1:])
-        out = sums[size:] - sums[:-size]
+        sums = self.codes[data]
+        sums *= self.up[:n]
+        np.cumsum(sums, out=sums)
+        out = sums[size - 1 :].copy()
+        out[1:] -= sums[:-size]
+        del sums
         out *= self.down[: n - size + 1]
         out ^= out >> np.uint64(32)
         out *= np.uint64(0xD6E8FEB86659FD93)
@@ -324,7 +327,7 @@ def names_of(table: DataFrame, buckets: int) -> DataFrame:
                 parts = [five_bytes(v) for v in np.split(value, edges[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int64()), pa.array([row["shard"]] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "shard", "names"])
 
-    return table.select("shard", "ids", "ends", "blob").mapInArrow(run, "bucket long, shard long, names binary")
+    return table.select("shard", "ids", "ends", "blob").mapInArrow(in_slices(run, 4), "bucket long, shard long, names binary")
 
 
 def shared_names(names: DataFrame) -> DataFrame:
@@ -380,7 +383,7 @@ def strings_of(table: DataFrame, name_buckets: int, string_buckets: int) -> Data
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "runs", "ids", "bytes"])
 
-    return table.select("shard", "ids", "ends", "blob", "seen").mapInArrow(run, "bucket long, shard long, runs binary, ids binary, bytes binary")
+    return table.select("shard", "ids", "ends", "blob", "seen").mapInArrow(in_slices(run, 4), "bucket long, shard long, runs binary, ids binary, bytes binary")
 
 
 def equal_strings(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -475,7 +478,7 @@ def shards_of(docs: DataFrame, carried: list[str], shard_bytes: int = SHARD_BYTE
         if texts:
             yield whole()
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.struct(*carried).alias("row")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.struct(*carried).alias("row")).mapInArrow(in_slices(run), schema)
 
 
 def released() -> None:
@@ -487,18 +490,22 @@ def released() -> None:
         SparkContext._active_spark_context._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
-    """The carried columns (doc_id if none are named), bytes (the whole text) and spans: removed runs as (start, end) bytes of the text."""
+def texts_and_spans(rows: pa.StructArray, texts: list[bytes], spans: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[*(f.name for f in rows.type), "bytes", "spans"])
+
+
+def repeated_spans(docs: DataFrame, carried: list[str], schema: T.StructType | str | None = None, finish=texts_and_spans) -> DataFrame:
+    """What ``finish`` makes of a shard's carried columns, whole texts as bytes, and removed runs as (start, end) bytes of each text; by itself these as columns, bytes and spans."""
     spark = docs.sparkSession
-    carried = carried or ["doc_id"]
+    schema = schema or T.StructType([*(docs.schema[c] for c in carried), T.StructField("bytes", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
     table = written(shards_of(docs, carried), "shards")
     size = table.agg(F.sum("size")).first()[0] or 0
-    buckets = lambda each: max(4 * shuffle_partitions(spark), -(-size // each))
-    name_buckets = buckets(NAME_BUCKET)
+    buckets = lambda each, least: max(least * shuffle_partitions(spark), -(-size // each))
+    name_buckets = buckets(NAME_BUCKET, 3)
     seen = written(shared_names(names_of(table, name_buckets)), "names")
     released()
     asked = table.drop("rows", "size").join(seen, "shard")
-    found = written(strings_of(asked, name_buckets, buckets(STRING_BUCKET)), "strings")
+    found = written(strings_of(asked, name_buckets, buckets(STRING_BUCKET, 5)), "strings")
     released()
     told = written(answers(found.filter("bucket >= 0")), "answers")
     inside = written(found.filter("bucket < 0").select("shard", F.col("runs").alias("repeats"), F.col("ids").alias("pairs")), "inside")
@@ -506,8 +513,6 @@ def repeated_spans(docs: DataFrame, carried: list[str] | None = None) -> DataFra
     released()
     of_shard = told.groupBy("shard").agg(F.collect_list("found").alias("found"))
     joined = table.select("shard", "ends", "blob", "rows").join(inside, "shard", "left").join(of_shard, "shard", "left")
-    row_type = table.schema["rows"].dataType.elementType
-    schema = T.StructType([T.StructField("row", row_type), T.StructField("bytes", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -530,25 +535,24 @@ def repeated_spans(docs: DataFrame, carried: list[str] | None = None) -> DataFra
                 cuts = np.searchsorted(owner, np.arange(len(ends) + 1))
                 spans = [np.stack([first[a:b] - s, last[a:b] - s], axis=1).tolist() for a, b, s in zip(cuts, cuts[1:], starts, strict=False)]
                 texts = [blob[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("rows")[k].values, pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=schema.names)
+                yield finish(batch.column("rows")[k].values, texts, spans)
 
-    return joined.select("ends", "blob", "rows", "repeats", "pairs", "found").mapInArrow(run, schema).select("row.*", "bytes", "spans")
+    return joined.select("ends", "blob", "rows", "repeats", "pairs", "found").mapInArrow(in_slices(run, 4), schema)
 
 
 def op1_suffix_array_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                edges = [0, *(x for span in spans for x in span), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def digests(rows: pa.StructArray, texts: list[bytes], spans: list) -> pa.RecordBatch:
+        out = []
+        for data, cuts in zip(texts, spans, strict=True):
+            edges = [0, *(x for cut in cuts for x in cut), len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            out.append((len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()))
+        columns = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([rows.field("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeated_spans(docs).select(F.col("doc_id").cast("long"), "bytes", "spans").mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_spans(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digests)
 
 
 def suffix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -557,25 +561,21 @@ def suffix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     carried = [c for c in columns if c != "text"]
     docs = docs.select(*columns)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = {name: batch.column(name) for name in batch.schema.names}
-            texts, stay = [], []
-            for whole, spans, null in zip(data["bytes"].to_pylist(), data["spans"].to_pylist(), data["__null"].to_pylist(), strict=True):
-                parts, at = [], 0
-                for a, b in spans:
-                    while a < b and whole[a] & 0xC0 == 0x80:  # the character before is not covered whole
-                        a += 1
-                    while b > a and b < len(whole) and whole[b] & 0xC0 == 0x80:
-                        b -= 1
-                    parts.append(whole[at:a])
-                    at = b
-                text = b"".join([*parts, whole[at:]]).decode()
-                stay.append(bool(text) or not whole)
-                texts.append(None if null else text)
-            out = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t or "") for t in texts], pa.int64()).cast(data[c].type) if c == "n_chars" else data[c] for c in columns]
-            yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(stay, pa.bool_()))
-
-    marked = docs.withColumn("__null", F.col("text").isNull())
-    return repeated_spans(marked, [*carried, "__null"]).mapInArrow(cut, docs.schema)
-
+    def cut(rows: pa.StructArray, texts: list[bytes], spans: list) -> pa.RecordBatch:
+        out, stay = [], []
+        for whole, runs, null in zip(texts, spans, rows.field("__null").to_pylist(), strict=True):
+            parts, at = [], 0
+            for a, b in runs:
+                while a < b and whole[a] & 0xC0 == 0x80:  # the character before is not covered whole
+                    a += 1
+                while b > a and b < len(whole) and whole[b] & 0xC0 == 0x80:
+                    b -= 1
+                parts.append(whole[at:a])
+                at = b
+            text = b"".join([*parts, whole[at:]]).decode()
+            stay.append(bool(text) or not whole)
+            out.append(None if null else text)
+        made = {"text": lambda: pa.array(out, pa.string()), "n_chars": lambda: pa.array([len(t or "") for t in out], pa.int64()).cast(rows.field("n_chars").type)}
+        return pa.RecordBatch.from_arrays([made[c]() if c in made else rows.field(c) for c in columns], names=columns).filter(pa.array(stay, pa.bool_()))
+
+    return repeated_spans(docs.withColumn("__null", F.col("text").isNull()), [*carried, "__null"], docs.schema, cut)

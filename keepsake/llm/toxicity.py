@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, read, text_of
+from .common import DOCUMENT_COLUMNS, in_slices, read, text_of
 from .labelled import held_out, sample
 
 #: Labelled documents of each label that are learned from, and windows of each, at most.
@@ -337,7 +337,7 @@ def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD, columns:
             arrays += [batch.column(2)] if "text" in columns else []
             yield pa.RecordBatch.from_arrays(arrays + batch.columns[3:], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(in_slices(run), schema)
 
 
 def op8_toxicity(spark, sf_dir):

@@ -81,8 +81,8 @@ def latest_definition(items: DataFrame) -> DataFrame:
 
 
 def longest_definition(items: DataFrame) -> DataFrame:
-    """bucket_id, the longest definition (the first at a tie) and the distinct sources in order."""
-    return items.groupBy("bucket_id").agg(F.max_by("definition", F.struct(F.length("definition"), -F.col("item_id"))).alias("definition"), F.array_sort(F.collect_set("source")).alias("sources"))
+    """bucket_id, the longest definition (the first at a tie), the first source by name and the number of sources."""
+    return items.groupBy("bucket_id").agg(F.max_by("definition", F.struct(F.length("definition"), -F.col("item_id"))).alias("definition"), F.min("source").alias("source"), F.count_distinct("source").alias("sources"))
 
 
 def documents(df: DataFrame, user_id: int, chars: int = 200) -> DataFrame:

@@ -42,12 +42,13 @@ def best(df: DataFrame, score: str, most: int) -> DataFrame:
 def direct_hits(t: Tables, questions: DataFrame, least: float = 0.15, most: int = CANDIDATES) -> DataFrame:
     """question_id, bucket_id, vector_score, text_score: the most similar memories and those that a term occurs in, of the question's tenant."""
     own = asked(questions.select("question_id", "user_id", "vector", search_terms(F.concat("key_terms", "expanded_terms")).alias("terms")))
-    memories = t.buckets.select("bucket_id", "user_id", F.lower("canonical").alias("name"), "importance", "strength")
+    memories = t.buckets.select("bucket_id", "user_id", F.lower("canonical").alias("name"), (F.col("importance") + F.col("strength")).alias("weight"))
     vectors = memories.join(t.embeddings.filter(valid(F.col("embedding"))), "bucket_id").join(own, "user_id")
     near = vectors.withColumn("vector_score", cosine(F.col("embedding"), F.col("vector"))).filter(F.col("vector_score") >= least).select("question_id", "bucket_id", "vector_score")
-    evidence = t.items.groupBy("bucket_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.concat_ws(" ", "label", "definition").alias("text")))), lambda x: F.lower(x["text"])), " ").alias("evidence"))
-    worded = memories.join(evidence, "bucket_id", "left").join(own, "user_id").filter(F.exists("terms", lambda x: F.contains(F.col("name"), x) | F.contains(F.coalesce("evidence", F.lit("")), x)))
-    textual = worded.withColumn("weight", F.col("importance") + F.col("strength")).select("question_id", "bucket_id", "weight")
+    named = memories.join(own, "user_id").filter(F.exists("terms", lambda x: F.contains("name", x))).select("question_id", "bucket_id", "weight")
+    evidence = t.items.select("bucket_id", F.lower(F.concat_ws(" ", "label", "definition")).alias("evidence")).join(memories.drop("name"), "bucket_id").join(own, "user_id")
+    told = evidence.filter(F.exists("terms", lambda x: F.contains("evidence", x))).select("question_id", "bucket_id", "weight")
+    textual = named.unionByName(told).distinct()
     a = best(near, "vector_score", most).select("question_id", "bucket_id", "vector_score", F.lit(0.0).alias("text_score"))
     b = best(textual, "weight", most).select("question_id", "bucket_id", F.lit(0.0).alias("vector_score"), F.lit(1.0).alias("text_score"))
     return a.unionByName(b).groupBy("question_id", "bucket_id").agg(F.max("vector_score").alias("vector_score"), F.max("text_score").alias("text_score"))
@@ -79,7 +80,7 @@ def candidates(t: Tables, questions: DataFrame, as_of: datetime) -> DataFrame:
     ids = first.select("bucket_id").distinct()
     named = t.buckets.join(ids, "bucket_id", "left_semi").join(scan.longest_definition(t.items.join(ids, "bucket_id", "left_semi")), "bucket_id", "left")
     days = F.coalesce(decay.days_between(F.col("last_accessed"), F.lit(as_of)), F.lit(999.0))
-    named = named.withColumn("current", decay.unrounded_strength(F.col("strength"), decay.tier_scan(F.col("importance")), days)).withColumn("source", F.coalesce(F.try_element_at("sources", F.lit(1)), F.lit("")))
+    named = named.withColumn("current", decay.unrounded_strength(F.col("strength"), decay.tier_scan(F.col("importance")), days)).withColumn("source", F.coalesce("source", F.lit(""))).drop("sources")
     linked = connectivity_of(t, ids)
     out = first.join(named, "bucket_id").join(linked, "bucket_id", "left").join(asked(questions.drop("user_id", "vector")), "question_id")
     scoped = ~F.col("document_scoped") | F.col("current_document").isNull() | F.coalesce(F.col("document_id") == F.col("current_document"), F.lit(False)) | (F.col("hits") > 0)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -485,9 +486,10 @@ def released() -> None:
     """Lets Spark delete the shuffle files of steps whose results are written: they go when nothing refers to them."""
     from pyspark import SparkContext
 
-    gc.collect()
-    if SparkContext._active_spark_context:
+    for _ in range(2 if SparkContext._active_spark_context else 0):
+        gc.collect()
         SparkContext._active_spark_context._jvm.System.gc()
+        time.sleep(0.5)  # files are deleted by a thread of their own, which learns of them after a collection
 
 
 def texts_and_spans(rows: pa.StructArray, texts: list[bytes], spans: list) -> pa.RecordBatch:

@@ -2,13 +2,14 @@
 
 A word's input is the embedding of its hash and the mean embedding of its hashed character trigrams. A window of
 ``WINDOW`` words is read in both directions, its states are pooled by attention, and a linear layer gives a logit. A text's
-logit is the largest of all its overlapping windows, set to a probability by a logistic curve of two parameters.
+logit is the largest of all its overlapping windows, one at every word, set to a probability by a logistic curve of two
+parameters.
 
 Labels are of documents, so windows to learn from are found first: words and word starts get log odds from the
 training sample, a toxic document's windows with the highest odds are positive, those of clean documents negative, and
 other windows of toxic documents are not used. The sample is bounded (``SAMPLE`` documents of each label, ``SAMPLE_WINDOWS``
-windows of each); a quarter of it is kept from the network to set the curve. Scoring has no bounds: it covers every
-window of every whole text.
+windows of each, taken ``SAMPLE_STRIDE`` words apart); a quarter of it is kept from the network to set the curve, by whole
+texts. Scoring has no bounds and no stride: it covers the windows at every start of every whole text.
 
 Defined results: a null text is empty; a text without words is one window of nothing and scores like clean text; with
 no usable labels, or only one of the two, the score is the share of label 1 (0 without any); repeated rows are scored
@@ -31,10 +32,10 @@ from .labelled import held_out, sample
 
 #: Labelled documents of each label that are learned from, and windows of each, at most.
 SAMPLE, SAMPLE_WINDOWS = {0: 2500, 1: 2000}, 64
-WINDOW, STRIDE = 32, 24
+WINDOW, SAMPLE_STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, WORD_SIZE, CHAR_SIZE, HIDDEN = 8192, 8192, 12, 20, 8
 TRIGRAMS, THRESHOLD, SEED = 12, 0.7, 7
-KNOWN_WORDS, BATCH_WINDOWS = 60_000, 2048
+KNOWN_WORDS, BATCH_WINDOWS = 60_000, 8192
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -42,8 +43,8 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def starts_of(n: int, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
-    """Window starts that cover n words: every stride, and one that ends with the text."""
+def starts_of(n: int, window: int = WINDOW, stride: int = SAMPLE_STRIDE) -> np.ndarray:
+    """Starts of the windows to learn from: every stride of n words, and one that ends with the text."""
     return np.unique(np.append(np.arange(0, max(1, n - window + 1), stride), max(0, n - window)))
 
 
@@ -116,6 +117,46 @@ class Network:
             keep.append((states, weights, pooled))
         return pooled @ self.p["v"] + self.p["c"][0]
 
+    def at_every_start(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logits of the full windows at each position of ids but the last ``WINDOW`` - 1, as ``logits`` has them.
+
+        A step of all windows reads one slice of the projected words. States lie with the windows along the rows, and
+        attention needs only their products with a and v."""
+        h, n = HIDDEN, len(ids) - WINDOW + 1
+        words = np.ascontiguousarray(table.take(ids, axis=0).T)
+        weights, values = np.zeros((WINDOW, n), dtype=np.float32), np.zeros((WINDOW, n), dtype=np.float32)
+        with np.errstate(over="ignore"):  # of a very negative gate: 1 / inf is 0
+            for way in (0, 1):
+                own = slice(way * h, (way + 1) * h)
+                # of a state: what it adds to the gates and to the new state, and its products with a and v
+                u = np.concatenate([self.p[f"u{way}"].T, self.p["a"][None, own], self.p["v"][None, own]])
+                of_state = np.zeros((3 * h + 2, n), dtype=np.float32)
+                state = np.zeros((h, n), dtype=np.float32)
+                for t in range(WINDOW) if not way else range(WINDOW - 1, -1, -1):
+                    g, gates, new = words[3 * h * way : 3 * h * (way + 1), t : t + n], of_state[: 2 * h], of_state[2 * h : 3 * h]
+                    gates += g[: 2 * h]
+                    np.negative(gates, out=gates)
+                    np.exp(gates, out=gates)
+                    gates += 1
+                    np.reciprocal(gates, out=gates)
+                    new *= gates[h:]
+                    new += g[2 * h :]
+                    new *= -2  # tanh x = 2 / (1 + exp(-2x)) - 1
+                    np.exp(new, out=new)
+                    new += 1
+                    np.divide(2, new, out=new)
+                    new -= 1
+                    state -= new
+                    state *= gates[:h]
+                    state += new
+                    np.matmul(u, state, out=of_state)
+                    weights[t] += of_state[3 * h]
+                    values[t] += of_state[3 * h + 1]
+        weights -= weights.max(axis=0)
+        np.exp(weights, out=weights)
+        values *= weights
+        return values.sum(axis=0) / weights.sum(axis=0) + self.p["c"][0]
+
     def gradients(self, own: np.ndarray, grams: np.ndarray, rows: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights_of: np.ndarray, drop: np.ndarray) -> tuple[dict, float]:
         """Of the weighted logistic loss; rows are positions in own and grams; drop: 0 for words whose own embedding is left out."""
         h, p = HIDDEN, self.p
@@ -237,12 +278,8 @@ def trained(docs: list[str], labels: list[int], epochs: int = 10, batch: int = 1
             label = y[owner[part]]
             grads, _ = net.gradients(own[distinct], grams[distinct], inverse.reshape(len(part), WINDOW), mask[part], label, np.where(label == 1, 1.0, 1.5).astype(np.float32), drop)
             adam.step(grads)
-    table = net.projected(own, grams)
-    kept = np.flatnonzero(tune[owner])
-    logit = np.concatenate([net.logits(table, rows[kept[i : i + 2048]], mask[kept[i : i + 2048]]) for i in range(0, len(kept), 2048)] or [np.zeros(0)])
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, owner[kept], logit)
-    net.slope, net.shift = curve(top[tune], y[tune])
+    top = Scorer(net).logits([docs[i] for i, t in zip(order, tune, strict=True) if t])
+    net.slope, net.shift = curve(top, y[tune])
     return net
 
 
@@ -278,42 +315,57 @@ class Scorer:
     def __init__(self, net: Network):
         self.net, self.rows, self.table = net, Rows(), np.zeros((0, 6 * HIDDEN), dtype=np.float32)
 
-    def _run(self, rows: np.ndarray) -> np.ndarray:
+    def _project(self) -> None:
         if self.rows.new:
             new = [self.net.projected(*word_rows(self.rows.new[i : i + 8192])) for i in range(0, len(self.rows.new), 8192)]
             self.table = np.concatenate([self.table, *new])
             self.rows.new = []
-        mask = None if rows.all() else (rows > 0).astype(np.float32)
-        return self.net.logits(self.table, rows, mask)
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def _run(self, rows: np.ndarray) -> np.ndarray:
+        self._project()
+        return self.net.logits(self.table, rows, (rows > 0).astype(np.float32))
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        """The largest of each text's windows."""
         top = np.full(len(texts), -np.inf)
         held: dict[bool, list] = {False: [], True: []}
         count = {False: 0, True: 0}
 
         def flush(short: bool) -> None:
-            owners, rows = np.concatenate([o for o, _ in held[short]]), np.concatenate([r for _, r in held[short]])
-            for i in range(0, len(rows), BATCH_WINDOWS):
-                np.maximum.at(top, owners[i : i + BATCH_WINDOWS], self._run(rows[i : i + BATCH_WINDOWS]))
+            if not held[short]:
+                return
+            if short:
+                owners, rows = [i for i, _ in held[True]], np.stack([x for _, x in held[True]])
+                top[owners] = self._run(rows)
+            else:
+                ids = np.concatenate([x for _, x in held[False]])
+                sizes = np.array([len(x) for _, x in held[False]])
+                owner = np.repeat([i for i, _ in held[False]], sizes)
+                whole = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids)) >= WINDOW  # the others run into the next text
+                self._project()
+                for i in range(0, len(ids) - WINDOW + 1, BATCH_WINDOWS):
+                    logit = self.net.at_every_start(self.table, ids[i : i + BATCH_WINDOWS + WINDOW - 1])
+                    own = whole[i : i + len(logit)]
+                    np.maximum.at(top, owner[i : i + len(logit)][own], logit[own])
             held[short], count[short] = [], 0
 
         for i, text in enumerate(texts):
             ids = np.fromiter(map(self.rows.__getitem__, tokens(text)), dtype=np.int32)
             short = len(ids) < WINDOW
-            rows = np.pad(ids, (0, WINDOW - len(ids)))[None] if short else np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[starts_of(len(ids))]
-            held[short].append((np.full(len(rows), i), rows))
-            count[short] += len(rows)
+            held[short].append((i, np.pad(ids, (0, WINDOW - len(ids))) if short else ids))
+            count[short] += 1 if short else len(ids)
             if count[short] >= BATCH_WINDOWS:
                 flush(short)
             if len(self.rows) > KNOWN_WORDS:
                 for s in (False, True):
-                    if held[s]:
-                        flush(s)
+                    flush(s)
                 self.rows, self.table = Rows(), self.table[:0]
         for s in (False, True):
-            if held[s]:
-                flush(s)
-        return 1 / (1 + np.exp(-np.clip(self.net.slope * top + self.net.shift, -30, 30)))
+            flush(s)
+        return top
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.net.slope * self.logits(texts) + self.net.shift, -30, 30)))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most_of_each: dict[int, int] = SAMPLE) -> Network:

@@ -166,6 +166,34 @@ def test_gradients_of_the_network():
         assert abs((loss[0] - loss[1]) / 2e-3 - grads[k][at]) < 2e-3
 
 
+def small_network():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"clean{x}" for x in rng.integers(0, 300, 60)) for _ in range(120)]
+    toxic = [" ".join([*t.split()[:20], *rng.permutation(["vileword", "nastyterm", "hatefulthing", "uglyslur"] * 3).tolist(), *t.split()[32:]]) for t in texts[::3]]
+    return toxicity.trained(texts + toxic, [0] * len(texts) + [1] * len(toxic), epochs=4)
+
+
+def test_every_window_is_scored():
+    net, rng = toxicity.Network(4), np.random.default_rng(4)
+    net.p["a"], net.p["v"] = net.p["a"] * 9, net.p["v"] * 9
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 200, n)) for n in (5, 31, 32, 33, 70, 9000, 0, 64)]
+    got = toxicity.Scorer(net).logits(texts)
+    for text, logit in zip(texts, got, strict=True):
+        words = toxicity.tokens(text)
+        windows = [words[s : s + 32] for s in range(max(1, len(words) - 31))]
+        table = net.projected(*toxicity.word_rows(["", *words]))
+        rows = np.array([[*range(s + 1, s + 1 + len(w))] + [0] * (32 - len(w)) for s, w in enumerate(windows)])
+        assert abs(net.logits(table, rows, (rows > 0).astype(np.float32)).max() - logit) < 1e-4
+
+
+def test_words_before_a_passage_do_not_hide_it():
+    net, rng = small_network(), np.random.default_rng(9)
+    clean = [f"clean{x}" for x in rng.integers(0, 300, 100)]
+    text = [*clean[:40], *["vileword", "nastyterm", "hatefulthing", "uglyslur"] * 3, *clean[40:80]]
+    score = toxicity.Scorer(net).score([" ".join([*clean[:k], *text]) for k in range(32)])
+    assert (score >= 0.7).all() and np.ptp(score) < 1e-4
+
+
 def test_trees_equal_plain_walk():
     rng = np.random.default_rng(1)
     x = rng.random((400, 5))

@@ -1,6 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is the embedding of its hash and the mean embedding of its hashed character trigrams. A window of
+A word's input is the embedding of its hash and the mean embedding of its hashed character trigrams; a long word, such as a
+passage in a script without spaces, is read as several. A window of
 ``WINDOW`` words is read in both directions, its states are pooled by attention, and a linear layer gives a logit. A text's
 logit is the largest of all its overlapping windows, one at every word, set to a probability by a logistic curve of two
 parameters.
@@ -35,12 +36,49 @@ SAMPLE, SAMPLE_WINDOWS = {0: 2500, 1: 2000}, 64
 WINDOW, SAMPLE_STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, WORD_SIZE, CHAR_SIZE, HIDDEN = 8192, 8192, 12, 20, 8
 TRIGRAMS, THRESHOLD, SEED = 12, 0.7, 7
+#: Bytes of a word whose trigrams, with a mark at either end, are just so many.
+LONGEST = TRIGRAMS + 1
 KNOWN_WORDS, BATCH_WINDOWS = 60_000, 8192
 TOKEN = re.compile(r"[^\W_]+")
 
 
+def pieces(word: str) -> list[str]:
+    """A word of at most ``LONGEST`` bytes as it is; a longer one as runs of as many of its characters as fit.
+
+    A run starts with the last characters, three bytes or more, of the one before, so that each four bytes of the word
+    stand whole in some run."""
+    sizes = [len(c.encode()) for c in word]
+    if sum(sizes) <= LONGEST:
+        return [word]
+    out, at = [], 0
+    while True:
+        end, size = at, 0
+        while end < len(word) and size + sizes[end] <= LONGEST:
+            size += sizes[end]
+            end += 1
+        out.append(word[at:end])
+        if end == len(word):
+            return out
+        back = 0
+        while back < 3:  # so many bytes of this run stand in the next one too
+            end -= 1
+            back += sizes[end]
+        at = end
+
+
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    """The words of a text, long ones in pieces, so that each character is read."""
+    found = TOKEN.findall(text.lower())
+    most = LONGEST if text.isascii() else LONGEST // 4  # characters that surely fit
+    if max(map(len, found), default=0) <= most:
+        return found
+    out: list[str] = []
+    for w in found:
+        if len(w) <= most:
+            out.append(w)
+        else:
+            out += pieces(w)
+    return out
 
 
 def starts_of(n: int, window: int = WINDOW, stride: int = SAMPLE_STRIDE) -> np.ndarray:
@@ -58,8 +96,6 @@ def word_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own[i] = crc(data) % WORD_ROWS
         data = b"<" + data + b">"
         found = [crc(data[k : k + 4]) % CHAR_ROWS for k in range(max(1, len(data) - 3))]
-        if len(found) > TRIGRAMS:
-            found = found[: TRIGRAMS - 4] + found[-4:]
         grams[i, : len(found)] = found
     return own, grams
 

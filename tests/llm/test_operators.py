@@ -186,6 +186,28 @@ def test_every_window_is_scored():
         assert abs(net.logits(table, rows, (rows > 0).astype(np.float32)).max() - logit) < 1e-4
 
 
+@pytest.mark.parametrize("word", ["short", "a" * 13, "abcdefghijklmnopqrstuvwxyz0123456789" * 3, "слово" * 20, "字" * 50 + "a" * 9 + "汉" * 40, "𝒳y" * 30])
+def test_every_character_of_a_word_is_read(word):
+    runs = toxicity.tokens(word)
+    own, grams = toxicity.word_rows(runs)  # none too long for its row
+    assert grams.shape == (len(runs), toxicity.TRIGRAMS) and all(len(r.encode()) <= toxicity.LONGEST for r in runs)
+    size = lambda c: len(c.encode())
+    for i in range(len(word)):
+        j = i + 1
+        while j < len(word) and sum(map(size, word[i:j])) < 4:
+            j += 1
+        assert any(word[i:j] in r for r in runs)
+    assert runs[0] == word[: len(runs[0])] and runs[-1] == word[-len(runs[-1]) :]
+
+
+def test_the_middle_of_a_long_word_counts():
+    net = small_network()
+    net.p["word"][:] = 0  # no score by the whole word's hash
+    calm, vile = "".join(f"clean{x}" for x in range(40)), "vilewordnastytermhatefulthinguglyslur" * 4
+    score = toxicity.Scorer(net).score([calm + calm, calm + vile + calm])
+    assert abs(score[0] - score[1]) > 1e-3
+
+
 def test_words_before_a_passage_do_not_hide_it():
     net, rng = small_network(), np.random.default_rng(9)
     clean = [f"clean{x}" for x in rng.integers(0, 300, 100)]

@@ -39,6 +39,8 @@ TRIGRAMS, THRESHOLD, SEED = 12, 0.7, 7
 #: Bytes of a word whose trigrams, with a mark at either end, are just so many.
 LONGEST = TRIGRAMS + 1
 KNOWN_WORDS, BATCH_WINDOWS = 60_000, 8192
+#: Columns of a product so small that the library keeps it on one thread; on two it takes twice the CPU seconds.
+ONE_THREAD = 512
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -185,7 +187,8 @@ class Network:
                     state -= new
                     state *= gates[:h]
                     state += new
-                    np.matmul(u, state, out=of_state)
+                    for i in range(0, n, ONE_THREAD):
+                        np.matmul(u, state[:, i : i + ONE_THREAD], out=of_state[:, i : i + ONE_THREAD])
                     weights[t] += of_state[3 * h]
                     values[t] += of_state[3 * h + 1]
         weights -= weights.max(axis=0)

@@ -53,15 +53,16 @@ def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, and ``carried``, columns of strings."""
 
     def run(batches):
         for batch in batches:
             values = np.array([majority(shingle_hashes(t, words, seed)) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(in_slices(run), "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", "fp long", *(f"{c} string" for c in carried)])
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), *carried).mapInArrow(in_slices(run), schema)
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -192,8 +193,14 @@ def op2_simhash_near_dedup(spark, sf_dir):
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id (of repeated ids, one row)."""
+    """One row of each group stays, that of the smallest doc_id (null last), then of the smallest digest of all its columns.
+
+    Ids need not tell rows apart: a row is known by its digest, which only rows equal in every column share."""
     columns = [c for c in DOCUMENT_COLUMNS if c in docs.columns]
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(*columns).join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    return rows.dropDuplicates(["doc_id"])
+    keyed = docs.select(*columns, F.md5(F.to_json(F.struct(*columns))).alias("__row"))
+    rows = written(fingerprints(keyed, carried=("__row",)), "fingerprints")
+    reached = components(links(rows.select("fp").distinct(), BITS))
+    labelled = rows.join(reached, F.col("fp") == F.col("node"), "left").select("doc_id", "__row", F.coalesce("component", "fp").alias("component"))
+    first = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__row")).alias("first"))
+    kept = first.select(F.col("first.__row").alias("__kept"))
+    return keyed.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).select(*columns)

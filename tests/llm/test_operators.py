@@ -104,6 +104,15 @@ def test_simhash_stage_keeps_one_of_each(spark):
     assert len(ids) == len(set(ids)) and set(ids) == first and len(ids) < len({i for i, _, _ in near_rows()})
 
 
+def test_simhash_stage_tells_rows_apart_without_ids(spark):
+    rng = np.random.default_rng(12)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 50))
+    single = [(None, text(), "a"), (None, text(), "a"), (None, text(), "b"), (7, text(), "a"), (7, text(), "a"), (8, text(), "a")]
+    rows = [*single, (None, single[5][1], "a"), (9, single[0][1], "a"), single[3]]  # copies of 8, of the first, and a row twice
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in simhash.simhash_stage(spark, docs_of(spark, rows), "").collect()]
+    assert sorted(kept, key=str) == sorted([*single[1:], (9, single[0][1], "a")], key=str)
+
+
 # ---------------------------------------------------------------- classifiers
 
 

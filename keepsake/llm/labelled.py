@@ -11,7 +11,8 @@ SEED = 42
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1
+    """Whether nothing may be learned from the row; false without an id, as such a row has no label to learn."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, most_of_each: dict[int, int]) -> DataFrame:

@@ -6,7 +6,7 @@ level of a tree is chosen from per-bin sums of gradients and second derivatives,
 complete binary trees, which numpy walks for a whole batch at once.
 
 Defined results: a null text is empty, and empty texts are scored like any other; with no usable labels, or only one of
-the two, the score is the share of label 1 (0.5 without any); repeated rows are scored alike; an empty table gives an
+the two, the score is the share of label 1 (0.5 without any); held_out is false where doc_id is null; repeated rows are scored alike; an empty table gives an
 empty result; further columns are ignored.
 """
 

@@ -1,46 +1,50 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is the embedding of its hash and the mean embedding of its hashed character trigrams; a long word, such as a
-passage in a script without spaces, is read as several. A window of
-``WINDOW`` words is read in both directions, its states are pooled by attention, and a linear layer gives a logit. A text's
-logit is the largest of all its overlapping windows, one at every word, set to a probability by a logistic curve of two
-parameters.
+A word's input is the embedding of its hash and the mean embedding of its hashed character pieces; a long word, such as a
+passage in a script without spaces, is read as several. The network reads runs of ``RUN`` words in both directions. Runs
+start every ``WINDOW`` words, so that each window of ``WINDOW`` words, at whatever word it starts, stands whole in a run:
+a word is read in two runs instead of in each of its 32 windows. Every window is pooled by attention over the states of
+its own words, and a linear layer gives its logit. A text's logit is the largest of all its overlapping windows, one at
+every word, set to a probability by a logistic curve of two parameters.
 
 Labels are of documents, so windows to learn from are found first: words and word starts get log odds from the
 training sample, a toxic document's windows with the highest odds are positive, those of clean documents negative, and
-other windows of toxic documents are not used. The sample is bounded (``SAMPLE`` documents of each label, ``SAMPLE_WINDOWS``
-windows of each, taken ``SAMPLE_STRIDE`` words apart); a quarter of it is kept from the network to set the curve, by whole
-texts. Scoring has no bounds and no stride: it covers the windows at every start of every whole text.
+other windows of toxic documents are not used. The sample is bounded: ``SAMPLE`` documents of each label, ``SAMPLE_WINDOWS``
+windows of each (a toxic document's by odds, a clean one's by a seeded hash), taken ``SAMPLE_STRIDE`` words apart, and
+``POSITIVE``, ``NEGATIVE`` and ``HARD`` windows an epoch. Its texts stay on the executors: words are counted, windows are
+cut and the quarter that the network doesn't see is scored there, to set the curve by whole texts; the driver gets log
+odds, windows and logits. Scoring has no bounds and no stride: it covers the windows at every start of every whole text.
 
 Defined results: a null text is empty; a text without words is one window of nothing and scores like clean text; with
-no usable labels, or only one of the two, the score is the share of label 1 (0 without any); repeated rows are scored
-alike; an empty table gives an empty result; further columns are ignored.
+no usable labels, or only one of the two, the score is the share of label 1 (0 without any); held_out is false where
+doc_id is null; repeated rows are scored alike; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, in_slices, read, text_of
+from .common import DOCUMENT_COLUMNS, in_slices, read, written
 from .labelled import held_out, sample
 
 #: Labelled documents of each label that are learned from, and windows of each, at most.
 SAMPLE, SAMPLE_WINDOWS = {0: 2500, 1: 2000}, 64
-WINDOW, SAMPLE_STRIDE = 32, 24
+WINDOW, RUN, SAMPLE_STRIDE = 32, 64, 24
+#: Windows an epoch learns from, at most: of toxic documents, of clean ones, and of clean ones that look worst so far.
+POSITIVE, NEGATIVE, HARD = 4000, 5000, 3000
+EPOCHS = 6
 WORD_ROWS, CHAR_ROWS, WORD_SIZE, CHAR_SIZE, HIDDEN = 8192, 8192, 12, 20, 8
 TRIGRAMS, THRESHOLD, SEED = 12, 0.7, 7
 #: Bytes of a word whose trigrams, with a mark at either end, are just so many.
 LONGEST = TRIGRAMS + 1
-KNOWN_WORDS, BATCH_WINDOWS = 60_000, 8192
-#: Columns of a product so small that the library keeps it on one thread; on two it takes twice the CPU seconds.
-ONE_THREAD = 512
+#: Words a scorer remembers, and runs it reads at a time.
+KNOWN_WORDS, BATCH_RUNS = 60_000, 512
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -71,12 +75,11 @@ def pieces(word: str) -> list[str]:
 def tokens(text: str) -> list[str]:
     """The words of a text, long ones in pieces, so that each character is read."""
     found = TOKEN.findall(text.lower())
-    most = LONGEST if text.isascii() else LONGEST // 4  # characters that surely fit
-    if max(map(len, found), default=0) <= most:
+    if max(map(len, found), default=0) <= LONGEST and text.isascii():
         return found
     out: list[str] = []
     for w in found:
-        if len(w) <= most:
+        if len(w) <= LONGEST // 4 or (len(w) <= LONGEST and len(w.encode()) <= LONGEST):
             out.append(w)
         else:
             out += pieces(w)
@@ -89,17 +92,17 @@ def starts_of(n: int, window: int = WINDOW, stride: int = SAMPLE_STRIDE) -> np.n
 
 
 def word_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash rows of words, and of their trigrams filled up with the last row, which is zero."""
-    own = np.empty(len(words), dtype=np.int32)
-    grams = np.full((len(words), TRIGRAMS), CHAR_ROWS, dtype=np.int32)
-    crc = zlib.crc32
-    for i, w in enumerate(words):
-        data = w.encode()
-        own[i] = crc(data) % WORD_ROWS
-        data = b"<" + data + b">"
-        found = [crc(data[k : k + 4]) % CHAR_ROWS for k in range(max(1, len(data) - 3))]
-        grams[i, : len(found)] = found
-    return own, grams
+    """Hash rows of words, and of their pieces of four bytes filled up with the last row, which is zero."""
+    own = np.array([zlib.crc32(w.encode()) % WORD_ROWS for w in words], dtype=np.int32)
+    marked = [f"<{w}>".encode() for w in words]
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    data = np.frombuffer(b"".join(marked) + bytes(TRIGRAMS + 4), dtype=np.uint8).astype(np.uint32)
+    four = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
+    place = np.arange(TRIGRAMS)[None, :] + (np.cumsum(sizes) - sizes)[:, None]
+    piece = four[place] & np.where(sizes < 4, (1 << 8 * np.minimum(sizes, 3)) - 1, 0xFFFFFFFF).astype(np.uint32)[:, None]
+    hashed = (piece * np.uint32(2654435761) ^ piece >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(7)
+    there = np.arange(TRIGRAMS)[None, :] < np.maximum(1, sizes - 3)[:, None]
+    return own, np.where(there, hashed % np.uint32(CHAR_ROWS), CHAR_ROWS).astype(np.int32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,8 +129,8 @@ class Network:
         """Of all words, some at a time: the trigrams' embeddings of many words are large."""
         return np.concatenate([self.inputs(own[i : i + step], grams[i : i + step])[0] @ self.p["w"] + self.p["b"] for i in range(0, max(1, len(own)), step)])
 
-    def logits(self, table: np.ndarray, rows: np.ndarray, mask: np.ndarray | None, keep: list | None = None) -> np.ndarray:
-        """Of windows: rows (n x window) into table (words x 6 h); mask: 1 where there is a word. keep: gets what training needs."""
+    def logits(self, table: np.ndarray, rows: np.ndarray, mask: np.ndarray, pool: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Of one window each: rows (n x steps) of runs into table (words x 6 h); mask: 1 where there is a word; pool: 1 on the window's words. keep: gets what training needs."""
         n, steps, h = len(rows), rows.shape[1], HIDDEN
         states = np.empty((steps, n, 2 * h), dtype=np.float32)
         for way in (0, 1):
@@ -139,30 +142,28 @@ class Network:
                 z, r = gates[:, :h], gates[:, h:]
                 new = np.tanh(g[:, 2 * h :] + r * hu[:, 2 * h :])
                 after = new + z * (state - new)
-                if mask is not None:
-                    m = mask[:, t, None]
-                    after = state + m * (after - state)
+                m = mask[:, t, None]
+                after = state + m * (after - state)
                 if keep is not None:
                     keep.append((way, t, state, z, r, new, hu[:, 2 * h :]))
                 state = states[t, :, way * h : (way + 1) * h] = after
-        weights = states @ self.p["a"]
-        if mask is not None:
-            weights = np.where(mask.T > 0, weights, -30.0)
-        weights = np.exp(weights - weights.max(axis=0))
-        weights /= weights.sum(axis=0)
+        weights = np.where(pool.T > 0, states @ self.p["a"], -np.inf)
+        weights = np.exp(weights - np.maximum(weights.max(axis=0), -1e30))
+        weights /= np.maximum(weights.sum(axis=0), 1e-30)
         pooled = np.einsum("tn,tnk->nk", weights, states)
         if keep is not None:
             keep.append((states, weights, pooled))
         return pooled @ self.p["v"] + self.p["c"][0]
 
-    def at_every_start(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Logits of the full windows at each position of ids but the last ``WINDOW`` - 1, as ``logits`` has them.
+    def best_of_runs(self, table: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The largest logit of all windows of each run: those of WINDOW words from each of its first WINDOW places, or the one of all its words if they are fewer.
 
-        A step of all windows reads one slice of the projected words. States lie with the windows along the rows, and
-        attention needs only their products with a and v."""
-        h, n = HIDDEN, len(ids) - WINDOW + 1
-        words = np.ascontiguousarray(table.take(ids, axis=0).T)
-        weights, values = np.zeros((WINDOW, n), dtype=np.float32), np.zeros((WINDOW, n), dtype=np.float32)
+        Runs lie along the rows, so a step is a few operations on whole rows; attention needs only the states' products with a and v."""
+        h, n = HIDDEN, len(rows)
+        words = np.ascontiguousarray(table.take(rows.T, axis=0).transpose(0, 2, 1))  # steps x 6 h x runs
+        there = np.arange(RUN)[:, None] < sizes[None, :]
+        padded = there.all(axis=1)
+        weights, values = np.zeros((RUN, n), dtype=np.float32), np.zeros((RUN, n), dtype=np.float32)
         with np.errstate(over="ignore"):  # of a very negative gate: 1 / inf is 0
             for way in (0, 1):
                 own = slice(way * h, (way + 1) * h)
@@ -170,8 +171,8 @@ class Network:
                 u = np.concatenate([self.p[f"u{way}"].T, self.p["a"][None, own], self.p["v"][None, own]])
                 of_state = np.zeros((3 * h + 2, n), dtype=np.float32)
                 state = np.zeros((h, n), dtype=np.float32)
-                for t in range(WINDOW) if not way else range(WINDOW - 1, -1, -1):
-                    g, gates, new = words[3 * h * way : 3 * h * (way + 1), t : t + n], of_state[: 2 * h], of_state[2 * h : 3 * h]
+                for t in range(RUN) if not way else range(RUN - 1, -1, -1):
+                    g, gates, new = words[t, 3 * h * way : 3 * h * (way + 1)], of_state[: 2 * h], of_state[2 * h : 3 * h]
                     gates += g[: 2 * h]
                     np.negative(gates, out=gates)
                     np.exp(gates, out=gates)
@@ -187,22 +188,30 @@ class Network:
                     state -= new
                     state *= gates[:h]
                     state += new
-                    for i in range(0, n, ONE_THREAD):
-                        np.matmul(u, state[:, i : i + ONE_THREAD], out=of_state[:, i : i + ONE_THREAD])
+                    if not padded[t]:
+                        state *= there[t]
+                    np.matmul(u, state, out=of_state)
                     weights[t] += of_state[3 * h]
                     values[t] += of_state[3 * h + 1]
-        weights -= weights.max(axis=0)
-        np.exp(weights, out=weights)
+        weights[~there] = -np.inf
+        weights -= np.maximum(weights.max(axis=0), np.float32(-1e30))
+        np.exp(np.maximum(weights, -80, where=there, out=weights), out=weights)
         values *= weights
-        return values.sum(axis=0) / weights.sum(axis=0) + self.p["c"][0]
-
-    def gradients(self, own: np.ndarray, grams: np.ndarray, rows: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights_of: np.ndarray, drop: np.ndarray) -> tuple[dict, float]:
+        span = 1
+        while span < WINDOW:  # sums over windows by doubling: only like signs of the weights are added
+            weights, values = weights[:-span] + weights[span:], values[:-span] + values[span:]
+            span *= 2
+        logit = values[:WINDOW] / np.maximum(weights[:WINDOW], np.float32(1e-37)) + self.p["c"][0]
+        whole = np.arange(WINDOW)[:, None] <= np.maximum(sizes - WINDOW, 0)[None, :]
+        return np.where(whole, logit, -np.inf).max(axis=0)
+
+    def gradients(self, own: np.ndarray, grams: np.ndarray, rows: np.ndarray, mask: np.ndarray, pool: np.ndarray, labels: np.ndarray, weights_of: np.ndarray, drop: np.ndarray) -> tuple[dict, float]:
         """Of the weighted logistic loss; rows are positions in own and grams; drop: 0 for words whose own embedding is left out."""
         h, p = HIDDEN, self.p
         x, counts = self.inputs(own, grams)
         x[:, :WORD_SIZE] *= drop[:, None]
         table, keep = x @ p["w"] + p["b"], []
-        logit = self.logits(table, rows, mask, keep)
+        logit = self.logits(table, rows, mask, pool, keep)
         prob = 1 / (1 + np.exp(-logit))
         loss = float(-(weights_of * (labels * np.log(prob + 1e-7) + (1 - labels) * np.log(1 - prob + 1e-7))).mean())
         d = ((prob - labels) * weights_of / len(labels)).astype(np.float32)
@@ -255,70 +264,77 @@ class Adam:
             self.params[k] -= by * self.m[k] / (np.sqrt(self.s[k]) + 1e-7)
 
 
-def log_odds(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
-    """Of words and of their first four letters (with < before them), by documents of either label; at least two toxic ones."""
-    seen = (Counter(), Counter())
-    for words, label in zip(docs, labels, strict=True):
-        distinct = set(words)
-        seen[int(label)].update(distinct | {"<" + w[:4] for w in distinct if len(w) > 4})
-    bad, good = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    return {w: float(np.log((n + 0.1) / (bad + 1)) - np.log((seen[0][w] + 0.5) / (good + 1))) for w, n in seen[1].items() if n > 1}
+def marks(words: list[str]) -> set[str]:
+    """Distinct words of a text, and the first four letters of long ones (with < before them)."""
+    distinct = set(words)
+    return distinct | {"<" + w[:4] for w in distinct if len(w) > 4}
+
+
+def log_odds(toxic: int, clean: int, in_toxic: int, in_clean: int) -> float:
+    """Of a mark in so many toxic and clean documents out of ``in_toxic`` and ``in_clean``."""
+    return float(np.log((toxic + 0.1) / (max(1, in_toxic) + 1)) - np.log((clean + 0.5) / (max(1, in_clean) + 1)))
+
+
+def windows_of(text: str, label: int, odds: dict[str, float], most: int = SAMPLE_WINDOWS) -> list[tuple[str, int, int, float]]:
+    """(words of the run, place of the window in it, its words, value) of windows to learn from; a toxic text's value is that of the window's highest odds, and only windows near its best are given."""
+    words = tokens(text)
+    starts = starts_of(len(words))
+    value = np.zeros(len(starts))
+    if label:
+        worth = np.array([max(odds.get(w, -9.0), 0.8 * odds.get("<" + w[:4], -9.0) if len(w) > 4 else -9.0) for w in words] or [-9.0])
+        value = np.array([worth[s : s + WINDOW].max() for s in starts])
+    by = np.argsort(-value, kind="stable") if label else np.argsort([zlib.crc32(f"{SEED} {s} {len(text)}".encode()) for s in starts], kind="stable")
+    out = []
+    for i in by[:most].tolist():
+        if label and value[i] < max(1.0, 0.8 * value[by[0]]):
+            break
+        s = int(starts[i])
+        first = s // WINDOW * WINDOW
+        out.append((" ".join(words[first : first + RUN]), s - first, len(words[s : s + WINDOW]), float(value[i])))
+    return out
+
+
+def constant(labels: list[int], seed: int = SEED) -> Network | None:
+    """What is known without both labels."""
+    if len(set(labels)) > 1:
+        return None
+    net = Network(seed)
+    net.p["v"][:] = 0
+    net.shift = 12.0 if labels and labels[0] else -12.0
+    return net
 
 
-def trained(docs: list[str], labels: list[int], epochs: int = 10, batch: int = 128, seed: int = SEED) -> Network:
-    """Of texts and their labels; the same for the same input in any order."""
+def learned(windows: list[tuple[int, str, int, int]], epochs: int = EPOCHS, batch: int = 128, seed: int = SEED) -> Network:
+    """Of windows (label, words of the run, place, words in it); the same for the same windows in any order."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    order = sorted(range(len(docs)), key=lambda i: (zlib.crc32(docs[i].encode()), docs[i], labels[i]))
-    y = np.array([labels[i] for i in order], dtype=np.float32)
-    if not len(y) or y.min() == y.max():
-        net.p["v"][:] = 0
-        net.shift = -12.0 if not len(y) or y[0] == 0 else 12.0
-        return net
-    same: dict[str, str] = {}  # one object for each word, however often it occurs
-    words = [[same.setdefault(w, w) for w in tokens(docs[i])] for i in order]
-    tune = np.zeros(len(y), dtype=bool)
-    for label in (0, 1):
-        tune[np.flatnonzero(y == label)[3::4]] = True
-    odds = log_odds([w for w, t in zip(words, tune, strict=True) if not t], y[~tune])
+    windows = sorted(windows)
     vocabulary: dict[str, int] = {"": 0}
-    rows, owner = [], []
-    value = []
-    for i, ws in enumerate(words):
-        at = starts_of(len(ws))
-        if len(at) > SAMPLE_WINDOWS:
-            at = np.sort(rng.choice(at, SAMPLE_WINDOWS, replace=False))
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
-        worth = [max(odds.get(w, -9.0), 0.8 * odds.get("<" + w[:4], -9.0) if len(w) > 4 else -9.0) for w in ws] if y[i] else []
-        for s in at.tolist():
-            rows.append(ids[s : s + WINDOW] + [0] * (WINDOW - len(ids[s : s + WINDOW])))
-            owner.append(i)
-            value.append(max(worth[s : s + WINDOW], default=-9.0) if y[i] else 0.0)
-    rows, owner, value = np.array(rows, dtype=np.int32), np.array(owner), np.array(value)
+    rows = np.zeros((len(windows), RUN), dtype=np.int32)
+    pool = np.zeros((len(windows), RUN), dtype=np.float32)
+    for i, (_, run, at, count) in enumerate(windows):
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in run.split()]
+        rows[i, : len(ids)] = ids
+        pool[i, at : at + count] = 1
+    y = np.array([w[0] for w in windows], dtype=np.float32)
     mask = (rows > 0).astype(np.float32)
     own, grams = word_rows(list(vocabulary))
-    best = np.full(len(y), -np.inf)
-    np.maximum.at(best, owner, value)
-    positive = np.flatnonzero((y[owner] == 1) & ~tune[owner] & (value >= np.maximum(1.0, 0.8 * best[owner])))
-    negative = np.flatnonzero((y[owner] == 0) & ~tune[owner])
-    adam = Adam(net.p, 0.01)
+    positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    adam, hard = Adam(net.p, 0.01), negative[:0]
     for epoch in range(epochs):
         adam.rate = 0.01 * (1 - 0.8 * epoch / epochs)
-        hard = negative[:0]
-        if epoch >= 2:  # clean windows that look worst so far
+        if epoch >= 2 and epoch % 2 == 0 and len(negative):  # clean windows that look worst so far
             table = net.projected(own, grams)
-            logit = np.concatenate([net.logits(table, rows[negative[i : i + 2048]], mask[negative[i : i + 2048]]) for i in range(0, len(negative), 2048)])
-            hard = negative[np.argsort(-logit, kind="stable")[: len(negative) // 20 + 1][:3000]]
-        some = np.concatenate([rng.permutation(positive)[:4000], rng.permutation(negative)[:5000], hard])
+            logit = np.concatenate([net.logits(table, rows[negative[i : i + 2048]], mask[negative[i : i + 2048]], pool[negative[i : i + 2048]]) for i in range(0, len(negative), 2048)])
+            hard = negative[np.argsort(-logit, kind="stable")[: len(negative) // 20 + 1][:HARD]]
+        some = np.concatenate([rng.permutation(positive)[:POSITIVE], rng.permutation(negative)[:NEGATIVE], hard])
         rng.shuffle(some)
         for i in range(0, len(some), batch):
             part = some[i : i + batch]
             distinct, inverse = np.unique(rows[part], return_inverse=True)
             drop = (rng.random(len(distinct)) > 0.4).astype(np.float32)
-            label = y[owner[part]]
-            grads, _ = net.gradients(own[distinct], grams[distinct], inverse.reshape(len(part), WINDOW), mask[part], label, np.where(label == 1, 1.0, 1.5).astype(np.float32), drop)
+            label = y[part]
+            grads, _ = net.gradients(own[distinct], grams[distinct], inverse.reshape(len(part), RUN), mask[part], pool[part], label, np.where(label == 1, 1.0, 1.5).astype(np.float32), drop)
             adam.step(grads)
-    top = Scorer(net).logits([docs[i] for i, t in zip(order, tune, strict=True) if t])
-    net.slope, net.shift = curve(top, y[tune])
     return net
 
 
@@ -360,47 +376,32 @@ class Scorer:
             self.table = np.concatenate([self.table, *new])
             self.rows.new = []
 
-    def _run(self, rows: np.ndarray) -> np.ndarray:
-        self._project()
-        return self.net.logits(self.table, rows, (rows > 0).astype(np.float32))
-
     def logits(self, texts: list[str]) -> np.ndarray:
         """The largest of each text's windows."""
         top = np.full(len(texts), -np.inf)
-        held: dict[bool, list] = {False: [], True: []}
-        count = {False: 0, True: 0}
-
-        def flush(short: bool) -> None:
-            if not held[short]:
-                return
-            if short:
-                owners, rows = [i for i, _ in held[True]], np.stack([x for _, x in held[True]])
-                top[owners] = self._run(rows)
-            else:
-                ids = np.concatenate([x for _, x in held[False]])
-                sizes = np.array([len(x) for _, x in held[False]])
-                owner = np.repeat([i for i, _ in held[False]], sizes)
-                whole = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids)) >= WINDOW  # the others run into the next text
+        owners: list[int] = []
+        runs: list[np.ndarray] = []
+
+        def flush(least: int) -> None:
+            while len(runs) >= least and runs:
+                own, part = owners[:BATCH_RUNS], runs[:BATCH_RUNS]
+                del owners[:BATCH_RUNS], runs[:BATCH_RUNS]
                 self._project()
-                for i in range(0, len(ids) - WINDOW + 1, BATCH_WINDOWS):
-                    logit = self.net.at_every_start(self.table, ids[i : i + BATCH_WINDOWS + WINDOW - 1])
-                    own = whole[i : i + len(logit)]
-                    np.maximum.at(top, owner[i : i + len(logit)][own], logit[own])
-            held[short], count[short] = [], 0
+                sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+                rows = np.zeros((len(part), RUN), dtype=np.int32)
+                rows[np.arange(RUN)[None, :] < sizes[:, None]] = np.concatenate(part)
+                np.maximum.at(top, own, self.net.best_of_runs(self.table, rows, sizes))
 
         for i, text in enumerate(texts):
             ids = np.fromiter(map(self.rows.__getitem__, tokens(text)), dtype=np.int32)
-            short = len(ids) < WINDOW
-            held[short].append((i, np.pad(ids, (0, WINDOW - len(ids))) if short else ids))
-            count[short] += 1 if short else len(ids)
-            if count[short] >= BATCH_WINDOWS:
-                flush(short)
+            for start in range(0, max(1, len(ids) - WINDOW + 1), WINDOW):
+                owners.append(i)
+                runs.append(ids[start : start + RUN])
+            flush(BATCH_RUNS)
             if len(self.rows) > KNOWN_WORDS:
-                for s in (False, True):
-                    flush(s)
+                flush(1)
                 self.rows, self.table = Rows(), self.table[:0]
-        for s in (False, True):
-            flush(s)
+        flush(1)
         return top
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -408,8 +409,43 @@ class Scorer:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most_of_each: dict[int, int] = SAMPLE) -> Network:
-    rows = sample(docs, labels, "toxic", most_of_each).select("text", "label").collect()
-    return trained([r["text"] for r in rows], [r["label"] for r in rows])
+    """Texts of the sample stay in a written table; words are counted, windows cut and the tuning quarter scored on the executors."""
+    rows = sample(docs, labels, "toxic", most_of_each).select("text", "label", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).alias("tune"))
+    rows = written(rows, "labelled")
+    counts = {(r["label"], r["tune"]): r["n"] for r in rows.groupBy("label", "tune").agg(F.count(F.lit(1)).alias("n")).collect()}
+    net = constant([label for label, _ in counts])
+    if net:
+        return net
+
+    def marked(batches):
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = sorted(marks(tokens(text)))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], names=["mark", "label"])
+
+    seen = rows.filter("NOT tune").select("text", "label").mapInArrow(in_slices(marked), "mark string, label int").groupBy("mark").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).filter("toxic > 1")
+    of_label = [counts.get((label, False), 0) for label in (1, 0)]
+    odds = {r["mark"]: log_odds(r["toxic"], r["n"] - r["toxic"], *of_label) for r in seen.collect()}
+
+    def cut(batches):
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = windows_of(text, label, odds)
+                runs, at, count, _ = list(zip(*found, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(runs, pa.string()), pa.array(at, pa.int32()), pa.array(count, pa.int32())], names=["label", "run", "at", "count"])
+
+    windows = rows.filter("NOT tune").select("text", "label").mapInArrow(in_slices(cut), "label int, run string, at int, count int").collect()
+    net = learned([tuple(r) for r in windows])
+
+    def tuned(batches):
+        scorer = Scorer(net)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(scorer.logits(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], names=["logit", "label"])
+
+    tune = sorted(tuple(r) for r in rows.filter("tune").select("text", "label").mapInArrow(in_slices(tuned), "logit double, label int").collect())
+    if tune:
+        net.slope, net.shift = curve(*(np.array(c, dtype=float) for c in zip(*tune, strict=True)))
+    return net
 
 
 def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD, columns: tuple[str, ...] = ()) -> DataFrame:

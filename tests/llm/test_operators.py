@@ -137,7 +137,7 @@ def test_classifiers_on_held_out_rows(spark, tmp_path, column, run, limit):
     labels = labelled_tables(spark, str(tmp_path), column)
     rows = run(spark, str(tmp_path)).collect()
     assert len(rows) == 900 + len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= limit) for r in rows)
-    assert all(bool(r["held_out"]) == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows if r["doc_id"] is not None)
+    assert all(r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
     right = sum(r["predicted"] == labels[r["doc_id"]][column == "toxic"] for r in held)
     assert len(held) > 200 and right / len(held) > 0.95
@@ -163,14 +163,15 @@ def test_gradients_of_the_network():
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
     own, grams = toxicity.word_rows(["", "abcdef", "ghij", "klm"])
-    rows = rng.integers(0, 4, (5, toxicity.WINDOW)).astype(np.int32)
+    rows = rng.integers(0, 4, (5, toxicity.RUN)).astype(np.int32)
     mask, labels, weights = (rows > 0).astype(float), np.array([0, 1, 1, 0, 1.0]), np.ones(5)
-    grads, _ = net.gradients(own, grams, rows, mask, labels, weights, np.ones(4))
+    pool = mask * (np.arange(toxicity.RUN) % 40 < 32)
+    grads, _ = net.gradients(own, grams, rows, mask, pool, labels, weights, np.ones(4))
     for k, at in (("w", (3, 5)), ("u0", (1, 2)), ("u1", (2, 7)), ("a", (4,)), ("v", (2,)), ("word", (own[1], 3)), ("char", (grams[2, 0], 1))):
         loss = []
         for step in (1e-3, -2e-3):
             net.p[k][at] += step
-            loss.append(net.gradients(own, grams, rows, mask, labels, weights, np.ones(4))[1])
+            loss.append(net.gradients(own, grams, rows, mask, pool, labels, weights, np.ones(4))[1])
         net.p[k][at] += 1e-3
         assert abs((loss[0] - loss[1]) / 2e-3 - grads[k][at]) < 2e-3
 
@@ -179,20 +180,46 @@ def small_network():
     rng = np.random.default_rng(8)
     texts = [" ".join(f"clean{x}" for x in rng.integers(0, 300, 60)) for _ in range(120)]
     toxic = [" ".join([*t.split()[:20], *rng.permutation(["vileword", "nastyterm", "hatefulthing", "uglyslur"] * 3).tolist(), *t.split()[32:]]) for t in texts[::3]]
-    return toxicity.trained(texts + toxic, [0] * len(texts) + [1] * len(toxic), epochs=4)
-
-
-def test_every_window_is_scored():
+    seen = [[m for t in part for m in toxicity.marks(toxicity.tokens(t))] for part in (toxic, texts)]
+    odds = {m: toxicity.log_odds(seen[0].count(m), seen[1].count(m), len(toxic), len(texts)) for m in set(seen[0])}
+    net = toxicity.learned([(label, *w[:3]) for label, part in ((0, texts), (1, toxic)) for t in part for w in toxicity.windows_of(t, label, odds)], epochs=6)
+    net.slope, net.shift = toxicity.curve(toxicity.Scorer(net).logits(texts + toxic), np.array([0.0] * len(texts) + [1.0] * len(toxic)))
+    return net
+
+
+def plain_logit(net, words, start):
+    """One window by loops over its run of words, a word and a number at a time."""
+    first = start // 32 * 32
+    run = words[first : first + 64]
+    if not run:
+        return float(net.p["c"][0])
+    x = []
+    for w in run:
+        own, grams = toxicity.word_rows([w])
+        pieces = [net.p["char"][g] for g in grams[0] if g < toxicity.CHAR_ROWS]
+        x.append(np.concatenate([net.p["word"][own[0]], np.mean(pieces, axis=0)]) @ net.p["w"] + net.p["b"])
+    h, states = toxicity.HIDDEN, [[None, None] for _ in run]
+    for way in (0, 1):
+        state = np.zeros(h)
+        for t in range(len(run)) if way == 0 else reversed(range(len(run))):
+            g, hu = x[t][3 * h * way : 3 * h * (way + 1)], state @ net.p[f"u{way}"]
+            z, r = (1 / (1 + np.exp(-(g[i : i + h] + hu[i : i + h]))) for i in (0, h))
+            new = np.tanh(g[2 * h :] + r * hu[2 * h :])
+            state = z * state + (1 - z) * new
+            states[t][way] = state
+    held = [np.concatenate(s) for s in states[start - first : start - first + 32]]
+    weight = np.exp([s @ net.p["a"] for s in held])
+    return float(np.sum([w * (s @ net.p["v"]) for w, s in zip(weight / weight.sum(), held, strict=True)]) + net.p["c"][0])
+
+
+def test_every_window_is_scored(monkeypatch):
+    monkeypatch.setattr(toxicity, "BATCH_RUNS", 7)
     net, rng = toxicity.Network(4), np.random.default_rng(4)
     net.p["a"], net.p["v"] = net.p["a"] * 9, net.p["v"] * 9
-    texts = [" ".join(f"t{x}" for x in rng.integers(0, 200, n)) for n in (5, 31, 32, 33, 70, 9000, 0, 64)]
-    got = toxicity.Scorer(net).logits(texts)
-    for text, logit in zip(texts, got, strict=True):
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 200, n)) for n in (5, 31, 32, 33, 63, 64, 65, 70, 96, 97, 500, 0, 1)]
+    for text, logit in zip(texts, toxicity.Scorer(net).logits(texts), strict=True):
         words = toxicity.tokens(text)
-        windows = [words[s : s + 32] for s in range(max(1, len(words) - 31))]
-        table = net.projected(*toxicity.word_rows(["", *words]))
-        rows = np.array([[*range(s + 1, s + 1 + len(w))] + [0] * (32 - len(w)) for s, w in enumerate(windows)])
-        assert abs(net.logits(table, rows, (rows > 0).astype(np.float32)).max() - logit) < 1e-4
+        assert abs(max(plain_logit(net, words, s) for s in range(max(1, len(words) - 31))) - logit) < 1e-4
 
 
 @pytest.mark.parametrize("word", ["short", "a" * 13, "abcdefghijklmnopqrstuvwxyz0123456789" * 3, "слово" * 20, "字" * 50 + "a" * 9 + "汉" * 40, "𝒳y" * 30])
@@ -222,7 +249,7 @@ def test_words_before_a_passage_do_not_hide_it():
     clean = [f"clean{x}" for x in rng.integers(0, 300, 100)]
     text = [*clean[:40], *["vileword", "nastyterm", "hatefulthing", "uglyslur"] * 3, *clean[40:80]]
     score = toxicity.Scorer(net).score([" ".join([*clean[:k], *text]) for k in range(32)])
-    assert (score >= 0.7).all() and np.ptp(score) < 1e-4
+    assert (score >= 0.7).all() and np.ptp(score) < 0.1
 
 
 def test_trees_equal_plain_walk():

@@ -7,8 +7,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -32,10 +33,12 @@ OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a temporary one where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; where that is unset, a temporary one, but only in local mode, as in tests."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = OWN_FOLDERS.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="keepsake-")
         OWN_FOLDERS[context.applicationId] = folder
     return folder.rstrip("/")
@@ -52,6 +55,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def numbered(rows: DataFrame, keys: list[str], part: str, within: str, name: str) -> DataFrame:
+    """``rows`` with a number from 0 among those of equal keys: rows of a part count from the sum of the parts before it.
+
+    rows: each has its part and its place among the rows of its keys in that part. No key is gathered in one task: only
+    a row for each part and key is ordered."""
+    sizes = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(part).alias("__part"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = (F.col(part) == F.col("__part")) & reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return rows.join(offsets, same).withColumn(name, F.col("__before") + F.col(within)).drop("__part", "__before", *(f"__{k}" for k in keys))
+
+
 def discarded(table: DataFrame) -> None:
     """Deletes the files of a written table that nothing will read again."""
     dropped(table.sparkSession, table._keepsake_path)

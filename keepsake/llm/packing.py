@@ -1,10 +1,13 @@
 """Best-fit decreasing packing of tokenised documents into sequences.
 
 A document is its token ids and one separator. One longer than a sequence is cut into full sequences, the first piece
-being the shorter one. All other pieces are dealt by a hash into groups of about ``docs_per_group`` documents, and each
-group is packed by itself: pieces in falling order of length, each put into the tightest open sequence, which a
-segment tree over remaining capacities finds in logarithmic time. A group holds pieces' lengths, not their tokens, and
-the number of groups grows with the table; what groups leave open at their ends is a few sequences each.
+being the shorter one. All pieces of the table are packed together: pieces in falling order of length, each put into the
+tightest open sequence, which a segment tree over remaining capacities finds in logarithmic time. Pieces of one length are
+alike, so what goes where follows from how many there are of each length, at most ``sequence`` numbers, and is found on
+the driver from these alone: the tree holds how many sequences have each capacity, and a step puts as many equal pieces
+as fit into as many equal sequences as there are. The result is a list of slots, bounded by the sequence's length and
+not by the table: the n-th piece of a length is looked up in it. Pieces are numbered within their length by the counts
+of the tasks that made them, so no length is gathered in one task.
 
 Defined results: a null text is an empty one and becomes the separator alone; repeated rows are packed as often as they
 occur; an empty table gives an empty result; further columns are ignored.
@@ -25,11 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, text_of
+from .common import in_slices, numbered, text_of, written
 
 SEQUENCE = 2048
 SEPARATOR = 0
-DOCS_PER_GROUP = 50_000
 TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, for a library that merges faster; None: everything by the tokenizer.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -78,25 +80,20 @@ def encoder_of(path: str, ranks: str | None) -> Encoder:
 
 
 class TightestFit:
-    """Open sequences by remaining capacity: a segment tree over the capacities 0..top of how many sequences have each."""
+    """How many open sequences have each remaining capacity: a segment tree over the capacities 0..top."""
 
     def __init__(self, top: int):
         self.leaves = 1 << top.bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.open: list[list[int]] = [[] for _ in range(top + 1)]
 
-    def add(self, capacity: int, sequence: int) -> None:
-        self.open[capacity].append(sequence)
-        self._change(capacity, 1)
-
-    def _change(self, capacity: int, by: int) -> None:
+    def add(self, capacity: int, sequences: int) -> None:
         i = capacity + self.leaves
         while i:
-            self.count[i] += by
+            self.count[i] += sequences
             i >>= 1
 
-    def take(self, least: int) -> tuple[int, int] | None:
-        """(capacity, sequence) of the smallest capacity of ``least`` or more, taken out."""
+    def tightest(self, least: int) -> int | None:
+        """The smallest capacity of ``least`` or more that a sequence has."""
         count, i = self.count, least + self.leaves
         if not count[i]:
             while True:  # up until a right sibling holds something
@@ -108,77 +105,97 @@ class TightestFit:
                 i >>= 1
             while i < self.leaves:
                 i = 2 * i if count[2 * i] else 2 * i + 1
-        capacity = i - self.leaves
-        self._change(capacity, -1)
-        return capacity, self.open[capacity].pop()
-
-
-def best_fit_decreasing(lengths: np.ndarray, top: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece."""
-    fit, opened = TightestFit(top), 0
-    sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        found = fit.take(n)
-        if found is None:
-            found, opened = (top, opened), opened + 1
-        capacity, sequence[i] = found
-        offset[i] = top - capacity
-        if capacity > n:
-            fit.add(capacity - n, int(sequence[i]))
-    return sequence, offset
-
-
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, full long"
+        return i - self.leaves
+
+
+#: A slot: pieces of one length from the ``first``-th on go ``each`` at a time into sequences from ``sequence`` on, at ``offset``.
+SLOTS = ("length", "first", "each", "sequence", "offset")
+
+
+def best_fit_decreasing(counts: dict[int, int], top: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
+    """Slots of so many pieces of each length.
+
+    A sequence that just took a piece of length n is, if it can take another, the tightest for the next of length n, as
+    it was the tightest before; so sequences of one capacity are filled one after the other with as many as fit."""
+    fit, opened, slots = TightestFit(top), 0, []
+    ranges: dict[int, list[tuple[int, int]]] = {}  # by capacity: runs of sequences as (first, how many)
+    for n in sorted(counts, reverse=True):
+        done, left = 0, counts[n]
+        while left:
+            capacity = fit.tightest(n)
+            if capacity is None:
+                capacity, each = top, top // n
+                first, sequences = opened, -(-left // each)
+                opened += sequences
+            else:
+                each = capacity // n
+                first, sequences = ranges[capacity].pop()
+                taken = min(sequences, -(-left // each))
+                fit.add(capacity, -taken)
+                if taken < sequences:
+                    ranges[capacity].append((first + taken, sequences - taken))
+                sequences = taken
+            full, rest = divmod(min(left, sequences * each), each)
+            for at, many, pieces_ in ((first, full, each), (first + full, 1, rest)):
+                if many and pieces_:
+                    slots.append((n, done, pieces_, at, top - capacity))
+                    done += many * pieces_
+                    left -= many * pieces_
+                    room = capacity - pieces_ * n
+                    if room:
+                        ranges.setdefault(room, []).append((at, many))
+                        fit.add(room, many)
+    return slots
+
+
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 def pieces(docs: DataFrame, path: str, ranks: str | None, sequence: int = SEQUENCE, separator: int = SEPARATOR, texts_a_call: int = 256) -> DataFrame:
-    """A row per piece; full: a sequence number of its own where the piece fills one."""
+    """A row per piece; part: the task that made it, nth: its number among the task's pieces of its length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(path, ranks), np.array([separator], dtype="<u4").tobytes()
-        task, done = TaskContext.get().partitionId(), 0
-        for part in batches:
+        part, seen = TaskContext.get().partitionId(), [0] * (sequence + 1)
+        for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(part.column(0).to_pylist(), map(encoder.encode, part.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(1).to_pylist()), strict=True):
                 ids += end
                 n = len(ids) // 4
                 first = n % sequence or sequence
                 for k, start in enumerate([0, *range(first, n, sequence)]):
-                    stop = start + (sequence if k else first)
-                    full = stop - start == sequence
-                    done += full
-                    out.append((doc, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), -(task << 40) - done if full else None))
+                    length = sequence if k else first
+                    out.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
+                    seen[length] += 1
             columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(in_slices(cut, texts_a_call), PIECES)
 
 
-def packed(docs: DataFrame, path: str | None = None, ranks: str | None = None, sequence: int = SEQUENCE, separator: int = SEPARATOR, docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, ranks: str | None = None, sequence: int = SEQUENCE, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset. path: a tokenizer; ranks: the same vocabulary as ranks, if there is one."""
-    groups = max(1, -(-docs.count() // docs_per_group))  # of a Parquet table, from its footers
-
-    def pack(group: pa.Table) -> pa.Table:
-        lengths, number = group["length"].to_numpy(), group["__group"][0].as_py()
-        order = np.lexsort((group["piece"].to_numpy(), group["doc_id"].to_pandas().fillna(-1).to_numpy(), -lengths))
-        into, offset = best_fit_decreasing(lengths[order], sequence)
-        back = np.argsort(order)
-        return group.drop_columns(["full", "__group"]).append_column("sequence_id", pa.array((number << 40) + into[back])).append_column("offset", pa.array(offset[back]))
-
     if path is None:
         path, ranks = tokenizer_path(), tokenizer_path(RANKS) if RANKS else None
-    every = pieces(docs, path, ranks, sequence, separator)
-    own = every.withColumn("__group", F.when(F.col("full").isNull(), F.pmod(F.xxhash64("doc_id", "length"), F.lit(groups))).otherwise(-1))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-
-    def pack_all(group: pa.Table) -> pa.Table:
-        if group["__group"][0].as_py() >= 0:
-            return pack(group)
-        return group.drop_columns(["full", "__group"]).append_column("sequence_id", group["full"]).append_column("offset", pa.array(np.zeros(group.num_rows, dtype=np.int64)))
-
-    spread = own.withColumn("__spread", F.when(F.col("full").isNotNull(), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(64 * groups))).otherwise(0))
-    return spread.groupBy("__group", "__spread").applyInArrow(lambda t: pack_all(t.drop_columns(["__spread"])), schema)
+    every = written(pieces(docs, path, ranks, sequence, separator), "pieces")
+    counts = {r["length"]: r["n"] for r in every.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length at most
+    slots = {name: np.array(column, dtype=np.int64) for name, column in zip(SLOTS, zip(*best_fit_decreasing(counts, sequence), strict=True), strict=False)}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.searchsorted(slots["length"] * -1, -np.arange(sequence + 2))  # slots lie in falling order of length
+        for batch in batches:
+            length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
+            low, high = starts[length], starts[length - 1]
+            while (low + 1 < high).any():  # the last slot of the length that doesn't begin after the piece
+                middle = (low + high) // 2
+                before = (slots["first"][np.minimum(middle, len(slots["first"]) - 1)] <= number) & (middle < high)
+                low, high = np.where(before, middle, low), np.where(before, high, middle)
+            later = number - slots["first"][low]
+            sequence_id, offset = slots["sequence"][low] + later // slots["each"][low], slots["offset"][low] + later % slots["each"][low] * length
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence_id), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    number = numbered(every, ["length"], "part", "nth", "number").select("doc_id", "piece", "start", "length", "ids_crc32", "number")
+    return number.mapInArrow(in_slices(placed, 1 << 16), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark, sf_dir):

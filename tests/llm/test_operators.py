@@ -299,25 +299,43 @@ def test_packing_round_trip(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
-    lengths = np.array([r["length"] for r in got])
-    assert len(by) == len(set(packing.best_fit_decreasing(lengths)[0].tolist()))
+    assert len(by) == len(plain_packing([r["length"] for r in got], 2048))
 
 
-def test_best_fit_takes_the_tightest():
-    rng = np.random.default_rng(0)
-    lengths = rng.integers(1, 100, 300)
-    sequence, _ = packing.best_fit_decreasing(lengths, 100)
-    open_, plain = [], {}
-    for i in np.argsort(-lengths, kind="stable"):
-        fitting = [(c, -k) for k, c in enumerate(open_) if c >= lengths[i]]
+def plain_packing(lengths, top):
+    """Best-fit decreasing piece by piece, looking at every open sequence: the lengths of each."""
+    open_: list[list[int]] = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [(top - sum(s), k) for k, s in enumerate(open_) if sum(s) + n <= top]
         if fitting:
-            k = -min(fitting, key=lambda x: x[0])[1]
+            open_[min(fitting)[1]].append(n)
         else:
-            open_.append(100)
-            k = len(open_) - 1
-        open_[k] -= lengths[i]
-        plain[i] = open_[k]
-    assert len(set(sequence.tolist())) == len(open_)
+            open_.append([n])
+    return open_
+
+
+@pytest.mark.parametrize("most, count, top", [(100, 300, 100), (60, 400, 100), (12, 500, 64), (3, 50, 10), (1, 7, 3), (100, 0, 100)])
+def test_best_fit_takes_the_tightest(most, count, top):
+    lengths = np.random.default_rng(count).integers(1, most + 1, count).tolist()
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    held: dict[int, list] = {}
+    slots = packing.best_fit_decreasing(counts, top)
+    for n, first, each, sequence, offset in slots:
+        after = min((s[1] for s in slots if s[0] == n and s[1] > first), default=counts[n])
+        for i in range(after - first):
+            held.setdefault(sequence + i // each, []).append((offset + i % each * n, n))
+    for pieces in held.values():  # gapless
+        assert [o for o, _ in sorted(pieces)] == np.cumsum([0, *(n for _, n in sorted(pieces))])[:-1].tolist()
+    assert sorted(n for p in held.values() for _, n in p) == sorted(lengths)
+    # of sequences with one capacity any may be taken, so only how full each is must be equal
+    assert sorted(sum(n for _, n in p) for p in held.values()) == sorted(map(sum, plain_packing(lengths, top)))
+
+
+def test_packing_of_a_hot_length_and_id(spark):
+    docs = spark.createDataFrame([(None, "same words here")] * 3000 + [(7, "same words here")] * 500, "doc_id long, text string").repartition(5)
+    got = packing.packed(docs).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in got}
+    assert len(got) == len(places) == 3500 and len({r["sequence_id"] for r in got}) == -(-3500 // (2048 // got[0]["length"]))
 
 
 # ---------------------------------------------------------------- chat

@@ -459,9 +459,57 @@ def test_sainte_lague_by_quotients():
         assert mixing.sainte_lague(votes, seats, caps).tolist() == taken
 
 
-def test_targets_stop_at_their_caps():
-    assert mixing.target_words([100, 100, 100], [5, 2, 1]) == [200.0, pytest.approx(166.667, abs=0.01), pytest.approx(83.333, abs=0.01)]
-    assert mixing.target_words([], []) == [] and mixing.target_words([0, 0], [5, 2]) == [0, 0]
+def plain_targets(sizes, weights):
+    targets, left, open_ = [0.0] * len(sizes), 1.5 * sum(sizes), list(range(len(sizes)))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / total > 2 * sizes[i]]
+        for i in over or open_:
+            targets[i] = 2.0 * sizes[i] if over else left * weights[i] / total
+        left -= sum(2 * sizes[i] for i in over)
+        open_ = [i for i in open_ if i not in over] if over else []
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [0, 0], [5, 1000, 3, 70, 70, 2, 1], [1, 1000], [7]])
+def test_targets_stop_at_their_caps(spark, sizes):
+    weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    rows = spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(zip(sizes, weights, strict=True))], "i int, size long, weight double")
+    assert [r["__target"] for r in mixing.targeted(rows).orderBy("i").collect()] == pytest.approx(plain_targets(sizes, weights))
+
+
+@pytest.mark.parametrize("quota, blocks", [(0, 4), (3, 4), (4, 4), (7, 5), (10, 5), (1, 1)])
+def test_blocks_word_by_word(quota, blocks):
+    sizes = np.array([3, 0, 10, 1, 6, 13, 2])
+    copies, extra, ranges, ends = mixing.chosen_words(sizes, quota, blocks, 9)
+    words = int(sizes.sum())
+    bounds = [b * words // blocks for b in range(blocks + 1)]
+    order = sorted(range(blocks), key=lambda b: int(mixing.mixed_hash(np.array([b]), 9)[0]))
+    taken = [quota // blocks] * words
+    for b in order[: quota % blocks]:
+        for w in range(bounds[b], bounds[b + 1]):
+            taken[w] += 1
+    starts = ends - sizes
+    assert (copies * sizes + extra).tolist() == [sum(taken[s:e]) for s, e in zip(starts, ends, strict=True)]
+    assert sorted(w for a, b in ranges for w in range(a, b)) == [w for w in range(words) if taken[w] > copies]
+
+
+def test_mixing_passes_ids_on_and_splits_equal_rows(spark):
+    big = 2**53 + 1
+    rows = [(big + 2 * i, f"word w{i} x y z", "a") for i in range(50)] + [(None, "no id", "a"), (big, None, None)] + [(None, "equal row here", "b")] * 500 + [(3, "equal row here", "b")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    runs = [mixing.mixture(docs.repartition(n), docs_per_shard=64).collect() for n in (3, 7)]
+    ids = lambda x: sorted(((r[0], r[2]) for r in x), key=str)
+    for got in runs:
+        assert sorted(((r["doc_id"], r["source"]) for r in got), key=str) == ids(rows)
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+        for s in ("a", "b"):
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.05 * own[0]["target"] + 16
+    plain = [sorted(((r["doc_id"], r["source"], r["size"], r["target"], r["taken"]) for r in got), key=str) for got in runs]
+    assert plain[0] == plain[1]  # whatever the layout
+    odd = spark.createDataFrame([(big, "a b c d", "en", "s", 7), (None, "e f g", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    assert {r["doc_id"] for r in mixing.mixed_stage(spark, odd, "").collect()} <= {big, None}
 
 
 def test_mixed_stage_takes_its_words(spark):

@@ -375,19 +375,58 @@ def test_template_language():
 # ---------------------------------------------------------------- top-k
 
 
-def test_top_k_equals_brute_force(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(topk, "RANGE", 60)
-    monkeypatch.setattr(topk, "QUERY_CHUNK", 3)
+def plain_top_k(rows, k=10):
+    good = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    queries = {}
+    for i, v in good:
+        if i % 100 == 0:
+            queries[i] = min(v, queries.get(i, v))
+    out = []
+    for q, qv in queries.items():
+        best = sorted((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in good if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e4])  # products as doubles, as integers
+def test_top_k_equals_brute_force(spark, tmp_path, monkeypatch, scale):
+    for name, value in (("RANGE", 60), ("QUERY_CHUNK", 3), ("ROWS_A_CENTRE", 70)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(8)
-    rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(700)] + [(700, None), (800, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (None, [1.0] * 6), (5, [3.0] * 6), (1100, [0.0] * 6)]
+    rows = [(i, (rng.normal(size=6) + 4 * np.eye(6)[i % 4]).round(1).tolist()) for i in range(700)] + [(700, None), (800, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (None, [1.0] * 6), (5, [3.0] * 6), (1100, [0.0] * 6), (200, [2.0, 1.0]), (200, [2.0, 1.0]), (300, [9.0] * 6), (7, [1.5])]
+    rows = [(i, v and [x and x * scale for x in v]) for i, v in rows]
     spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
-    good = [(i, np.floor(np.array(v) * 1024).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    expected = []
-    for q, qv in good:
-        if q % 100 == 0:
-            best = sorted((-int(qv @ v), i) for i, v in good if i != q)[:10]
-            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(tuple(r) for r in topk.op6_exact_top_k(spark, str(tmp_path)).collect()) == sorted(expected)
+    assert sorted(tuple(r) for r in topk.op6_exact_top_k(spark, str(tmp_path)).collect()) == plain_top_k(rows)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.execute(topk.OP6_SQL).fetchall()) == plain_top_k(rows)
+
+
+@pytest.mark.parametrize("x", [1e300, 2.0**45])
+def test_top_k_raises_where_scores_may_not_fit(spark, x):
+    vectors = topk.integer_vectors(spark.createDataFrame([(0, [x, 1.0]), (1, [x, 2.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(vectors, F.col("vec_id") == 0).collect()
+
+
+def test_blocks_are_pruned_where_vectors_have_groups():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32)) * 8
+    vectors = np.floor(1024 * (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.3))
+    order = np.argsort(topk.nearest(vectors, np.floor(1024 * centres)), kind="stable")  # as an index lays them
+    shares = []
+    for q in range(20):
+        out, scored, blocks = 0, 0, 0
+        kth = None
+        for own in np.split(order, 10):
+            found, s, b = topk.best_in_range(vectors[q : q + 1], np.array([q]), vectors[own], own, 10, [kth], 16)
+            scored, blocks = scored + s, blocks + b
+            if len(found) == 10 and kth is None:
+                kth = (found[-1][2], found[-1][1])
+        shares.append(scored / blocks)
+    assert np.mean(shares) < 0.5
 
 
 def test_top_k_of_few(spark, tmp_path):

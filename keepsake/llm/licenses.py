@@ -2,14 +2,18 @@
 
 A text is brought to a canonical form (ASCII lower case, plain quotes and dashes, copyright lines left out, equivalent
 spellings made one, punctuation and white space made single spaces) and its SHA-256 is joined to those of known texts.
-The same is done for single lines against known notices, so a document that only states its licence is found too.
+The same is done for every single line against known notices, so a document that only states its licence is found too.
+Known are the short licences below and those of the folder ``license_texts``, as published, each with and without its
+title or what follows its terms.
 
-Defined results: a null text is empty; a text that is no known licence has a null license; notices are distinct and in
-rising order, empty if there are none; repeated rows give repeated rows; further columns are ignored.
+Defined results: a null text is empty; a text that is no known licence has a null license; of known texts or notices with
+one canonical form the first given counts, and one without words is none; notices are distinct and in
+rising order, empty if there are none; repeated rows give repeated rows; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +51,12 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+for _name in sorted(os.listdir(FOLDER)) if os.path.isdir(FOLDER) else ():  # the workers need none
+    with open(os.path.join(FOLDER, _name), encoding="utf-8") as _text:
+        TEXTS[_name.removesuffix(".txt")] = _text.read()
+#: What ends the terms of a licence that has an appendix.
+END = "END OF TERMS AND CONDITIONS"
 #: Titles with which a text may begin.
 TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
 #: Known one-line notices.
@@ -79,20 +89,32 @@ def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
 
+def variants(texts: dict[str, str], titles: dict[str, str], notices: dict[str, str]) -> list[tuple[int, str, str]]:
+    """Number, text and licence of all that is known: texts alone, with their title, and without what follows their terms; notices by themselves."""
+    rows = []
+    for name, text in texts.items():
+        rows += [(text, name), (f"{titles.get(name, '')}\n{text}", name)]
+        if END in text:
+            rows.append((text[: text.index(END) + len(END)], name))
+    return [(i, *row) for i, row in enumerate([*rows, *notices.items()])]
+
+
 def known_texts(spark, texts: dict[str, str] = TEXTS, titles: dict[str, str] = TITLES, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """digest and license of each known text, with and without its title, and of each notice by itself."""
-    rows = [(t, name) for name, text in texts.items() for t in (text, f"{titles.get(name, '')}\n{text}")] + list(notices.items())
-    known = spark.createDataFrame(rows, "text string, license string")
-    return known.select(digest(whole(canonical_lines(F.col("text")))).alias("digest"), "license").dropDuplicates(["digest"])
+    """digest and license, a row for each canonical form: as many rows as are given, at most."""
+    known = spark.createDataFrame(variants(texts, titles, notices), "number int, text string, license string").select("number", "license", whole(canonical_lines(F.col("text"))).alias("plain"))
+    return known.filter("plain != ''").groupBy(digest(F.col("plain")).alias("digest")).agg(F.min_by("license", "number").alias("license"))
 
 
 def scanned(docs: DataFrame, texts: dict[str, str] = TEXTS, titles: dict[str, str] = TITLES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """doc_id, digest, license (of the whole text) and notices (licences named by whole lines, joined by commas)."""
+    spark = docs.sparkSession
+    given = spark.createDataFrame([(i, *x) for i, x in enumerate(notices.items())], "number int, text string, license string").select("number", "license", whole(canonical_lines(F.col("text"))).alias("plain")).filter("plain != ''")
+    named = sorted((r["plain"], r["license"]) for r in given.groupBy("plain").agg(F.min_by("license", "number").alias("license")).collect())
+    plain, of = (F.array(*(F.lit(x[i]) for x in named)).cast("array<string>") for i in (0, 1))
     lines = docs.select("doc_id", canonical_lines(text_of()).alias("lines"))
-    named = F.map_from_arrays(F.array(*(digest(whole(canonical_lines(F.lit(n)))) for n in notices)), F.array(*map(F.lit, notices.values())))
-    found = F.transform(F.filter("lines", lambda line: line.contains("license")), lambda line: named[digest(line)])
-    rows = lines.select("doc_id", digest(whole(F.col("lines"))).alias("digest"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",").alias("notices"))
-    return rows.join(known_texts(docs.sparkSession, texts, titles, notices), "digest", "left").select("doc_id", "digest", "license", "notices")
+    found = F.transform(F.array_intersect("lines", plain), lambda line: F.element_at(of, F.array_position(plain, line).cast("int")))
+    rows = lines.select("doc_id", digest(whole(F.col("lines"))).alias("digest"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("notices"))
+    return rows.join(known_texts(spark, texts, titles, notices), "digest", "left").select("doc_id", "digest", "license", "notices")
 
 
 def op10_license_scan(spark, sf_dir):
@@ -110,16 +132,15 @@ def sql() -> str:
         plain = f"replace({plain}, {quoted(a)}, {quoted(b)})"
     lines = f"list_transform(list_filter(string_split({plain}, chr(10)), lambda x: NOT regexp_matches(x, {quoted(COPYRIGHT_LINE)})), lambda x: trim(regexp_replace(x, {quoted(APART)}, ' ', 'g')))"
     joined = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
-    texts = [(t, n) for n, text in TEXTS.items() for t in (text, f"{TITLES.get(n, '')}\n{text}")]
-    values = lambda pairs: ", ".join(f"({quoted(t)}, {quoted(n)})" for t, n in pairs)
+    values = lambda rows: ", ".join(f"({i}, {quoted(t)}, {quoted(n)})" for i, t, n in rows)
     return f"""
-WITH known_text(text, license) AS (VALUES {values([*texts, *NOTICES.items()])}),
-notice_text(text, license) AS (VALUES {values(NOTICES.items())}),
-known AS (SELECT sha256({joined}) AS digest, any_value(license) AS license FROM (SELECT license, {lines} AS lines FROM known_text) GROUP BY 1),
-notice AS (SELECT sha256({joined}) AS digest, any_value(license) AS license FROM (SELECT license, {lines} AS lines FROM notice_text) GROUP BY 1),
-doc AS (SELECT doc_id, {lines} AS lines FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-  FROM (SELECT doc_id, sha256(line) AS digest FROM (SELECT doc_id, unnest(lines) AS line FROM doc) WHERE contains(line, 'license')) JOIN notice USING (digest) GROUP BY doc_id)
+WITH known_text(number, text, license) AS (VALUES {values(variants(TEXTS, TITLES, NOTICES))}),
+notice_text(number, text, license) AS (VALUES {values([(i, *x) for i, x in enumerate(NOTICES.items())])}),
+known AS (SELECT sha256({joined}) AS digest, arg_min(license, number) AS license FROM (SELECT number, license, {lines} AS lines FROM known_text) WHERE {joined} <> '' GROUP BY 1),
+notice AS (SELECT sha256({joined}) AS digest, arg_min(license, number) AS license FROM (SELECT number, license, {lines} AS lines FROM notice_text) WHERE {joined} <> '' GROUP BY 1),
+doc AS (SELECT doc_id, {lines} AS lines, row_number() OVER () AS place FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+named AS (SELECT place, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM (SELECT place, sha256(line) AS digest FROM (SELECT place, unnest(lines) AS line FROM doc)) JOIN notice USING (digest) GROUP BY place)
 SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices
-FROM (SELECT doc_id, sha256({joined}) AS digest FROM doc) d LEFT JOIN known k USING (digest) LEFT JOIN named n USING (doc_id)
+FROM (SELECT doc_id, place, sha256({joined}) AS digest FROM doc) d LEFT JOIN known k USING (digest) LEFT JOIN named n USING (place)
 """

@@ -562,11 +562,26 @@ def test_mixed_stage_takes_its_words(spark):
 # ---------------------------------------------------------------- licences
 
 
-def test_licenses(spark):
-    mit = licenses.TEXTS["MIT"]
-    rows = [(1, mit, "s"), (2, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,"), "s"), (3, mit + " more", "s"), (4, "text\nReleased under the MIT License.\nend", "s"), (5, licenses.TEXTS["ISC"].replace('"', "”"), "s"), (6, "licence", "s"), *ODD]
-    got = {r["doc_id"]: r for r in licenses.scanned(docs_of(spark, rows)).collect()}
-    assert [got[i]["license"] for i in (1, 2, 3, 4, 5, 6)] == ["MIT", "MIT", None, None, "ISC", None] and got[4]["notices"] == "MIT" and got[900]["notices"] == ""
+def test_licenses(spark, tmp_path):
+    mit, gpl, apache = (licenses.TEXTS[n] for n in ("MIT", "GPL-3.0", "Apache-2.0"))
+    rows = [(1, mit, "s"), (2, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,"), "s"), (3, mit + " more", "s"), (4, "text\nReleased under the MIT License.\nend", "s"), (5, licenses.TEXTS["ISC"].replace('"', "”"), "s"), (6, "licence", "s")]
+    rows += [(7, gpl, "s"), (8, gpl.lower().replace("\n", "  \n"), "s"), (9, apache[: apache.index("END OF TERMS")] + "END OF TERMS AND CONDITIONS\n\n", "s"), (10, licenses.TEXTS["CC0-1.0"], "s"), (11, licenses.TEXTS["MPL-2.0"].replace("license", "licence"), "s"), (12, licenses.TEXTS["BSL-1.0"], "s"), (13, "SPDX-License-Identifier: Apache-2.0\nLicensed under CC BY 4.0.\n licensed under cc by 4.0 \n", "s"), *ODD]
+    docs = docs_of(spark, rows, str(tmp_path))
+    got = {r["doc_id"]: r for r in licenses.scanned(docs).collect()}
+    assert [got[i]["license"] for i in range(1, 13)] == ["MIT", "MIT", None, None, "ISC", None, "GPL-3.0", "GPL-3.0", "Apache-2.0", "CC0-1.0", "MPL-2.0", "BSL-1.0"]
+    assert got[4]["notices"] == "MIT" and got[900]["notices"] == "" and got[13]["notices"] == "Apache-2.0,CC-BY-4.0"
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(licenses.sql()).fetchall(), key=str) == sorted(map(tuple, licenses.scanned(docs).collect()), key=str)
+
+
+def test_notices_of_any_wording_are_found(spark):
+    docs = docs_of(spark, [(1, "a\nDedicated to the public domain!\nb", "s"), (2, "public domain", "s"), (3, "", "s")])
+    got = {r["doc_id"]: r["notices"] for r in licenses.scanned(docs, notices={"Dedicated to the public domain.": "PD", "dedicated to the PUBLIC domain": "later", "...": "empty"}).collect()}
+    assert got == {1: "PD", 2: "", 3: ""}
+    assert {r["notices"] for r in licenses.scanned(docs, notices={}).collect()} == {""}
 
 
 def test_empty_tables(spark, tmp_path):

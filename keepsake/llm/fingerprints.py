@@ -6,21 +6,24 @@ resemblance and containment, from one the number of distinct shingles. A fingerp
 
 Defined results: words are runs of anything but ASCII white space; a text of fewer words than a shingle is one shingle;
 a text without words has an empty sketch, which is fully like another empty one and not like any other; null is empty.
-Rows are ordered by doc_id, a null one last; equal ids by text, so repeated rows follow one another; a table of one row
-is followed by itself. Further columns are ignored. A fingerprint of a text depends on that text alone.
+Rows are ordered by doc_id, a null one last; equal ids by a hash of the text, so repeated rows follow one another; a table
+of one row is followed by itself. An empty table gives an empty result; further columns are ignored. A fingerprint of a
+text depends on that text alone.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_of
+from .common import text_of, written
 
 SHINGLE_WORDS, K = 5, 128
-LAST = 2**63 - 1
+#: Distinct rows a bucket of neighbours holds, buckets at most, keys sampled for each of their bounds, and equal rows that are kept as one.
+ROWS_A_BUCKET, BUCKETS, SAMPLED, COPIES = 4096, 16384, 16, 1024
+KEY = ("without", "id", "hash")
 
 
 def sketch(text: Column, k: int = K, words: int = SHINGLE_WORDS) -> Column:
@@ -63,20 +66,35 @@ def as_string(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def in_order_with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, text and next_text by rising doc_id, after the last the first.
-
-    Rows are dealt to ranges of doc_id by quantiles, so no task holds the whole table; the first rows of a range are
-    also sent to the range before it, as what follows its last row. Only the ranges' bounds reach the driver."""
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"))
-    ids = rows.select("at")
-    quantiles = ids.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
-    bounds = sorted(set(quantiles or ()))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
-    firsts = sorted((r["b"], r["first"]) for r in ids.groupBy(bucket.alias("b")).agg(F.min("at").alias("first")).collect())
-    before = reduce(lambda c, x: c.when(F.col("at") == x[1], F.lit(x[0])), [(firsts[i - 1][0], first) for i, (_, first) in enumerate(firsts)], F.when(F.lit(False), F.lit(0)))
-    dealt = rows.select("doc_id", "text", "at", F.explode(F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("extra")), F.when(before.isNotNull(), F.struct(before.alias("bucket"), F.lit(1).alias("extra")))))).alias("place"))
-    return dealt.select("doc_id", "text", "at", "place.*")
+def in_order_with_next(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET, most: int = COPIES) -> DataFrame:
+    """doc_id, text, copies, bucket, extra and place: by bucket, rows in the order of (extra, place) are followed by their next, after the last the first.
+
+    The order is that of (null, id, hash of the text). Rows are dealt to ranges of it whose number grows with the table,
+    up to ``BUCKETS``; their bounds come from a sample of keys, which balances them and changes no result, and are found by
+    binary search. The first row of a range is also sent to the range before it, as what follows its last row. More than
+    ``most`` equal rows go on as one with its number of copies."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("without"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("hash"))
+    keys = written(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies")), "keys")
+    count = keys.count()
+    hot = keys.filter(F.col("copies") > most)
+    rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    if not hot.isEmpty():
+        several = rows.drop("copies").join(hot, list(KEY)).groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("copies").alias("copies"))
+        rows = rows.join(hot, list(KEY), "left_anti").unionByName(several)
+    buckets = min(BUCKETS, -(-count // rows_a_bucket))
+    sample = keys.sample(min(1.0, SAMPLED * buckets / count), 42).select(*KEY).collect() if buckets > 1 else []
+    bounds = sorted(set(map(tuple, sample)))[SAMPLED::SAMPLED]
+    held = F.from_json(F.lit(json.dumps([dict(zip(KEY, b, strict=True)) for b in bounds])), "array<struct<without:int,id:bigint,hash:bigint>>")  # one constant
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    at_or_below = lambda key: F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(held, found + step - 1) <= key, found + step).otherwise(found))
+    bucket = F.transform(F.array(F.struct(*KEY)), at_or_below)[0] if bounds else F.lit(0)
+    firsts = keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct(*KEY)).alias("first"))
+    by_bucket = Window.orderBy("bucket")  # of a row a bucket
+    before = firsts.select("first.*", F.coalesce(F.lag("bucket").over(by_bucket), F.max("bucket").over(Window.partitionBy())).alias("before"))
+    dealt = rows.withColumn("own", bucket).join(F.broadcast(before), list(KEY), "left")  # BUCKETS rows at most
+    places = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("extra")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra")))))
+    return dealt.select("doc_id", "text", "copies", F.struct(*KEY).alias("place"), F.explode(places).alias("of")).select("doc_id", "text", "copies", "place", "of.*")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -85,11 +103,26 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following, F.lit(1), quarter))
 
 
-def op7_document_fingerprints(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    window = Window.partitionBy("bucket").orderBy("extra", "at", "text")
-    rows = in_order_with_next(docs, 2 * shuffle_partitions(spark)).withColumn("next_text", F.lead("text").over(window))
-    rows = rows.withColumn("edited", F.when(F.col("extra") == 0, edited(F.col("text"), F.col("next_text")))).withColumn("own", sketch(F.col("text")))
-    rows = rows.select("doc_id", "bucket", "extra", "at", "text", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", F.when(F.col("extra") == 0, sketch(F.col("edited"))).alias("changed"))
+def compared(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET, most: int = COPIES) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document."""
+    text, own, changed = F.col("text"), F.col("own"), F.col("changed")
+    window = Window.partitionBy("bucket").orderBy("extra", "place")
+    rows = in_order_with_next(docs, rows_a_bucket, most).withColumn("next_text", F.lead("text").over(window))
+    rows = rows.withColumn("edited", F.when(F.col("extra") == 0, edited(text, F.col("next_text")))).withColumn("self_edited", F.when((F.col("extra") == 0) & (F.col("copies") > 1), edited(text, text)))
+    rows = rows.select(
+        "doc_id", "bucket", "extra", "place", "copies", F.length("text").cast("long").alias("n_chars"), sketch(text).alias("own"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.when(F.col("edited").isNotNull(), sketch(F.col("edited"))).alias("changed"),
+        F.sha2(F.col("self_edited").cast("binary"), 256).alias("self_sha"), F.when(F.col("self_edited").isNotNull(), sketch(F.col("self_edited"))).alias("self_changed"),
+    )
     rows = rows.withColumn("next_own", F.lead("own").over(window)).filter(F.col("extra") == 0)
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("own")).alias("fingerprint"), as_string(F.col("changed")).alias("edited_fingerprint"), resemblance(F.col("own"), F.col("changed")).alias("near_edited"), resemblance(F.col("own"), F.col("next_own")).alias("near_next"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth"))  # all but the last of equal rows are followed by one like them
+    like = F.col("nth") < F.col("copies")
+    each = each.select("doc_id", "n_chars", "own", F.when(like, F.col("self_sha")).otherwise(F.col("sha")).alias("edited_sha256"), F.when(like, F.col("self_changed")).otherwise(changed).alias("changed"), F.when(like, own).otherwise(F.col("next_own")).alias("next_own"))
+    return each.select(
+        "doc_id", "n_chars", "edited_sha256", as_string(own).alias("fingerprint"), as_string(changed).alias("edited_fingerprint"), resemblance(own, changed).alias("near_edited"), resemblance(own, F.col("next_own")).alias("near_next"),
+        containment(own, changed).alias("contained_in_edited"), distinct_shingles(own).alias("shingles"),
+    )
+
+
+def op7_document_fingerprints(spark, sf_dir):
+    return compared(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

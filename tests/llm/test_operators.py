@@ -437,27 +437,41 @@ def test_top_k_of_few(spark, tmp_path):
 # ---------------------------------------------------------------- fingerprints
 
 
-def test_fingerprints(spark, tmp_path):
+def plain_sketch(text, k=128):
+    words = text.encode().split()
+    found = set()
+    for i in range(max(1, len(words) - 4)) if words else ():
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w, h)
+        found.add(h - 2**64 if h >= 2**63 else h)
+    return sorted(found)[:k]
+
+
+def plain_resemblance(a, b, k=128):
+    union = sorted(set(a) | set(b))[:k]
+    return len(set(union) & set(a) & set(b)) / len(union) if union else 1.0
+
+
+def plain_fingerprints(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + 2**63) % 2**64))
+    texts = [r[1] or "" for r in order]
+    out = []
+    for i, (a, b) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True)):
+        e = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+        own, changed, following = map(plain_sketch, (a, e, b))
+        hexed = lambda s: "".join(f"{h % 2**64:016x}" for h in s)
+        out.append((order[i][0], len(a), hashlib.sha256(e.encode()).hexdigest(), hexed(own), hexed(changed), plain_resemblance(own, changed), plain_resemblance(own, following)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bucket, copies", [(4096, 1024), (7, 1024), (7, 3), (1, 1)])
+def test_fingerprints(spark, tmp_path, bucket, copies):
     rng = np.random.default_rng(9)
-    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 200)), "s") for i in range(30)] + ODD
-    docs_of(spark, rows, str(tmp_path))
-    got = fingerprints.op7_document_fingerprints(spark, str(tmp_path)).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    texts = [t or "" for _, t, _ in order]
-    following = texts[1:] + texts[:1]
-    edited = [a[: len(a) - len(a) // 4] + b[: len(a) // 4] for a, b in zip(texts, following, strict=True)]
-    expected = sorted(((i, len(a), hashlib.sha256(e.encode()).hexdigest()) for (i, _, _), a, e in zip(order, texts, edited, strict=True)), key=str)
-    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == expected
-
-    def shingles(text):
-        words = [w.decode() for w in text.encode().split()]
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    for r, in zip(sorted((r for r in got if r["doc_id"] is not None and r["doc_id"] < 30), key=lambda r: r["doc_id"]), strict=True):
-        a, b = shingles(texts[r["doc_id"]]), shingles(edited[r["doc_id"]])
-        assert abs(r["near_edited"] - len(a & b) / len(a | b)) < 0.15 and 0 <= r["near_next"] <= 1
-    same = {r["fingerprint"] for r in got if r["doc_id"] == 907}
-    assert len(same) == 1
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, rng.integers(1, 250))), "s") for i in range(60)] + ODD + [(None, "copied words in a row of seven", "s")] * 20 + [(2**63 - 1, "last", "s"), (-5, "first é ü", "s")] + [(30, "again the same", "s")] * 6
+    got = fingerprints.compared(docs_of(spark, rows), bucket, copies).collect()
+    assert sorted((tuple(r)[:7] for r in got), key=str) == plain_fingerprints(rows)
+    assert all(0 <= r["contained_in_edited"] <= 1 and r["shingles"] >= 0 for r in got)
 
 
 def test_sketches_merge(spark):

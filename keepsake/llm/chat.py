@@ -8,9 +8,15 @@ Nothing else can be reached: a field is looked up in dictionaries only, and ther
 
 Rendering gives the text and the spans of its generation blocks, in code points of the text.
 
+A conversation may be of any length. Where a template is one loop over the messages between constant texts, runs of turns
+are rendered in different tasks: rows are dealt to ranges of (conversation, turn), so one long conversation spreads over
+many, and each run gives a part of the formatted text. What reads a conversation as a whole goes through its parts in
+order and holds one batch of them.
+
 Defined results: rows of a conversation are ordered by turn, ties by role and then text; null texts and roles are
 empty; repeated rows are turns of their own; a null conv_id is a conversation like any other; an empty table gives
-conversation -7 alone in the query and nothing in the operator; further columns are ignored.
+conversation -7 alone in the query and nothing in the operator; rows of the table whose conv_id is -7 are turns of that
+conversation too; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +27,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_slices, text_of
 
 #: Marks of the format; in texts and roles, the escape and the opening bracket of a mark get an escape before them.
 ESCAPE, OPEN = "\\", "<|"
 TEMPLATE = "{% for m in messages %}<|turn|>{{ m.role | escape }}<|text|>{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}<|end|>{% endfor %}"
+#: Turns and characters of a part, at most (a turn stays whole).
+PART_TURNS, PART_CHARS = 64, 1 << 14
 EXTRA_ID, EXTRA_TEXT = -7, "</s>[INST] ok [/INST]"
 
 
@@ -354,6 +363,41 @@ def compile_template(template: str) -> Callable[[list[dict]], tuple[str, list[tu
     return call
 
 
+def roots(node) -> set[str]:
+    """Names that a tree looks up, loop variables of its own left out."""
+    if isinstance(node, list):
+        return set().union(*map(roots, node))
+    if isinstance(node, Name):
+        return {node.path[0]}
+    if isinstance(node, Op):
+        return roots(node.parts)
+    if isinstance(node, Out):
+        return roots(node.value)
+    if isinstance(node, If):
+        return set().union(*(roots(test) | roots(body) for test, body in node.cases))
+    if isinstance(node, For):
+        return roots(node.over) | (roots(node.body) - {node.name})
+    return roots(node.body) if isinstance(node, Generation) else set()
+
+
+def compile_by_turn(template: str) -> tuple[str, Callable[[dict], tuple[str, list[tuple[int, int]]]], str]:
+    """Text before the messages, a function of one message, text after them; an error if the template isn't one loop over the messages between constant texts."""
+    nodes = folded_body(parse(template))
+    loops = [i for i, n in enumerate(nodes) if isinstance(n, For) and n.over == Name(["messages"]) and roots(n.body) <= {n.name}]
+    if len(loops) != 1 or not all(isinstance(n, Out) and isinstance(n.value, Const) for i, n in enumerate(nodes) if i != loops[0]):
+        raise TemplateError("the template isn't one loop over the messages")
+    loop = nodes[loops[0]]
+    body = writer(loop.body)
+
+    def call(message: dict) -> tuple[str, list[tuple[int, int]]]:
+        out = Output()
+        body({loop.name: message}, out)
+        return "".join(out.parts), out.spans
+
+    text = lambda part: "".join(shown(n.value.value) for n in part)
+    return text(nodes[: loops[0]]), call, text(nodes[loops[0] + 1 :])
+
+
 TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
 
 
@@ -362,8 +406,12 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in TURN.finditer(text)]
 
 
+def turns_of(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
+
+
 def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """conv_id, formatted, loss_spans (code points): a row per conversation."""
+    """conv_id, formatted, loss_spans (code points): a row per conversation, which must fit into one; any template."""
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = compile_template(template)
@@ -371,23 +419,73 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
             done = [call([{"role": t["role"], "text": t["text"]} for t in turns]) for turns in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([[list(s) for s in d[1]] for d in done], pa.list_(pa.list_(pa.int64())))], names=["conv_id", "formatted", "loss_spans"])
 
-    turns = conversations.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text")).alias("row"))
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns")).mapInArrow(render, "conv_id long, formatted string, loss_spans array<array<long>>")
+    turns = turns_of(conversations).select("conv_id", F.struct("turn", "role", "text").alias("row"))
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns")).mapInArrow(in_slices(render, 256), "conv_id long, formatted string, loss_spans array<array<long>>")
+
+
+def formatted_parts(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """conv_id, place, formatted, loss_spans (code points of the part): runs of turns of conversations of any length, whose parts follow one another by place; without the constant texts around them."""
+    compile_by_turn(template)
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, call, _ = compile_by_turn(template)
+        place, owner, turns, texts, spans, size = TaskContext.get().partitionId() << 40, None, 0, [], [], 0
+        out: list[tuple] = []
+        for batch in batches:
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                if turns and (conv != owner or turns >= PART_TURNS or size >= PART_CHARS):
+                    out.append((owner, place, "".join(texts), spans))
+                    place, turns, texts, spans, size = place + 1, 0, [], [], 0
+                made, marked = call({"role": role, "text": text})
+                owner = conv
+                spans += [[a + size, b + size] for a, b in marked]
+                texts.append(made)
+                turns, size = turns + 1, size + len(made)
+            yield parts(out)
+            out = []
+        yield parts([(owner, place, "".join(texts), spans)] if turns else [])
+
+    def parts(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)], names=["conv_id", "place", "formatted", "loss_spans"])
+
+    order = ("conv_id", "turn", "role", "text")
+    return turns_of(conversations).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(in_slices(render), "conv_id long, place long, formatted string, loss_spans array<array<long>>")
+
+
+def digested(parts: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """What is read back from formatted conversations, part after part."""
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, _, after = compile_by_turn(template)
+        owner, begun = None, False
+        turns, said, chars, loss, size = 0, hashlib.sha256(), 0, hashlib.sha256(), 0
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 6, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+        for batch in batches:
+            out = []
+            for conv, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans")), strict=True):
+                if begun and conv != owner:
+                    out.append((owner, turns, said.hexdigest(), chars, loss.hexdigest(), size + len(after)))
+                if not begun or conv != owner:
+                    owner, begun = conv, True
+                    turns, said, chars, loss, size = 0, hashlib.sha256(), 0, hashlib.sha256(), len(before)
+                for role, words in read_back(text):
+                    turns += 1
+                    said.update(f"{role}\n{words}\n".encode())
+                for a, b in spans:
+                    words = unescape(text[a:b])
+                    chars += len(words)
+                    loss.update(words.encode())
+                size += len(text)
+            yield rows(out)
+        yield rows([(owner, turns, said.hexdigest(), chars, loss.hexdigest(), size + len(after))] if begun else [])
+
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(in_slices(run), schema)
 
 
 def op5_chat_formatting(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(EXTRA_ID, 0, "user", EXTRA_TEXT), (EXTRA_ID, 1, "assistant", EXTRA_TEXT)], "conv_id long, turn long, role string, text string")
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                turns = read_back(text)
-                loss = "".join(unescape(text[a:b]) for a, b in spans)
-                said = "".join(f"{role}\n{words}\n" for role, words in turns)
-                out.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted(rows.union(extra)).mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return digested(formatted_parts(rows.union(extra)))

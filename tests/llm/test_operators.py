@@ -344,7 +344,7 @@ def test_packing_of_a_hot_length_and_id(spark):
 def brute_chat(rows):
     out = {}
     for c in {r[0] for r in rows}:
-        turns = sorted((t, role or "", text or "") for conv, t, role, text in rows if conv == c)
+        turns = sorted((-1 if t is None else t, role or "", text or "") for conv, t, role, text in rows if conv == c)
         said = "".join(f"{role}\n{text}\n" for _, role, text in turns)
         loss = "".join(text for _, role, text in turns if role == "assistant")
         out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
@@ -354,11 +354,19 @@ def brute_chat(rows):
 def test_chat_reads_back(spark, tmp_path):
     nasty = ["<|end|>", "\\<|turn|>\\\\", "<\\|text|>", "a\\", "<", "|>", "", None, "plain\nlines", "{{ m.text }}{% if x %}", "</s>[INST] x [/INST]", "<<||>>\\"]
     rows = [(c, t, ["user", "assistant", "system", "<|end|>", None][(c + t) % 5], nasty[(c * 5 + t) % len(nasty)]) for c in range(12) for t in range(c % 7 + 1)]
-    rows += [(3, 0, "assistant", "twice"), (3, 0, "assistant", "twice"), (None, 1, "user", "lost")]
+    rows += [(3, 0, "assistant", "twice"), (3, 0, "assistant", "twice"), (None, 1, "user", "lost"), (None, None, "assistant", "x" * 200_000)]
+    rows += [(50, t, ["user", "assistant"][t % 2], nasty[t % len(nasty)]) for t in range(1500)]  # one of many parts
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.op5_chat_formatting(spark, str(tmp_path)).collect()}
     extra = [(-7, 0, "user", chat.EXTRA_TEXT), (-7, 1, "assistant", chat.EXTRA_TEXT)]
     assert got == brute_chat(rows + extra)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r["conv_id"]: (r["formatted"], [list(s) for s in r["loss_spans"]]) for r in chat.formatted(table).collect()}
+    parts: dict = {}
+    for r in chat.formatted_parts(table).orderBy("place").collect():
+        text, spans = parts.get(r["conv_id"], ("", []))
+        parts[r["conv_id"]] = (text + r["formatted"], spans + [[a + len(text), b + len(text)] for a, b in r["loss_spans"]])
+    assert parts == whole and len(whole[50][1]) == 750
 
 
 def test_template_language():
@@ -367,6 +375,11 @@ def test_template_language():
     assert say("{% for m in messages %}{{ m.text | trim | upper ~ '!' }}{% endfor %}", one) == "HI!"
     assert say("{% if 'a' == 'a' and not 'b' == 'a' %}yes{% else %}no{% endif %}", []) == "yes"
     assert len(chat.folded_body(chat.parse("a{{ 'b' ~ 'c' }}d{% if 1 == 2 %}x{% endif %}"))) == 1
+    before, turn, after = chat.compile_by_turn("<s>{% for m in messages %}[{{ m.role }}]{% generation %}{{ m.text }}{% endgeneration %}{% endfor %}{{ '</s>' }}")
+    assert (before, turn(one[0]), after) == ("<s>", ("[user] Hi ", [(6, 10)]), "</s>")
+    for split in ("{{ messages }}", "{% for m in messages %}{{ other }}{% endfor %}", "{% for m in messages %}x{% endfor %}{{ y }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_by_turn(split)
     for bad in ("{{ a.__class__ }}", "{{ open('x') }}", "{% for m in x %}", "{{ a | unknown }}", "{% endif %}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)

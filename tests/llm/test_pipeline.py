@@ -1,6 +1,5 @@
 """The corpus pipeline against a version of loops: what each stage keeps is computed plainly, from the stage before."""
 
-import itertools
 import zlib
 
 import numpy as np
@@ -10,7 +9,7 @@ import corpus_pipeline
 from keepsake.llm import mixing, packing, toxicity
 from keepsake.llm.suffix import LAST
 
-from .test_operators import fingerprint
+from .test_operators import near_free
 
 
 def corpus(spark, path):
@@ -37,27 +36,6 @@ def corpus(spark, path):
     return docs
 
 
-def near_free(rows):
-    """Of each component of near fingerprints the row of the smallest id."""
-    fps = [fingerprint(r[1]) for r in rows]
-    parent = list(range(len(rows)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 3:
-            parent[root(a)] = root(b)
-    order = lambda r: (r[0] is None, r[0] or 0)
-    best = {}
-    for i, r in enumerate(rows):
-        if root(i) not in best or order(r) < order(best[root(i)]):
-            best[root(i)] = r
-    return list(best.values())
-
-
 def without_repeats(rows, length=50):
     first: dict[bytes, int] = {}
     ids = [LAST if r[0] is None else r[0] for r in rows]

@@ -13,7 +13,11 @@ text can hold a repeat. What they cover goes on:
   that start in a smaller document are sent back to their shard.
 
 A shard sends each distinct string once, so however many copies a text or passage has, a bucket gets one for each shard.
+A name that more than ``HOT_SHARDS`` shards have, such as that of a line that stands between different texts, would send
+all strings around it to one bucket; its strings go one by one to the bucket of a hash of their own bytes.
 Text is shuffled twice, to meet the answers of its shard; tables of the shared folder cut the lineage between the steps.
+In a bucket, lists are merged in the order of digests, not of bytes: comparing bytes at each step of a search took
+several times the CPU.
 
 Defined results: strings are judged on the input, as UTF-8 bytes; a null text is empty; rows of one doc_id are one
 document and don't remove from each other; a null doc_id comes after all others and removes from none; an empty table
@@ -22,9 +26,7 @@ gives an empty result; further columns are ignored, or carried by name.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, discarded, in_slices, shuffle_partitions, text_of, written
+from .common import DOCUMENT_COLUMNS, in_slices, shuffle_partitions, text_of, written
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 1 << 20
 #: Text bytes for each bucket of names and of strings.
 NAME_BUCKET, STRING_BUCKET = 16 << 20, 4 << 20
+HOT_SHARDS = 256
 LAST = 2**63 - 1
 SEED = 42
 
@@ -331,19 +334,21 @@ def names_of(table: DataFrame, buckets: int) -> DataFrame:
     return table.select("shard", "ids", "ends", "blob").mapInArrow(in_slices(run, 4), "bucket long, shard long, names binary")
 
 
-def shared_names(names: DataFrame) -> DataFrame:
-    """shard and seen: for each bucket, a bit for each of the shard's names, set where another document has it."""
+def shared_names(names: DataFrame, hot_shards: int = HOT_SHARDS) -> DataFrame:
+    """shard and seen: for each bucket two bits for each of the shard's names, first all that tell whether another document has it, then all that tell whether more than ``hot_shards`` shards do."""
 
     def run(rows: pa.Table) -> pa.Table:
         parts = [from_five_bytes(x) for x in rows["names"].to_pylist()]
         every = np.concatenate(parts)
         name = every >> np.uint64(1)
         by = np.argsort(name, kind="quicksort")
-        same = name[by][1:] == name[by][:-1]
-        seen = (every & np.uint64(1)).astype(bool)
-        seen[by[1:][same]] = True
-        seen[by[:-1][same]] = True
-        bits = [np.packbits(x).tobytes() for x in np.split(seen, np.cumsum([len(p) for p in parts])[:-1])]
+        ordered = name[by]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        count = np.diff(np.append(first, len(ordered)))
+        shards = np.empty(len(name), dtype=np.int64)
+        shards[by] = np.repeat(count, count)
+        flags = np.stack([(every & np.uint64(1)).astype(bool) | (shards > 1), shards > hot_shards])
+        bits = [np.packbits(x, axis=1).tobytes() for x in np.split(flags, np.cumsum([len(p) for p in parts])[:-1], axis=1)]
         return pa.table({"bucket": rows["bucket"].cast(pa.int64()), "shard": rows["shard"], "bits": pa.array(bits, pa.binary())})
 
     return names.groupBy("bucket").applyInArrow(run, "bucket long, shard long, bits binary").groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("seen"))
@@ -353,7 +358,7 @@ def shared_names(names: DataFrame) -> DataFrame:
 
 
 def strings_of(table: DataFrame, name_buckets: int, string_buckets: int) -> DataFrame:
-    """Of each shard: a row of bucket -1 with the places found inside it and pairs of places of one document; and a row for each bucket with the strings to be sought elsewhere (run, count and document of each stretch, and its bytes)."""
+    """Of each shard: a row of a negative bucket of its own with the places found inside it and pairs of places of one document; and a row for each bucket with the strings to be sought elsewhere (run, count and document of each stretch, and its bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -364,16 +369,20 @@ def strings_of(table: DataFrame, name_buckets: int, string_buckets: int) -> Data
                 short = short_names(names, name_buckets)
                 distinct, which = np.unique(short, return_inverse=True)
                 size = np.bincount((distinct >> np.uint64(39)).astype(np.int64)) if len(distinct) else np.zeros(0, dtype=np.int64)
-                seen = [np.unpackbits(np.frombuffer(s["bits"], dtype=np.uint8), count=int(size[s["bucket"]])) for s in sorted(row["seen"], key=lambda s: s["bucket"])]
-                kept = np.concatenate(seen).astype(bool)[which] if seen else np.zeros(len(first), dtype=bool)
-                first, after, names = first[kept], after[kept], names[kept]
+                seen = [np.unpackbits(np.frombuffer(s["bits"], dtype=np.uint8).reshape(2, -1), axis=1, count=int(size[s["bucket"]])) for s in sorted(row["seen"], key=lambda s: s["bucket"])]
+                kept, hot = np.concatenate(seen, axis=1).astype(bool)[:, which] if seen else np.zeros((2, len(first)), dtype=bool)
+                first, after, names, hot = first[kept], after[kept], names[kept], hot[kept]
                 repeats, heads, of, also = shard.groups(places_of(first, after))
-                out = [(-1, row["shard"], intervals(repeats).tobytes(), np.stack([of, also], axis=1).astype(np.uint32).tobytes(), None)]
+                out = [(-1 - row["shard"], row["shard"], intervals(repeats).tobytes(), np.stack([of, also], axis=1).astype(np.uint32).tobytes(), None)]
                 if len(heads):
                     owner = np.searchsorted(first, heads, "right") - 1
-                    edge = np.flatnonzero(np.concatenate([[True], (np.diff(heads) != 1) | (np.diff(owner) != 0)]))
+                    own = hot[owner]  # strings that go by their own bytes
+                    edge = np.flatnonzero(np.concatenate([[True], (np.diff(heads) != 1) | (np.diff(owner) != 0) | own[1:]]))
                     count = np.diff(np.append(edge, len(heads)))
-                    start, bucket = heads[edge], bucket_of(names[owner[edge]], string_buckets).astype(np.int64)
+                    start, by_name = heads[edge], names[owner[edge]]
+                    if own.any():
+                        by_name = np.where(own[edge], powers.rolling(shard.data, LENGTH)[start], by_name)
+                    bucket = bucket_of(by_name, string_buckets).astype(np.int64)
                     by = np.argsort(bucket, kind="stable")
                     start, count, bucket = start[by], count[by], bucket[by]
                     ids = shard.ids[shard.document(start)]
@@ -427,9 +436,12 @@ def smallest_documents(lists: list[tuple[np.ndarray, np.ndarray]], data: np.ndar
 
 
 def answers(strings: DataFrame) -> DataFrame:
-    """shard and found: packed intervals of places whose string starts in a smaller document of another shard."""
+    """shard and found: packed intervals of places whose string starts in a smaller document of another shard; a shard's own repeats and pairs are passed on."""
+    schema = "shard long, found binary, repeats binary, pairs binary"
 
     def run(rows: pa.Table) -> pa.Table:
+        if rows["bucket"][0].as_py() < 0:
+            return pa.table({"shard": rows["shard"], "found": pa.nulls(rows.num_rows, pa.binary()), "repeats": rows["runs"], "pairs": rows["ids"]})
         shards, lists, back, offset = [], [], [], 0
         for row in rows.select(["shard", "runs", "ids"]).to_pylist():
             pairs = np.frombuffer(row["runs"], dtype=np.uint32).reshape(-1, 2).astype(np.int64)
@@ -444,9 +456,9 @@ def answers(strings: DataFrame) -> DataFrame:
         least = smallest_documents(lists, data)
         found = [(s, intervals(np.sort(place[small < ids])).tobytes()) for s, place, small, (_, ids) in zip(shards, back, least, lists, strict=True)]
         found = [x for x in found if x[1]]
-        return pa.table({"shard": pa.array([x[0] for x in found], pa.int64()), "found": pa.array([x[1] for x in found], pa.binary())})
+        return pa.table({"shard": pa.array([x[0] for x in found], pa.int64()), "found": pa.array([x[1] for x in found], pa.binary()), "repeats": pa.nulls(len(found), pa.binary()), "pairs": pa.nulls(len(found), pa.binary())})
 
-    return strings.groupBy("bucket").applyInArrow(run, "shard long, found binary")
+    return strings.groupBy("bucket").applyInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- the operator
@@ -482,16 +494,6 @@ def shards_of(docs: DataFrame, carried: list[str], shard_bytes: int = SHARD_BYTE
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.struct(*carried).alias("row")).mapInArrow(in_slices(run), schema)
 
 
-def released() -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written: they go when nothing refers to them."""
-    from pyspark import SparkContext
-
-    for _ in range(2 if SparkContext._active_spark_context else 0):
-        gc.collect()
-        SparkContext._active_spark_context._jvm.System.gc()
-        time.sleep(0.5)  # files are deleted by a thread of their own, which learns of them after a collection
-
-
 def texts_and_spans(rows: pa.StructArray, texts: list[bytes], spans: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[*(f.name for f in rows.type), "bytes", "spans"])
 
@@ -504,17 +506,11 @@ def repeated_spans(docs: DataFrame, carried: list[str], schema: T.StructType | s
     size = table.agg(F.sum("size")).first()[0] or 0
     buckets = lambda each, least: max(least * shuffle_partitions(spark), -(-size // each))
     name_buckets = buckets(NAME_BUCKET, 3)
-    seen = written(shared_names(names_of(table, name_buckets)), "names")
-    released()
+    seen = shared_names(names_of(table, name_buckets))
     asked = table.drop("rows", "size").join(seen, "shard")
-    found = written(strings_of(asked, name_buckets, buckets(STRING_BUCKET, 5)), "strings")
-    released()
-    told = written(answers(found.filter("bucket >= 0")), "answers")
-    inside = written(found.filter("bucket < 0").select("shard", F.col("runs").alias("repeats"), F.col("ids").alias("pairs")), "inside")
-    discarded(found)
-    released()
-    of_shard = told.groupBy("shard").agg(F.collect_list("found").alias("found"))
-    joined = table.select("shard", "ends", "blob", "rows").join(inside, "shard", "left").join(of_shard, "shard", "left")
+    told = written(answers(strings_of(asked, name_buckets, buckets(STRING_BUCKET, 5))), "answers")
+    of_shard = told.groupBy("shard").agg(F.collect_list("found").alias("found"), F.max("repeats").alias("repeats"), F.max("pairs").alias("pairs"))
+    joined = table.select("shard", "ends", "blob", "rows").join(of_shard, "shard", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

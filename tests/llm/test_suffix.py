@@ -60,6 +60,7 @@ def rows_with_everything():
     rows += [(300, None), (301, ""), (302, " "), (303, "x" * 400), (304, "x" * 49), (305, "x" * 50), (306, "xy" * 100), (307, "\0" * 120), (308, "a" + "\0" * 60)]
     rows += [(110, rows[25][1]), (310, text(3000)), (None, shared), (None, text(30)), (None, None)]
     rows += [(311, rows[-4][1][5000:9000]), (312, line + line)]
+    rows += [(400 + i, f"{text(30)} a line of thirty bytes or so {text(30)}") for i in range(25)]
     return rows
 
 
@@ -68,7 +69,9 @@ def run(spark, rows):
     return docs
 
 
-def test_matches_brute_force(spark, monkeypatch, tmp_path):
+@pytest.mark.parametrize("hot", [2, 1000])  # names of more than so many shards go by their strings
+def test_matches_brute_force(spark, monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(suffix.shared_names, "__defaults__", (hot,))
     monkeypatch.setattr(suffix, "SHARD_BYTES", 3000)
     monkeypatch.setattr(suffix.shards_of, "__defaults__", (3000,))
     rows = rows_with_everything()

@@ -15,7 +15,7 @@ windows of each (a toxic document's by odds, a clean one's by a seeded hash), ta
 cut and the quarter that the network doesn't see is scored there, to set the curve by whole texts; the driver gets log
 odds, windows and logits. Scoring has no bounds and no stride: it covers the windows at every start of every whole text.
 
-Defined results: a null text is empty; a text without words is one window of nothing and scores like clean text; with
+Defined results: a null text is empty; a text without words scores like the median of clean tuning texts; with
 no usable labels, or only one of the two, the score is the share of label 1 (0 without any); held_out is false where
 doc_id is null; repeated rows are scored alike; an empty table gives an empty result; further columns are ignored.
 """
@@ -38,7 +38,10 @@ SAMPLE, SAMPLE_WINDOWS = {0: 2500, 1: 2000}, 64
 WINDOW, RUN, SAMPLE_STRIDE = 32, 64, 24
 #: Windows an epoch learns from, at most: of toxic documents, of clean ones, and of clean ones that look worst so far.
 POSITIVE, NEGATIVE, HARD = 4000, 5000, 3000
-EPOCHS = 6
+#: Rounds over the windows, and steps that are taken at least, as small samples have few windows.
+EPOCHS, LEAST_STEPS = 6, 400
+#: Made-up words of clean windows.
+UNSEEN = 512
 WORD_ROWS, CHAR_ROWS, WORD_SIZE, CHAR_SIZE, HIDDEN = 8192, 8192, 12, 20, 8
 TRIGRAMS, THRESHOLD, SEED = 12, 0.7, 7
 #: Bytes of a word whose trigrams, with a mark at either end, are just so many.
@@ -120,6 +123,7 @@ class Network:
         self.p["b"][:h] = self.p["b"][3 * h : 4 * h] = 1.0  # states are kept at first
         self.p["char"][CHAR_ROWS] = 0
         self.slope, self.shift = 1.0, 0.0
+        self.quiet = 0.0  # the logit of a text without words
 
     def inputs(self, own: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.maximum(1, (grams < CHAR_ROWS).sum(axis=1))[:, None].astype(np.float32)
@@ -316,10 +320,17 @@ def learned(windows: list[tuple[int, str, int, int]], epochs: int = EPOCHS, batc
         rows[i, : len(ids)] = ids
         pool[i, at : at + count] = 1
     y = np.array([w[0] for w in windows], dtype=np.float32)
+    # words that no one has seen, in scripts or tongues of their own, say nothing: runs of made-up ones are clean
+    own, grams = word_rows([*vocabulary, *("".join(map(chr, rng.integers(161, 700, rng.integers(1, 7)))) for _ in range(UNSEEN))])
+    made = np.where(np.arange(RUN)[None, :] < rng.integers(1, RUN + 1, len(windows) // 20 + 1)[:, None], rng.integers(len(vocabulary), len(own), (len(windows) // 20 + 1, RUN)), 0)
+    made[::2] = np.where(made[::2] > 0, made[::2, :1], 0)  # every other one says a single word
+    rows, y = np.concatenate([rows, made.astype(np.int32)]), np.append(y, np.zeros(len(made), dtype=np.float32))
+    pool = np.concatenate([pool, (made > 0) & (np.arange(RUN) < WINDOW)]).astype(np.float32)
     mask = (rows > 0).astype(np.float32)
-    own, grams = word_rows(list(vocabulary))
     positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     adam, hard = Adam(net.p, 0.01), negative[:0]
+    steps = -(-(min(len(positive), POSITIVE) + min(len(negative), NEGATIVE)) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, steps)))
     for epoch in range(epochs):
         adam.rate = 0.01 * (1 - 0.8 * epoch / epochs)
         if epoch >= 2 and epoch % 2 == 0 and len(negative):  # clean windows that look worst so far
@@ -394,7 +405,7 @@ class Scorer:
 
         for i, text in enumerate(texts):
             ids = np.fromiter(map(self.rows.__getitem__, tokens(text)), dtype=np.int32)
-            for start in range(0, max(1, len(ids) - WINDOW + 1), WINDOW):
+            for start in range(0, max(1, len(ids) - WINDOW + 1) if len(ids) else 0, WINDOW):
                 owners.append(i)
                 runs.append(ids[start : start + RUN])
             flush(BATCH_RUNS)
@@ -402,7 +413,7 @@ class Scorer:
                 flush(1)
                 self.rows, self.table = Rows(), self.table[:0]
         flush(1)
-        return top
+        return np.where(np.isfinite(top), top, self.net.quiet)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.net.slope * self.logits(texts) + self.net.shift, -30, 30)))
@@ -444,6 +455,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most_of_each: dict[int, int] = SA
 
     tune = sorted(tuple(r) for r in rows.filter("tune").select("text", "label").mapInArrow(in_slices(tuned), "logit double, label int").collect())
     if tune:
+        net.quiet = float(np.median([logit for logit, label in tune if not label] or [0.0]))
         net.slope, net.shift = curve(*(np.array(c, dtype=float) for c in zip(*tune, strict=True)))
     return net
 

@@ -253,7 +253,7 @@ def plain_logit(net, words, start):
     first = start // 32 * 32
     run = words[first : first + 64]
     if not run:
-        return float(net.p["c"][0])
+        return net.quiet
     x = []
     for w in run:
         own, grams = toxicity.word_rows([w])

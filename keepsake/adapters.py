@@ -28,7 +28,7 @@ SELECT source_bucket_id, target_bucket_id, relation_type, max(confidence) AS con
  CAST(30 + (a.l_orderkey * 3 + a.l_linenumber) % 70 AS DOUBLE) / 100 AS confidence,
  CASE a.l_orderkey % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'extraction' ELSE 'ai' END AS method
  FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
- WHERE a.l_orderkey % 10 = 0 AND a.l_partkey <> b.l_partkey) e GROUP BY source_bucket_id, target_bucket_id, relation_type""",
+ WHERE a.l_partkey <> b.l_partkey) e GROUP BY source_bucket_id, target_bucket_id, relation_type""",
     "m_documents": """
 SELECT doc_id AS document_id, CAST(doc_id % 5 AS BIGINT) AS user_id,
  concat('doc-', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' ELSE '.docx' END) AS filename,
@@ -41,12 +41,12 @@ FROM {conversations}""",
 SELECT vec_id AS bucket_id, CAST(embedding AS {doubles}) AS embedding FROM {embeddings}""",
     "m_items": """
 SELECT b.bucket_id * 2 AS item_id, b.bucket_id, b.canonical AS label,
- CASE WHEN d.content IS NULL THEN concat('Noted without a source: ', b.canonical) ELSE substr(d.content, 1, 120) END AS definition,
+ CASE WHEN d.content IS NULL THEN concat('Noted without a source: ', b.canonical) ELSE d.content END AS definition,
  coalesce(d.filename, 'conversation') AS source, b.created_at AS item_ts
 FROM {m_buckets} b LEFT JOIN {m_documents} d ON b.document_id = d.document_id
 UNION ALL
 SELECT b.bucket_id * 2 + 1 AS item_id, b.bucket_id, concat(b.canonical, ' again') AS label,
- CASE WHEN d.content IS NULL THEN concat('Noted again, and still without any source: ', b.canonical) ELSE substr(d.content, 1, 200) END AS definition,
+ CASE WHEN d.content IS NULL THEN concat('Noted again, and still without any source: ', b.canonical) ELSE concat(d.content, ' (again)') END AS definition,
  coalesce(d.filename, 'conversation') AS source, b.created_at + INTERVAL '3' DAY AS item_ts
 FROM {m_buckets} b LEFT JOIN {m_documents} d ON b.document_id = d.document_id WHERE b.bucket_id % 3 = 0""",
     "m_access": """

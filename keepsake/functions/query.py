@@ -167,7 +167,8 @@ def specificity(text: Column) -> Column:
     """Share of words with meaning, more for names, quotes and numbers, less for broad questions."""
     words = words_of(F.lower(text))
     share = F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: ~is_one_of(w, STOPWORDS))) / F.size(words)).otherwise(0.0)
-    names = F.regexp_count(text, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")) * 0.1
+    # word boundaries of ASCII, as the JVM's are those of all letters
+    names = F.regexp_count(text, F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*(?![A-Za-z0-9_])")) * 0.1
     raw = unit(share + names + F.when(text.rlike("\"[^\"]+\"|'[^']+'"), 0.15).otherwise(0.0) + F.when(text.rlike(r"\b[0-9]+(?:\.[0-9]+)?%?\b"), 0.1).otherwise(0.0) - F.when(any_of(text, BROAD), 0.2).otherwise(0.0))
     return F.when(is_chitchat(text), 0.0).when(is_abstract(text) | is_scoped(text), F.least(raw, F.lit(0.45))).otherwise(raw)
 

@@ -459,13 +459,13 @@ DOMAINS = {
 }
 
 
-def content_domain(text: Column, filename: Column) -> Column:
-    """The domain with most matches in the first 10,000 characters, two at least; paper-like names add two to any that has some."""
-    sample = F.substring(F.lower(text), 1, 10_000)
+def content_domain(text: Column, filename: Column, characters: int = 10_000) -> Column:
+    """The domain with most matches in the first ``characters``, two at least; paper-like names add two to any that has some."""
     paper = F.lower(filename).rlike("paper|arxiv|proceedings")
-    hits = [reduce(Column.__add__, (F.regexp_count(sample, F.lit(p)) for p in ps)) for ps in DOMAINS.values()]
-    scores = F.array(*(F.when((h > 0) & paper, h + 2).otherwise(h) for h in hits))
-    return F.transform(F.array(scores), lambda s: F.when(F.array_max(s) >= 2, F.element_at(literals(DOMAINS), F.array_position(s, F.array_max(s)).cast("int"))).otherwise("general"))[0]
+    hits = lambda sample: F.array(*(reduce(Column.__add__, (F.regexp_count(sample, F.lit(p)) for p in ps)) for ps in DOMAINS.values()))
+    best = lambda s: F.when(F.array_max(s) >= 2, F.element_at(literals(DOMAINS), F.array_position(s, F.array_max(s)).cast("int"))).otherwise("general")
+    # each pattern runs once a row: counts are bound before they are compared
+    return let(F.substring(F.lower(text), 1, characters), lambda sample: let(F.transform(hits(sample), lambda h: F.when((h > 0) & paper, h + 2).otherwise(h)), best))
 
 
 #: Signs of the kinds of long documents.
@@ -474,14 +474,20 @@ TEXTBOOK_SIGNS = (r"(?i)\breview\s+questions?\b", r"(?i)\bexercises?\b", r"(?i)\
 NARRATIVE_SIGNS = (r"\bI\s+(?:was|had|remember|recall|grew|lived|went|came|saw|felt|thought|knew|wanted|needed)\b", r"(?i)\bmy\s+(?:mother|father|family|childhood|life|home|school|friend)\b", r"\bwe\s+(?:were|had|lived|grew|went|came)\b", r"(?i)\bwhen\s+I\s+was\s+(?:young|a\s+child|growing|born)\b", r"\bshe\s+said\b", r"\bhe\s+told\s+me\b", r"\bI\s+remember\b", r"\bthose\s+were\s+the\s+days\b")
 
 
-def field_type(text: Column, filename: Column) -> Column:
-    """code, documentation, notes, research-paper, textbook, book, report or other."""
-    name, lower = F.lower(filename), F.substring(F.lower(text), 1, 8000)
+def field_type(text: Column, filename: Column, characters: int = 8000, told_in: int = 15_000) -> Column:
+    """code, documentation, notes, research-paper, textbook, book, report or other; kinds of long documents by their first ``characters`` and, for telling, ``told_in``."""
+    name = F.lower(filename)
     count = lambda t, signs: reduce(Column.__add__, (t.rlike(s).cast("int") for s in signs))
-    words, book, textbook, told = word_count(text), count(text, BOOK_SIGNS), count(text, TEXTBOOK_SIGNS), count(F.substring(text, 1, 15_000), NARRATIVE_SIGNS)
     headed = text.rlike(r"(?m)^#\s+")
-    references = lower.rlike(r"\b(?:references|bibliography)\b")
-    paper = name.rlike(r"[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?|arxiv") | (references & lower.rlike(r"\b(introduction|method|methods|methodology|results|discussion|conclusion)\b")) | (lower.rlike(r"\babstract\b") & references)
-    unit = lower.rlike(r"\b(chapter|unit)\s+[0-9]")
-    long = F.when(paper, "research-paper").when(textbook >= 3, "textbook").when((told >= 3) | ((told >= 2) & (book >= 2)), "book").when((book >= 2) | ((book >= 1) & (words > 10_000)), "book").when(unit & (textbook >= 1), "textbook").when(unit | (words > 20_000), "book").otherwise("report")
+
+    def found(lower: Column) -> Column:
+        references = lower.rlike(r"\b(?:references|bibliography)\b")
+        paper = name.rlike(r"[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?|arxiv") | (references & (lower.rlike(r"\b(introduction|method|methods|methodology|results|discussion|conclusion)\b") | lower.rlike(r"\babstract\b")))
+        return F.struct(paper.alias("paper"), lower.rlike(r"\b(chapter|unit)\s+[0-9]").alias("unit"), word_count(text).alias("words"), count(text, BOOK_SIGNS).alias("book"), count(text, TEXTBOOK_SIGNS).alias("textbook"), count(F.substring(text, 1, told_in), NARRATIVE_SIGNS).alias("told"))
+
+    def kind(c: Column) -> Column:
+        telling = (c["told"] >= 3) | ((c["told"] >= 2) & (c["book"] >= 2))
+        return F.when(c["paper"], "research-paper").when(c["textbook"] >= 3, "textbook").when(telling | (c["book"] >= 2) | ((c["book"] >= 1) & (c["words"] > 10_000)), "book").when(c["unit"] & (c["textbook"] >= 1), "textbook").when(c["unit"] | (c["words"] > 20_000), "book").otherwise("report")
+
+    long = let(F.substring(F.lower(text), 1, characters), lambda lower: let(found(lower), kind))
     return F.when(name.rlike(r"\.(py|ts|js|java|go|rs|cpp|c|rb|php|swift|kt|scala|sh|bash)$"), "code").when(name.rlike(r"\.(md|markdown)$"), F.when(headed, "documentation").otherwise("notes")).when(name.rlike(r"\.txt$"), F.when(headed, "notes").otherwise("other")).when(name.rlike(r"\.(pdf|docx)$"), long).otherwise("other")

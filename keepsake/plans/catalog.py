@@ -59,3 +59,43 @@ HALVES = """halves AS (
   SELECT source_bucket_id AS bucket_id, target_bucket_id AS other_id, relation_type, confidence, 'out' AS direction FROM m_edges
   UNION ALL SELECT target_bucket_id, source_bucket_id, relation_type, confidence, 'in' FROM m_edges),
 near AS (SELECT h.*, b.user_id, b.document_id, o.user_id AS other_user, o.document_id AS other_document FROM halves h JOIN m_buckets b ON h.bucket_id = b.bucket_id JOIN m_buckets o ON h.other_id = o.bucket_id)"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def matches(column: str, patterns, joiner: str = " OR ") -> str:
+    return "(" + joiner.join(f"regexp_matches({column}, {quoted(p)})" for p in patterns) + ")"
+
+
+def holds(column: str, parts) -> str:
+    return "(" + " OR ".join(f"contains({column}, {quoted(p)})" for p in parts) + ")"
+
+
+BLANK = r"[ \t\n\r\f\v]"
+
+
+def trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
+def words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{BLANK}+'), lambda w: w <> '')"
+
+
+def distinct(x: str) -> str:
+    """Without repeats, the first of each kept in its place."""
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
+
+def best_of(scores: str, names, least: int = 2, otherwise: str = "general") -> str:
+    return f"CASE WHEN list_max({scores}) >= {least} THEN [{', '.join(map(quoted, names))}][list_position({scores}, list_max({scores}))] ELSE {quoted(otherwise)} END"
+
+
+def domain_rows(domains: dict) -> str:
+    """dom: document_id and domain of each document."""
+    counts = ", ".join(" + ".join(f"len(regexp_extract_all(sample, {quoted(p)}))" for p in ps) for ps in domains.values())
+    return f"""sampled AS (SELECT document_id, substr(lower(content), 1, 10000) AS sample, regexp_matches(lower(filename), 'paper|arxiv|proceedings') AS paper FROM m_documents),
+counted AS (SELECT document_id, list_transform([{counts}], lambda h: CASE WHEN paper AND h > 0 THEN h + 2 ELSE h END) AS s FROM sampled),
+dom AS (SELECT document_id, {best_of('s', domains)} AS domain FROM counted)"""

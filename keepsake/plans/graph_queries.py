@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import settled as r4
-from ..functions.text import normalize_key, normalize_label
+from ..functions.text import DOMAINS, KEY_SUFFIXES, normalize_key, normalize_label
 from ..operators import correlate, cortex, graph, merge, scan
 from ..schema import AS_OF
 from .catalog import CURRENT, HALVES, cosine, query, tier, unit
 from .catalog import settled as sql_r4
+from .catalog import domain_rows, trimmed, words
 
 
 def rounded(df, *names):
@@ -152,16 +153,16 @@ LABEL = "trim(regexp_replace(regexp_replace(lower(canonical), '[^a-z0-9 ]', '',
 
 @query("label_to_id_resolution", f"""
 WITH k AS (SELECT *, {LABEL} AS normalized FROM m_buckets)
-SELECT w.bucket_id AS asked, coalesce((SELECT min(bucket_id) FROM k WHERE k.normalized = w.normalized AND k.user_id = w.user_id AND k.document_id = w.document_id), (SELECT min(bucket_id) FROM k WHERE k.normalized = w.normalized AND k.user_id = w.user_id), (SELECT min(bucket_id) FROM k WHERE k.normalized = w.normalized)) AS bucket_id FROM k w WHERE w.bucket_id % 5 < 2""")
+SELECT w.bucket_id AS asked, coalesce((SELECT min(bucket_id) FROM k WHERE k.normalized = w.normalized AND k.user_id = w.user_id AND k.document_id = w.document_id), (SELECT min(bucket_id) FROM k WHERE k.normalized = w.normalized AND k.user_id = w.user_id), (SELECT min(bucket_id) FROM k WHERE k.normalized = w.normalized)) AS bucket_id FROM k w""")
 def _(t):
     keyed = t.buckets.withColumn("normalized", normalize_label(F.col("canonical")))
-    wanted = keyed.filter("bucket_id % 5 < 2").select(F.col("bucket_id").alias("asked"), "user_id", "document_id", F.col("normalized").alias("label_key"))
+    wanted = keyed.select(F.col("bucket_id").alias("asked"), "user_id", "document_id", F.col("normalized").alias("label_key"))
     return graph.labels_to_ids(wanted, keyed).select("asked", "bucket_id")
 
 
-@query("extraction_edges", "SELECT DISTINCT bucket_id AS source_bucket_id, unnest([bucket_id + 1, bucket_id * 2]) AS target_bucket_id, CAST(0.65 AS DOUBLE) AS confidence FROM m_buckets WHERE bucket_id < 50 AND bucket_id > 1")
+@query("extraction_edges", "SELECT DISTINCT * FROM (SELECT bucket_id AS source_bucket_id, unnest([bucket_id + 1, bucket_id * 2]) AS target_bucket_id, CAST(0.65 AS DOUBLE) AS confidence FROM m_buckets) WHERE source_bucket_id <> target_bucket_id")
 def _(t):
-    rows = t.buckets.filter("bucket_id < 50 and bucket_id > 1").select("bucket_id", F.array(F.col("bucket_id") + 1, F.col("bucket_id") * 2, F.col("bucket_id")).alias("related_ids"))
+    rows = t.buckets.select("bucket_id", F.array(F.col("bucket_id") + 1, F.col("bucket_id") * 2, F.col("bucket_id")).alias("related_ids"))
     return graph.extraction_edges(rows).select("source_bucket_id", "target_bucket_id", "confidence")
 
 
@@ -209,9 +210,9 @@ def _(t):
     return rows.select("document_id", "related_id", r4(F.coalesce("cosine", F.lit(-1.0))).alias("cosine"), r4(F.col("score")).alias("score"))
 
 
-@query("exact_merge_links", f"WITH o AS (SELECT DISTINCT user_id, {LABEL} AS name, document_id FROM m_buckets WHERE document_id IS NOT NULL) SELECT a.user_id, a.document_id, b.document_id AS related_id, count(*) AS shared, {d('0.55 + least(0.3, 0.1 * count(*)) + least(0.1, count(*) / 10.0)')} AS score FROM o a JOIN o b ON a.user_id = b.user_id AND a.name = b.name AND a.document_id <> b.document_id WHERE a.document_id < 20 GROUP BY 1, 2, 3")
+@query("exact_merge_links", f"WITH o AS (SELECT DISTINCT user_id, {LABEL} AS name, document_id FROM m_buckets WHERE document_id IS NOT NULL) SELECT a.user_id, a.document_id, b.document_id AS related_id, count(*) AS shared, {d('0.55 + least(0.3, 0.1 * count(*)) + least(0.1, count(*) / 10.0)')} AS score FROM o a JOIN o b ON a.user_id = b.user_id AND a.name = b.name AND a.document_id <> b.document_id GROUP BY 1, 2, 3")
 def _(t):
-    return rounded(correlate.exact_links(t.buckets, t.documents.filter("document_id < 20")), "score")
+    return rounded(correlate.exact_links(t.buckets, t.documents), "score")
 
 
 @query("related_documents_merged", f"{LINKS} SELECT * FROM (SELECT document_id, related_id, edges, {d('s')} AS score, CAST(row_number() OVER (PARTITION BY document_id ORDER BY round(s, 9) DESC, edges DESC, related_id) AS INT) AS n FROM s) WHERE n <= 20")
@@ -245,12 +246,12 @@ def _(t):
     return rounded(cortex.core(cortex.document_nodes(t.documents, t.buckets, t.edges), t.buckets, t.edges), "average_strength")
 
 
-@query("domain_rollup")
+@query("domain_rollup", f"{NODES}, {domain_rows(DOMAINS)} SELECT domain, count(*) AS documents, CAST(sum(concepts) AS BIGINT) AS concepts, {d('CASE WHEN sum(concepts) > 0 THEN sum(s * concepts) / sum(concepts) ELSE 0 END')} AS average_strength, CAST(sum(critical) AS BIGINT) AS critical FROM nodes JOIN dom USING (document_id) GROUP BY 1")
 def _(t):
     return rounded(cortex.domains(t.documents, cortex.document_nodes(t.documents, t.buckets, t.edges)), "average_strength")
 
 
-@query("hierarchy_edges")
+@query("hierarchy_edges", f"WITH {domain_rows(DOMAINS)} SELECT concat('document:', document_id) AS child, concat('domain:', domain) AS parent, 'part_of' AS relation FROM dom UNION ALL SELECT concat('concept:', bucket_id), concat('document:', document_id), 'part_of' FROM m_buckets WHERE document_id IN (SELECT document_id FROM m_documents)")
 def _(t):
     return cortex.hierarchy(t.documents, t.buckets)
 
@@ -275,7 +276,15 @@ def _(t):
     return t.buckets.select("bucket_id", normalize_label(F.col("canonical")).alias("label"))
 
 
-@query("key_collisions")
+def key_sql(x: str) -> str:
+    x = trimmed(f"lower({x})")
+    for ending in KEY_SUFFIXES:
+        x = f"regexp_replace({x}, '{ending}$', '')"
+    plain = f"regexp_replace({x}, '[^a-z0-9 \\t\\n\\r\\f\\v]', '', 'g')"
+    return f"array_to_string(list_sort({words(plain)}), '_')"
+
+
+@query("key_collisions", f"SELECT * FROM (SELECT {key_sql('canonical')} AS normalized, count(*) AS n FROM m_buckets GROUP BY 1) WHERE n > 1")
 def _(t):
     return t.buckets.groupBy(normalize_key(F.col("canonical")).alias("normalized")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

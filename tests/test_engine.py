@@ -4,6 +4,7 @@ import os
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__  # noqa: E402
 
 from keepsake.adapters import Tables  # noqa: E402
-from keepsake.operators import correlate, graph, lifecycle, merge, scoring  # noqa: E402
+from keepsake.operators import correlate, graph, knn, lifecycle, merge, scoring  # noqa: E402
 from keepsake.plans import catalog, retrieve, text_queries  # noqa: E402
 from keepsake.schema import AS_OF  # noqa: E402
 
@@ -121,6 +122,18 @@ def test_exact_links_need_both_sides(t):
     assert all(r["document_id"] < 5 and r["document_id"] != r["related_id"] for r in rows)
 
 
+def test_approximate_neighbours_recall(t):
+    rows = [r for r in t.embeddings.select("bucket_id", "embedding").collect() if r[1] and None not in r[1]]
+    ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 10 == 0)
+    close = vectors[asked] @ vectors.T
+    true = {(int(ids[asked[a]]), int(ids[b])) for a, b in zip(*np.nonzero(close >= 0.2 + 1e-9), strict=True) if asked[a] != b}
+    found = {(r[0], r[1]) for r in knn.approximate(t.embeddings.filter("bucket_id % 10 = 0"), t.embeddings, 0.2 - 1e-9).collect()}
+    assert len(true) > 20 and len(found & true) >= 0.9 * len(true)
+    assert all(close[np.flatnonzero(ids[asked] == a)[0], np.flatnonzero(ids == b)[0]] >= 0.2 - 1e-6 for a, b in found)
+
+
 def test_too_many_questions_are_refused(t):
     with pytest.raises(ValueError, match="questions"):
         retrieve.held(t.spark.range(5).withColumnRenamed("id", "question_id"), most=3)

@@ -8,9 +8,10 @@ text can hold a repeat. What they cover goes on:
 * each shard sorts its suffixes (Larsson-Sadakane: first by 8 bytes, then only groups still equal, by the rank of what
   follows, doubling each time), and takes common prefixes with the suffix before by Kasai's walk, many stretches of the
   text at a time. Neighbours of LENGTH common bytes form a group of equal strings, which knows its smallest document;
-* one string of each group goes to the bucket of its name. In a bucket, each shard's strings are sorted by a digest, the
-  lists are merged, and each is sought in the merged one by binary search, strings being compared byte by byte; those
-  that start in a smaller document are sent back to their shard.
+* one string of each group goes to the bucket of its name, neighbours of one name as one stretch of text. In a bucket,
+  stretches that several shards have are told by their bytes and taken once, with the smallest document. Each shard's
+  strings of the rest are sorted by a digest, the lists are merged, and each is sought in the merged one by binary
+  search, strings being compared byte by byte; those that start in a smaller document are sent back to their shard.
 
 A shard sends each distinct string once, so however many copies a text or passage has, a bucket gets one for each shard.
 A name that more than ``HOT_SHARDS`` shards have, such as that of a line that stands between different texts, would send
@@ -274,15 +275,23 @@ class Shard:
         place = kept[order]
         own = asked[place]
         group, place = group[own], place[own]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        size = np.diff(np.append(first, len(group)))
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        alone = new & np.append(new[1:], True)
+        heads = np.zeros(len(self.data), dtype=bool)
+        heads[place[alone]] = True
+        place, new = place[~alone], new[~alone]
+        if not len(place):
+            return none, np.flatnonzero(heads), none, none
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(place)))
         ids = self.ids[self.document(place)]
         least = np.repeat(np.minimum.reduceat(ids, first), size)
         smallest = ids == least
-        head = np.repeat(np.minimum.reduceat(np.where(smallest, place, LAST), first), size)
-        repeats = place[~smallest]
+        head = np.minimum.reduceat(np.where(smallest, place, LAST), first)
+        heads[head] = True
+        head = np.repeat(head, size)
         also = smallest & (place != head)
-        return np.sort(repeats), np.sort(place[smallest & (place == head)]), head[also], place[also]
+        return np.sort(place[~smallest]), np.flatnonzero(heads), head[also], place[also]
 
 
 def places_of(first: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -422,12 +431,10 @@ def strings_of(table: DataFrame, name_buckets: int, string_buckets: int) -> Data
     return table.select("shard", "ids", "ends", "blob", "seen").mapInArrow(in_slices(run, 4), "bucket long, shard long, runs binary, ids binary, bytes binary")
 
 
-def equal_strings(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whether the strings at a and b are equal, 8 bytes at a time, the last 8 overlapping."""
-    same = np.ones(len(a), dtype=bool)
-    for at in [*range(0, length - 7, 8), length - 8]:
-        same &= words[a + at] == words[b + at]
-    return same
+def equal_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int = LENGTH, most: int = 1 << 16) -> bool:
+    """Whether each string at a is equal to the one at b, ``most`` of them at a time."""
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
+    return all(np.array_equal(strings[a[i : i + most]], strings[b[i : i + most]]) for i in range(0, len(a), most))
 
 
 def smallest_documents(lists: list[tuple[np.ndarray, np.ndarray]], data: np.ndarray, seed: int = SEED, length: int = LENGTH) -> list[np.ndarray]:
@@ -436,7 +443,6 @@ def smallest_documents(lists: list[tuple[np.ndarray, np.ndarray]], data: np.ndar
     Each list is sorted by digest; the lists are merged into one of distinct digests, and each list is sought in it by
     binary search. Every string found is compared with the one it is taken for; if two strings share a digest, all is
     done again with another."""
-    words = words8(data)
     while lists:
         digest = Powers(seed).rolling(data, length)
         by = [np.argsort(digest[place]) for place, _ in lists]
@@ -448,7 +454,8 @@ def smallest_documents(lists: list[tuple[np.ndarray, np.ndarray]], data: np.ndar
         merged, standing = every[order[first]], place[order[first]]
         least = np.minimum.reduceat(np.concatenate([i[b] for (_, i), b in zip(lists, by, strict=True)])[order], first)
         at = np.concatenate([np.searchsorted(merged, d) for d in own])
-        if not equal_strings(words, standing[at], place).all():
+        other = standing[at] != place
+        if not equal_strings(data, standing[at[other]], place[other], length):
             seed += 1
             continue
         out, start = [], 0
@@ -468,20 +475,28 @@ def answers(strings: DataFrame) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         if rows["bucket"][0].as_py() < 0:
             return pa.table({"shard": rows["shard"], "found": pa.nulls(rows.num_rows, pa.binary()), "repeats": rows["runs"], "pairs": rows["ids"]})
-        shards, lists, back, offset = [], [], [], 0
-        for row in rows.select(["shard", "runs", "ids"]).to_pylist():
+        number, parts, new = {}, [], [0]  # distinct stretches in the order in which they come, and how many there are after each shard
+        for row in rows.select(["shard", "runs", "ids", "bytes"]).to_pylist():
             start, count = np.frombuffer(unpacked(row["runs"]), dtype=np.uint32).reshape(2, -1).astype(np.int64)
-            start = np.cumsum(start)
-            size = count + LENGTH - 1
-            begin = offset + np.concatenate([[0], np.cumsum(size)[:-1]])
-            offset += int(size.sum())
-            lists.append((places_of(begin, begin + count), np.repeat(np.frombuffer(unpacked(row["ids"]), dtype=np.int64), count)))
-            back.append(places_of(start, start + count))
-            shards.append(row["shard"])
-        data = np.frombuffer(b"".join(map(unpacked, rows["bytes"].to_pylist())), dtype=np.uint8)
-        least = smallest_documents(lists, data)
-        found = [(s, intervals(np.sort(place[small < ids])).tobytes()) for s, place, small, (_, ids) in zip(shards, back, least, lists, strict=True)]
-        found = [x for x in found if x[1]]
+            text, last = unpacked(row["bytes"]), np.cumsum(count + LENGTH - 1)
+            edges = [0, *last.tolist()]
+            which = np.array([number.setdefault(text[a:b], len(number)) for a, b in zip(edges, edges[1:], strict=False)], dtype=np.int64)
+            parts.append((row["shard"], np.cumsum(start), count, np.frombuffer(unpacked(row["ids"]), dtype=np.int64), which))
+            new.append(len(number))
+        smallest = np.full(len(number), LAST, dtype=np.int64)
+        for _, _, _, ids, which in parts:
+            np.minimum.at(smallest, which, ids)
+        size = np.array([len(x) for x in number], dtype=np.int64)
+        begin, many = np.cumsum(size) - size, size - LENGTH + 1
+        data = np.frombuffer(b"".join(number), dtype=np.uint8)
+        del number
+        lists = [(places_of(begin[a:b], begin[a:b] + many[a:b]), np.repeat(smallest[a:b], many[a:b])) for a, b in zip(new, new[1:], strict=False) if a < b]
+        least, at = np.concatenate(smallest_documents(lists, data)), np.cumsum(many) - many
+        found = []
+        for shard, start, count, ids, which in parts:
+            smaller = least[places_of(at[which], at[which] + count)] < np.repeat(ids, count)
+            if smaller.any():
+                found.append((shard, intervals(np.sort(places_of(start, start + count)[smaller])).tobytes()))
         return pa.table({"shard": pa.array([x[0] for x in found], pa.int64()), "found": pa.array([x[1] for x in found], pa.binary()), "repeats": pa.nulls(len(found), pa.binary()), "pairs": pa.nulls(len(found), pa.binary())})
 
     return strings.groupBy("bucket").applyInArrow(run, schema)

@@ -182,6 +182,8 @@ def packed(docs: DataFrame, path: str | None = None, ranks: str | None = None, s
     slots = {name: np.array(column, dtype=np.int64) for name, column in zip(SLOTS, zip(*best_fit_decreasing(counts, sequence), strict=True), strict=False)}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not slots:
+            return
         starts = np.searchsorted(slots["length"] * -1, -np.arange(sequence + 2))  # slots lie in falling order of length
         for batch in batches:
             length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()

@@ -504,7 +504,7 @@ def test_blocks_are_pruned_where_vectors_have_groups():
 
 
 def test_top_k_of_few(spark, tmp_path):
-    spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in topk.op6_exact_top_k(spark, str(tmp_path)).collect()] == [(0, 1, 1, 1048576)]
 
 
@@ -672,12 +672,17 @@ def test_notices_of_any_wording_are_found(spark):
     assert {r["notices"] for r in licenses.scanned(docs, notices={}).collect()} == {""}
 
 
-def test_empty_tables(spark, tmp_path):
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_empty_tables(spark, tmp_path, adaptive):
     docs_of(spark, [], str(tmp_path))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     from keepsake.llm.queries import QUERIES
 
-    rows = {name: run(spark, str(tmp_path)).count() for name, run in QUERIES.items()}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = {name: run(spark, str(tmp_path)).count() for name, run in QUERIES.items()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
     assert rows == {name: int(name.startswith("op5_")) for name in QUERIES}, json.dumps(rows)

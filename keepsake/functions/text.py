@@ -261,18 +261,6 @@ def without_repeated_lines(text: Column, share: float = 0.2, longest: int = 120)
     return let(lines_of(text), lambda lines: let(frequent(lines), lambda often: F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, trimmed(x))), "\n")))
 
 
-def without_back_matter(text: Column) -> Column:
-    """Cut before the last line of the second half that is a heading of references or an index."""
-
-    def cut(lines: Column) -> Column:
-        numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-        late = F.slice(numbered, F.floor(F.size(lines) / 2).cast("int") + 1, F.size(lines))
-        heads = F.filter(late, lambda x: trimmed(x["line"]).rlike(r"(?i)^(?:[0-9]+\.?\s*)?(?:references|bibliography|works cited|index)$"))
-        return let(heads, lambda h: F.when(F.size(h) > 0, F.array_join(F.slice(lines, F.lit(1), F.element_at(h, -1)["i"]), "\n")).otherwise(F.array_join(lines, "\n")))
-
-    return let(lines_of(text), cut)
-
-
 def clean_text(text: Column) -> Column:
     return tidy_white_space(plain_characters(text))
 

@@ -1,232 +1,280 @@
-"""Cutting texts: chunks for messages and documents, sections by headings, joining of broken lines.
+"""Cutting texts: chunks of messages and documents, sections for extraction.
 
-Each cut depends on what was cut before it, so these are small Python folds, run in Arrow batches by ``cut_with``; a row
-in gives an array out and nothing is gathered across rows."""
+Each cut depends on what was cut before it, so these are table functions: one text in, rows out as they are cut, with
+places in the source and sizes carried along instead of counted anew. ``register`` gives them to SQL:
+
+    SELECT d.document_id, c.* FROM documents d, LATERAL keepsake_chunks(d.content, 150, 250) c
+"""
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.lines import headed_parts
+from ..functions.text import trimmed
 from ..schema import CHUNK_TOKENS, MAX_SECTIONS, MIN_SECTION_CHARS, SECTION_CHARS, SINGLE_SECTION_CHARS
 
-TEXTS = T.ArrayType(T.StringType())
-SECTIONS = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())]))
+CHUNK = "chunk_index int, chunk string, start long, end long, token_estimate int, split_method string"
+SECTION = "section_index int, heading string, section string"
+Span = tuple[int, int, int]  # start, end, tokens
 
+BLANK_LINES = re.compile(r"\n\n+")
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+$")
+WORD = re.compile(r"\S+")
 
-def cut_with(cutter: Callable[[str], list], kind: T.DataType, *columns: Column) -> Column:
-    """The cutter's result for each text; null is empty."""
 
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(cutter)
+def tokens(text: str, light: bool = False) -> int:
+    """As the column expressions of the same name estimate them."""
+    long = 1 if light else 0
+    return sum(1 + (len(w) // 4 - long if len(w) > 6 else 0) + (not light and len(w) > 12) for w in text.split())
 
-    return run(*columns)
 
+def between(text: str, mark: re.Pattern, start: int, end: int, light: bool = False) -> Iterator[Span]:
+    """What lies between the marks and isn't blank."""
+    for m in mark.finditer(text, start, end):
+        if text[start : m.start()].strip():
+            yield start, m.start(), tokens(text[start : m.start()], light)
+        start = m.end()
+    if text[start:end].strip():
+        yield start, end, tokens(text[start:end], light)
 
-def tokens(text: str, light: bool = False) -> int:
-    """As the column expressions of the same name estimate them."""
-    if light:
-        return sum(1 + (len(w) // 4 - 1 if len(w) > 6 else 0) for w in text.split())
-    return sum(1 + (len(w) // 4 if len(w) > 6 else 0) + (len(w) > 12) for w in text.split())
 
+class Held:
+    """Parts of a text that go into one chunk if nothing too large follows."""
+
+    def __init__(self, text: str, joiner: str, method: str):
+        self.text, self.joiner, self.method, self.parts, self.size = text, joiner, method, [], 0
+
+    def add(self, part: Span) -> None:
+        self.parts.append(part)
+        self.size += part[2]
 
-def packed_by(parts: Iterator[str], most: int, joiner: str, size: Callable[[str], int], smaller: Callable[[str], list[str]] | None) -> list[str]:
-    """Parts joined as long as their sizes fit; one that is too large by itself is cut by ``smaller``."""
-    out, held = [], ""
+    def taken(self) -> tuple[str, int, int, int, str]:
+        """The chunk: text, start, end, tokens, method; nothing is held afterwards."""
+        chunk = self.joiner.join(self.text[a:b] for a, b, _ in self.parts).strip()
+        (a, b, _), (c, d, _) = self.parts[0], self.parts[-1]
+        start, end = b - len(self.text[a:b].lstrip()), c + len(self.text[c:d].rstrip())
+        out = chunk, start, end, self.size, self.method
+        self.parts, self.size = [], 0
+        return out
+
+
+def filled(text: str, parts: Iterator[Span], most: int, joiner: str, method: str, smaller=None) -> Iterator[tuple]:
+    """Parts joined as long as their sizes fit; one too large by itself is left to ``smaller``. The last chunk is yielded as what is held."""
+    held = Held(text, joiner, method)
     for part in parts:
-        if not part.strip():
+        if smaller and part[2] > most:
+            if held.parts:
+                yield held.taken()
+            yield from smaller(part)
             continue
-        if smaller and size(part) > most:
-            out += [held.strip()] if held.strip() else []
-            held = ""
-            out += smaller(part)
-        elif size(held) + size(part) > most and held.strip():
-            out.append(held.strip())
-            held = part
-        else:
-            held = f"{held}{joiner}{part}" if held else part
-    return out + ([held.strip()] if held.strip() else [])
+        if held.parts and held.size + part[2] > most:
+            yield held.taken()
+        held.add(part)
+    if held.parts:
+        yield held
+
+
+def settled(chunks: Iterator[tuple]) -> Iterator[tuple]:
+    for c in chunks:
+        yield c.taken() if isinstance(c, Held) else c
+
 
+def words_of(text: str, span: Span, most: int) -> Iterator[tuple]:
+    parts = ((m.start(), m.end(), tokens(m[0])) for m in WORD.finditer(text, span[0], span[1]))
+    for chunk, start, end, size, method in settled(filled(text, parts, most, " ", "word")):
+        yield chunk, start, end, size, "forced" if size > most else method
 
-def words_within(text: str, most: int) -> list[str]:
-    """Runs of words, each as long as fits."""
-    out, held, n = [], [], 0
-    for word in text.split():
-        size = tokens(word)
-        if held and n + size > most:
-            out.append(" ".join(held))
-            held, n = [], 0
-        held.append(word)
-        n += size
-    return out + ([" ".join(held)] if held else [])
 
+def sentences_of(text: str, span: Span, most: int) -> Iterator[tuple]:
+    return settled(filled(text, between(text, SENTENCE_END, span[0], span[1]), most, " ", "sentence", lambda s: words_of(text, s, most)))
 
-def chunks(text: str, least: int = CHUNK_TOKENS[0], most: int = CHUNK_TOKENS[1]) -> list[str]:
+
+def chunks(text: str, least: int = CHUNK_TOKENS[0], most: int = CHUNK_TOKENS[1]) -> Iterator[tuple]:
     """Paragraphs joined up to ``most`` tokens, long ones cut at sentences and those at words; a small rest joins the chunk before it if both fit."""
-    if tokens(text) <= most:
-        return [text] if text else []
-    by_sentence = lambda p: packed_by(re.split(r"(?<=[.!?])\s+", p), most, " ", tokens, lambda s: words_within(s, most))
-    paragraphs = re.split(r"\n\n+", text)
-    out = packed_by(paragraphs, most, "\n\n", tokens, by_sentence)
-    last = [p for p in paragraphs if p.strip()]
-    if len(out) > 1 and tokens(out[-1]) < least and last and tokens(last[-1]) <= most:
-        both = f"{out[-2]}\n\n{out[-1]}"
-        if tokens(both) <= most:
-            out[-2:] = [both]
-    return out
+    size = tokens(text)
+    if size <= most:
+        if text:
+            yield text, 0, len(text), size, "paragraph"
+        return
+    before = None
+    for c in filled(text, between(text, BLANK_LINES, 0, len(text)), most, "\n\n", "paragraph", lambda p: sentences_of(text, p, most)):
+        if isinstance(c, Held):
+            c = c.taken()
+            if before and c[3] < least and before[3] + c[3] <= most:
+                before, c = (f"{before[0]}\n\n{c[0]}", before[1], c[2], before[3] + c[3], before[4]), None
+        if before:
+            yield before
+        before = c
+    if before:
+        yield before
+
+
+def light_chunks(text: str, most: int = CHUNK_TOKENS[1], cut: bool = False) -> Iterator[tuple]:
+    """Paragraphs joined up to ``most`` lightly estimated tokens; ``cut``: longer ones at their sentences, a last one without its stop among them."""
+    size = tokens(text, True)
+    if size <= most:
+        if text:
+            yield text, 0, len(text), size, "paragraph"
+        return
+
+    def sentences(span: Span) -> Iterator[tuple]:
+        parts = ((m.start(), m.end(), tokens(m[0], True)) for m in SENTENCE.finditer(text, span[0], span[1]) if m[0].strip())
+        return settled(filled(text, parts, most, "", "sentence"))
+
+    yield from settled(filled(text, between(text, BLANK_LINES, 0, len(text), True), most, "\n\n", "paragraph", sentences if cut else None))
+
 
+class Chunks:
+    """Rows of a text's chunks; places count characters, and the source between them is the chunk but for white space where parts meet."""
 
-def light_chunks(text: str, most: int = CHUNK_TOKENS[1]) -> list[str]:
-    """Paragraphs joined up to ``most`` lightly estimated tokens."""
-    return packed_by(re.split(r"\n\n+", text), most, "\n\n", lambda t: tokens(t, True), None)
+    def eval(self, text: str, least: int, most: int):
+        for i, c in enumerate(chunks(text or "", least, most)):
+            yield i, *c
 
 
-def chunked(df: DataFrame, text: str = "content", cutter: Callable[[str], list] = chunks) -> DataFrame:
-    """A row per chunk: the other columns, chunk_index, chunk."""
-    rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(cut_with(cutter, TEXTS, F.col(text))).alias("chunk_index", "chunk"))
+class LightChunks:
+    def eval(self, text: str, most: int, cut: bool):
+        for i, c in enumerate(light_chunks(text or "", most, cut)):
+            yield i, *c
 
 
 # ---------------------------------------------------------------- sections
 
-NUMBERED = re.compile(r"([0-9]+(?:\.[0-9]+)*)\s+([A-Z].{2,80})$")
-CAPITALS = re.compile(r"[A-Z][A-Z\s]{3,50}$")
-MARKED = re.compile(r"(#{1,6})\s+(.+)$")
-
-
-def heading_of(line: str, before: str | None, after: str | None) -> tuple[str, int] | None:
-    """(heading, level) of a line that looks like one: numbered, in capitals, or a short one after a blank line and before a longer one."""
-    line = line.strip()
-    if not line:
-        return None
-    if m := NUMBERED.match(line):
-        return m[2].strip(), m[1].count(".") + 1
-    if CAPITALS.match(line) and len(line) < 60:
-        return line, 1
-    if 5 < len(line) < 60 and "A" <= line[0] <= "Z" and line[-1] not in ".;," and before is not None and not before.strip() and after is not None and len(after.strip()) > len(line) and len(line.split()) <= 8:
-        return line, 2
-    return None
-
-
-def told_heading(heading: str) -> bool:
-    words = heading.split()
-    return len(heading) >= 3 and not heading.isdigit() and not (len(words) > 1 and all(len(w) == 1 for w in words))
-
-
-def text_sections(text: str) -> list[dict]:
-    """Plain text by its headings; without any, a section a paragraph."""
-    lines = text.split("\n")
-    found = [(i, *h) for i, line in enumerate(lines) if (h := heading_of(line, lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None))]
-    if not found:
-        return [{"heading": None, "level": 0, "text": p.strip()} for p in re.split(r"\n\s*\n", text) if p.strip()]
-    out = []
-    opening = "\n".join(lines[: found[0][0]]).strip()
-    if len(opening) > 100:
-        out.append({"heading": None, "level": 0, "text": opening})
-    for (at, heading, level), following in zip(found, [*found[1:], (len(lines),)], strict=True):
-        if told_heading(heading):
-            out.append({"heading": heading, "level": level, "text": "\n".join(lines[at + 1 : following[0]]).strip()})
-    return out
-
-
-def markdown_sections(text: str) -> list[dict]:
-    """Markdown by its # headings; what stands before the first is a section without heading."""
-    out, heading, level, body = [], None, 0, []
-    for line in text.split("\n"):
-        m = MARKED.match(line)
-        if not m:
-            body.append(line)
+PARAGRAPH_END = re.compile(r"\n\s*\n")
+
+
+def hard_split(text: str, cap: int) -> Iterator[str]:
+    """Pieces of about ``cap`` characters at most: after the last full stop, else at the last line end, of the second half."""
+    at = 0
+    while len(text) - at > cap:
+        stop, line = text.rfind(". ", at, at + cap + 2) - at, text.rfind("\n", at, at + cap + 1) - at
+        cut = stop + 1 if stop >= cap * 0.5 else line + 1 if line >= cap * 0.5 else cap
+        if piece := text[at : at + cut].strip():
+            yield piece
+        at += cut
+        while at < len(text) and text[at].isspace():
+            at += 1
+    if rest := text[at:].strip():
+        yield rest
+
+
+def packed_paragraphs(paragraphs: list[str], cap: int) -> Iterator[str]:
+    """Paragraphs joined by line ends up to the cap, longer ones cut."""
+    held, size = [], 0
+    for p in paragraphs:
+        if held and (len(p) > cap or size + len(p) + 2 > cap):
+            yield "\n".join(held)
+            held, size = [], 0
+        if len(p) > cap:
+            yield from hard_split(p, cap)
+        else:
+            size += len(p) + (1 if held else 0)
+            held.append(p)
+    if held:
+        yield "\n".join(held)
+
+
+def merged_to_limit(lengths: list[int], most: int, cap: int) -> list[tuple[int, int]]:
+    """Runs (first, last) of neighbours: while there are more than ``most``, the smallest adjoining pair that fits the cap becomes one, the first of equal ones.
+
+    Pairs wait in a heap; those that have changed since are skipped when they come up."""
+    n = len(lengths)
+    size, last, following, before = list(lengths), list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1))
+    pairs = [(size[i] + size[i + 1] + 2, i, i + 1, i + 1) for i in range(n - 1) if size[i] + size[i + 1] + 2 <= cap]
+    heapq.heapify(pairs)
+    left = n
+    while left > most and pairs:
+        both, i, j, end = heapq.heappop(pairs)
+        if size[i] is None or size[j] is None or following[i] != j or last[j] != end or size[i] + size[j] + 2 != both:
             continue
-        if heading or "".join(body).strip():
-            out.append({"heading": heading, "level": level, "text": "\n".join(body).strip()})
-        heading, level, body = m[2].strip(), len(m[1]), []
-    if heading or "".join(body).strip():
-        out.append({"heading": heading, "level": level, "text": "\n".join(body).strip()})
-    return out
-
-
-def hard_split(text: str, most: int) -> list[str]:
-    """Pieces of at most ``most`` characters, cut at the last line end or space of the second half if there is one."""
-    out = []
-    while len(text) > most:
-        at = max(text.rfind("\n", most // 2, most), text.rfind(" ", most // 2, most))
-        at = at if at > 0 else most
-        out.append(text[:at].strip())
-        text = text[at:]
-    return [x for x in [*out, text.strip()] if x]
-
-
-def merged_to_limit(sections: list[dict], most: int = MAX_SECTIONS, cap: int = SECTION_CHARS * 12 // 10) -> list[dict]:
-    """While there are too many, the smallest adjoining pair that fits becomes one."""
-    out = list(sections)
-    while len(out) > most:
-        pairs = [(len(a["text"]) + len(b["text"]) + 2, i) for i, (a, b) in enumerate(zip(out, out[1:], strict=False))]
-        fitting = [p for p in pairs if p[0] <= cap]
-        if not fitting:
-            break
-        i = min(fitting)[1]
-        a, b = out[i : i + 2]
-        out[i : i + 2] = [{"heading": a["heading"] or b["heading"], "level": a["level"], "text": f"{a['text']}\n{b['text']}"}]
-    return out
-
-
-def sections(text: str, cap: int = SECTION_CHARS, least: int = MIN_SECTION_CHARS) -> list[dict]:
-    """What is sent to extraction at once: the whole of a short text; else its headed parts, cut to the cap, small ones joined to the one before, at most ``MAX_SECTIONS``."""
+        size[i], size[j], last[i], following[i] = both - 1, None, last[j], following[j]
+        if following[i] < n:
+            before[following[i]] = i
+        left -= 1
+        for a, b in ((before[i], i), (i, following[i])):
+            if a >= 0 and b < n and size[a] + size[b] + 2 <= cap:
+                heapq.heappush(pairs, (size[a] + size[b] + 2, a, b, last[b]))
+    return [(i, last[i]) for i in range(n) if size[i] is not None]
+
+
+def sections(text: str, parts: list[tuple[str | None, str]], cap: int = SECTION_CHARS, least: int = MIN_SECTION_CHARS, most: int = MAX_SECTIONS, single: int = SINGLE_SECTION_CHARS) -> Iterator[tuple[str | None, str]]:
+    """What goes to extraction at once: the whole of a short text; else its headed ``parts``, cut to the cap, small ones joined to the one before, merged to ``most``; without parts, windows of paragraphs."""
     text = text.strip()
-    if len(text) <= SINGLE_SECTION_CHARS:
-        return [{"heading": None, "level": 0, "text": text}]
+    if len(text) <= single:
+        yield None, text
+        return
     top = cap * 12 // 10
-    parts = [s for s in (markdown_sections(text) if re.search(r"(?m)^#{1,6}\s", text) else text_sections(text)) if s["text"]]
-    headed = sum(s["heading"] is not None for s in parts) > 0 and len(parts) > 1
-    if not headed:
-        parts = [{"heading": None, "level": 0, "text": p} for p in packed_by(re.split(r"\n\s*\n", text), cap, "\n\n", len, lambda p: hard_split(p, cap))]
-    cut: list[dict] = []
-    for s in parts:
-        pieces = [s["text"]] if len(s["text"]) <= top else packed_by(re.split(r"\n\s*\n", s["text"]), cap, "\n\n", len, lambda p: hard_split(p, cap))
-        cut += [s | {"text": p, "heading": s["heading"] if not i else f"{s['heading'] or 'Section'} (cont.)"} for i, p in enumerate(pieces)]
-    joined: list[dict] = []
-    for s in cut:
-        if len(s["text"]) < least and joined and len(joined[-1]["text"]) + len(s["text"]) + 2 <= top:
-            joined[-1] |= {"text": f"{joined[-1]['text']}\n{s['text']}", "heading": joined[-1]["heading"] or s["heading"]}
+    split = lambda t: [p.strip() for p in PARAGRAPH_END.split(t) if p.strip()]
+
+    def cut() -> Iterator[tuple[str | None, str]]:
+        """Parts with those beyond the top in pieces; pieces can be beyond it no more."""
+        if not parts:
+            for piece in packed_paragraphs(split(text), cap):
+                yield None, piece
+        for heading, body in parts:
+            if len(body) <= top:
+                yield heading, body
+                continue
+            paragraphs = split(body)
+            for i, piece in enumerate(packed_paragraphs(paragraphs, cap) if len(paragraphs) > 1 else hard_split(body, cap)):
+                yield heading if not i else f"{heading or 'Section'} (cont.)", piece
+
+    headings: list[str | None] = []
+    bodies: list[list[str]] = []
+    sizes: list[int] = []
+    for heading, body in cut():
+        if len(body) < least and sizes and sizes[-1] + len(body) + 2 <= top:
+            bodies[-1].append(body)
+            sizes[-1] += len(body) + 1
+            headings[-1] = headings[-1] or heading
         else:
-            joined.append(dict(s))
-    return merged_to_limit(joined)
+            headings.append(heading)
+            bodies.append([body])
+            sizes.append(len(body))
+    for first, last in merged_to_limit(sizes, most, top) if parts else [(i, i) for i in range(len(sizes))]:
+        yield next((h for h in headings[first : last + 1] if h is not None), None), "\n".join(x for b in bodies[first : last + 1] for x in b)
+
+
+class Sections:
+    def eval(self, text: str, parts: list, cap: int, least: int, most: int, single: int):
+        for i, s in enumerate(sections(text or "", [(p["heading"], p["text"]) for p in parts or []], cap, least, most, single)):
+            yield i, *s
+
+
+# ---------------------------------------------------------------- as tables
+
+TABLE_FUNCTIONS = {"keepsake_chunks": (Chunks, CHUNK), "keepsake_light_chunks": (LightChunks, CHUNK), "keepsake_sections": (Sections, SECTION)}
 
 
-def sectioned(df: DataFrame, text: str = "content", cutter: Callable[[str], list] = sections) -> DataFrame:
-    """A row per section: the other columns, section_index, heading, level, section."""
-    rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(cut_with(cutter, SECTIONS, F.col(text))).alias("section_index", "s")).select(*rest, "section_index", "s.heading", "s.level", F.col("s.text").alias("section"))
+def register(spark: SparkSession) -> None:
+    """The table functions under their names in SQL."""
+    for name, (kind, returns) in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, F.udtf(kind, returnType=returns, useArrow=True))
 
 
-KEEPS_APART = re.compile(r"(?:[0-9]+[.)]\s|[A-Z][A-Z\s]{4,}$|#{1,6}\s|[•\-*]\s|\([a-z]\)\s)")
-OPENS_PART = re.compile(r"(?i)(?:chapter|section|figure|table|abstract|introduction|method|result|discussion|conclusion|references|appendix|acknowledgment)\b")
+def laterally(df: DataFrame, name: str, *arguments: Column) -> DataFrame:
+    """The rows of ``df`` with those that a table function gives for each."""
+    kind, returns = TABLE_FUNCTIONS[name]
+    return df.lateralJoin(F.udtf(kind, returnType=returns, useArrow=True)(*(a.outer() for a in arguments)))
 
 
-def joined_lines(text: str) -> str:
-    """A line that ends without punctuation takes in the next, unless either is a heading, a list item or blank."""
-    lines, out, i = text.split("\n"), [], 0
-    while i < len(lines):
-        own, following = lines[i].rstrip(), lines[i + 1].strip() if i + 1 < len(lines) else ""
-        bare = own.strip()
-        heading = (i == 0 or not lines[i - 1].strip()) and 3 <= len(bare) < 80 and bare[:1].isascii() and bare[:1].isupper() and bare[-1:] not in ".;," and len(bare.split()) <= 10 and len(following) > len(bare)
-        apart = not own or not following or heading or bare.startswith("## ") or following.startswith("## ") or own[-1] in ".!?;:])}\"'" or KEEPS_APART.match(following) or OPENS_PART.match(following)
-        out.append(own if apart else f"{own} {following}")
-        i += 1 if apart else 2
-    return "\n".join(out)
+def chunked(df: DataFrame, text: str = "content", least: int = CHUNK_TOKENS[0], most: int = CHUNK_TOKENS[1]) -> DataFrame:
+    """A row per chunk: the other columns and those of ``CHUNK``."""
+    return laterally(df, "keepsake_chunks", F.col(text), F.lit(least), F.lit(most)).drop(text)
 
 
-def with_joined_lines(df: DataFrame, column: str) -> DataFrame:
-    """The rows with the lines of a column joined."""
+def lightly_chunked(df: DataFrame, text: str = "content", most: int = CHUNK_TOKENS[1], cut: bool = False) -> DataFrame:
+    return laterally(df, "keepsake_light_chunks", F.col(text), F.lit(most), F.lit(cut)).drop(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows.assign(**{column: rows[column].fillna("").map(joined_lines)})
 
-    return df.mapInPandas(run, df.schema)
+def sectioned(df: DataFrame, text: str = "content", cap: int = SECTION_CHARS, least: int = MIN_SECTION_CHARS, most: int = MAX_SECTIONS, single: int = SINGLE_SECTION_CHARS) -> DataFrame:
+    """A row per section: the other columns, section_index, heading, section; headings are found in the JVM, and only in texts that are cut."""
+    parts = F.when(F.length(trimmed(F.col(text))) > single, headed_parts(F.col(text)))
+    return laterally(df.withColumn("__parts", parts), "keepsake_sections", F.col(text), F.col("__parts"), *(F.lit(x) for x in (cap, least, most, single))).drop(text, "__parts")

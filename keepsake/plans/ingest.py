@@ -56,7 +56,7 @@ def ingest(documents: DataFrame, known: DataFrame, buckets: DataFrame, as_of: da
 def ingest_messages(messages: DataFrame) -> DataFrame:
     """Chunks of messages: cleaned, cut, with their estimate of tokens."""
     cleaned = messages.withColumn("content", text.clean_message(F.col("content"))).filter("content <> ''")
-    return segment.chunked(cleaned).withColumn("token_estimate", text.token_estimate(F.col("chunk")))
+    return segment.chunked(cleaned)
 
 
 def undirected_edges(edges: DataFrame) -> DataFrame:

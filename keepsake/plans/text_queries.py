@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import query as ask
 from ..functions import text, vector
 from ..functions.numbers import settled as r4
-from ..operators import scoring, segment
+from ..operators import scoring
 from ..schema import AS_OF
 from ..sources import conversations, formats, store
 from . import ingest, retrieve
@@ -86,11 +86,6 @@ def _(t):
     return t.messages.select("message_id", F.sha2(text.clean_message(body()).cast("binary"), 256).alias("digest"))
 
 
-@query("document_clean")
-def _(t):
-    return of_documents(t, digest=F.sha2(text.clean_document(body(), True).cast("binary"), 256), plain=F.sha2(text.clean_text(body()).cast("binary"), 256))
-
-
 HTML = [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"(?i)</(div|li|tr)>", "\n"), (r"(?i)</td>", " | "), (r"<[^>]+>", ""), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), (r"\n{3,}", "\n\n")]
 
 
@@ -132,43 +127,12 @@ def _(t):
     return of_documents(t, kept=F.size(text.lines_of(text.without_noise(body()))), unmarked=F.size(text.lines_of(text.without_watermarks(text.without_page_numbers(body())))))
 
 
-@query("pdf_text_clean")
-def _(t):
-    lines = of_documents(t, front=F.sha2(text.without_back_matter(body()).cast("binary"), 256), lines=text.dehyphenated(text.without_noise(text.without_repeated_lines(text.plain_characters(body())))))
-    return segment.with_joined_lines(lines, "lines").select("document_id", F.sha2(text.tidy_white_space(F.col("lines")).cast("binary"), 256).alias("digest"), "front")
-
-
 @query("fixed_window_chunks", "WITH s AS (SELECT document_id, unnest(range(0, length(content), 1300)) AS pos, content FROM m_documents WHERE length(content) > 0), c AS (SELECT document_id, pos, trim(substr(content, CAST(pos + 1 AS BIGINT), 1500), ' ') AS chunk FROM s) SELECT document_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM c WHERE length(chunk) > 30 GROUP BY 1")
 def _(t):
     rows = t.documents.select("document_id", F.explode(text.window_chunks(body())).alias("chunk"))
     return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).cast("long").alias("characters"))
 
 
-@query("paragraph_chunks")
-def _(t):
-    return segment.chunked(t.documents.select("document_id", "content")).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(text.token_estimate(F.col("chunk"))).alias("largest"))
-
-
-@query("light_chunks")
-def _(t):
-    return segment.chunked(t.messages.select("message_id", "content"), cutter=segment.light_chunks).groupBy("message_id").agg(F.count(F.lit(1)).alias("chunks"))
-
-
-@query("message_chunks")
-def _(t):
-    return ingest.ingest_messages(t.messages.select("message_id", "content")).select("message_id", "chunk_index", "token_estimate")
-
-
-@query("document_sections")
-def _(t):
-    return segment.sectioned(t.documents.select("document_id", "content")).groupBy("document_id").agg(F.count(F.lit(1)).alias("sections"), F.max(F.length("section")).alias("longest"))
-
-
-@query("text_sections")
-def _(t):
-    return segment.sectioned(t.documents.select("document_id", "content"), cutter=segment.text_sections).groupBy("document_id").agg(F.count(F.lit(1)).alias("sections"), F.count("heading").alias("headings"))
-
-
 def signs(column: str, patterns) -> str:
     return " + ".join(f"CAST(regexp_matches({column}, {quoted(p)}) AS INT)" for p in patterns)
 

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_document, clean_text, strip_html, tidy_white_space, without_back_matter
-from ..operators.segment import SECTIONS, cut_with, markdown_sections, text_sections
+from ..functions.lines import PARTS, markdown_sections, text_sections, without_back_matter
+from ..functions.text import clean_document, clean_text, strip_html, tidy_white_space
 
 FORMATS = {"txt": "text", "text": "text", "log": "text", "md": "markdown", "markdown": "markdown", "json": "json", "csv": "csv", "tsv": "csv", "yaml": "yaml", "yml": "yaml", "html": "html", "htm": "html", "docx": "docx", "pdf": "pdf"} | {x: "code" for x in ("py", "ts", "tsx", "js", "jsx", "java", "go", "rs", "cpp", "c", "h", "rb", "php", "swift", "kt", "scala", "sh", "bash", "sql")}
 
@@ -132,7 +132,8 @@ def html_sections(html: str) -> list[dict]:
     return [s | {"text": re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", s["text"])).strip()} for s in out]
 
 
-CUTTERS = {"text": text_sections, "markdown": markdown_sections, "json": json_sections, "csv": csv_sections, "yaml": yaml_sections, "code": code_sections, "html": html_sections, "docx": text_sections, "pdf": text_sections}
+#: Formats whose sections are cut outside the JVM.
+CUTTERS = {"json": json_sections, "csv": csv_sections, "yaml": yaml_sections, "code": code_sections, "html": html_sections}
 
 
 def pdf_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,12 +170,18 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> D
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """Adds sections by the format's rules; text of HTML and Markdown without its markup."""
-    sections = F.lit(None).cast(SECTIONS)
-    for name, cutter in CUTTERS.items():
-        sections = F.when(F.col("format") == name, cut_with(cutter, SECTIONS, F.col("text"))).otherwise(sections)
-    bare = F.when(F.col("format") == "html", strip_html(F.col("text"))).when(F.col("format") == "markdown", clean_document(F.col("text"), True)).otherwise(F.col("text"))
-    return documents.withColumn("sections", F.coalesce(sections, cut_with(text_sections, SECTIONS, F.col("text")))).withColumn("text", bare)
+    """Adds sections by the format's rules; text of HTML and Markdown without its markup. Only texts of ``CUTTERS`` leave the JVM."""
+    kind, text = F.col("format"), F.col("text")
+    outside = kind.isin(*CUTTERS)
+
+    @F.pandas_udf(PARTS)
+    def cut_by_format(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([CUTTERS[k](t or "") if k in CUTTERS else None for k, t in zip(kinds, texts, strict=True)])
+
+    cut = cut_by_format(F.when(outside, kind), F.when(outside, text))
+    sections = F.when(kind == "markdown", markdown_sections(text)).when(~outside, text_sections(text)).otherwise(cut)
+    bare = F.when(kind == "html", strip_html(text)).when(kind == "markdown", clean_document(text, True)).otherwise(text)
+    return documents.withColumn("sections", sections).withColumn("text", bare)
 
 
 def front_matter(text: Column) -> Column:

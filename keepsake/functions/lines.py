@@ -18,6 +18,7 @@ PARTS = f"array<{PART}>"
 NUMBERED = r"(?s)^([0-9]+(?:\.[0-9]+)*)[ \t\n\r\f\x0B]+([A-Z].{2,80})$"
 CAPITALS = r"^[A-Z][A-Z \t\n\r\f\x0B]{3,50}$"
 MARKED = r"(?s)^(#{1,6})[ \t\n\r\f\x0B]+(.+)$"
+PDF_NUMBERED = r"(?s)^([0-9]+(?:\.[0-9]+)*)[ \t\n\r\f\x0B]+([A-Z][a-zA-Z \t\n\r\f\x0B&,;:\-]{2,80})$"
 MARKED_AT_ALL = r"^#{1,6}[ \t\n\r\f\x0B]+"
 NUMBERED_AT_ALL = r"^[0-9]+(?:\.[0-9]+)*\.?[ \t\n\r\f\x0B]+[A-Z]"
 NAMED = r"(?i)^(?:abstract|introduction|method|methods|methodology|results?|discussion|conclusion|related work|references|background|experiments?|evaluation|appendix|preliminaries|setup)(?:[^A-Za-z0-9_]|$)"
@@ -99,6 +100,44 @@ def markdown_sections(text: Column) -> Column:
     return let(F.transform(lines_of(F.coalesce(text, F.lit(""))), lambda line: F.regexp_replace(line, r"\r$", "")), lambda lines: let(heads(lines, of), lambda found: following(lines, found)))
 
 
+def strict_heading(bare: Column) -> Column:
+    """A heading of a PDF's text: numbered or in capitals, and nothing that belongs to code, citations or page marks."""
+    odd = bare.rlike(r"[{}()<>=;+]") | bare.rlike(rf"{SPACE}v\.{SPACE}") | bare.rlike(rf"Ibid|p\.{SPACE}*[0-9]") | bare.rlike("^[0-9]{1,4}$") | bare.rlike(rf"(?i)^page{SPACE}+[0-9]") | bare.rlike("[;,]$")
+    numbered = bare.rlike(rf"^[0-9]+(?:\.[0-9]+)*{SPACE}")
+    capitals = bare.rlike(CAPITALS) & (F.length(bare) < 60)
+    return F.length(bare).between(3, 100) & ~odd & (~bare.rlike("[0-9]") | numbered) & (bare.rlike(rf"^[0-9]+(?:\.[0-9]+)*{SPACE}+[A-Z]") | capitals)
+
+
+def pdf_sections(text: Column, opening_of: int = 200, words: int = 100) -> Column:
+    """heading, level and text of a PDF's text by strict headings; openings over ``opening_of`` characters first, parts under ``words`` words joined to the one before."""
+
+    def heading(line: Column, i: Column) -> tuple[Column, Column]:
+        marked = F.startswith(line, F.lit("## "))
+        usable = F.length(line).between(3, 120) & ~line.rlike("[{}()<>]") & ~line.rlike("^[0-9]{1,4}$") & ~line.rlike(rf"(?i)^page{SPACE}+[0-9]")
+        told = trimmed(F.when(marked, F.substring(line, F.lit(4), F.length(line))).when(usable & line.rlike(PDF_NUMBERED), F.regexp_extract(line, PDF_NUMBERED, 2)).when(usable & line.rlike(CAPITALS), line))
+        number = F.regexp_extract(line, PDF_NUMBERED, 1)
+        return F.when(strict_heading(told), told), F.when(marked | (number == ""), 1).otherwise(F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
+
+    def joined(parts: Column) -> Column:
+        """Small parts with a heading go to the one before, heading and all."""
+
+        def step(done: Column, part: Column) -> Column:
+            small = part["heading"].isNotNull() & (F.size(words_of(part["text"])) < words) & (F.size(done) > 0)
+            last = F.element_at(done, -1)
+            whole = F.struct(last["heading"], last["level"], trimmed(F.concat_ws("\n", last["text"], part["heading"], part["text"])).alias("text")).cast(PART)
+            return F.when(small, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(whole))).otherwise(F.concat(done, F.array(part)))
+
+        return F.aggregate(parts, F.array().cast(PARTS), step)
+
+    def of(lines: Column, found: Column) -> Column:
+        opening = trimmed(F.array_join(F.slice(lines, F.lit(1), F.coalesce(F.get(found, F.lit(0))["at"], F.lit(0))), "\n"))
+        first = F.filter(F.array(opening), lambda x: F.length(x) > opening_of)
+        return joined(F.concat(unheaded(first), following(lines, found)))
+
+    bare = lambda lines: F.transform(lines, trimmed)
+    return let(F.filter(lines_of(F.coalesce(text, F.lit(""))), lambda x: ~trimmed(x).rlike(PAGE_MARK)), lambda lines: let(heads(bare(lines), heading), lambda found: of(lines, found)))
+
+
 def looks_like_heading(bare: Column) -> Column:
     """Marked, numbered, a usual name of a section, or in capitals; the line is trimmed already."""
     capitals = (F.upper(bare) == bare) & bare.rlike("[A-Z]") & F.length(bare).between(4, 60)

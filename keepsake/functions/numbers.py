@@ -49,3 +49,9 @@ def bytes_text(n: Column) -> Column:
 def compact(n: Column) -> Column:
     """950, 1.2K, 3.4M."""
     return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("K"))).otherwise(F.concat(F.format_string("%.1f", n / 1_000_000.0), F.lit("M")))
+
+
+def median_of(values: Column) -> Column:
+    """The middle of an array of numbers, of an even number the mean of the two; null for none."""
+    at = lambda x, i: F.get(x, F.call_function("div", i, F.lit(2)).cast("int"))
+    return F.transform(F.array(F.sort_array(values)), lambda x: (at(x, F.size(x) - 1) + at(x, F.size(x))) / 2)[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lines, text
+from ..functions.numbers import median_of
 from ..operators import segment
 from . import ingest
 from .catalog import BLANK, query, quoted, trimmed, words
@@ -96,6 +97,11 @@ def _(t):
     return t.documents.select("document_id", digest(rest).alias("digest"), (rest != F.col("content")).alias("cut"), lines.title_guess(F.col("content")).alias("title"))
 
 
+@query("median_line_length", "SELECT document_id, median(length(line)) AS median FROM (SELECT document_id, unnest(string_split(content, chr(10))) AS line FROM m_documents) GROUP BY document_id")
+def _(t):
+    return t.documents.select("document_id", median_of(F.transform(text.lines_of(F.col("content")), F.length)).alias("median"))
+
+
 def heading_sql(bare: str) -> str:
     return rf"({bare} <> '' AND length({bare}) <= 120 AND (regexp_matches({bare}, '^#{{1,6}}{BLANK}|^[0-9]+(\.[0-9]+)*\.?{BLANK}+[A-Z]') OR regexp_matches(lower({bare}), '^(abstract|introduction|method|methods|methodology|results?|discussion|conclusion|related work|references|background|experiments?|evaluation|appendix|preliminaries|setup)([^a-z0-9_]|$)') OR (upper({bare}) = {bare} AND regexp_matches({bare}, '[A-Z]') AND length({bare}) BETWEEN 4 AND 60)))"
 

@@ -9,7 +9,6 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lines import PARTS, markdown_sections, text_sections, without_back_matter
-from ..functions.text import clean_document, clean_text, strip_html, tidy_white_space
+from ..functions.lines import PARTS, joined_lines, markdown_sections, pdf_sections, text_sections, without_back_matter
+from ..functions.text import clean_document, clean_text, dehyphenated, plain_characters, strip_html, tidy_white_space, without_noise, without_repeated_lines
+from . import pdf
 
 FORMATS = {"txt": "text", "text": "text", "log": "text", "md": "markdown", "markdown": "markdown", "json": "json", "csv": "csv", "tsv": "csv", "yaml": "yaml", "yml": "yaml", "html": "html", "htm": "html", "docx": "docx", "pdf": "pdf"} | {x: "code" for x in ("py", "ts", "tsx", "js", "jsx", "java", "go", "rs", "cpp", "c", "h", "rb", "php", "swift", "kt", "scala", "sh", "bash", "sql")}
 
@@ -136,22 +136,12 @@ def html_sections(html: str) -> list[dict]:
 CUTTERS = {"json": json_sections, "csv": csv_sections, "yaml": yaml_sections, "code": code_sections, "html": html_sections}
 
 
-def pdf_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Text layers by a PDF library, if one is installed; else the text is empty and the error says so."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        PdfReader = None  # noqa: N806
-    for rows in batches:
-        texts, errors = [], []
-        for content in rows["content"]:
-            try:
-                texts.append("\n".join(p.extract_text() for p in PdfReader(io.BytesIO(content)).pages) if PdfReader else "")
-                errors.append(None if PdfReader else "no PDF library is installed")
-            except Exception as e:  # noqa: BLE001  a broken file is a row with its error
-                texts.append("")
-                errors.append(str(e)[:200])
-        yield pd.DataFrame({"path": rows["path"], "text": texts, "error": errors})
+def pdf_documents(files: DataFrame, shortest: int = 10) -> DataFrame:
+    """path, format, text and error of PDF files: their text layers without noise, broken lines and back matter. A file of fewer characters has no text and says so."""
+    told = dehyphenated(without_noise(without_repeated_lines(plain_characters(F.col("text")))))
+    clean = without_back_matter(tidy_white_space(joined_lines(told)))
+    rows = pdf.texts(files).select("path", F.lit("pdf").alias("format"), clean.alias("text"), "error")
+    return rows.withColumn("error", F.coalesce("error", F.when(F.length("text") < shortest, F.lit("the file contains no extractable text"))))
 
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -165,8 +155,8 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> D
 
     plain = files.filter("format not in ('pdf', 'docx')").select("path", "format", tidy_white_space(decoded(F.col("content"))).alias("text"), F.lit(None).cast("string").alias("error"))
     docx = files.filter("format = 'docx'").select("path", "format", clean_text(from_docx("content")).alias("text"), F.lit(None).cast("string").alias("error"))
-    pdf = files.filter("format = 'pdf'").select("path", "content").mapInPandas(pdf_texts, "path string, text string, error string").select("path", F.lit("pdf").alias("format"), without_back_matter(clean_text(F.col("text"))).alias("text"), "error")
-    return plain.unionByName(docx).unionByName(pdf)
+    of_pdf = pdf_documents(files.filter("format = 'pdf'").select("path", "content"))
+    return plain.unionByName(docx).unionByName(of_pdf)
 
 
 def parsed(documents: DataFrame) -> DataFrame:
@@ -179,7 +169,7 @@ def parsed(documents: DataFrame) -> DataFrame:
         return pd.Series([CUTTERS[k](t or "") if k in CUTTERS else None for k, t in zip(kinds, texts, strict=True)])
 
     cut = cut_by_format(F.when(outside, kind), F.when(outside, text))
-    sections = F.when(kind == "markdown", markdown_sections(text)).when(~outside, text_sections(text)).otherwise(cut)
+    sections = F.when(kind == "markdown", markdown_sections(text)).when(kind == "pdf", pdf_sections(text)).when(~outside, text_sections(text)).otherwise(cut)
     bare = F.when(kind == "html", strip_html(text)).when(kind == "markdown", clean_document(text, True)).otherwise(text)
     return documents.withColumn("sections", sections).withColumn("text", bare)
 

@@ -1,7 +1,7 @@
 """Changes to tables as new tables: upserts, partial updates, deletes with what depends on them.
 
 There is no table format with a MERGE here, so a change is a join of the old rows and the incoming ones that gives the
-new table; the caller writes it beside the old and swaps. Incoming rows are made unique by key first, so the join is one
+new ones; ``Store.change`` runs it over the parts of a table that the incoming keys fall into. Incoming rows are made unique by key first, so the join is one
 to one however often a batch repeats a key."""
 
 from __future__ import annotations
@@ -20,6 +20,11 @@ def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def replaced_by(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` in place of those with their keys; the others stay."""
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
 def best_concepts(concepts: DataFrame, keys: list[str]) -> DataFrame:
     """Of repeated keys the most important, then the longest definition, then the first."""
     return first_of(concepts, keys, F.desc("importance"), F.desc(F.length("definition")), F.col("ordinal"))

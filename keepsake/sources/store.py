@@ -1,4 +1,4 @@
-"""Tables as snapshots in a folder that Spark reaches: append, replace by a swap of folders, list, move, delete; sealed files; model functions."""
+"""Tables as snapshots in a folder that Spark reaches: append, replace by a swap of folders, change in the parts that are touched, list, move, delete; sealed files; model functions."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.text import title_of, words_of
 
 
+#: Parts of a table that is laid out by key, unless it says otherwise.
+PARTS = 64
+
+
 class Store:
     """Named Parquet tables below a folder; every access is by Spark or its file system, so the folder may be remote."""
 
@@ -46,6 +50,34 @@ class Store:
         if had:
             self.delete(old)
 
+    def change(self, name: str, changes: DataFrame, key: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], parts: int = PARTS, removes: bool = False) -> list[int]:
+        """Merges changes into a table that lies in parts by a hash of ``key``, and writes only the parts they touch, which are returned.
+
+        ``merge`` gets the old rows of those parts and the changes, and gives their new rows; it must give the same again
+        if the changes are in already, as a run that was broken off between two parts is repeated. ``removes``: it may
+        leave a part without rows. The table is laid out by its first change."""
+        column = next((n.partition("=")[0] for n, _ in self.names(name) if n.startswith("part_of_")), f"part_of_{parts}")
+        of = F.pmod(F.xxhash64(*key), F.lit(int(column.removeprefix("part_of_")))).cast("int")
+        touched = sorted(r[0] for r in changes.select(of.alias(column)).distinct().collect())  # as many as the table has parts, at most
+        old = self.read(name).filter(F.col(column).isin(touched)) if self.exists(name) else None
+        new = (merge(old.drop(column), changes) if old is not None else merge(changes.limit(0), changes)).withColumn(column, of)
+        left = {r[0] for r in new.select(column).distinct().collect()} if removes else set(touched)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(f"{self.folder}/{name}")
+        for part in set(touched) - left:
+            self.delete(f"{name}/{column}={part}")
+        return touched
+
+    def read_parts(self, name: str, key: list[str], values: DataFrame) -> DataFrame:
+        """Of a table laid out by ``key``: the rows of some keys, read from their parts only."""
+        column = next(n.partition("=")[0] for n, _ in self.names(name) if n.startswith("part_of_"))
+        of = F.pmod(F.xxhash64(*key), F.lit(int(column.removeprefix("part_of_")))).cast("int")
+        touched = [r[0] for r in values.select(of.alias("part")).distinct().collect()]
+        return self.read(name).filter(F.col(column).isin(touched)).drop(column).join(values.select(*key).distinct(), key, "left_semi")
+
+    def names(self, name: str) -> list[tuple[str, bool]]:
+        """What a table's folder holds, and whether it is a folder."""
+        return [(s.getPath().getName(), s.isDirectory()) for s in self.files.listStatus(self.path(name))] if self.exists(name) else []
+
     def move(self, name: str, to: str) -> None:
         if not self.files.rename(self.path(name), self.path(to)):
             raise OSError(f"{name} could not be moved to {to}")

@@ -1,13 +1,156 @@
-"""The ingestion queue as a stream of job files, each micro-batch a batch of jobs."""
+"""The ingestion queue: jobs as state machines over their events, with leases that run out; as a stream and over a table.
+
+A job is queued, then picked by a worker, parsed and extracted, and ends complete or failed. Each sign of its worker renews
+the lease; a job whose lease runs out is queued again, and fails when it has been picked ``MOST_ATTEMPTS`` times. Signs of
+a worker that doesn't hold the job, and claims of a job that isn't queued, change nothing, so events may come twice."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.lifecycle import PROGRESS
+from ..operators.merge import replaced_by
 
 JOB_SCHEMA = "job_id long, user_id long, status string, started_at timestamp"
+EVENTS = "job_id long, kind string, worker string, at timestamp, message string"
+TRANSITIONS = "job_id long, status string, stage string, progress int, attempt int, worker string, at timestamp, message string"
+STATE = "stage string, attempt int, worker string, deadline long"
+PENDING = "at long, kind string, worker string, message string"
+LEASE_SECONDS, MOST_ATTEMPTS = 300, 3
+#: The kinds of events, in the order in which those of one moment count.
+KINDS = ("queued", "claim", "parsing", "extracting", "complete", "failed")
+#: The state store that keyed processors need.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+State = tuple  # stage, attempt, worker, deadline in microseconds
+Event = tuple  # at in microseconds, kind, worker, message
+NEW: State = (None, 0, None, None)
+
+
+def running(state: State) -> bool:
+    return state[0] in ("picked", "parsing", "extracting")
+
+
+def moved(state: State, event: Event, lease: int) -> State | None:
+    """The state after an event; None if the event changes nothing."""
+    (stage, attempt, holder, _), (at, kind, worker, _) = state, event
+    if kind == "queued":
+        return ("queued", 0, None, None) if stage is None else None
+    if kind == "claim":
+        return ("picked", attempt + 1, worker, at + lease) if stage == "queued" else None
+    if not running(state) or worker != holder or kind not in KINDS:
+        return None
+    return (kind, attempt, holder, None if kind in ("complete", "failed") else at + lease)
+
+
+def expired(state: State, most: int) -> State:
+    return ("failed" if state[1] >= most else "queued", state[1], None, None)
+
+
+def settled(state: State, events: list[Event], until: int, lease: int, most: int) -> Iterator[tuple[State, int, str | None]]:
+    """States with their moment and message, as events and leases up to ``until`` bring them about; events are in order."""
+    for event in [*events, None]:
+        while running(state) and state[3] < (event[0] if event else until + 1):
+            at, state = state[3], expired(state, most)
+            yield state, at, "the lease ran out"
+        if event and (following := moved(state, event, lease)):
+            state = following
+            yield state, event[0], event[3]
+
+
+def in_order(events) -> list[Event]:
+    return sorted(set(events), key=lambda e: (e[0], KINDS.index(e[1]) if e[1] in KINDS else len(KINDS), e[2] or "", e[3] or ""))
+
+
+def status_of(stage: str) -> str:
+    return stage if stage in ("queued", "complete", "failed") else "processing"
+
+
+def micros(at: datetime) -> int:
+    """Of a time as Spark gives it to Python, without a zone."""
+    moment = at.astimezone(timezone.utc) if at.tzinfo is None else at
+    return round(moment.timestamp() * 1_000_000)
+
+
+class JobMachine(StatefulProcessor):
+    """Keeps a job's events until the watermark has passed them, so that they count in their order however they arrive; timers end leases."""
+
+    def __init__(self, lease: int, most: int):
+        self.lease, self.most = lease, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state, self.pending = handle.getValueState("state", STATE), handle.getListState("pending", PENDING)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        for r in rows:
+            at = micros(r["at"])
+            self.pending.appendValue((at, r["kind"], r["worker"], r["message"]))
+            self.handle.registerTimer(-(-at // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        until = timerValues.getCurrentWatermarkInMs() * 1000  # a timer that is set from here fires with a later batch
+        waiting = [tuple(e) for e in self.pending.get()]
+        state = tuple(self.state.get()) if self.state.exists() else NEW
+        for state, at, message in settled(state, in_order(e for e in waiting if e[0] <= until), until, self.lease, self.most):
+            yield Row(job_id=key[0], status=status_of(state[0]), stage=state[0], progress=PROGRESS[state[0]], attempt=state[1], worker=state[2], at=datetime.fromtimestamp(at / 1_000_000, tz=timezone.utc), message=message)
+        later = [e for e in waiting if e[0] > until]
+        if later:
+            self.pending.put(later)
+        else:
+            self.pending.clear()
+        if state[0]:
+            self.state.update(state)
+        if running(state):
+            self.handle.registerTimer(-(-state[3] // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def transitions(events: DataFrame, late: str = "1 minute", lease_seconds: int = LEASE_SECONDS, most: int = MOST_ATTEMPTS) -> DataFrame:
+    """Of a stream of EVENTS: TRANSITIONS, once the watermark has passed them; events later than ``late`` are left out. The session's state store must be PROVIDER."""
+    rows = events.select(*(c.split()[0] for c in EVENTS.split(", "))).withWatermark("at", late)
+    return rows.groupBy("job_id").transformWithState(JobMachine(lease_seconds * 1_000_000, most), TRANSITIONS, "Append", "EventTime")
+
+
+def replayed(events: DataFrame, until: datetime, lease_seconds: int = LEASE_SECONDS, most: int = MOST_ATTEMPTS) -> DataFrame:
+    """The same over a table: TRANSITIONS up to a moment. A job's events meet in one task; there are few of them, whatever the number of jobs."""
+    end, lease = micros(until), lease_seconds * 1_000_000
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        given = in_order((int(a), k, w, m) for a, k, w, m in zip(rows["at"], rows["kind"], rows["worker"].astype(object).where(rows["worker"].notna(), None), rows["message"].astype(object).where(rows["message"].notna(), None), strict=True) if a <= end)
+        out = [(key[0], status_of(s[0]), s[0], PROGRESS[s[0]], s[1], s[2], at, m) for s, at, m in settled(NEW, given, end, lease, most)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
+
+    rows = events.select("job_id", "kind", "worker", F.unix_micros(F.col("at")).alias("at"), "message")
+    found = rows.groupBy("job_id").applyInPandas(run, TRANSITIONS.replace("at timestamp", "at long"))
+    return found.withColumn("at", F.timestamp_micros("at"))
+
+
+def current(changes: DataFrame) -> DataFrame:
+    """The last of TRANSITIONS of each job."""
+    order = F.struct("at", "attempt", progress_of(F.col("stage")), "stage")
+    return changes.groupBy("job_id").agg(*(F.max_by(c, order).alias(c) for c in ("status", "stage", "progress", "attempt", "worker", "at")))
+
+
+def progress_of(stage: Column) -> Column:
+    """Where a stage stands among those of one moment: a lease that ran out comes before a new claim."""
+    return F.array_position(F.array(*map(F.lit, ("queued", "picked", "parsing", "extracting", "complete", "failed"))), stage)
+
+
+def claims(states: DataFrame, workers: list[str], as_of: datetime) -> DataFrame:
+    """Claim events for the oldest queued jobs, one a worker, in the workers' order."""
+    oldest = states.filter("status = 'queued'").orderBy("at", "job_id").limit(len(workers))
+    place = F.row_number().over(Window.orderBy("at", "job_id"))  # no more rows than workers
+    return oldest.select("job_id", F.lit("claim").alias("kind"), F.element_at(F.array(*map(F.lit, workers)), place).alias("worker"), F.lit(as_of).alias("at"), F.lit(None).cast("string").alias("message"))
 
 
 def queue(spark: SparkSession, path: str, files_a_batch: int = 10) -> DataFrame:
@@ -16,14 +159,12 @@ def queue(spark: SparkSession, path: str, files_a_batch: int = 10) -> DataFrame:
 
 
 def worked(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], store, name: str = "job_states"):
-    """For each micro-batch: does the work and records each job's last state. A batch that is run again is recorded once.
+    """For each micro-batch: does the work and records each job's last state, writing only the parts of the table that hold its jobs. A batch that is run again is recorded once.
 
     ``work`` gives job_id and succeeded."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         done = work(batch).select("job_id", F.when(F.col("succeeded"), "complete").otherwise("failed").alias("stage"), F.lit(epoch).alias("epoch"))
-        if store.exists(name):
-            done = store.read(name).join(done.select("job_id"), "job_id", "left_anti").unionByName(done)
-        store.replace(name, done)
+        store.change(name, done, ["job_id"], lambda old, new: replaced_by(old, new, ["job_id"]))
 
     return jobs.writeStream.foreachBatch(run)

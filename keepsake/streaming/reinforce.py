@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.merge import replaced_by
+
 START, RETAIN, BOOST = 0.5, 0.7, 0.3
 REINFORCED = "bucket_id long, strength double, access_count long, last_accessed timestamp"
 STATE = "strength double, access_count long, last_accessed timestamp"
@@ -55,12 +57,10 @@ def reinforced_batch(accesses: DataFrame, buckets: DataFrame | None = None, star
 
 
 def merge_batch(store, name: str):
-    """For foreachBatch: writes each micro-batch's states over the stored ones; the same batch twice changes nothing."""
+    """For foreachBatch: merges each micro-batch's states into the stored ones, in the parts that hold them; the same batch twice changes nothing."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         newest = batch.groupBy("bucket_id").agg(*(F.max_by(c, "access_count").alias(c) for c in ("strength", "access_count", "last_accessed")))
-        if store.exists(name):
-            newest = store.read(name).join(newest.select("bucket_id"), "bucket_id", "left_anti").unionByName(newest)
-        store.replace(name, newest)
+        store.change(name, newest, ["bucket_id"], lambda old, new: replaced_by(old, new, ["bucket_id"]))
 
     return run

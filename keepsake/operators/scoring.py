@@ -86,13 +86,13 @@ def budget_of(specificity: Column, candidates: Column, most: int = MAX_MEMORIES)
     return F.when(candidates == 0, 0).otherwise(F.greatest(F.lit(1), F.least(asked, candidates))).cast("int")
 
 
-def within_budget(ranked: DataFrame, per: str = "question_id", share: float = SOURCE_SHARE, least: float = MIN_RELEVANCE) -> DataFrame:
+def within_budget(ranked: DataFrame, per: str = "question_id", share: float = SOURCE_SHARE, least: float = MIN_RELEVANCE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Greedy choice in order of relevance: too little relevance is passed over, and so is a source that has its share once three are chosen. If all chosen are of one type, the last gives way to the best of another type that was left.
 
-    The candidates of a question (80 at most) are folded in one array expression."""
-    item = F.struct(F.col("relevance"), F.col("bucket_id"), F.col("concept_type"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    The candidates of a question (80 at most) are folded in one array expression; columns of ``carry`` go along."""
+    item = F.struct(F.col("relevance"), F.col("bucket_id"), F.col("concept_type"), F.coalesce("source", F.lit("unknown")).alias("source"), *carry)
     grouped = ranked.groupBy(per, "budget").agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["relevance"] > b["relevance"], -1).when(a["relevance"] < b["relevance"], 1).when(a["bucket_id"] < b["bucket_id"], -1).otherwise(1)).alias("items"))
-    kind = "array<struct<relevance:double,bucket_id:bigint,concept_type:string,source:string>>"
+    kind = grouped.schema["items"].dataType
     limit = F.ceil(F.col("budget") * share)
 
     def step(chosen: Column, x: Column) -> Column:

@@ -231,18 +231,18 @@ JOB_EVENTS = (
 
 def job_events_sql(table: str) -> str:
     """The events as SQL for both engines; an end comes 100 to 460 seconds after the start, so that some leases of 300 run out before it."""
-    one = lambda kind, seconds, worker, holds: f"SELECT job_id, '{kind}' AS kind, {'concat(' + repr('w') + ', CAST(job_id % 4 AS STRING))' if worker == 'first' else 'CAST(NULL AS STRING)' if worker is None else repr(worker)} AS worker, started_at + {'(100 + job_id % 7 * 60)' if seconds is None else seconds} * INTERVAL '1' SECOND AS at FROM {table} WHERE {holds}"
+    one = lambda kind, seconds, worker, holds: f"SELECT job_id, '{kind}' AS kind, {'concat(' + repr('w') + ', CAST(job_id % 4 AS STRING))' if worker == 'first' else 'CAST(NULL AS STRING)' if worker is None else repr(worker)} AS worker, started_at + {'(100 + job_id % 7 * 60)' if seconds is None else seconds} * INTERVAL '1' SECOND AS moment FROM {table} WHERE {holds}"
     return " UNION ALL ".join(one(*e) for e in JOB_EVENTS)
 
 
 JOB_REPLAY = f"""
-WITH RECURSIVE jobs AS (SELECT * FROM m_jobs), event AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at, list_position(['queued', 'claim', 'parsing', 'extracting', 'complete', 'failed'], kind), worker) AS n FROM ({job_events_sql('jobs')})),
+WITH RECURSIVE jobs AS (SELECT * FROM m_jobs), event AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY moment, list_position(['queued', 'claim', 'parsing', 'extracting', 'complete', 'failed'], kind), worker) AS n FROM ({job_events_sql('jobs')})),
 fold(job_id, n, stage, attempt, worker, deadline, moves) AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT), 'none', 0, CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), 0 FROM event
-  UNION ALL SELECT job_id, n, CASE WHEN NOT hit THEN stage WHEN kind = 'claim' THEN 'picked' ELSE kind END, CASE WHEN hit AND kind = 'claim' THEN attempt + 1 ELSE attempt END, CASE WHEN hit AND kind = 'claim' THEN by ELSE worker END,
-    CASE WHEN NOT hit THEN deadline WHEN kind IN ('claim', 'parsing', 'extracting') THEN at + INTERVAL '300' SECOND END, moves + CAST(hit AS INT)
-  FROM (SELECT *, (kind = 'queued' AND stage = 'none') OR (kind = 'claim' AND stage = 'queued') OR (kind NOT IN ('queued', 'claim') AND stage IN ('picked', 'parsing', 'extracting') AND worker = by) AS hit
-    FROM (SELECT f.job_id, e.n, e.kind, e.worker AS by, e.at, f.attempt, CASE WHEN NOT lost THEN f.stage WHEN f.attempt >= 3 THEN 'failed' ELSE 'queued' END AS stage, CASE WHEN NOT lost THEN f.worker END AS worker, CASE WHEN NOT lost THEN f.deadline END AS deadline, f.moves + CAST(lost AS INT) AS moves
-      FROM (SELECT f.*, e.at AS next_at, coalesce(f.deadline < e.at, false) AS lost FROM fold f JOIN event e ON f.job_id = e.job_id AND e.n = f.n + 1) f JOIN event e ON f.job_id = e.job_id AND e.n = f.n + 1))),
+  UNION ALL SELECT job_id, n, CASE WHEN NOT hit THEN stage WHEN kind = 'claim' THEN 'picked' ELSE kind END, CASE WHEN hit AND kind = 'claim' THEN attempt + 1 ELSE attempt END, CASE WHEN hit AND kind = 'claim' THEN sender ELSE worker END,
+    CASE WHEN NOT hit THEN deadline WHEN kind IN ('claim', 'parsing', 'extracting') THEN moment + INTERVAL '300' SECOND END, moves + CAST(hit AS INT)
+  FROM (SELECT *, (kind = 'queued' AND stage = 'none') OR (kind = 'claim' AND stage = 'queued') OR (kind NOT IN ('queued', 'claim') AND stage IN ('picked', 'parsing', 'extracting') AND worker = sender) AS hit
+    FROM (SELECT f.job_id, e.n, e.kind, e.worker AS sender, e.moment, f.attempt, CASE WHEN NOT lost THEN f.stage WHEN f.attempt >= 3 THEN 'failed' ELSE 'queued' END AS stage, CASE WHEN NOT lost THEN f.worker END AS worker, CASE WHEN NOT lost THEN f.deadline END AS deadline, f.moves + CAST(lost AS INT) AS moves
+      FROM (SELECT f.*, coalesce(f.deadline < e.moment, false) AS lost FROM fold f JOIN event e ON f.job_id = e.job_id AND e.n = f.n + 1) f JOIN event e ON f.job_id = e.job_id AND e.n = f.n + 1))),
 last AS (SELECT *, deadline IS NOT NULL AS lost FROM fold QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1),
 done AS (SELECT job_id, CASE WHEN NOT lost THEN stage WHEN attempt >= 3 THEN 'failed' ELSE 'queued' END AS stage, attempt, moves + CAST(lost AS INT) AS moves FROM last)
 SELECT job_id, stage AS status, stage, CASE stage WHEN 'queued' THEN 0 ELSE 100 END AS progress, attempt, CAST(moves AS BIGINT) AS moves FROM done"""
@@ -250,6 +250,6 @@ SELECT job_id, stage AS status, stage, CASE stage WHEN 'queued' THEN 0 ELSE 100
 
 @query("job_replay", JOB_REPLAY)
 def _(t):
-    events = t.spark.sql(job_events_sql("{given}"), given=t.jobs).withColumn("message", F.lit(None).cast("string"))
+    events = t.spark.sql(job_events_sql("{given}"), given=t.jobs).withColumnRenamed("moment", "at").withColumn("message", F.lit(None).cast("string"))
     moves = jobs.replayed(events, AS_OF)
     return jobs.current(moves).join(moves.groupBy("job_id").agg(F.count(F.lit(1)).alias("moves")), "job_id").select("job_id", "status", "stage", "progress", "attempt", "moves")

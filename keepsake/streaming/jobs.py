@@ -125,14 +125,17 @@ def replayed(events: DataFrame, until: datetime, lease_seconds: int = LEASE_SECO
     """The same over a table: TRANSITIONS up to a moment. A job's events meet in one task; there are few of them, whatever the number of jobs."""
     end, lease = micros(until), lease_seconds * 1_000_000
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        given = in_order((int(a), k, w, m) for a, k, w, m in zip(rows["at"], rows["kind"], rows["worker"].astype(object).where(rows["worker"].notna(), None), rows["message"].astype(object).where(rows["message"].notna(), None), strict=True) if a <= end)
-        out = [(key[0], status_of(s[0]), s[0], PROGRESS[s[0]], s[1], s[2], at, m) for s, at, m in settled(NEW, given, end, lease, most)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
-
-    rows = events.select("job_id", "kind", "worker", F.unix_micros(F.col("at")).alias("at"), "message")
-    found = rows.groupBy("job_id").applyInPandas(run, TRANSITIONS.replace("at timestamp", "at long"))
-    return found.withColumn("at", F.timestamp_micros("at"))
+    @F.pandas_udf("array<struct<stage:string,attempt:int,worker:string,at:long,message:string>>")
+    def run(jobs: pd.Series) -> pd.Series:
+        moves = lambda events: [(s[0], s[1], s[2], at, m) for s, at, m in settled(NEW, in_order((e["at"], e["kind"], e["worker"], e["message"]) for e in events if e["at"] <= end), end, lease, most)]
+        return jobs.map(moves)
+
+    events = events.select("job_id", F.struct(F.unix_micros(F.col("at")).alias("at"), "kind", "worker", "message").alias("e"))
+    found = events.groupBy("job_id").agg(F.collect_list("e").alias("e")).select("job_id", F.explode(run("e")).alias("m"))
+    stage = F.col("m.stage")
+    status = F.when(stage.isin("queued", "complete", "failed"), stage).otherwise("processing")
+    progress = F.create_map(*(F.lit(x) for pair in PROGRESS.items() for x in pair))[stage]
+    return found.select("job_id", status.alias("status"), stage.alias("stage"), progress.alias("progress"), "m.attempt", "m.worker", F.timestamp_micros("m.at").alias("at"), "m.message")
 
 
 def current(changes: DataFrame) -> DataFrame:

@@ -135,8 +135,10 @@ def test_approximate_neighbours_recall(t):
 
 
 def test_too_many_questions_are_refused(t):
-    with pytest.raises(ValueError, match="questions"):
-        retrieve.held(t.spark.range(5).withColumnRenamed("id", "question_id"), most=3)
+    asked = t.spark.range(5).select(F.col("id").alias("question_id"), F.lit(1).cast("long").alias("user_id"))
+    assert retrieve.held(asked, most=5).count() == 5
+    with pytest.raises(Exception, match="more than 3 questions"):
+        retrieve.held(asked, most=3).collect()
 
 
 def test_entry(spark):

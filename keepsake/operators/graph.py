@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import unit
+from ..settle import settled
 
 
 def halves(edges: DataFrame) -> DataFrame:
@@ -43,14 +44,17 @@ def expand(edges: DataFrame, seeds: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_hop: int = 100) -> DataFrame:
-    """bucket_id and hop: breadth first, at most ``per_hop`` new memories a hop, the best edges first."""
-    both = halves(edges)
-    seen = seeds.select("bucket_id").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+    """bucket_id and hop: breadth first, at most ``per_hop`` new memories a hop, the best edges first.
+
+    What a hop has seen is written before the next one starts (``per_hop`` rows a hop and the seeds), so a hop's plan is
+    the same whatever its depth, and edges are joined to few rows."""
+    both = halves(edges).select("bucket_id", "other_id", "confidence")
+    seen = settled(seeds.select("bucket_id").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
-        near = both.join(frontier.select("bucket_id"), "bucket_id", "left_semi").groupBy(F.col("other_id").alias("bucket_id")).agg(F.max("confidence").alias("c"))
-        frontier = near.join(seen.select("bucket_id"), "bucket_id", "left_anti").orderBy(F.desc("c"), "bucket_id").limit(per_hop).select("bucket_id", F.lit(hop).alias("hop"))
-        seen = seen.unionByName(frontier)
+        last = seen.filter(F.col("hop") == hop - 1).select("bucket_id")
+        near = both.join(last, "bucket_id", "left_semi").groupBy(F.col("other_id").alias("bucket_id")).agg(F.max("confidence").alias("c"))
+        fresh = near.join(seen.select("bucket_id"), "bucket_id", "left_anti").orderBy(F.desc("c"), "bucket_id").limit(per_hop)
+        seen = settled(seen.unionByName(fresh.select("bucket_id", F.lit(hop).alias("hop"))))
     return seen
 
 

@@ -163,7 +163,11 @@ def _(t):
     return merge.boosted(t.buckets, lifecycle.critical(t.buckets, AS_OF)).select("bucket_id", "strength")
 
 
-@query("reminder_suppression")
+@query("reminder_suppression", """
+WITH RECURSIVE moment AS MATERIALIZED (SELECT user_id, ts, min(bucket_id) AS bucket_id FROM m_access GROUP BY user_id, ts),
+sent(user_id, ts) AS (SELECT user_id, min(ts) FROM moment GROUP BY user_id
+  UNION ALL SELECT s.user_id, (SELECT min(m.ts) FROM moment m WHERE m.user_id = s.user_id AND m.ts > s.ts + INTERVAL '24' HOUR) FROM sent s WHERE s.ts IS NOT NULL)
+SELECT m.user_id, m.bucket_id, epoch_us(m.ts) // 1000000 AS ts FROM sent s JOIN moment m ON s.user_id = m.user_id AND s.ts = m.ts""")
 def _(t):
     return reminders.reminded_batch(t.access, 24).select("user_id", "bucket_id", F.unix_timestamp("ts").alias("ts"))
 

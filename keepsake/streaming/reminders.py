@@ -6,9 +6,12 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..settle import settled
+
 SENT = "user_id long, bucket_id long, ts timestamp"
 
 
@@ -32,20 +35,38 @@ def reminded(crossings: DataFrame, hours: int = 24, late: str = "1 hour") -> Dat
     return crossings.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(suppressed(hours), SENT, "last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
+def following(moments: DataFrame, hours: int) -> DataFrame:
+    """user_id, at and next: the tenant's first moment more than so many hours later, null if there is none.
+
+    Time is cut into spans of those hours. A moment's successor lies in the next span, or else is the first of the first
+    later span that has any: so what is sorted together are the moments of one tenant and two spans, not a whole tenant."""
+    span = hours * 3_600_000_000
+    known = moments.select("user_id", "at", F.floor(F.col("at") / span).alias("span"))
+    asked = known.select("user_id", (F.col("span") + 1).alias("span"), (F.col("at") + span).alias("moment"), F.lit(1).alias("asks"), F.col("at").alias("of"))
+    there = known.select("user_id", "span", F.col("at").alias("moment"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("of"))
+    order = Window.partitionBy("user_id", "span").orderBy("moment", "asks")
+    later = F.min(F.when(F.col("asks") == 0, F.col("moment"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    near = asked.unionByName(there).withColumn("near", later).filter("asks = 1").select("user_id", F.col("of").alias("at"), "span", "near")
+    firsts = known.groupBy("user_id", "span").agg(F.min("at").alias("first"))
+    reached = near.select("user_id", "span").distinct().select("user_id", "span", F.lit(None).cast("long").alias("first"))
+    spans = firsts.unionByName(reached).groupBy("user_id", "span").agg(F.min("first").alias("first"))
+    beyond = F.min("first").over(Window.partitionBy("user_id").orderBy("span").rowsBetween(1, Window.unboundedFollowing))  # a row for each span of a tenant
+    return near.join(spans.select("user_id", "span", beyond.alias("beyond")), ["user_id", "span"]).select("user_id", "at", F.coalesce("near", "beyond").alias("next"))
+
+
 def reminded_batch(crossings: DataFrame, hours: int = 24) -> DataFrame:
-    """The same over a table: by tenant and in order of time, with one state a tenant carried from row to row."""
-    rows = crossings.select("user_id", "bucket_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "bucket_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, last = None, None
-        for batch in batches:
-            out = []
-            for u, b, ts in zip(batch["user_id"], batch["bucket_id"], batch["ts"], strict=True):
-                if u != user:
-                    user, last = u, None
-                if last is None or ts - last > timedelta(hours=hours):
-                    out.append((u, b, ts))
-                    last = ts
-            yield pd.DataFrame(out, columns=["user_id", "bucket_id", "ts"])
-
-    return rows.mapInPandas(run, SENT)
+    """The same over a table, without a walk along a tenant's rows: each moment points to the one that may follow it, and the first moments' ways are found by doubling the pointers.
+
+    Of rows of one moment the smallest bucket_id counts. Rounds are logarithmic in the number of reminders of a tenant."""
+    rows = crossings.filter("user_id IS NOT NULL AND ts IS NOT NULL").groupBy("user_id", F.unix_micros(F.col("ts")).alias("at")).agg(F.min("bucket_id").alias("bucket_id"))
+    moments = settled(rows)
+    jumps = settled(following(moments, hours).filter("next IS NOT NULL"))
+    reached = settled(moments.groupBy("user_id").agg(F.min("at").alias("at")))
+    while True:
+        more = reached.join(jumps, ["user_id", "at"]).select("user_id", F.col("next").alias("at"))
+        grown = settled(reached.unionByName(more).distinct())
+        if grown.count() == reached.count():
+            break
+        onward = jumps.select("user_id", F.col("at").alias("next"), F.col("next").alias("then"))
+        jumps, reached = settled(jumps.join(onward, ["user_id", "next"]).select("user_id", "at", F.col("then").alias("next"))), grown
+    return moments.join(reached, ["user_id", "at"], "left_semi").select("user_id", "bucket_id", F.timestamp_micros("at").alias("ts"))

@@ -108,28 +108,32 @@ LANGUAGE_WORDS = {
 }
 
 
-def detect_language(text: Column) -> Column:
-    """Most of its frequent words in the first 2,000 characters; the earlier language at a tie, English without any."""
-    words = F.array_distinct(F.split(F.lower(F.substring(text, 1, 2000)), rf"{SPACE}+"))
+def detect_language(text: Column, sample: int = 2000) -> Column:
+    """Most of its frequent words in the first ``sample`` characters; the earlier language at a tie, English without any."""
+    words = F.array_distinct(F.split(F.lower(F.substring(text, 1, sample)), rf"{SPACE}+"))
     scores = F.array(*(F.size(F.array_intersect(words, F.array(*map(F.lit, ws)))) for ws in LANGUAGE_WORDS.values()))
     return F.element_at(F.array(*map(F.lit, LANGUAGE_WORDS)), F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
+#: Patterns of which one shows that a text has such a part.
+STRUCTURE = {
+    "has_references": (r"(?im)(?:^|\n)\s*(?:references|bibliography|works\s+cited)\s*$",),
+    "has_formulas": (r"\$[^$]+\$", r"\\frac\{|\\sum\b|\\int\b", "[∑∏∫∂∇√∞≈≠≤≥±]"),
+    "has_code": (r"(?s)```.*?```", r"(?:^|\n)(?:def |class |import |from |function |const |let |var )"),
+    "has_tables": (r"\|[^|]+\|[^|]+\|", r"\t[^\t]+\t[^\t]+\t"),
+    "has_images": (r"(?i)fig(?:ure)?\.?\s*[0-9]+",),
+}
+NUMBERED_SECTION = r"(?m)^([0-9]+\.\s+[A-Z])"
+
+
 def structure_flags(text: Column) -> dict[str, Column]:
-    has = text.rlike
-    return {
-        "has_references": has(r"(?im)(?:^|\n)\s*(?:references|bibliography|works\s+cited)\s*$"),
-        "has_formulas": has(r"\$[^$]+\$") | has(r"\\frac\{|\\sum\b|\\int\b") | has("[∑∏∫∂∇√∞≈≠≤≥±]"),
-        "has_code": has(r"(?s)```.*?```") | has(r"(?:^|\n)(?:def |class |import |from |function |const |let |var )"),
-        "has_tables": has(r"\|[^|]+\|[^|]+\|") | has(r"\t[^\t]+\t[^\t]+\t"),
-        "has_images": has(r"(?i)fig(?:ure)?\.?\s*[0-9]+"),
-        "has_numbered_sections": F.size(F.regexp_extract_all(text, F.lit(r"(?m)^([0-9]+\.\s+[A-Z])"), F.lit(1))) >= 2,
-    }
+    flags = {name: reduce(Column.__or__, (text.rlike(p) for p in patterns)) for name, patterns in STRUCTURE.items()}
+    return flags | {"has_numbered_sections": F.size(F.regexp_extract_all(text, F.lit(NUMBERED_SECTION), F.lit(1))) >= 2}
 
 
 # ---------------------------------------------------------------- cleaning
 
-#: Markup of messages; links keep their words, images go.
+#: Markup of messages and what becomes of it; links keep their words, images go.
 MARKDOWN = [
     (r"(?s)```.*?```", " "),
     (r"`([^`\n]+)`", "$1"),
@@ -146,14 +150,47 @@ MARKDOWN = [
     (r"\n{3,}", "\n\n"),
     (r"[ \t]{2,}", " "),
 ]
+#: The same for documents, whose code keeps its body.
 DOCUMENT_MARKDOWN = [
     (r"(?s)```[A-Za-z0-9_]*\n?(.*?)```", "$1"),
-    *[s for s in MARKDOWN[1:8]],
+    (r"`([^`\n]+)`", "$1"),
+    (r"(?m)^#{1,6}[ \t]+", ""),
+    (r"\*{1,3}([^*]+)\*{1,3}", "$1"),
+    (r"_{1,3}([^_]+)_{1,3}", "$1"),
+    (r"!\[([^\]]*)\]\([^)]+\)", ""),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"(?m)^>[ \t]+", ""),
     (r"(?m)^[-*+][ \t]+", "  "),
     (r"(?m)^[0-9]+\.[ \t]+", "  "),
     (r"---+", ""),
     (r"\|", " "),
 ]
+#: Markup of HTML and what becomes of it.
+HTML = [
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)</p>", "\n\n"),
+    (r"(?i)</(div|li|tr)>", "\n"),
+    (r"(?i)</td>", " | "),
+    (r"<[^>]+>", ""),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&nbsp;", " "),
+    (r"\n{3,}", "\n\n"),
+]
+#: White space and what becomes of it.
+WHITE_SPACE = [
+    ("\r\n", "\n"),
+    ("[\r\f]", "\n"),
+    ("\u00a0", " "),
+    ("[\u200b\u200c\u200d\ufeff]", ""),
+    (r"[ \t]+(\n|$)", "$1"),
+    (r"\n{4,}", "\n\n"),
+    (" {2,}", " "),
+    (r"\t+", " "),
+]
 
 
 def tidy_lines(text: Column) -> Column:
@@ -171,7 +208,7 @@ def clean_document(text: Column, markdown: bool = False) -> Column:
 
 
 def strip_html(html: Column) -> Column:
-    return each(html, [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"(?i)</(div|li|tr)>", "\n"), (r"(?i)</td>", " | "), (r"<[^>]+>", ""), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), (r"\n{3,}", "\n\n")])
+    return each(html, HTML)
 
 
 #: Typographic characters and their plain forms.
@@ -197,7 +234,7 @@ def plain_characters(text: Column) -> Column:
 
 
 def tidy_white_space(text: Column) -> Column:
-    return trimmed(each(text, [("\r\n", "\n"), ("[\r\f]", "\n"), ("\u00a0", " "), ("[\u200b\u200c\u200d\ufeff]", ""), (r"[ \t]+(\n|$)", "$1"), (r"\n{4,}", "\n\n"), (" {2,}", " "), (r"\t+", " ")]))
+    return trimmed(each(text, WHITE_SPACE))
 
 
 def dehyphenated(text: Column) -> Column:

@@ -150,9 +150,13 @@ def _(t):
     return of_documents(t, domain=text.content_domain(body(), F.col("filename")), field=text.field_type(body(), F.col("filename")))
 
 
-@query("embedding_text_cut", "SELECT document_id, length(content) <= 200 AS whole FROM m_documents")
+CUT_SQL = """WITH h AS (SELECT document_id, content, substr(content, 1, 200) AS head, strpos(reverse(substr(content, 1, 200)), '.') AS dot, strpos(reverse(substr(content, 1, 200)), ' ') AS gap FROM m_documents)
+SELECT document_id, sha256(CASE WHEN length(content) <= 200 THEN content WHEN dot > 0 AND 201 - dot > 100 THEN substr(head, 1, 201 - dot) WHEN gap > 0 AND 201 - gap > 100 THEN substr(head, 1, 200 - gap) ELSE head END) AS digest FROM h"""
+
+
+@query("embedding_text_cut", CUT_SQL)
 def _(t):
-    return of_documents(t, whole=F.length(text.cut_at_boundary(body(), 200)) == F.length(body()))
+    return of_documents(t, digest=F.sha2(text.cut_at_boundary(body(), 200).cast("binary"), 256))
 
 
 @query("content_digest", "SELECT document_id, sha256(content) AS digest FROM m_documents")
@@ -195,8 +199,8 @@ def questions(t):
 
 @query("query_analysis")
 def _(t):
-    out = ask.analysed(questions(t))
-    return out.select("question_id", "is_chitchat", "intent", F.array_join("key_terms", "|").alias("key_terms"), F.array_join("expanded_terms", "|").alias("expanded_terms"), r4(F.col("specificity")).alias("specificity"), "is_abstract", "document_scoped", "is_archive_question", "domain", F.array_join("preferred_types", "|").alias("preferred_types"))
+    out = ask.analysed(t.messages.select("message_id", body().alias("text")))
+    return out.select("message_id", "is_chitchat", "intent", F.array_join("key_terms", "|").alias("key_terms"), F.array_join("expanded_terms", "|").alias("expanded_terms"), r4(F.col("specificity")).alias("specificity"), "is_abstract", "document_scoped", "is_archive_question", "domain", F.array_join("preferred_types", "|").alias("preferred_types"))
 
 
 def is_any(word: str, values) -> str:
@@ -204,7 +208,7 @@ def is_any(word: str, values) -> str:
 
 
 def chitchat(x: str) -> str:
-    return f"(length({trimmed(x)}) BETWEEN 1 AND 48 AND regexp_matches({trimmed(x)}, {quoted('(?i)^(?:' + '|'.join(f'(?:{p})' for p in ask.CHITCHAT) + r')\s*$')}))"
+    return f"(length({trimmed(x)}) BETWEEN 1 AND 48 AND {matches(trimmed(x), ask.CHITCHAT)})"
 
 
 TARGETS = ", ".join(f"CASE WHEN regexp_matches(content, {quoted(p)}) THEN [{', '.join(map(quoted, ts))}] ELSE [] END" for p, ts in ((ask.RESULTS_ASKED, ask.RESULT_TERMS), (ask.MAIN_ASKED, ask.MAIN_TERMS), (ask.PROBLEM_ASKED, ask.PROBLEM_TERMS)))
@@ -405,20 +409,20 @@ def _(t):
 
 
 def talk_sql() -> str:
-    x = trimmed("text")
-    rows = ", ".join(f"({i}, {quoted(q)})" for i, q in enumerate(QUESTIONS))
-    return f"SELECT CAST(question_id AS BIGINT) AS question_id, (length({x}) BETWEEN 1 AND 48 AND {matches(x, [ask.PLEASANTRY])}) OR (length({x}) BETWEEN 1 AND 60 AND {matches(x, [ask.ABOUT_ASSISTANT])}) AS small_talk, {chitchat('text')} AS chitchat FROM (VALUES {rows}) q(question_id, text)"
+    x = trimmed("content")
+    return f"SELECT message_id, (length({x}) BETWEEN 1 AND 48 AND {matches(x, [ask.PLEASANTRY])}) OR (length({x}) BETWEEN 1 AND 60 AND {matches(x, [ask.ABOUT_ASSISTANT])}) AS small_talk, {chitchat('content')} AS chitchat FROM m_messages"
 
 
 @query("small_talk", talk_sql())
 def _(t):
-    return questions(t).select("question_id", ask.is_small_talk(F.col("text")).alias("small_talk"), ask.is_chitchat(F.col("text")).alias("chitchat"))
+    return t.messages.select("message_id", ask.is_small_talk(body()).alias("small_talk"), ask.is_chitchat(body()).alias("chitchat"))
 
 
 @query("query_analysis_overlay")
 def _(t):
-    reply = F.when(F.col("question_id") % 2 == 0, '{"intent": "verify", "specificity": 0.9, "keyTerms": ["Alpha beta"], "preferredTypes": ["Code", "none"]}').otherwise("not json")
-    return ask.overlaid(ask.analysed(questions(t)).withColumn("reply", reply)).select("question_id", "intent", F.array_join("key_terms", "|").alias("key_terms"), r4(F.col("specificity")).alias("specificity"), F.array_join("preferred_types", "|").alias("preferred_types"))
+    reply = F.when(F.col("message_id") % 2 == 0, '{"intent": "verify", "specificity": 0.9, "keyTerms": ["Alpha beta"], "preferredTypes": ["Code", "none"]}').otherwise("not json")
+    out = ask.overlaid(ask.analysed(t.messages.select("message_id", body().alias("text"))).withColumn("reply", reply))
+    return out.select("message_id", "intent", F.array_join("key_terms", "|").alias("key_terms"), F.array_join("expanded_terms", "|").alias("expanded_terms"), r4(F.col("specificity")).alias("specificity"), F.array_join("preferred_types", "|").alias("preferred_types"), "is_abstract")
 
 
 @query("available_memories", f"{SCORED} SELECT question_id, bucket_id, CAST(rank - 6 AS INT) AS n FROM y WHERE rank BETWEEN 7 AND 14")

@@ -4,6 +4,7 @@ Patterns spell out ASCII classes, so that they mean the same in every regular ex
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -484,10 +485,31 @@ DOMAINS = {
 }
 
 
+def needles(pattern: str) -> list[str]:
+    """Plain lower-case pieces of which every match of the pattern has one: the longest of each of its alternatives."""
+    bare = re.sub(r"\(\?i\)|\\b", "", pattern)
+    inner = re.fullmatch(r"\(\?:(.*)\)", bare)
+    alternatives = re.split(r"\|(?![^(]*\))", inner[1] if inner and "(" not in re.sub(r"\(\?:[a-z]*\)", "", inner[1]) else bare)
+    pieces = lambda a: re.findall(r"[a-z]+", re.sub(r"\(\?:[^)]*\)\??|\[[^\]]*\][*+?]?|\\[a-z][*+?]?|.\?", " ", re.sub(r"[A-Z]", lambda c: c[0].lower(), a)))
+    inside = lambda a: re.search(r"\(\?:([^)]*)\)", a)[1].split("|")  # noqa: E731  of a pattern whose plain pieces are all in one group
+    return sorted({max(pieces(b), key=len) for a in alternatives for b in ([a] if pieces(a) else inside(a))})
+
+
+def may_match(lower: Column, pattern: str) -> Column:
+    """Whether a lower-cased text has any of the pattern's needles; a look for plain pieces costs a fraction of a pattern's."""
+    return reduce(Column.__or__, (F.contains(lower, F.lit(x)) for x in needles(pattern)))
+
+
+def found_in(text: Column, lower: Column, pattern: str) -> Column:
+    """``rlike`` behind the look for needles."""
+    return F.when(may_match(lower, pattern), text.rlike(pattern)).otherwise(False)
+
+
 def content_domain(text: Column, filename: Column, characters: int = 10_000) -> Column:
     """The domain with most matches in the first ``characters``, two at least; paper-like names add two to any that has some."""
     paper = F.lower(filename).rlike("paper|arxiv|proceedings")
-    hits = lambda sample: F.array(*(reduce(Column.__add__, (F.regexp_count(sample, F.lit(p)) for p in ps)) for ps in DOMAINS.values()))
+    count = lambda sample, p: F.when(may_match(sample, p), F.regexp_count(sample, F.lit(p))).otherwise(0)
+    hits = lambda sample: F.array(*(reduce(Column.__add__, (count(sample, p) for p in ps)) for ps in DOMAINS.values()))
     best = lambda s: F.when(F.array_max(s) >= 2, F.element_at(literals(DOMAINS), F.array_position(s, F.array_max(s)).cast("int"))).otherwise("general")
     # each pattern runs once a row: counts are bound before they are compared
     return let(F.substring(F.lower(text), 1, characters), lambda sample: let(F.transform(hits(sample), lambda h: F.when((h > 0) & paper, h + 2).otherwise(h)), best))
@@ -502,17 +524,19 @@ NARRATIVE_SIGNS = (r"\bI\s+(?:was|had|remember|recall|grew|lived|went|came|saw|f
 def field_type(text: Column, filename: Column, characters: int = 8000, told_in: int = 15_000) -> Column:
     """code, documentation, notes, research-paper, textbook, book, report or other; kinds of long documents by their first ``characters`` and, for telling, ``told_in``."""
     name = F.lower(filename)
-    count = lambda t, signs: reduce(Column.__add__, (t.rlike(s).cast("int") for s in signs))
     headed = text.rlike(r"(?m)^#\s+")
 
-    def found(lower: Column) -> Column:
-        references = lower.rlike(r"\b(?:references|bibliography)\b")
-        paper = name.rlike(r"[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?|arxiv") | (references & (lower.rlike(r"\b(introduction|method|methods|methodology|results|discussion|conclusion)\b") | lower.rlike(r"\babstract\b")))
-        return F.struct(paper.alias("paper"), lower.rlike(r"\b(chapter|unit)\s+[0-9]").alias("unit"), word_count(text).alias("words"), count(text, BOOK_SIGNS).alias("book"), count(text, TEXTBOOK_SIGNS).alias("textbook"), count(F.substring(text, 1, told_in), NARRATIVE_SIGNS).alias("told"))
+    def found(both: Column) -> Column:
+        whole, lower = both["whole"], both["lower"]
+        has = lambda p: found_in(lower, lower, p)
+        count = lambda t, signs: reduce(Column.__add__, (found_in(t, whole, s).cast("int") for s in signs))
+        references = has(r"\b(?:references|bibliography)\b")
+        paper = name.rlike(r"[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?|arxiv") | (references & (has(r"\b(?:introduction|method|methods|methodology|results|discussion|conclusion)\b") | has(r"\babstract\b")))
+        return F.struct(paper.alias("paper"), has(r"\b(?:chapter|unit)\s+[0-9]").alias("unit"), word_count(text).alias("words"), count(text, BOOK_SIGNS).alias("book"), count(text, TEXTBOOK_SIGNS).alias("textbook"), count(F.substring(text, 1, told_in), NARRATIVE_SIGNS).alias("told"))
 
     def kind(c: Column) -> Column:
         telling = (c["told"] >= 3) | ((c["told"] >= 2) & (c["book"] >= 2))
         return F.when(c["paper"], "research-paper").when(c["textbook"] >= 3, "textbook").when(telling | (c["book"] >= 2) | ((c["book"] >= 1) & (c["words"] > 10_000)), "book").when(c["unit"] & (c["textbook"] >= 1), "textbook").when(c["unit"] | (c["words"] > 20_000), "book").otherwise("report")
 
-    long = let(F.substring(F.lower(text), 1, characters), lambda lower: let(found(lower), kind))
+    long = let(F.lower(text), lambda whole: let(F.struct(whole.alias("whole"), F.substring(whole, 1, characters).alias("lower")), lambda both: let(found(both), kind)))
     return F.when(name.rlike(r"\.(py|ts|js|java|go|rs|cpp|c|rb|php|swift|kt|scala|sh|bash)$"), "code").when(name.rlike(r"\.(md|markdown)$"), F.when(headed, "documentation").otherwise("notes")).when(name.rlike(r"\.txt$"), F.when(headed, "notes").otherwise("other")).when(name.rlike(r"\.(pdf|docx)$"), long).otherwise("other")

@@ -1,8 +1,11 @@
 """Functions against literal values that follow from their definitions."""
 
 import math
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis.strategies import from_regex
 from pyspark.sql import functions as F
 
 from keepsake.functions import decay, numbers, query, text, vector
@@ -114,3 +117,19 @@ def test_sections():
     assert len(segment.merged_to_limit(many)) == 20
     assert segment.joined_lines("this goes\non here.\nNext") == "this goes on here.\nNext"
     assert [s["heading"] for s in segment.text_sections("1 First part\ntext\n1.1 Inner part\nmore")] == ["First part", "Inner part"]
+
+
+PATTERNS = [*(p for ps in text.DOMAINS.values() for p in ps), *text.BOOK_SIGNS, *text.TEXTBOOK_SIGNS, *text.NARRATIVE_SIGNS, r"\b(?:references|bibliography)\b", r"\b(?:chapter|unit)\s+[0-9]", r"\babstract\b", r"\b(?:introduction|method|methods|methodology|results|discussion|conclusion)\b"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_every_match_has_a_needle(pattern):
+    found = text.needles(pattern)
+    assert found and all(found)
+
+    @settings(max_examples=60, deadline=None)
+    @given(from_regex(re.compile(pattern, re.A)))
+    def holds(match):
+        assert any(x in match.lower() for x in found)
+
+    holds()

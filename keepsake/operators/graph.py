@@ -131,13 +131,15 @@ def connection_stats(edges: DataFrame, buckets: DataFrame, user_id: int, strong:
     return one.withColumn("score", unit(F.when(F.col("exact") > 0, F.greatest(raw, F.lit(0.35))).otherwise(raw)))
 
 
-def co_accessed(accesses: DataFrame) -> DataFrame:
-    """Unordered pairs of memories accessed in one group; ``accesses`` has group_id and bucket_id.
-
-    A group is one question's selection, which is bounded by its budget; larger groups are the caller's to split."""
-    a = accesses.select("group_id", F.col("bucket_id").alias("a")).distinct()
-    b = accesses.select("group_id", F.col("bucket_id").alias("b")).distinct()
-    return a.join(b, "group_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+def co_accessed(edges: DataFrame, accesses: DataFrame) -> DataFrame:
+    """a, b and times: the edges' unordered pairs whose both ends were accessed in one group; ``accesses`` has group_id and bucket_id.
+
+    Accesses are looked up for one end, then for the other, so a group's rows are never paired with each other: a busy
+    group costs its accesses times their edges."""
+    known = accesses.select("group_id", "bucket_id").distinct()
+    pairs = edges.select(F.least("source_bucket_id", "target_bucket_id").alias("a"), F.greatest("source_bucket_id", "target_bucket_id").alias("b")).filter("a < b").distinct()
+    first = pairs.join(known.withColumnRenamed("bucket_id", "a"), "a")
+    return first.join(known.withColumnRenamed("bucket_id", "b"), ["group_id", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
 
 
 def strengthened(edges: DataFrame, pairs: DataFrame, by: float = 0.05) -> DataFrame:

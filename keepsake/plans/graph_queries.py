@@ -75,7 +75,7 @@ WITH a AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS min
 SELECT e.source_bucket_id, e.target_bucket_id, e.relation_type, CAST(CASE WHEN p.x IS NULL THEN confidence ELSE least(1.0, confidence + 0.05) END AS DOUBLE) AS confidence FROM m_edges e LEFT JOIN p ON least(source_bucket_id, target_bucket_id) = p.x AND greatest(source_bucket_id, target_bucket_id) = p.y""")
 def _(t):
     groups = t.access.select(F.concat_ws(":", F.col("user_id").cast("string"), F.floor(F.unix_timestamp("ts") / 60).cast("string")).alias("group_id"), "bucket_id")
-    return graph.strengthened(t.edges, graph.co_accessed(groups)).select("source_bucket_id", "target_bucket_id", "relation_type", "confidence")
+    return graph.strengthened(t.edges, graph.co_accessed(t.edges, groups)).select("source_bucket_id", "target_bucket_id", "relation_type", "confidence")
 
 
 @query("connectivity_score", f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,7 +77,8 @@ class Store:
 
     def names(self, name: str) -> list[tuple[str, bool]]:
         """What a table's folder holds, and whether it is a folder."""
-        return [(s.getPath().getName(), s.isDirectory()) for s in self.files.listStatus(self.path(name))] if self.exists(name) else []
+        folder = self.path(name) if name else self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return [(s.getPath().getName(), s.isDirectory()) for s in self.files.listStatus(folder)] if self.files.exists(folder) else []
 
     def move(self, name: str, to: str) -> None:
         if not self.files.rename(self.path(name), self.path(to)):
@@ -90,6 +92,34 @@ class Store:
         found = [(s.getPath().getName(), self.files.getContentSummary(s.getPath()).getLength()) for s in self.files.listStatus(self.path(""))]
         return sorted(x for x in found if x[0].startswith(prefix))
 
+    def page(self, prefix: str = "", after: str = "", most: int = 1000) -> list[tuple[str, int]]:
+        """The first names after one, and their bytes: a listing in pages, however many names there are."""
+        names = sorted(n for n, _ in self.names("") if n.startswith(prefix) and n > after)[:most]
+        return [(n, self.files.getContentSummary(self.path(n)).getLength()) for n in names]
+
+    def head(self, name: str) -> tuple[int, datetime] | None:
+        """Bytes and time of the last change; None if there is no such name."""
+        if not self.exists(name):
+            return None
+        status = self.files.getFileStatus(self.path(name))
+        return self.files.getContentSummary(self.path(name)).getLength(), datetime.fromtimestamp(status.getModificationTime() / 1000, tz=timezone.utc)
+
+    def copy(self, name: str, to: str) -> None:
+        """Copies beside the target and moves it there, so a copy that is broken off leaves nothing under the name."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        part = f"{to}-new-{uuid.uuid4().hex}"
+        if not jvm.org.apache.hadoop.fs.FileUtil.copy(self.files, self.path(name), self.files, self.path(part), False, conf):
+            raise OSError(f"{name} could not be copied")
+        if self.exists(to):
+            self.delete(to)
+        self.move(part, to)
+
+    def delete_prefix(self, prefix: str) -> int:
+        """Deletes all names that begin so; how many there were. An empty prefix is refused."""
+        if not prefix:
+            raise ValueError("a prefix is needed")
+        return sum(self.delete(n) for n, _ in self.names("") if n.startswith(prefix))
+
     def usage(self) -> int:
         return sum(n for _, n in self.list())
 

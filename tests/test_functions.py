@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis.strategies import from_regex
 from pyspark.sql import functions as F
 
-from keepsake.functions import decay, numbers, query, text, vector
+from keepsake.functions import decay, lines, numbers, query, text, vector
 from keepsake.operators import segment
 
 
@@ -62,7 +62,7 @@ def test_lines(value):
     assert value(text.without_repeated_lines(F.lit(page))) == "body one\nbody two\nend"
     assert value(text.without_noise(F.lit("text stays\nhttps://x.org/a\n12 13 14 15 x\nDOI: 10.1/2\n\nmore"))) == "text stays\n\nmore"
     assert value(text.without_page_numbers(F.lit("a\n- 12 -\nPage 3 of 9\nb"))) == "a\nb"
-    assert value(text.without_back_matter(F.lit("a\nb\nc\nReferences\n[1] x"))) == "a\nb\nc"
+    assert value(lines.without_back_matter(F.lit("a\nb\nc\nReferences\n[1] x"))) == "a\nb\nc"
     assert value(text.dehyphenated(F.lit("inter-\nnational"))) == "international"
 
 
@@ -103,20 +103,21 @@ def test_vectors(value):
 
 def test_chunks_keep_all_words():
     body = "\n\n".join(" ".join(f"word{i}x{j}." for j in range(40)) for i in range(12))
-    out = segment.chunks(body)
+    cut = lambda text: [c[0] for c in segment.chunks(text)]
+    out = cut(body)
     assert " ".join(out).split() == body.split() and all(segment.tokens(c) <= 250 for c in out) and len(out) > 2
-    assert segment.chunks("") == [] and segment.chunks("one") == ["one"]
+    assert cut("") == [] and cut("one") == ["one"]
 
 
-def test_sections():
+def test_sections(spark, value):
     body = "# One\n" + "a b c. " * 800 + "\n# Two\n" + "d e f. " * 800
-    out = segment.sections(body)
-    assert [s["heading"] for s in out] == ["One", "Two"] and all(len(s["text"]) <= 9600 for s in out)
-    assert segment.sections("short") == [{"heading": None, "level": 0, "text": "short"}]
-    many = [{"heading": str(i), "level": 1, "text": "x" * 600} for i in range(30)]
-    assert len(segment.merged_to_limit(many)) == 20
-    assert segment.joined_lines("this goes\non here.\nNext") == "this goes on here.\nNext"
-    assert [s["heading"] for s in segment.text_sections("1 First part\ntext\n1.1 Inner part\nmore")] == ["First part", "Inner part"]
+    df = spark.createDataFrame([(1, body), (2, "short")], "id long, content string")
+    out = segment.sectioned(df).orderBy("id", "section_index").collect()
+    assert [r["heading"] for r in out if r["id"] == 1] == ["One", "Two"] and all(len(r["section"]) <= 9600 for r in out)
+    assert [(r["heading"], r["section"]) for r in out if r["id"] == 2] == [(None, "short")]
+    assert len(segment.merged_to_limit([600] * 30, 20, 9600)) == 20
+    assert value(lines.joined_lines(F.lit("this goes\non here.\nNext"))) == "this goes on here.\nNext"
+    assert [s["heading"] for s in value(lines.text_sections(F.lit("1 First part\ntext\n1.1 Inner part\nmore")))] == ["First part", "Inner part"]
 
 
 PATTERNS = [*(p for ps in text.DOMAINS.values() for p in ps), *text.BOOK_SIGNS, *text.TEXTBOOK_SIGNS, *text.NARRATIVE_SIGNS, r"\b(?:references|bibliography)\b", r"\b(?:chapter|unit)\s+[0-9]", r"\babstract\b", r"\b(?:introduction|method|methods|methodology|results|discussion|conclusion)\b"]

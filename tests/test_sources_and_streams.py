@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from keepsake.sources import conversations, formats, store
@@ -57,6 +58,20 @@ def test_store(spark, tmp_path):
     assert s.delete("t") and not s.exists("t")
 
 
+def test_store_copies_and_lists(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    for name in ("a1", "a2", "b1"):
+        s.append(name, spark.range(5))
+    s.copy("a1", "b2")
+    s.copy("b2", "a2")
+    assert s.read("b2").count() == 5 and s.read("a2").count() == 5 and s.head("zzz") is None
+    assert s.head("b2")[0] == s.head("a1")[0] > 0 and s.head("b2")[1].year >= 2024
+    assert [n for n, _ in s.page(most=2)] == ["a1", "a2"] and [n for n, _ in s.page(after="a2")] == ["b1", "b2"] and [n for n, _ in s.page("b", "b1")] == ["b2"]
+    assert s.delete_prefix("a") == 2 and [n for n, _ in s.list()] == ["b1", "b2"]
+    with pytest.raises(ValueError):
+        s.delete_prefix("")
+
+
 def test_sealing(spark):
     key = F.lit(store.key_of("secret", b"salt"))
     row = spark.range(1).select(store.opened(store.sealed(F.lit("é" * 200), key), key).alias("a"), store.opened(F.lit("not sealed"), key).alias("b")).first()

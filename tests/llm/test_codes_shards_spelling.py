@@ -163,7 +163,8 @@ def spelled_by_loop(rows, least=2, times=10):
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b, strict=True)) == 1
-        return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+        k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+        return b[k + 1 :] == a[k:]
 
     by = defaultdict(list)
     for a, b in itertools.combinations(n, 2):

@@ -22,6 +22,8 @@ LETTERS = r"A-Za-zÀ-ÿ"
 #: Fewest letters and occurrences of a word, how many times as frequent a form is, and which share of runs loses a letter.
 SHORTEST, LEAST, TIMES, DAMAGED = 7, 2, 10, 31
 BANDS = 3
+#: Letters up to which the edit distance is taken of the words themselves.
+USUAL = 64
 #: Bits of a mask; letters are dealt to them in the order of their code points, and bits to bands in turn.
 BITS = 62
 
@@ -51,6 +53,19 @@ def half(word: Column, least: Column, front: bool) -> Column:
     return F.substring(word, F.lit(1), n) if front else F.substring(word, F.length(word) - n + 1, n)
 
 
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether b, no shorter than a and other than it, is one edit away: in time linear in the words' length.
+
+    Spark's edit distance is quick for words of a usual length, but takes the square of it; for longer ones the common
+    beginning is found by halving steps, and what is behind the edit compared."""
+    rest = lambda x, k: F.substring(x, k, F.length(x))
+    # steps from the highest power of two below the length: each is taken if the beginnings are still equal
+    steps = F.transform(F.sequence(F.floor(F.log2(F.length(a))).cast("int"), F.lit(0), F.lit(-1)), lambda e: F.call_function("shiftleft", F.lit(1), e))
+    same = F.aggregate(steps, F.lit(0), lambda k, step: F.when((k + step <= F.length(a)) & (F.substring(a, F.lit(1), k + step) == F.substring(b, F.lit(1), k + step)), k + step).otherwise(k))
+    behind = F.transform(F.array(same), lambda k: F.when(F.length(a) == F.length(b), rest(a, k + 2) == rest(b, k + 2)).otherwise((F.length(b) == F.length(a) + 1) & (rest(a, k + 1) == rest(b, k + 2))))[0]
+    return F.when(F.length(a) <= USUAL, F.levenshtein(a, b, 1) == 1).otherwise(behind)
+
+
 def pairs(counts: DataFrame) -> DataFrame:
     """a, a_n, b, b_n of the words (with their counts n) that are exactly one edit apart, each pair once."""
     known = counts.select("word", "n", F.length("word").alias("size"), mask(F.col("word")).alias("mask"))
@@ -70,7 +85,7 @@ def pairs(counts: DataFrame) -> DataFrame:
     first_band = F.when(equal[0], 0).when(equal[1], 1).otherwise(2) == F.col("band")
     first_half = F.col("front") | (half(word, F.col("a_least"), True) != half(other, F.col("a_least"), True))
     once = (F.col("b_size") > F.col("a_size")) | (word < other)
-    joined = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_least") == F.col("b_least")) & once & (F.bit_count(flips) <= 2) & first_band & first_half & (F.levenshtein(word, other, 1) == 1))
+    joined = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_least") == F.col("b_least")) & once & (F.bit_count(flips) <= 2) & first_band & first_half & one_edit(word, other))
     return joined.select(word.alias("a"), F.col("a_n"), other.alias("b"), F.col("b_n"))
 
 

@@ -210,3 +210,18 @@ def test_spelling_equals_a_loop(spark, tmp_path, rows):
     assert sorted((tuple(r) for r in got), key=str) == expected
     if len(rows) > 40:
         assert {r["root"] for r in got if r["word"] in ("tenletters", "tenletterss")} == {"tenlettersstu"}
+
+
+@pytest.mark.parametrize("usual", [0, 64])
+def test_one_edit(spark, monkeypatch, usual):
+    monkeypatch.setattr(spelling, "USUAL", usual)
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice(list("abé"), int(rng.integers(1, 12))))
+        k, kind = int(rng.integers(0, len(a) + 1)), int(rng.integers(0, 4))
+        b = [a[:k] + "b" + a[k:], a[:k] + "b" + a[k + 1 :], a[:k] + "ab" + a[k + 1 :], "".join(rng.choice(list("abé"), len(a)))][kind]
+        if a != b and len(a) <= len(b):
+            rows.append((a, b))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", spelling.one_edit(F.col("a"), F.col("b")).alias("is"), (F.levenshtein("a", "b") == 1).alias("expected")).collect()
+    assert all(r["is"] == r["expected"] for r in got) and len({r["is"] for r in got}) == 2

@@ -17,8 +17,8 @@ def with_vectors(buckets: DataFrame, embeddings: DataFrame) -> DataFrame:
     return buckets.join(embeddings.filter(valid(F.col("embedding"))), "bucket_id")
 
 
-def vector_edges(buckets: DataFrame, embeddings: DataFrame, document_id: int, least: float = LINK_SIMILARITY, per_concept: int = LINKS_PER_CONCEPT, per_document: int = LINKS_PER_DOCUMENT) -> DataFrame:
-    """Edges from a document's concepts to the most similar of the tenant's other documents: unordered, at most so many a concept and a document."""
+def vector_edges(buckets: DataFrame, embeddings: DataFrame, document_id: int, least: float = LINK_SIMILARITY, per_concept: int = LINKS_PER_CONCEPT, per_document: int | None = LINKS_PER_DOCUMENT) -> DataFrame:
+    """Edges from a document's concepts to the most similar of the tenant's other documents: unordered, at most so many a concept and a document (None: all of its concepts')."""
     rows = with_vectors(buckets, embeddings)
     found = knn.neighbours(rows.filter(F.col("document_id") == document_id), rows, per_concept, least)
     edges = found.select(F.col("query_id").alias("source_bucket_id"), F.col("neighbour_id").alias("target_bucket_id"), F.lit("related_to").alias("relation_type"), unit(F.col("similarity")).alias("confidence"), F.lit("vector").alias("method"))

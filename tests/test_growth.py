@@ -53,3 +53,10 @@ def test_approximate_pairs_stay_in_their_cells(spark):
     assert [r[:2] for r in found] == [r[:2] for r in sorted(map(tuple, parts.collect()))]
 
 
+def test_links_of_a_large_document_are_not_cut(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    part = spark.read.parquet(f"{DATA}/part.parquet").filter("p_partkey <= 200").crossJoin(spark.range(40)).withColumn("p_partkey", F.col("p_partkey") + 200 * F.col("id")).drop("id")
+    vectors = spark.createDataFrame([(i, rng.standard_normal(8).tolist(), 0) for i in range(1, 8001)], "vec_id long, embedding array<float>, label int")
+    assert len(same_as_sql(spark, folder_with(tmp_path, part=part, embeddings=vectors), "knn_edges")) > 150
+
+

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..settle import settled
+from ..settle import settled, settled_by
 
 SENT = "user_id long, bucket_id long, ts timestamp"
 
@@ -35,38 +37,41 @@ def reminded(crossings: DataFrame, hours: int = 24, late: str = "1 hour") -> Dat
     return crossings.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(suppressed(hours), SENT, "last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def following(moments: DataFrame, hours: int) -> DataFrame:
-    """user_id, at and next: the tenant's first moment more than so many hours later, null if there is none.
+def walked(hours: int):
+    """Of a tenant's moments in one stretch of time, those that a reminder is sent for; the other side has the last one sent before, if any."""
+    gap = int(hours * 3_600_000_000)
 
-    Time is cut into spans of those hours. A moment's successor lies in the next span, or else is the first of the first
-    later span that has any: so what is sorted together are the moments of one tenant and two spans, not a whole tenant."""
-    span = hours * 3_600_000_000
-    known = moments.select("user_id", "at", F.floor(F.col("at") / span).alias("span"))
-    asked = known.select("user_id", (F.col("span") + 1).alias("span"), (F.col("at") + span).alias("moment"), F.lit(1).alias("asks"), F.col("at").alias("of"))
-    there = known.select("user_id", "span", F.col("at").alias("moment"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("of"))
-    order = Window.partitionBy("user_id", "span").orderBy("moment", "asks")
-    later = F.min(F.when(F.col("asks") == 0, F.col("moment"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    near = asked.unionByName(there).withColumn("near", later).filter("asks = 1").select("user_id", F.col("of").alias("at"), "span", "near")
-    firsts = known.groupBy("user_id", "span").agg(F.min("at").alias("first"))
-    reached = near.select("user_id", "span").distinct().select("user_id", "span", F.lit(None).cast("long").alias("first"))
-    spans = firsts.unionByName(reached).groupBy("user_id", "span").agg(F.min("first").alias("first"))
-    beyond = F.min("first").over(Window.partitionBy("user_id").orderBy("span").rowsBetween(1, Window.unboundedFollowing))  # a row for each span of a tenant
-    return near.join(spans.select("user_id", "span", beyond.alias("beyond")), ["user_id", "span"]).select("user_id", "at", F.coalesce("near", "beyond").alias("next"))
+    def run(moments: pa.Table, before: pa.Table) -> pa.Table:
+        at = moments["at"].to_numpy()
+        order = np.argsort(at)
+        at, picked = at[order], []
+        i = int(np.searchsorted(at, before["at"][0].as_py() + gap, side="right")) if before.num_rows else 0
+        while i < len(at):
+            picked.append(order[i])
+            i = int(np.searchsorted(at, at[i] + gap, side="right"))
+        return moments.select(["user_id", "bucket_id", "at"]).take(pa.array(picked, pa.int64()))
+
+    return run
+
+
+def stretches(moments: DataFrame, hours: int, most: int) -> DataFrame:
+    """moments with stretch: a tenant's time is cut into stretches of about ``most`` moments, at borders of 24ths of those hours."""
+    piece = moments.withColumn("piece", F.floor(F.col("at") / (hours * 150_000_000)))
+    before = F.sum("n").over(Window.partitionBy("user_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))  # a row for each piece of a tenant's time
+    counted = piece.groupBy("user_id", "piece").agg(F.count(F.lit(1)).alias("n")).select("user_id", "piece", F.floor(F.coalesce(before, F.lit(0)) / most).alias("stretch"))
+    return piece.join(counted, ["user_id", "piece"]).drop("piece")
 
 
-def reminded_batch(crossings: DataFrame, hours: int = 24) -> DataFrame:
-    """The same over a table, without a walk along a tenant's rows: each moment points to the one that may follow it, and the first moments' ways are found by doubling the pointers.
+def reminded_batch(crossings: DataFrame, hours: int = 24, most: int = 2_000_000) -> DataFrame:
+    """The same over a table: tenants' stretches of time one after another, each read once and found along by binary search.
 
-    Of rows of one moment the smallest bucket_id counts. Rounds are logarithmic in the number of reminders of a tenant."""
+    Of rows of one moment the smallest bucket_id counts. What follows from a stretch is the last reminder, so a round takes
+    the work of its stretches (of all tenants at once) and there are as many rounds as the largest tenant has stretches."""
     rows = crossings.filter("user_id IS NOT NULL AND ts IS NOT NULL").groupBy("user_id", F.unix_micros(F.col("ts")).alias("at")).agg(F.min("bucket_id").alias("bucket_id"))
-    moments = settled(rows)
-    jumps = settled(following(moments, hours).filter("next IS NOT NULL"))
-    reached = settled(moments.groupBy("user_id").agg(F.min("at").alias("at")))
-    while True:
-        more = reached.join(jumps, ["user_id", "at"]).select("user_id", F.col("next").alias("at"))
-        grown = settled(reached.unionByName(more).distinct())
-        if grown.count() == reached.count():
-            break
-        onward = jumps.select("user_id", F.col("at").alias("next"), F.col("next").alias("then"))
-        jumps, reached = settled(jumps.join(onward, ["user_id", "next"]).select("user_id", "at", F.col("then").alias("next"))), grown
-    return moments.join(reached, ["user_id", "at"], "left_semi").select("user_id", "bucket_id", F.timestamp_micros("at").alias("ts"))
+    moments = settled_by(stretches(settled(rows), hours, most), "stretch")
+    sent = rows.select("user_id", "bucket_id", "at").limit(0)
+    for (stretch,) in moments.select("stretch").distinct().orderBy("stretch").collect():  # numbers of stretches, no rows of theirs
+        last = sent.groupBy("user_id").agg(F.max("at").alias("at"))
+        more = moments.filter(F.col("stretch") == stretch).groupBy("user_id").cogroup(last.groupBy("user_id")).applyInArrow(walked(hours), "user_id long, bucket_id long, at long")
+        sent = settled(sent.unionByName(more))
+    return sent.select("user_id", "bucket_id", F.timestamp_micros("at").alias("ts"))

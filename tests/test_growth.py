@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from keepsake.operators import knn
 from keepsake.plans import catalog
+from keepsake.streaming import reminders
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
@@ -60,3 +61,22 @@ def test_links_of_a_large_document_are_not_cut(spark, tmp_path):
     assert len(same_as_sql(spark, folder_with(tmp_path, part=part, embeddings=vectors), "knn_edges")) > 150
 
 
+def test_reminders_over_many_stretches(spark):
+    rng = np.random.default_rng(6)
+    hour = 3_600_000_000
+    rows = [(u, int(rng.integers(0, 9)), int(x)) for u, n in ((1, 900), (2, 30), (3, 1)) for x in rng.integers(-5 * hour, 400 * hour, n)]
+    rows += [(4, i, 24 * hour * i) for i in range(40)] + [(5, 2, 7), (5, 1, 7), (5, 1, 24 * hour + 7), (5, 1, 24 * hour + 8)]
+    expected = []
+    for user in range(1, 6):
+        last = None
+        for at, bucket in sorted((r[2], r[1]) for r in rows if r[0] == user):
+            if last is None or at - last > 24 * hour:
+                expected.append((user, bucket, at))
+                last = at
+    df = spark.createDataFrame(rows, "user_id long, bucket_id long, at long").withColumn("ts", F.timestamp_micros("at"))
+    cut = reminders.stretches(df.select("user_id", "bucket_id", "at"), 24, 100).groupBy("user_id", "stretch").count().collect()
+    assert len(cut) > 10 and max(r["count"] for r in cut) < 150
+    found = reminders.reminded_batch(df, most=100)
+    assert sorted(map(tuple, found.select("user_id", "bucket_id", F.unix_micros("ts")).collect())) == sorted(expected)
+
+

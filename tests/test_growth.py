@@ -1,6 +1,8 @@
 """Queries on tables that are larger than the given ones, or made so that a step that grows faster than its input shows."""
 
+import functools
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from keepsake.functions import text
 from keepsake.operators import knn
 from keepsake.plans import catalog
 from keepsake.streaming import reminders
@@ -80,3 +83,18 @@ def test_reminders_over_many_stretches(spark):
     assert sorted(map(tuple, found.select("user_id", "bucket_id", F.unix_micros("ts")).collect())) == sorted(expected)
 
 
+def seconds(df, of):
+    df.agg(F.max(of)).collect()
+    began = time.perf_counter()
+    df.agg(F.max(of)).collect()
+    return time.perf_counter() - began
+
+
+def test_plain_texts_are_looked_at_before_they_are_changed(spark):
+    df = spark.range(0, 200, 1, 2).select(F.repeat(F.lit("plain wörds und ein paar more\n"), 2000).alias("text")).cache()
+    replaced = functools.reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), (text.MOJIBAKE | text.PLAIN_FORMS).items(), F.col("text"))
+    unseen = F.translate(F.translate(replaced, text.QUOTES, text.QUOTES_PLAIN), text.FULL_WIDTH, text.FULL_WIDTH_PLAIN)
+    assert seconds(df, F.length(text.plain_characters(F.col("text")))) < seconds(df, F.length(unseen))
+    made = ["a b", "\x07a\u0085b", "ﬁn “so”", "ＡＢ​", "â\u0080\u0099s é ×", "", "ünï", "x·y"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in made], "text string").coalesce(1).select(text.plain_characters(F.col("text"))).collect()]
+    assert got == ["a b", "ab", 'fin "so"', "AB", "'s é x", "", "ünï", "x y"]

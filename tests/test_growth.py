@@ -98,3 +98,14 @@ def test_plain_texts_are_looked_at_before_they_are_changed(spark):
     made = ["a b", "\x07a\u0085b", "ﬁn “so”", "ＡＢ​", "â\u0080\u0099s é ×", "", "ünï", "x·y"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in made], "text string").coalesce(1).select(text.plain_characters(F.col("text"))).collect()]
     assert got == ["a b", "ab", 'fin "so"', "AB", "'s é x", "", "ünï", "x y"]
+
+
+def test_steps_behind_pieces_change_the_same(spark):
+    parts = ["```py\nx\n```", "`code`", "# Head", "**bold**", "_it_", "![i](u)", "[l](u)", "> quote", "- item", "12. item", "-----", "a|b", "  two  \t spaces ", "plain", ""]
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([("\n".join(rng.choice(parts, int(rng.integers(0, 6)))),) for _ in range(400)], "text string")
+    both = rows.select(text.clean_document(F.col("text"), True).alias("a"), text.each(F.col("text"), text.DOCUMENT_MARKDOWN).alias("m"))
+    both = both.select("a", F.trim(F.regexp_replace(F.array_join(F.filter(F.transform(F.split("m", "\n", -1), lambda x: F.regexp_replace(x, rf"^{text.SPACE}+|{text.SPACE}+$", "")), lambda x: x != ""), "\n"), "[ \t]+", " ")).alias("b"))
+    assert both.filter("a <> b").count() == 0
+    rows = spark.range(0, 100, 1, 2).select(F.repeat(F.lit("plain words and a few more of them\n"), 2000).alias("text")).cache()
+    assert seconds(rows, F.length(text.tidy_lines(F.col("text")))) < seconds(rows, F.length(F.regexp_replace("text", "[ \t]+", " "))) + seconds(rows, F.size(F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, rf"^{text.SPACE}+|{text.SPACE}+$", ""))))

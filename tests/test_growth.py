@@ -109,3 +109,12 @@ def test_steps_behind_pieces_change_the_same(spark):
     assert both.filter("a <> b").count() == 0
     rows = spark.range(0, 100, 1, 2).select(F.repeat(F.lit("plain words and a few more of them\n"), 2000).alias("text")).cache()
     assert seconds(rows, F.length(text.tidy_lines(F.col("text")))) < seconds(rows, F.length(F.regexp_replace("text", "[ \t]+", " "))) + seconds(rows, F.size(F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, rf"^{text.SPACE}+|{text.SPACE}+$", ""))))
+
+
+def test_long_definitions_cost_no_more_than_their_opening(spark):
+    df = spark.range(0, 400, 1, 2).select(F.lit("Vector index").alias("label"), F.repeat(F.lit("structures finding similar embeddings quickly "), 4000).alias("long")).cache()
+    df = df.withColumn("opening", F.substring("long", 1, 2000))
+    assert seconds(df, text.restates(F.col("label"), F.col("long"))) < 10 * seconds(df, text.restates(F.col("label"), F.col("opening")))
+    said = [("Vector index", "vector index " * 200 + end) for end in ("", "finds", "finds similar embeddings", "finds similar embeddings quickly")] + [("Vector index", "x" * 990 + " quickly finds similar embeddings")]
+    got = [r[0] for r in spark.createDataFrame(said, "label string, definition string").select(text.restates(F.col("label"), F.col("definition"))).collect()]
+    assert got == [True, True, True, False, False]

@@ -315,6 +315,21 @@ def from_intervals(packed: bytes) -> np.ndarray:
     return places_of(pairs[:, 0], pairs[:, 0] + pairs[:, 1])
 
 
+def pair_runs(of: np.ndarray, also: np.ndarray) -> bytes:
+    """Pairs of places, packed: those that go on side by side as one (of, also, count) of unsigned 32-bit numbers."""
+    if not len(also):
+        return b""
+    by = np.argsort(also)
+    of, also = of[by], also[by]
+    at = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 1) | (np.diff(also) != 1)]))
+    return packed(np.stack([of[at], also[at], np.diff(np.append(at, len(also)))], axis=1).astype(np.uint32).tobytes())
+
+
+def from_pair_runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    of, also, count = np.frombuffer(unpacked(data) if data else b"", dtype=np.uint32).reshape(-1, 3).astype(np.int64).T
+    return places_of(of, of + count), places_of(also, also + count)
+
+
 # ---------------------------------------------------------------- names seen in two documents
 
 
@@ -406,7 +421,7 @@ def strings_of(table: DataFrame, name_buckets: int, string_buckets: int) -> Data
                 kept, hot = np.concatenate(seen, axis=1).astype(bool)[:, which] if seen else np.zeros((2, len(first)), dtype=bool)
                 first, after, names, hot = first[kept], after[kept], names[kept], hot[kept]
                 repeats, heads, of, also = shard.groups(places_of(first, after))
-                out = [(-1 - row["shard"], row["shard"], intervals(repeats).tobytes(), np.stack([of, also], axis=1).astype(np.uint32).tobytes(), None)]
+                out = [(-1 - row["shard"], row["shard"], intervals(repeats).tobytes(), pair_runs(of, also), None)]
                 if len(heads):
                     owner = np.searchsorted(first, heads, "right") - 1
                     name = names[owner]
@@ -561,8 +576,8 @@ def repeated_spans(docs: DataFrame, carried: list[str], schema: T.StructType | s
                 marked = np.zeros(len(blob) + 1, dtype=bool)
                 for packed in [row["repeats"].as_py() or b"", *(row["found"].as_py() or [])]:
                     marked[from_intervals(packed)] = True
-                pairs = np.frombuffer(row["pairs"].as_py() or b"", dtype=np.uint32).reshape(-1, 2)
-                marked[pairs[:, 1][marked[pairs[:, 0]]]] = True
+                of, also = from_pair_runs(row["pairs"].as_py() or b"")
+                marked[also[marked[of]]] = True
                 places = intervals(np.flatnonzero(marked)).astype(np.int64)
                 first, last = places[:, 0], places[:, 0] + places[:, 1] + LENGTH - 1
                 # runs of places less than LENGTH apart, in one document, remove one span

@@ -81,6 +81,16 @@ def test_matches_brute_force(spark, monkeypatch, tmp_path, hot):
     assert got == sorted(brute(rows), key=str)
 
 
+def test_pairs_of_a_repeated_stretch_take_one_row():
+    rng = np.random.default_rng(2)
+    of, also = np.concatenate([np.arange(100, 5000)] * 3), np.concatenate([np.arange(n, n + 4900) for n in (6000, 12000, 20000)])
+    by = rng.permutation(len(also))  # in the order of suffixes
+    told = suffix.pair_runs(of[by], also[by])
+    assert len(told) < 100  # 8 bytes a pair before: 117,600
+    assert [x.tolist() for x in suffix.from_pair_runs(told)] == [of.tolist(), also.tolist()]
+    assert [len(x) for x in suffix.from_pair_runs(suffix.pair_runs(of[:0], also[:0]))] == [0, 0]
+
+
 def test_digest_clash_is_settled(spark, monkeypatch):
     real = suffix.Powers.rolling
     monkeypatch.setattr(suffix.Powers, "rolling", lambda self, data, size: real(self, data, size) & np.uint64(7) if self.base == suffix.Powers(suffix.SEED).base else real(self, data, size))

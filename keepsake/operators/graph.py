@@ -64,10 +64,25 @@ def degrees(edges: DataFrame, buckets: DataFrame) -> DataFrame:
     return buckets.select("bucket_id").join(ends, "bucket_id", "left").select("bucket_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.col("degree").isNull().alias("island"))
 
 
-def half_edges_with_documents(edges: DataFrame, buckets: DataFrame) -> DataFrame:
-    own = buckets.select("bucket_id", F.col("user_id"), F.col("document_id"))
-    other = buckets.select(F.col("bucket_id").alias("other_id"), F.col("user_id").alias("other_user"), F.col("document_id").alias("other_document"))
-    return halves(edges).join(own, "bucket_id").join(other, "other_id")
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Over so many partitions by the keys; None leaves it to the session."""
+    return df if parts is None else df.repartition(parts, *keys)
+
+
+def half_edges_with_documents(edges: DataFrame, buckets: DataFrame, parts: int | None = None) -> DataFrame:
+    """``halves`` with tenant and document of both ends. Edges are joined before they are turned into halves, so half as many rows are shuffled.
+
+    With ``parts`` (of the edges, which are dealt by their source already) memories are hashed, not edges sorted, and the result is dealt by bucket_id."""
+    end = lambda side: buckets.select(F.col("bucket_id").alias(f"{side}_bucket_id"), F.col("user_id").alias(f"{side}_user"), F.col("document_id").alias(f"{side}_document"))
+    if parts is not None:
+        source, target = end("source").hint("shuffle_hash"), end("target").hint("shuffle_hash")
+    else:
+        source, target = end("source"), end("target")
+    rows = dealt(edges.join(source, "source_bucket_id"), parts, "target_bucket_id").join(target, "target_bucket_id").withColumn("__out", F.explode(F.array(F.lit(True), F.lit(False))))
+    pick = lambda column, a, b, name: F.when(F.col("__out"), F.col(f"{a}_{column}")).otherwise(F.col(f"{b}_{column}")).alias(name)
+    own = [pick(c, "source", "target", n) for c, n in (("bucket_id", "bucket_id"), ("user", "user_id"), ("document", "document_id"))]
+    other = [pick(c, "target", "source", n) for c, n in (("bucket_id", "other_id"), ("user", "other_user"), ("document", "other_document"))]
+    return dealt(rows.select(*own, *other, "relation_type", "confidence", F.when(F.col("__out"), "out").otherwise("in").alias("direction")), parts, "bucket_id")
 
 
 def connectivity(edges: DataFrame, buckets: DataFrame, user_id: int, current_document: int | None = None, recent: DataFrame | None = None) -> DataFrame:
@@ -84,25 +99,29 @@ def connectivity(edges: DataFrame, buckets: DataFrame, user_id: int, current_doc
     return grouped.withColumn("score", unit(score))
 
 
-def memory_connectivity(edges: DataFrame, buckets: DataFrame) -> DataFrame:
-    """The detail view's score: half by degree (of 10), 0.3 by foreign documents (of 5), 0.2 by confidence."""
+def memory_connectivity(edges: DataFrame, buckets: DataFrame, parts: int | None = None) -> DataFrame:
+    """The detail view's score: half by degree (of 10), 0.3 by foreign documents (of 5), 0.2 by confidence.
+
+    Grouped by the other end first (it has one document), so that no row is copied for a second distinct count."""
     foreign = F.when(~F.col("other_document").eqNullSafe(F.col("document_id")), F.col("other_document"))
-    grouped = half_edges_with_documents(edges, buckets).groupBy("bucket_id").agg(F.count_distinct("other_id").alias("degree"), F.count_distinct(foreign).alias("documents"), F.avg("confidence").alias("avg_confidence"))
+    others = half_edges_with_documents(edges, buckets, parts).groupBy("bucket_id", "other_id").agg(F.max(foreign).alias("foreign"), F.sum("confidence").alias("c"), F.count("confidence").alias("n"))
+    grouped = others.groupBy("bucket_id").agg(F.count(F.lit(1)).alias("degree"), F.count_distinct("foreign").alias("documents"), (F.sum("c") / F.sum("n")).alias("avg_confidence"))
     return grouped.withColumn("score", unit(0.5 * F.least(F.lit(1.0), F.col("degree") / 10) + 0.3 * F.least(F.lit(1.0), F.col("documents") / 5) + 0.2 * F.col("avg_confidence")))
 
 
-def connected_documents(edges: DataFrame, buckets: DataFrame, most: int = 10) -> DataFrame:
+def connected_documents(edges: DataFrame, buckets: DataFrame, most: int = 10, parts: int | None = None) -> DataFrame:
     """For each memory, the foreign documents it has most edges to."""
-    near = half_edges_with_documents(edges, buckets).filter(F.col("other_document").isNotNull() & ~F.col("other_document").eqNullSafe(F.col("document_id")))
+    near = half_edges_with_documents(edges, buckets, parts).filter(F.col("other_document").isNotNull() & ~F.col("other_document").eqNullSafe(F.col("document_id")))
     grouped = near.groupBy("bucket_id", "other_document").agg(F.count(F.lit(1)).alias("edges"), F.avg("confidence").alias("avg_confidence"))
     rank = F.row_number().over(Window.partitionBy("bucket_id").orderBy(F.desc("edges"), F.desc(F.round("avg_confidence", 9)), "other_document"))
     return grouped.withColumn("n", rank).filter(F.col("n") <= most)
 
 
-def document_links(edges: DataFrame, buckets: DataFrame) -> DataFrame:
+def document_links(edges: DataFrame, buckets: DataFrame, parts: int | None = None) -> DataFrame:
     """Ordered pairs of documents with an edge between their memories: edges, mean confidence, shared memories, score."""
-    near = half_edges_with_documents(edges, buckets).filter(F.col("document_id").isNotNull() & F.col("other_document").isNotNull() & (F.col("document_id") != F.col("other_document")))
-    grouped = near.groupBy("document_id", F.col("other_document").alias("related_id")).agg(F.count(F.lit(1)).alias("edges"), F.avg("confidence").alias("avg_confidence"), F.count_distinct("bucket_id").alias("concepts"))
+    near = half_edges_with_documents(edges, buckets, parts).filter(F.col("document_id").isNotNull() & F.col("other_document").isNotNull() & (F.col("document_id") != F.col("other_document")))
+    memories = near.groupBy("bucket_id", "document_id", F.col("other_document").alias("related_id")).agg(F.count(F.lit(1)).alias("edges"), F.sum("confidence").alias("c"), F.count("confidence").alias("n"))
+    grouped = memories.groupBy("document_id", "related_id").agg(F.sum("edges").alias("edges"), (F.sum("c") / F.sum("n")).alias("avg_confidence"), F.count(F.lit(1)).alias("concepts"))
     return grouped.withColumn("score", edge_score(F.col("avg_confidence"), F.col("edges")))
 
 
@@ -110,9 +129,9 @@ def edge_score(confidence: Column, edges: Column) -> Column:
     return 0.45 * confidence + 0.35 * F.least(F.lit(1.0), edges / 5) + 0.2 * F.least(F.lit(1.0), edges / 10)
 
 
-def related_documents(edges: DataFrame, buckets: DataFrame, document_id: int, most: int = 10) -> DataFrame:
+def related_documents(edges: DataFrame, buckets: DataFrame, document_id: int, most: int = 10, parts: int | None = None) -> DataFrame:
     """The best related documents of one."""
-    return document_links(edges, buckets).filter(F.col("document_id") == document_id).orderBy(F.desc(F.round("score", 9)), F.desc("edges"), "related_id").limit(most)
+    return document_links(edges, buckets, parts).filter(F.col("document_id") == document_id).orderBy(F.desc(F.round("score", 9)), F.desc("edges"), "related_id").limit(most)
 
 
 def top_connected(edges: DataFrame, buckets: DataFrame, document_id: int, most: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import functools
 import os
+import re
 import time
 
 import duckdb
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from keepsake import adapters
 from keepsake.functions import text
 from keepsake.operators import knn
 from keepsake.plans import catalog
@@ -64,6 +66,18 @@ def test_links_of_a_large_document_are_not_cut(spark, tmp_path):
     assert len(same_as_sql(spark, folder_with(tmp_path, part=part, embeddings=vectors), "knn_edges")) > 150
 
 
+@pytest.mark.parametrize("name", ["memory_connectivity"])
+def test_partitions_of_edges_grow_with_the_table(spark, monkeypatch, name):
+    """A task's share of edges doesn't grow with them, whatever number of partitions the session has."""
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 500)
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert adapters.Tables(spark, DATA).parts == -(-rows // 500) > 10
+    plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    told = re.findall(r"Exchange hashpartitioning\((?:p_partkey|l_orderkey|(?:source_|target_)?bucket_id)[^\n]*, (\d+)\), ", plan)
+    assert len(told) >= 5 and set(told) == {str(-(-rows // 500))}
+    assert same_as_sql(spark, DATA, name)
+
+
 def test_reminders_over_many_stretches(spark):
     rng = np.random.default_rng(6)
     hour = 3_600_000_000

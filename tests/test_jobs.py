@@ -1,6 +1,7 @@
 """The job queue as a stream against a replay, and tables changed in parts."""
 
 import os
+import time
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -76,6 +77,36 @@ def test_a_replay_equals_a_loop(spark, seed):
     assert all(now[j]["attempt"] == m[-1][2] and now[j]["progress"] == {"queued": 0, "picked": 0, "parsing": 10, "extracting": 40}.get(now[j]["stage"], 100) for j, m in last.items())
 
 
+def test_jobs_over_many_batches(spark):
+    """Batches that cut jobs anywhere, one job over many of them, unknown and null kinds, null jobs and workers, and events that come twice."""
+    events = made(5, 40) + [(70, "queued", None, 0, None), (70, "claim", None, 1, None)] + [(70, "parsing", None, 2 + i, None) for i in range(90)] + [(70, "resting", None, 3, None), (70, None, None, 4, "x"), (71, "resting", "w0", 3, None)]
+    events += [(72, "queued", None, 0, ""), (72, "claim", "", 5, None), (72, "parsing", None, 6, None), (72, "parsing", "", 6, None), (72, "parsing", "", 6, None), (72, "parsing", "", 6, "")]
+    rows = frame(spark, events + events[::3])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = found(jobs.replayed(rows, at(2000)))
+        nulls = found(jobs.replayed(rows.filter("job_id = 70").withColumn("job_id", F.lit(None).cast("long")), at(2000)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    known = [e for e in events if e[1] in jobs.KINDS]
+    assert got == loop(known, 2000) and {m[0] for m in got} == {*range(40), 70, 72}
+    assert [m[1:] for m in nulls] == [m[1:] for m in got if m[0] == 70]
+
+
+def test_a_replay_goes_over_jobs_together(spark):
+    """Many jobs together take less than half of what they take one by one."""
+    n = 20_000
+    steps = (("queued", 0), ("claim", 10), ("parsing", 20), ("extracting", 30), ("complete", 40), ("claim", 50))
+    job, step = np.repeat(np.arange(n), len(steps)), np.tile(np.arange(len(steps)), n)
+    rows = jobs.pa.table({"job_id": job, "at": np.array([s for _, s in steps])[step] * 1_000_000, "kind": np.array([jobs.KINDS.index(k) for k, _ in steps], dtype=np.int32)[step], "worker": jobs.pa.array(["a"] * len(job)), "message": jobs.pa.nulls(len(job), jobs.pa.string())})
+    began = time.perf_counter()
+    moves = jobs.moves_of(rows, 10**9, 300_000_000, 3)
+    together = time.perf_counter() - began
+    began = time.perf_counter()
+    one_by_one = sum(1 for i in range(n) for _ in jobs.settled(jobs.NEW, [(s * 1_000_000, k, "a", None) for k, s in steps], 10**9, 300_000_000, 3))
+    assert moves.num_rows == one_by_one == 5 * n and together < (time.perf_counter() - began) / 2
+
+
 def test_the_stream_equals_the_replay(spark, tmp_path):
     """Events arrive out of order, in several files, some of them twice; a last event moves the watermark past all others."""
     events = made(9)

@@ -14,7 +14,8 @@ import __spark_entry__
 from keepsake import adapters
 from keepsake.functions import text
 from keepsake.operators import knn
-from keepsake.plans import catalog
+from keepsake.plans import catalog, ingest
+from keepsake.sources import store
 from keepsake.streaming import reminders
 
 DATA = "/root/testdata/sf0.001"
@@ -97,6 +98,16 @@ def test_reminders_over_many_stretches(spark):
     assert sorted(map(tuple, found.select("user_id", "bucket_id", F.unix_micros("ts")).collect())) == sorted(expected)
 
 
+def test_documents_are_extracted_once(spark):
+    """Sections are cut and the model is asked once, though a document's concepts are compared with each other."""
+    df = __spark_entry__.queries()["ingest_documents"](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    docs = spark.createDataFrame([(1, "Alpha stands here with Gamma"), (2, "Gamma stands here with Delta")], "document_id long, section string").withColumn("section_index", F.lit(0))
+    rows = ingest.concepts_of(store.extracted(docs)).select("document_id", "key", F.array_sort("related").alias("related")).collect()
+    assert sorted((r["document_id"], r["key"], r["related"]) for r in rows) == [(1, "alpha", []), (1, "gamma", ["alpha"]), (2, "delta", ["gamma"]), (2, "gamma", [])]
+
+
 def seconds(df, of):
     df.agg(F.max(of)).collect()
     began = time.perf_counter()

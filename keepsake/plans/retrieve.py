@@ -48,7 +48,8 @@ def direct_hits(t: Tables, questions: DataFrame, least: float = 0.15, most: int
     near = vectors.select(F.col("q.question_id").alias("question_id"), "bucket_id", cosine(F.col("embedding"), F.col("q.vector")).alias("vector_score")).filter(F.col("vector_score") >= least)
     lists = F.broadcast(questions.groupBy("user_id").agg(F.collect_list(F.struct(F.col("q.question_id").alias("question_id"), terms_of(F.col("q")).alias("terms"))).alias("asked")))
     names = memories.select("bucket_id", "user_id", "weight", F.lower("canonical").alias("told"))
-    evidence = t.items.select("bucket_id", F.lower(F.concat_ws(" ", "label", "definition")).alias("told")).join(memories.drop("canonical"), "bucket_id").select("bucket_id", "user_id", "weight", "told")
+    items = t.items.select("bucket_id", F.lower(F.concat_ws(" ", "label", "definition")).alias("told"))
+    evidence = graph.dealt(items, t.parts, "bucket_id").join(memories.drop("canonical"), "bucket_id").select("bucket_id", "user_id", "weight", "told")
     found = names.unionByName(evidence).join(lists, "user_id")
     textual = found.select("bucket_id", "weight", F.explode(F.filter("asked", lambda a: F.exists(a["terms"], lambda x: F.contains("told", x)))).alias("a")).select("a.question_id", "bucket_id", "weight").distinct()
     a = best(near, "vector_score", most).select("question_id", "bucket_id", "vector_score", F.lit(0.0).alias("text_score"))

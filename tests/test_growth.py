@@ -14,7 +14,7 @@ import __spark_entry__
 from keepsake import adapters
 from keepsake.functions import text
 from keepsake.operators import knn
-from keepsake.plans import catalog, ingest
+from keepsake.plans import catalog, ingest, retrieve
 from keepsake.sources import store
 from keepsake.streaming import reminders
 
@@ -98,6 +98,19 @@ def test_reminders_over_many_stretches(spark):
     assert sorted(map(tuple, found.select("user_id", "bucket_id", F.unix_micros("ts")).collect())) == sorted(expected)
 
 
+def test_texts_are_searched_in_many_tasks(spark, monkeypatch):
+    """Memories in one file don't mean that one task searches all texts."""
+    questions = spark.createDataFrame([(q, q, [], [word]) for q, word in enumerate(("the", "again", "model"))], "question_id long, user_id long, key_terms array<string>, expanded_terms array<string>").withColumn("vector", F.array_repeat(F.lit(0.5), 64))
+    found = lambda t: sorted(map(tuple, retrieve.direct_hits(t, retrieve.held(questions)).collect()))
+    whole = found(adapters.Tables(spark, DATA))
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 500)
+    t = adapters.Tables(spark, DATA)
+    plan = retrieve.direct_hits(t, retrieve.held(questions))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"Exchange hashpartitioning\((?:p_partkey|bucket_id)#\w+, {t.parts}\), REPARTITION_BY_NUM", plan)) >= 3
+    assert found(t) == whole and len(whole) > 20
+    assert sorted(map(tuple, t.items.collect())) == sorted(map(tuple, t._view("m_items").collect()))
+
+
 def test_documents_are_extracted_once(spark):
     """Sections are cut and the model is asked once, though a document's concepts are compared with each other."""
     df = __spark_entry__.queries()["ingest_documents"](spark, DATA)

@@ -151,8 +151,7 @@ def _(t):
 
 @query("vector_approximate_pairs")
 def _(t):
-    rows = t.embeddings.filter("bucket_id % 50 = 0")
-    return knn.approximate(rows, t.embeddings, 0.2).select("query_id", "neighbour_id", r4(F.col("similarity")).alias("similarity"))
+    return knn.approximate(t.embeddings, t.embeddings, 0.2).select("query_id", "neighbour_id", r4(F.col("similarity")).alias("similarity"))
 
 
 @query("orphan_embeddings", "SELECT e.bucket_id FROM m_embeddings e LEFT JOIN m_buckets b ON e.bucket_id = b.bucket_id WHERE b.bucket_id IS NULL")

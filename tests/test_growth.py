@@ -60,6 +60,29 @@ def test_approximate_pairs_stay_in_their_cells(spark):
     assert [r[:2] for r in found] == [r[:2] for r in sorted(map(tuple, parts.collect()))]
 
 
+def test_every_vector_is_asked_for_its_pairs(spark):
+    rows = [r for r in adapters.Tables(spark, DATA).embeddings.collect() if r["embedding"]]
+    ids, vectors = np.array([r["bucket_id"] for r in rows]), np.array([r["embedding"] for r in rows])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    close = vectors @ vectors.T
+    np.fill_diagonal(close, -1)
+    pairs = lambda least: {(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(close >= least), strict=True)}
+    found = [(r["query_id"], r["neighbour_id"]) for r in __spark_entry__.queries()["vector_approximate_pairs"](spark, DATA).collect()]
+    assert len(set(found)) == len(found) >= 0.9 * len(pairs(0.2 + 1e-9)) and set(found) <= pairs(0.2 - 1e-9)
+    assert {a for a, _ in found} == {a for a, _ in pairs(0.2 + 1e-9)}  # each of them has some pair
+
+
+def test_tasks_of_the_grid_grow_with_its_cells(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(600)], "bucket_id long, embedding array<double>")
+    whole, parts = knn.approximate(rows, rows, 0.2), knn.approximate(rows, rows, 0.2, block=20)
+    tasks = -(-30 * 30 // knn.CELLS_A_TASK)
+    dealt = re.findall(r"Exchange hashpartitioning\(([a-z_]+)#\d+L?, (?:c#\d+, )?(\d+)\)", parts._jdf.queryExecution().executedPlan().toString())
+    assert sorted(dealt) == [("bucket_id", str(tasks))] * 2 + [("r", str(tasks))] * 2
+    found = sorted((r[0], r[1]) for r in parts.collect())
+    assert len(found) > 50_000 and found == sorted((r[0], r[1]) for r in whole.collect())
+
+
 def test_links_of_a_large_document_are_not_cut(spark, tmp_path):
     rng = np.random.default_rng(4)
     part = spark.read.parquet(f"{DATA}/part.parquet").filter("p_partkey <= 200").crossJoin(spark.range(40)).withColumn("p_partkey", F.col("p_partkey") + 200 * F.col("id")).drop("id")
